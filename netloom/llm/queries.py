@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netloom.llm import chat, line_dedup, ngram_join, ogg, packing, pii, quality, secrets_scan, topk
+from netloom.llm import chat, line_dedup, ngram_join, ogg, packing, piece_lattice, pii, quality, secrets_scan, topk
 
 WORD_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -44,6 +44,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.as_media(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_ngram_jaccard, op2_quality, op3_secrets, op4_packing, op5_preferences, op6_personal_data, op8_ogg_media, op9_line_dedup, op10_topk]
+    found = [op1_ngram_jaccard, op2_quality, op3_secrets, op4_packing, op5_preferences, op6_personal_data, op7_pieces, op8_ogg_media, op9_line_dedup, op10_topk]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
