@@ -73,10 +73,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = both.where("dst > src").join(rekeyed(least, "src"), "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        low = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
-        least = low.groupBy("src").agg(F.min("dst").alias("m"))
-        small = low.join(rekeyed(least, "src"), "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        large = both.where("dst > src").join(rekeyed(least, "src"), "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        small = large.join(rekeyed(least, "src"), "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         now = checkpointed(small.union(least.select("src", F.col("m").alias("dst"))).distinct())
         seen = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(src, dst))").alias("x")).first()
         if mark == (seen["n"], seen["x"]):
