@@ -31,15 +31,26 @@ class Solved:
         return iter((self.nodes, self.iters))
 
 
+def with_self(weights: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(src, dst, w, own)``: the edges, and for each node an edge to itself that only carries its own columns."""
+    own = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))
+    w = F.col("w") if "w" in weights.columns else F.lit(1.0)
+    return weights.select("src", "dst", w.alias("w"), F.lit(False).alias("own")).union(own)
+
+
 def aggregated(weights: DataFrame, nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """nodes with ``name = sum over neighbours of weight * value``, 0 without neighbours.
+    """nodes with ``name = sum over neighbours of a value``, 0 without neighbours.
 
-    ``values`` maps names to Columns over the neighbour's columns and the edge's weight ``w``.
+    ``values`` maps names to Columns over the neighbour's columns and the edge's weight ``w``. A
+    node's own columns come along an edge to itself, so that nodes are read once and a chain of
+    steps is a plan of linear size; ``weights`` made by ``with_self`` has these edges already.
     """
-    rest = nodes.withColumnRenamed("id", "dst")
-    sums = weights.join(rest, "dst").groupBy(F.col("src").alias("id")).agg(*(F.sum(v).alias(k) for k, v in values.items()))
-    filled = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in values}
-    return nodes.join(sums, "id", "left").withColumns(filled)
+    edges = weights if "own" in weights.columns else with_self(weights, nodes)
+    kept = [c for c in nodes.columns if c != "id" and c not in values]
+    joined = edges.join(nodes.withColumnRenamed("id", "dst"), "dst")
+    own = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept]
+    sums = [F.coalesce(F.sum(F.when(~F.col("own"), v)), F.lit(0.0)).alias(k) for k, v in values.items()]
+    return joined.groupBy(F.col("src").alias("id")).agg(*own, *sums)
 
 
 def peer_mean(weights: DataFrame, nodes: DataFrame, value: Column | None = None, name: str = "peer") -> DataFrame:
@@ -53,12 +64,12 @@ def peer_sum(weights: DataFrame, nodes: DataFrame, value: Column | None = None,
 
 
 def picard(
-    step: Callable[[DataFrame], DataFrame], start: DataFrame, tol: float = 1e-6, max_iter: int = 200, fixed: bool = False, block: int = 5, columns: tuple[str, ...] = ("y",), strict: bool = False
+    step: Callable[[DataFrame], DataFrame], start: DataFrame, tol: float = 1e-6, max_iter: int = 200, fixed: bool = False, block: int = 10, strict: bool = False
 ) -> Solved:
     """Iterate ``nodes(id, y, ...) -> step(nodes)`` until no y changes by ``tol`` or more, or ``max_iter`` steps are done.
 
-    Steps are planned in blocks of ``block`` and written at the end of each, so plans stay small
-    and one job does several steps. The change in each step of a block is reduced with it, and
+    A step must carry columns that it doesn't know along. Steps are planned in blocks of ``block``
+    and written at the end of each, so plans stay small and one job does several steps. The change in each step of a block is reduced with it, and
     the solution is that of the first step below the tolerance. ``fixed`` makes exactly
     ``max_iter`` steps; its residual is 0 and it doesn't count as converged. ``strict`` raises
     ``NotConverged`` where the tolerance isn't met.
@@ -70,24 +81,18 @@ def picard(
         k = min(block, max_iter - done)
         work = now
         for i in range(k):
-            new = step(work)
-            if fixed:
-                work = new
-                continue
-            kept = [f"_{c}{j}" for j in range(i + 1) for c in columns]
-            before = work.select("id", *kept[: i * len(columns)], *(F.col(c).alias(f"_{c}{i}") for c in columns))
-            work = new.drop(*kept).join(before, "id")
+            work = step(work if fixed else work.withColumn(f"_y{i}", F.col("y")))
+        work = checkpointed(work)
         if fixed:
-            now, done = checkpointed(work), done + k
+            now, done = work, done + k
             continue
-        work = checkpointed(work)
-        at = lambda i, c: F.col(f"_{c}{i}") if i < k else F.col(c)  # noqa: E731  the value after i steps of the block
-        changes = work.agg(*(F.max(F.abs(at(i + 1, "y") - at(i, "y"))).alias(f"r{i}") for i in range(k))).first()
+        at = lambda i: F.col(f"_y{i}") if i < k else F.col("y")  # noqa: E731  the value after i steps of the block
+        changes = work.agg(*(F.max(F.abs(at(i + 1) - at(i))).alias(f"r{i}") for i in range(k))).first()
         found = next((i for i in range(k) if changes[i] is not None and changes[i] < tol), None)
         last = k - 1 if found is None else found
         residual, done = changes[last], done + last + 1
-        back = [c for c in work.columns if not c.startswith("_") and c not in columns]
-        now = work.select(*back, *(at(last + 1, c).alias(c) for c in columns))
+        rest = [c for c in work.columns if not c.startswith("_y") and c != "y"]
+        now = work.select(*rest, at(last + 1).alias("y"))
         if found is not None:
             return Solved(now, done, residual, True)
     if fixed:
@@ -111,11 +116,13 @@ def newton_column(z0: Column, residual: Callable[[Column], Column], derivative:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), z0, one)
 
 
-def neumann(jacobian: DataFrame, cotangent: DataFrame, tol: float = 1e-10, max_iter: int = 200, fixed: bool = False, block: int = 5) -> Solved:
+def neumann(jacobian: DataFrame, cotangent: DataFrame, tol: float = 1e-10, max_iter: int = 200, fixed: bool = False, block: int = 10) -> Solved:
     """The adjoint ``u = c + J' u`` of a fixed point, for jacobian(i, j, v) and cotangent(id, c); ``u`` is column y."""
     weights = jacobian.select(F.col("j").alias("src"), F.col("i").alias("dst"), F.col("v").alias("w"))
 
+    weights = checkpointed(with_self(weights, cotangent))
+
     def step(df: DataFrame) -> DataFrame:
-        return aggregated(weights, df.select("id", "c", "y"), {"s": F.col("w") * F.col("y")}).select("id", "c", (F.col("c") + F.col("s")).alias("y"))
+        return aggregated(weights, df, {"s": F.col("w") * F.col("y")}).withColumn("y", F.col("c") + F.col("s")).drop("s")
 
     return picard(step, cotangent.select("id", "c", F.col("c").alias("y")), tol, max_iter, fixed, block)
