@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from netloom.operators.components import checkpointed, rekeyed
 #: Words of a line from which on it can be dropped as a copy, and as one edit away.
 LEAST, LEAST_NEAR = 5, 8
 
+#: Bits of a bitmap (2 MB).
+BITS = 1 << 24
+
 _word = Memo(lambda w: xxhash.xxh64_intdigest(w))
 
 
@@ -85,27 +89,70 @@ def _lines(least: int, near: int):
     return by_batch(fn)
 
 
-def _codes(batch: pa.RecordBatch) -> pa.RecordBatch:
-    docs, lines, out = [], [], []
-    for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
-        rows = (text or "").split("\n")
-        for want in wanted:
-            w = words(rows[want["line"]]) if want["line"] < len(rows) else []
-            if w and key(w) == want["key"]:
-                docs.append(doc)
-                lines.append(want["line"])
-                out.append(np.fromiter(map(_word.__getitem__, w), np.uint64, len(w)).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "line", "codes"])
+def _possible(shared: np.ndarray):
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The marks of lines that have a half in the bitmap."""
+        halves_, keys = batch.column("halves"), batch.column("key").to_pylist()
+        sizes = np.diff(halves_.offsets.to_numpy())
+        hit = np.repeat(np.arange(len(keys)), sizes)[has(shared, halves_.flatten().to_numpy())]
+        marks = [int.from_bytes(keys[i][:8], "little", signed=True) for i in np.unique(hit)]
+        return pa.RecordBatch.from_arrays([pa.array(marks, pa.int64())], ["mark"])
+
+    return by_batch(fn, 8192)
+
+
+def _codes(possible: np.ndarray, near: int):
+    def fn(batch: pa.RecordBatch, bits: list[int]) -> pa.RecordBatch:
+        """The word hashes of lines that are in the bitmap; of equal lines in a batch the earliest."""
+        found: dict[bytes, tuple[int, int, list[str]]] = {}
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for k, line in enumerate((text or "").split("\n")):
+                w = words(line)
+                if len(w) < near:
+                    continue
+                name = key(w)
+                at = int.from_bytes(name[:8], "little") & (BITS - 1)
+                if bits[at >> 6] >> (at & 63) & 1 and (name not in found or (doc, k) < found[name][:2]):
+                    found[name] = (doc, k, w)
+        codes = [np.fromiter(map(_word.__getitem__, w), np.uint64, len(w)).tobytes() for *_, w in found.values()]
+        docs, lines = ([f[i] for f in found.values()] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(codes, pa.binary())], ["key", "doc_id", "line", "codes"])
+
+    return lambda batches: by_batch(partial(fn, bits=possible.tolist()), 2048)(batches)
+
+
+def _variants(shared: np.ndarray | None):
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """All variants of each line, or those in the bitmap."""
+        codes = [np.frombuffer(c, np.uint64) for c in batch.column("codes").to_pylist()]
+        got = [variants(c) for c in codes]
+        at = np.repeat(np.arange(len(codes)), [len(c) + 1 for c in codes])
+        h, place = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        h = h.view(np.int64)
+        if shared is not None:
+            keep = has(shared, h)
+            at, h, place = at[keep], h[keep], place[keep]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), batch.column("line").take(pa.array(at)), pa.array(h), pa.array(place)], ["doc_id", "line", "variant", "place"])
+
+    return by_batch(fn, 2000)
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of BITS bits in which each value of a column of hashes sets one.
+
+    The bits are gathered by an aggregate, so at most BITS / 64 rows reach the driver. A value
+    that sets no bit is surely not in the column; when the bitmap fills up it only tells less.
+    """
+    bit = F.expr(f"pmod({column}, {BITS})")
+    rows = df.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("x")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("x").to_numpy()
+    return out.view(np.uint64)
 
 
-def _variants(batch: pa.RecordBatch) -> pa.RecordBatch:
-    codes = [np.frombuffer(c, np.uint64) for c in batch.column("codes").to_pylist()]
-    got = [variants(c) for c in codes]
-    times = np.array([len(c) + 1 for c in codes], np.int64)
-    at = np.repeat(np.arange(len(codes)), times)
-    h = np.concatenate([g[0] for g in got]).view(np.int64) if got else np.zeros(0, np.int64)
-    place = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int32)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), batch.column("line").take(pa.array(at)), pa.array(h), pa.array(place)], ["doc_id", "line", "variant", "place"])
+def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.view(np.uint64) & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,7 +174,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
     in an aggregate that keeps the earliest line of each place of deletion, so a bucket costs no
     pairs and a hot one is aggregated where it arises. What a line then points to is verified on
     the words. A possible partner is one that shares a start or end of half the length, which two
-    lines of one edit always do. Null texts have no lines; rows with a null doc_id take no part;
+    lines of one edit always do; bitmaps of a fixed size tell which lines and which variants may
+    have a partner, and where a bitmap is too full to tell, more of them go on to the exact steps. Null texts have no lines; rows with a null doc_id take no part;
     rows that share a doc_id and a line count as one.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -140,13 +188,13 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
         .where("doc_id <> first.doc_id or line <> first.line")
         .select("doc_id", "line", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(0).alias("edits"))
     )
-    halved = firsts.select("first", "key", F.explode("halves").alias("half"))
-    shared = halved.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    possible = halved.join(rekeyed(shared, "half"), "half").select("first.doc_id", "first.line", "key").distinct()
-    wanted = possible.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
-    codes = slim.join(wanted, slim.doc_id == F.col("of")).select("doc_id", "text", "wanted").mapInArrow(by_batch(_codes), "doc_id long, line int, codes binary")
-    codes = checkpointed(codes.dropDuplicates(["doc_id", "line"]))
-    rows = codes.mapInArrow(by_batch(_variants, 2000), "doc_id long, line int, variant long, place int")
+    halved = firsts.select(F.explode("halves").alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
+    possible = bitmap(firsts.select("key", "halves").mapInArrow(_possible(bitmap(halved, "half")), "mark long"), "mark")
+    codes = slim.mapInArrow(_codes(possible, near), "key binary, doc_id long, line int, codes binary").groupBy("key").agg(F.min(F.struct("doc_id", "line", "codes")).alias("f"))
+    codes = checkpointed(codes.select("f.doc_id", "f.line", "f.codes").dropDuplicates(["doc_id", "line"]))
+    spelt = "doc_id long, line int, variant long, place int"
+    twice = codes.mapInArrow(_variants(None), spelt).groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
+    rows = checkpointed(codes.mapInArrow(_variants(bitmap(twice, "variant")), spelt))
     least_at = rows.groupBy("variant", "place").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     least_of = least_at.groupBy("variant").agg(
         F.sum("n").alias("all"), F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("part")
