@@ -1 +1,84 @@
+"""Queries over generated data sets, the test function, estimation and Monte Carlo."""
 
+from __future__ import annotations
+
+import warnings
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from netloom.operators import datasets, graph
+from netloom.operators import estimator as est
+from netloom.operators.games import LinearInMeans
+from netloom.plans.graphs import g45
+from netloom.plans.registry import query
+from netloom.sources import fixtures as fx
+
+TRUE = {"beta": 0.4, "gamma": 1.5, "sigma_sq": 1.0}
+
+
+def network(spark, d) -> est.LocalNetwork:
+    """The largest component of the parts' graph, x standardised."""
+    clean = graph.sanitize(g45(spark, d))
+    x = graph.reindexed(fx.price(spark, d), clean.ids)
+    s = x.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    return est.LocalNetwork.collect(clean.edges, x.select("id", ((F.col("x") - s["m"]) / s["s"]).alias("x")))
+
+
+def observed(net: est.LocalNetwork, seed: int) -> np.ndarray:
+    return est.LocalGame(LinearInMeans(TRUE, beta_cap=0.85), net).solve(np.random.default_rng(seed).standard_normal(net.n), TRUE)[0]
+
+
+def estimator(spec: est.Realization, steps: int = 280) -> est.AdversarialEstimator:
+    start = dict(zip(("beta", "gamma"), np.random.default_rng(spec.seeds["init"]).uniform((-0.2, 0.5), (0.2, 1.0)).tolist()))
+    config = est.EstimatorConfig(max_steps=steps, batch=16, window=35, stability_window=18, lr_g=8e-3, lr_d=4e-4, lr_g_decay_factor=0.5, lr_g_decay_milestones=(160, 220), seed=spec.seeds["train"])
+    return est.AdversarialEstimator(LinearInMeans(start | {"sigma_sq": 1.0}, beta_cap=0.85), est.RootedGin(3, 12, 2, 4.0, seed=spec.seeds["train"]), config, est.Blur(tau_y0=1.0, anneal_steps=170))
+
+
+@query()
+def make_linear_in_means(spark, d):
+    return datasets.linear_in_means(spark, n=400, seed=0).outcome
+
+
+@query()
+def make_effort_game(spark, d):
+    return datasets.effort_game(spark, n=400, seed=0).outcome
+
+
+@query()
+def seed_streams(spark, d):
+    rows = [(k, *(est.seed_streams(42, k)[s] for s in ("gt", "train", "sampler", "init"))) for k in range(100)]
+    return spark.createDataFrame(rows, "realization long, gt long, train long, sampler long, init long")
+
+
+@query()
+def gin_forward(spark, d):
+    net = network(spark, d)
+    y = observed(net, 1)
+    roots = np.arange(0, net.n, 7)
+    logits, _ = est.RootedGin(3, 16, 2, seed=3).forward(net.batch(roots, y, y.mean(), y.std()))
+    return spark.createDataFrame([(int(r), round(float(v), 6)) for r, v in zip(roots, logits)], "root long, logit double")
+
+
+def _fitted(spark, d):
+    net = network(spark, d)
+    fit = estimator(est.Realization(0, est.seed_streams(7, 0)))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return fit.fit(net, observed(net, 7))
+
+
+@query()
+def fit_lim(spark, d):
+    return spark.createDataFrame(_fitted(spark, d).estimates())
+
+
+@query()
+def discriminator_scores(spark, d):
+    real, fake = _fitted(spark, d).scores(128)
+    return spark.createDataFrame([(int(k), float(a), float(b)) for k, (a, b) in enumerate(zip(real, fake))], "slot long, real double, fake double")
+
+
+@query()
+def mc_run(spark, d):
+    return est.monte_carlo(spark, 8, network(spark, d), observed, estimator, master=11, params=("beta", "gamma", "sigma_sq"))
