@@ -9,7 +9,6 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -96,7 +95,8 @@ def as_json_line(event: str) -> Column:
     return F.to_json(F.struct(F.lit(event).alias("event"), F.col("*")))
 
 
-STEP = T.StructType.fromDDL("event string, realization bigint, step int, loss_d double, loss_g double, beta double, gamma double")
+#: The columns of a step record.
+STEP = "event string, realization bigint, step int, loss_d double, loss_g double, beta double, gamma double"
 
 
 def write_steps(df: DataFrame, path: str) -> None:

@@ -26,7 +26,7 @@ def star(spark: SparkSession, leaves: int) -> DataFrame:
 
 def complete(spark: SparkSession, n: int) -> DataFrame:
     """All ordered pairs; for small n."""
-    ends = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long")
+    ends = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     return spark.range(n).select(F.col("id").alias("src"), ends.alias("dst")).where("src <> dst")
 
 
@@ -121,7 +121,8 @@ def lfr_pairs(n: int, seed: int = 0, *, tau1: float = 2.5, tau2: float = 1.5, mu
         draw.shuffle(stubs)
         outer = stubs[: len(stubs) // 2 * 2].reshape(-1, 2)
         pairs.append(outer[community[outer[:, 0]] != community[outer[:, 1]]])
-        return np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        found = np.concatenate(pairs)
+        return np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
     raise RuntimeError(f"no community graph was found in {tries} tries")
 
 
