@@ -22,9 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, slim: bool = False) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table of their own in the shared folder.
 
+    ``slim`` says that rows are few or narrow: they are written in no more files than twice the
+    cluster has cores, as a file costs more than its rows then.
+
     A table takes a fraction of the room of an RDD checkpoint, is read by columns and tells its
     size to the planner. The application's tables lie in one folder, removed when Python exits.
     """
@@ -34,6 +37,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         _folders.add(folder)
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
+    if slim:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -67,7 +72,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     minimum per node and a join back, so that a hub costs no more than its edges. Self-loops
     stand for nodes without neighbours; edges with a null end are left out.
     """
-    pairs = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    pairs = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), slim=True)
     loops = pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     now, mark = pairs.where("src <> dst"), None
     for _ in range(max_rounds):
@@ -76,7 +81,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("dst > src").join(rekeyed(least, "src"), "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(rekeyed(least, "src"), "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        now = checkpointed(small.union(least.select("src", F.col("m").alias("dst"))).distinct())
+        now = checkpointed(small.union(least.select("src", F.col("m").alias("dst"))).distinct(), slim=True)
         seen = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(src, dst))").alias("x")).first()
         if mark == (seen["n"], seen["x"]):
             break
