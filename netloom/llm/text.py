@@ -10,18 +10,35 @@ import pyarrow as pa
 import xxhash
 
 #: Entries of a per-process memo before it is emptied.
-MEMO = 400_000
+MEMO = 200_000
 WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+_forget: list[Callable[[], None]] = []
+_owner = [""]
+
+
+def owned(name: str) -> None:
+    """Say whose work a Python worker does: memos that another operator's tasks left in it are emptied."""
+    if _owner[0] != name:
+        for forget in _forget:
+            forget()
+        _owner[0] = name
+
+
+def forgettable(forget: Callable[[], None]) -> None:
+    _forget.append(forget)
+
+
 class Memo(dict):
     """A bounded memo of ``make(key)``; it only saves work, never changes a value."""
 
     def __init__(self, make: Callable, most: int = MEMO):
         super().__init__()
         self.make, self.most = make, most
+        forgettable(self.clear)
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -65,8 +82,10 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512) -> Callable[[Iterator], Iterator]:
     """A mapInArrow function that hands ``fn`` slices of at most ``rows`` rows."""
+    owner = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned(owner)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import cache
 
@@ -10,16 +9,15 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from netloom.llm.text import forgettable
 
 #: The tokenizer file's own splitting pattern (a fixed value of word_bpe_49k.json).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stretches that a worker keeps.
-KEPT = 600_000
+KEPT = 450_000
 #: Characters for which Python and the library agree on case, form and class; other texts go to the library whole.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ž‐-‧‰-⁞€]*")
 SPECIAL = "<|"
-#: A full stop or comma that belongs to a longer run of marks; any other one may be parted from its word.
-RUN = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
 
 
 @cache
@@ -31,13 +29,14 @@ class WordIds:
     """``ids(text)`` as little-endian unsigned 32-bit bytes, equal to the library's ids without special tokens.
 
     White space is dropped and always parts what the library encodes on its own, so its answer
-    for each distinct stretch without white space is kept. Texts with a character outside ``PLAIN`` or with a special token's
-    brackets are encoded by the library as a whole.
+    for each distinct stretch without white space is kept. Texts with a character outside ``PLAIN``
+    or with a special token's brackets are encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.words: dict[str, bytes] = {}
+        forgettable(self.words.clear)
         self.split = regex.compile(SPLIT).findall
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
@@ -48,30 +47,28 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         """Encode words in one text: blanks part them, and the last token of each of their parts bears the end mark."""
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts, parts = np.flatnonzero(self.ends[ids]) + 1, np.cumsum([len(self.split(w)) for w in words])
+        parts = np.cumsum([1 if w.isalpha() else len(self.split(w)) for w in words])
+        cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == parts[-1] and cuts[-1] == len(ids):
-            cuts = cuts[parts - 1]
-            for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                self.words[w] = ids[a:b].tobytes()
+            raw, ends = ids.tobytes(), (4 * cuts[parts - 1]).tolist()
+            self.words.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         else:
             for w in words:
                 self.words[w] = self._whole(w)
 
-    @staticmethod
-    def _parted(text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).lower()
-        if not RUN.search(text):  # so that a word with a mark behind it isn't one more word to keep
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-        return text.split()
-
     def batch(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._parted(t) if SPECIAL not in t and PLAIN.fullmatch(t) else None for t in texts]
+        pieces = [unicodedata.normalize("NFC", t).lower().split() if SPECIAL not in t and PLAIN.fullmatch(t) else None for t in texts]
         if len(self.words) > KEPT:
             self.words.clear()
         known = self.words
-        new = list(set().union(*(p for p in pieces if p is not None)).difference(known))
-        for at in range(0, len(new), 2000):
-            self._learn(new[at : at + 2000])
+        new = set().union(*(p for p in pieces if p is not None)).difference(known)
+        marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]  # a word of letters and one mark are parted by the library
+        bare = list(new.difference(marked).union([w[:-1] for w in marked], ".,").difference(known))
+        for at in range(0, len(bare), 2000):
+            self._learn(bare[at : at + 2000])
+        mark = {m: known[m] for m in ".,"}
+        for w in marked:
+            known[w] = known[w[:-1]] + mark[w[-1]]
         return [self._whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces)]
 
 
