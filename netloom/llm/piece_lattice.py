@@ -22,6 +22,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from netloom.llm.text import forgettable, owned
+
 MARK = "▁"
 #: Characters of the array of one pass, and stretches that a worker keeps.
 PASS, KEPT = 400_000, 400_000
@@ -66,8 +68,7 @@ class Pieces:
         self.feed_alone = not any("\n" in p for p in self.index)
         self.size = 1 << 21 | n  # room for pieces and, above them, single characters
         self.first_char = n
-        bound = {a for p in self.index for a, b in zip(p, p[1:]) if b in ".,"}
-        self.bound = re.compile(rf"[\W_{re.escape(''.join(sorted(bound)))}][.,] ")
+        self.bound = {a for p in self.index for a, b in zip(p, p[1:]) if b in ".,"}
         self.halves: dict[int, tuple[int, int]] = {}
         self.sound = np.zeros(n, bool)
         for p, i in self.index.items():
@@ -77,6 +78,9 @@ class Pieces:
                 self.halves[i] = (self._token(last[0]), self._token(last[1]))
         self.pairs = _Pairs(self)
         self.ids: dict[str, bytes] = {}
+        self.raw = [k.to_bytes(4, "little") for k in range(n)]
+        forgettable(self.ids.clear)
+        forgettable(self.pairs.clear)
         listed = sorted(self.index.items(), key=lambda x: x[1])
         self.piece_ids = np.array([i for _, i in listed])
         self.piece_lens = np.array([len(p) for p, _ in listed])
@@ -197,7 +201,7 @@ class Pieces:
         start = np.concatenate([start, bare])
         length = np.concatenate([length, np.ones(len(bare), np.int64)])
         token = np.concatenate([token, codes[bare].astype(np.int64) + self.first_char])
-        order = np.argsort((start + length) * 64 + (63 - length), kind="stable")
+        order = np.argsort((start + length) * 64 + (63 - length))  # no two edges have both in common
         best, come = [_NONE] * (len(codes) + 1), [0] * (len(codes) + 1)
         begins = [0, *(ends[:-1] + 1).tolist()]
         for b in begins:
@@ -218,6 +222,8 @@ class Pieces:
             self.ids[text] = self._bytes(out[::-1])
 
     def _bytes(self, tokens: list[int]) -> bytes:
+        if max(tokens, default=0) < self.first_char:
+            return b"".join([self.raw[t] for t in tokens])
         out: list[int] = []
         for t in tokens:
             if t < self.first_char:
@@ -236,21 +242,21 @@ class Pieces:
             return [MARK + text.replace(" ", MARK)]
         if not self.feed_alone or MARK in text or "  " in text or text[0] == " ":
             return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK + text.replace(" ", MARK))
-        text = MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")
-        if not self.bound.search(text):  # a stop or comma behind a character that no piece joins to it
-            text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+        return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         if len(self.ids) > KEPT:
             self.ids.clear()
         self.ids[""] = b""
-        new: set[str] = set()
-        for t in texts:
-            new.update(self.stretches(t))
+        cut = [self.stretches(t) for t in texts]
+        new = set().union(*cut).difference(self.ids)
+        bare, marked = [], []
+        for s in new:
+            # no piece reaches from a letter to a stop or comma behind it, but from those in bound
+            (marked if len(s) > 2 and s[-1] in ".," and s[-2].isalpha() and s[-2] not in self.bound and s[:2] != MARK * 2 else bare).append(s)
         part, room = [], PASS
-        for s in sorted(new.difference(self.ids), key=len):
+        for s in sorted(set(bare).union([s[:-1] for s in marked], ".,").difference(self.ids), key=len):
             if s.startswith(MARK * 2):  # pieces of blanks alone all weigh the same: merged as defined
                 self.ids[s] = self._bytes([self._token(p) for p in self._merge(s)[0]])
                 continue
@@ -261,7 +267,10 @@ class Pieces:
             room -= len(s) + 1
         if part:
             self._learn(part)
-        return [b"".join(map(self.ids.__getitem__, self.stretches(t))) for t in texts]
+        ids = self.ids
+        for s in marked:
+            ids[s] = ids[s[:-1]] + ids[s[-1]]
+        return [b"".join(map(ids.__getitem__, c)) for c in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces with marks as blanks, without the one put before; bytes that are no UTF-8 become U+FFFD."""
@@ -319,9 +328,10 @@ def encoded(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names)
 
     def run(batches):
+        owned(__name__)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                yield rows(batch.slice(at, 4096))
+            for at in range(0, batch.num_rows, 1024):
+                yield rows(batch.slice(at, 1024))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, SCHEMA + (", ids array<int>" if keep else ""))
