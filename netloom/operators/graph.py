@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from netloom.operators.components import components
+from netloom.operators.components import checkpointed, components
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -102,12 +102,12 @@ def kept_component(edges: DataFrame) -> DataFrame:
 def relabeled(ids: DataFrame, ranges: int | None = None) -> DataFrame:
     """``(id, label)``: labels 0..m-1 by ascending id.
 
-    Ids are dealt into ranges, numbered within each, and moved on by the sizes of the ranges
-    before; only one count per range reaches a single task.
+    Ids are dealt into ranges, which are written down, numbered within each, and moved on by the
+    sizes of the ranges before; only one count per range reaches a single task.
     """
     spark = ids.sparkSession
     n = ranges or max(2, spark.sparkContext.defaultParallelism)
-    dealt = ids.select("id").distinct().repartitionByRange(n, "id").withColumn("range", F.spark_partition_id())
+    dealt = checkpointed(ids.select("id").distinct().repartitionByRange(n, "id").withColumn("range", F.spark_partition_id()))
     local = dealt.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1)
     sizes = dealt.groupBy("range").agg(F.count("*").alias("size"), F.min("id").alias("first"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

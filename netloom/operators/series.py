@@ -142,7 +142,7 @@ def histogram(df: DataFrame, column: str, bins: int, key: str | None = None, low
     """``(key, bin, n, density)``: equal-width bins from the least to the greatest value, or given ends; the last one is closed."""
     keys = [key] if key else []
     ends = df.groupBy(*keys).agg((F.min(column) if low is None else F.lit(float(low))).alias("_lo"), (F.max(column) if high is None else F.lit(float(high))).alias("_hi"), F.count("*").alias("_n"))
-    joined = df.join(F.broadcast(ends), keys) if keys else df.crossJoin(F.broadcast(ends))  # a row per key
+    joined = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))  # without a key, one row of ends
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.floor((F.col(column) - F.col("_lo")) / width), F.lit(bins - 1)))
     return joined.withColumn("bin", at.cast("int")).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.max(F.when(width > 0, 1 / (F.col("_n") * width)).otherwise(1 / F.col("_n"))).alias("_u")).withColumn("density", F.col("n") * F.col("_u")).drop("_u")
