@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.text import Memo, by_batch, mix
+from netloom.llm.text import by_batch, mix, word_hash
 from netloom.operators.components import checkpointed, rekeyed
 
 #: Words of a line from which on it can be dropped as a copy, and as one edit away.
@@ -19,8 +18,6 @@ LEAST, LEAST_NEAR = 5, 8
 #: Bits of a bitmap (2 MB).
 BITS = 1 << 24
 
-_word = Memo(lambda w: xxhash.xxh64_intdigest(w))
-
 
 def words(line: str) -> list[str]:
     """A line's words: lower case, parted by white space."""
@@ -114,11 +111,15 @@ def _codes(possible: np.ndarray, near: int):
                 at = int.from_bytes(name[:8], "little") & (BITS - 1)
                 if bits[at >> 6] >> (at & 63) & 1 and (name not in found or (doc, k) < found[name][:2]):
                     found[name] = (doc, k, w)
-        codes = [np.fromiter(map(_word.__getitem__, w), np.uint64, len(w)).tobytes() for *_, w in found.values()]
+        codes = [np.fromiter(map(word_hash.__getitem__, w), np.uint64, len(w)).tobytes() for *_, w in found.values()]
         docs, lines = ([f[i] for f in found.values()] for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(codes, pa.binary())], ["key", "doc_id", "line", "codes"])
 
-    return lambda batches: by_batch(partial(fn, bits=possible.tolist()), 2048)(batches)
+    def run(batches):
+        bits = possible.tolist()
+        yield from by_batch(lambda batch: fn(batch, bits), 2048)(batches)
+
+    return run
 
 
 def _variants(shared: np.ndarray | None):

@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MOST), F.least(F.lit(BLOCKS), F.ceil(F.col("size") / BLOCK))).cast("int").alias("blocks")
     members = groups.join(rekeyed(sizes.select("component", blocks), "component"), "component").join(classes.groupBy("node").agg(F.sum("copies").alias("copies")), "node")
-    members = checkpointed(members.select("node", "component", "copies", "blocks"))
+    members = checkpointed(members.select("node", "component", "copies", "blocks"), slim=True)
     texts = slim.join(members, slim.doc_id == members.node).select("node", "component", "copies", "blocks", "text")
     sets = texts.mapInArrow(_sets(n), "node long, component long, copies long, blocks int, set binary")
     if usable.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated rows: each set once
