@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.text import by_batch, mix, word_hash
+from netloom.llm.text import by_batch, fresh, mix, word_hash
 from netloom.operators.components import checkpointed, rekeyed
 
 #: Words of a line from which on it can be dropped as a copy, and as one edit away.
@@ -217,8 +217,8 @@ def without(text: str, gone: list[int]) -> str:
     return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in drop)
 
 
-def _by_document(dropped: DataFrame) -> DataFrame:
-    return dropped.groupBy(F.col("doc_id").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("line", "kept_doc_id", "kept_line", "edits"))).alias("_dropped"))
+def _by_document(dropped: DataFrame, of: str = "_of", name: str = "_dropped") -> DataFrame:
+    return dropped.groupBy(F.col("doc_id").alias(of)).agg(F.sort_array(F.collect_list(F.struct("line", "kept_doc_id", "kept_line", "edits"))).alias(name))
 
 
 def told(docs: DataFrame, **options) -> DataFrame:
@@ -250,10 +250,11 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     document that had no words before stays as it is.
     """
     names = docs.columns
-    joined = docs.join(_by_document(repeated_lines(docs, **options)), docs["doc_id"] == F.col("_of"), "left").select(*(docs[c] for c in names), "_dropped")
+    of, name = fresh(docs, "_of"), fresh(docs, "_dropped")
+    joined = docs.join(_by_document(repeated_lines(docs, **options), of, name), docs["doc_id"] == F.col(of), "left").drop(of)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        old, gone = batch.column("text").to_pylist(), batch.column("_dropped").to_pylist()
+        old, gone = batch.column("text").to_pylist(), batch.column(name).to_pylist()
         new = [without(t, [g["line"] for g in d]) if d else t for t, d in zip(old, gone)]
         cols = {c: batch.column(c) for c in names}
         cols["text"] = pa.array(new, batch.schema.field("text").type)

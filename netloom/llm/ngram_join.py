@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.text import by_batch, by_group, mix, shingles
+from netloom.llm.text import by_batch, by_group, fresh, mix, shingles
 from netloom.operators.components import checkpointed, components, rekeyed
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -181,6 +181,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of each class one row stays, the one with the least doc_id; of repeated rows with that doc_id, one.
     Rows without shingles or without a doc_id stay.
     """
-    gone = near_duplicates(docs, **options).where("n_links > 0 and doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return kept
+    name = fresh(docs, "_gone")
+    gone = near_duplicates(docs, **options).where("n_links > 0 and doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -119,3 +119,10 @@ def by_group(keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None]) -
             yield out
 
     return run
+
+
+def fresh(df, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name

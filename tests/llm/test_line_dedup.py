@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from netloom.llm import line_dedup as ld
 
@@ -76,7 +77,7 @@ def test_repeated_rows_and_empty_table(spark):
 def test_documents_keep_their_columns(spark):
     line = "a licence line that stands in many documents"
     data = [(1, f"first own words\n{line}", 9, "x"), (2, f"{line}\nsecond own words", 9, "y"), (3, line, 9, "z"), (4, "short", 5, "u"), (5, None, None, "v")]
-    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long, line string")
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long, _dropped string").withColumn("_of", F.lit(1)).withColumn("line", F.lit("x"))
     got = {r.doc_id: r for r in ld.drop_lines(df).collect()}
     assert set(got) == {1, 2, 4, 5} and got[2].text == "second own words" and got[2].n_chars == 16 and got[1].n_chars == 9 and got[5].text is None
     told = {r.doc_id: r for r in ld.told(df).collect()}

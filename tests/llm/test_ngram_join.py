@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.llm.ngram_join import banding, keep_one, near_duplicates
 from netloom.llm.text import shingles
@@ -63,7 +64,7 @@ def test_against_all_pairs(spark):
 
 def test_one_of_each_class_stays_and_other_columns_are_kept(spark):
     rows = [(d, t, "s", "mine") for d, t in texts(2)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, node string, component string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string, component string").withColumn("_gone", F.lit(1))
     kept = keep_one(df, recall=0.99999).collect()
     _, classes = brute([(d, t) for d, t, *_ in rows])
     assert sorted(r.doc_id for r in kept) == sorted(set(classes))
