@@ -12,7 +12,7 @@ from netloom.llm.text import by_group
 
 K, EVERY = 5, 50
 #: Candidates of a shard, of a block within it, and queries of a chunk, about.
-SHARD, BLOCK, CHUNK = 16384, 256, 512
+SHARD, BLOCK, CHUNK = 16384, 256, 2048
 _EXACT = 2**53
 
 
