@@ -464,7 +464,8 @@ def run_minimax(
             break
         _, dfeat = disc.backward(fake, kf, dl)
         by_node = np.bincount(fake.nodes, dfeat[:, net.x.shape[1]] / sigma_y, net.n)
-        grads = {k: float(by_node @ t) * float(dforward[k].value({"raw": raw[k]})) for k, t in tangents.items()}
+        hit = np.flatnonzero(by_node)
+        grads = {k: float((by_node[hit] * t[hit]).sum()) * float(dforward[k].value({"raw": raw[k]})) for k, t in tangents.items()}
         if gradient_transform is not None:
             new = gradient_transform(StepContext(step, dict(params), dict(grads), net))
             if set(new) != set(grads) or not all(math.isfinite(v) for v in new.values()):
