@@ -14,8 +14,10 @@ from netloom.llm.text import Memo, by_batch, mix
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Labelled documents that training uses at most, the ones with the least hash of their id.
-SAMPLE = 3000
+SAMPLE = 5000
 BITS = 18
+#: Tokens that a text counts as longer, so that one n-gram of a very short text doesn't decide.
+SMOOTH = 20
 
 
 def _shape(token: str) -> str:
@@ -36,7 +38,8 @@ def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
 
     Words give unigrams, and bigrams with a mark of their own where a word is repeated; word
     shapes (case, length class, punctuation itself) give unigrams to trigrams. A value is the
-    square root of the n-gram's share of the text, so that length alone moves nothing; an empty
+    square root of the n-gram's share of the text, SMOOTH tokens longer than it is, so that length
+    alone moves little and a word or two prove nothing; an empty
     text has no n-grams but the constant one.
     """
     tokens = TOKEN.findall(text or "")
@@ -52,7 +55,7 @@ def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     index, times = np.unique(np.concatenate([(g & mask) for g in grams]), return_counts=True)
     keep = index > 0
     index, times = index[keep].astype(np.int64), times[keep]
-    return np.concatenate([[0], index]).astype(np.int32), np.concatenate([[1], np.sqrt(times / len(tokens))]).astype(np.float32)
+    return np.concatenate([[0], index]).astype(np.int32), np.concatenate([[1], np.sqrt(times / (len(tokens) + SMOOTH))]).astype(np.float32)
 
 
 @dataclass(frozen=True)
