@@ -7,6 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import netloom
 from netloom.llm import line_dedup, ngram_join, packing, pii, quality
 from netloom.operators.components import shared_folder
 
@@ -50,6 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; what each returns is written to the shared folder as Parquet and read again."""
+    netloom.reachable(spark)
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
