@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -27,11 +24,21 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CUES = ("passw", "secret", "token", "api")
 #: Bytes that one compressed layer may unwrap to; a larger one is counted, not scanned.
 INFLATED = 1 << 26
+#: Bytes that go into a decompressor, or come out of it, at once.
+PIECE = 1 << 16
+#: Characters of the shortest span, ``token=`` and eight more.
+SHORTEST = 14
+#: Offsets from which a base64 run is decoded.
+PHASES = 1
 
 _URL = re.compile(r"[A-Za-z0-9._~+/=:&?@!$'*,;()%-]+")
 _URL_CODE = re.compile(r"%[0-9A-Fa-f]{2}")
 _URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[\s\S]")
 _ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_HIGH = re.compile(r"\\x[89A-Fa-f]")
+_BYTES = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\([abfnrtv\\'"])""")
+_PLAIN = dict(zip("abfnrtv\\'\"", b"\a\b\f\n\r\t\v\\'\""))
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
 Span = tuple[int, int, str]
@@ -64,38 +71,101 @@ class Layer:
         return self.starts[start], self.ends[end - 1]
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """Unwrapped bytes of a gzip, zlib, bzip2, xz or zstandard layer; None if it is none, MemoryError if too large."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            out = (d := zlib.decompressobj(47)).decompress(data, most + 1)
-            done = d.eof
-        elif data[:3] == b"BZh":
-            out, done = (d := bz2.BZ2Decompressor()).decompress(data, most + 1), d.eof
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out, done = (d := lzma.LZMADecompressor()).decompress(data, most + 1), d.eof
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
-            done = True
-        else:
-            return None
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > most:
-        raise MemoryError
-    return out if done else None
-
-
-def _readable(data: bytes) -> str | None:
+class Same:
+    """The place of every character of an inflated text."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: int):
+        self.value = value
+
+    def __getitem__(self, at: int) -> int:
+        return self.value
+
+
+def _inflate(raw: bytes, at: int, most: int) -> tuple[bytes, int] | None:
+    """(unwrapped bytes, end) of the gzip, zlib, bzip2, xz or zstandard members that lie one behind the other from ``at``.
+
+    Of a broken or cut one, the bytes before the break, with ``at`` as the end; None if they are too few
+    to hold anything. MemoryError if there are too many.
+    """
+    out, end, magic = bytearray(), at, raw[at : at + 2]
+    while raw[end : end + 2] == magic:
+        kind = zlib.decompressobj(47) if magic[:1] in b"\x1fx" else bz2.BZ2Decompressor() if magic == b"BZ" else lzma.LZMADecompressor() if magic == b"\xfd7" else zstandard.ZstdDecompressor().decompressobj()
+        step = 256 if magic == b"\x28\xb5" else PIECE  # zstandard can't be told how much to give
+        start, fed = end, end
+        try:
+            while not kind.eof and fed < len(raw):
+                piece = raw[fed : fed + step]
+                fed += len(piece)
+                while True:
+                    got = kind.decompress(piece) if step != PIECE else kind.decompress(piece, PIECE)
+                    out += got
+                    if len(out) > most:
+                        raise MemoryError
+                    piece = getattr(kind, "unconsumed_tail", b"")
+                    if kind.eof or step != PIECE or not piece and len(got) < PIECE and getattr(kind, "needs_input", True):
+                        break
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            break
+        if not kind.eof:
+            break
+        end = fed - len(kind.unused_data)
+        if end <= start:
+            break
+    return (bytes(out), end) if end > at or len(out) >= SHORTEST else None
+
+
+def _raw(text: str) -> bytes:
+    """The bytes of a layer: those that are no text are lone surrogates in it."""
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return text.encode("utf-8", "surrogateescape")
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "surrogatepass")
+
+
+def _readable(text: str) -> bool:
+    return text.isprintable() or all(c.isprintable() or c in "\t\r\n" for c in text)
+
+
+def _worth(text: str, raw: bytes) -> bool:
+    """Whether bytes that aren't all readable hold a span or something wrapped."""
+    return bool(_MAGIC.search(raw) or next(base_spans(text), None) or _BASE64.search(text) or _URL_CODE.search(text) or _ESCAPES.search(text))
+
+
+def _placed(data: bytes, text: str, start, end) -> tuple[list[int], list[int]]:
+    """Start and end of each character of a decoded text; ``start(i)`` and ``end(i)`` bound the i-th byte."""
+    if len(text) == len(data):
+        return [start(i) for i in range(len(data))], [end(i) for i in range(len(data))]
+    starts, ends, at = [], [], 0
+    for c in text:
+        starts.append(start(at))
+        at += 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+        ends.append(end(at - 1))
+    return starts, ends
+
+
+def _unpacked(text: str, most: int, large: list[int]) -> Iterator[tuple[str, Same, Same]]:
+    """(unwrapped text, start, end) of every compressed layer within a layer, wherever it begins."""
+    raw, at = _raw(text), 0
+    while m := _MAGIC.search(raw, at):
+        at = m.start() + 1
+        try:
+            got = _inflate(raw, m.start(), most)
+        except MemoryError:
+            large[0] += 1
+            continue
+        if got is None:
+            continue
+        plain, end = got
+        first = len(raw[: m.start()].decode("utf-8", "surrogateescape"))
+        last = len(raw[:end].decode("utf-8", "surrogateescape")) if end > m.start() else len(text)
+        at = max(at, end)
+        yield plain.decode("utf-8", "surrogateescape"), Same(first), Same(min(last, len(text)) - 1)
 
 
-def _decoded(text: str, most: int, large: list[int]) -> Iterator[tuple[int, str, list[int], list[int]]]:
-    """(end in text, decoded text, start of each character, end of each character) of every wrapped run in a text."""
+def _decoded(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+    """(decoded text, start of each character, end of each character) of every wrapped run in a text."""
     if "%" in text:
         for m in _URL.finditer(text):
             if not _URL_CODE.search(text, m.start(), m.end()):
@@ -107,14 +177,13 @@ def _decoded(text: str, most: int, large: list[int]) -> Iterator[tuple[int, str,
                     starts.append(part.start())
                     ends.append(part.end())
                     continue
-                at = part.start()
-                for c in bytes.fromhex(part[0].replace("%", "")).decode("utf-8", "replace"):
-                    width = 3 * (len(c.encode()) if c != "\ufffd" else 1)
-                    out.append(c)
-                    starts.append(min(at, part.end() - 3))
-                    at += width
-                    ends.append(min(max(at, starts[-1] + 3), part.end()))
-            yield m.end(), "".join(out), starts, ends
+                data = bytes.fromhex(part[0].replace("%", ""))
+                inner = data.decode("utf-8", "surrogateescape")
+                s, e = _placed(data, inner, lambda i: part.start() + 3 * i, lambda i: part.start() + 3 * i + 3)
+                out.append(inner)
+                starts += s
+                ends += e
+            yield "".join(out), starts, ends
     if "\\" in text or "&#" in text:
         out, starts, ends, at = [], [], [], 0
         for m in _ESCAPES.finditer(text):
@@ -129,67 +198,86 @@ def _decoded(text: str, most: int, large: list[int]) -> Iterator[tuple[int, str,
             ends.append(m.end())
             at = m.end()
         if at:
-            yield len(text), "".join(out) + text[at:], [*starts, *range(at, len(text))], [*ends, *range(at + 1, len(text) + 1)]
+            yield "".join(out) + text[at:], [*starts, *range(at, len(text))], [*ends, *range(at + 1, len(text) + 1)]
+        if _HIGH.search(text):
+            yield from _as_bytes(text)
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run[0].isupper() and run[1:].islower()):
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        try:
-            plain = _inflate(data, most)
-        except MemoryError:
-            large[0] += 1
-            continue
-        if plain is not None:
-            inner = _readable(plain)
-            if inner is not None:
-                yield m.end(), inner, [m.start()] * len(inner), [m.end()] * len(inner)
+        at = [i for i in range(m.start(), m.end()) if text[i] not in "=\t\r\n "] if "\n" in m[0] else range(m.start(), m.start() + len(m[0].rstrip("=")))
+        run = (m[0] if isinstance(at, range) else "".join(text[i] for i in at)).rstrip("=").replace("-", "+").replace("_", "/")
+        if run.isalpha() and (run.islower() or run[0].isupper() and run[1:].islower()):
             continue
-        inner = _readable(data)
-        if inner is not None:
-            starts, ends, at = [], [], 0
-            for c in inner:
-                width = len(c.encode())
-                starts.append(m.start() + at * 4 // 3)
-                ends.append(min(m.start() + -(-(at + width) * 4 // 3), m.end()))
-                at += width
-            yield m.end(), inner, starts, ends
+        for k in range(PHASES):
+            some = run[k : len(run) - ((len(run) - k) % 4 == 1)]
+            data = binascii.a2b_base64(some + "=" * (-len(some) % 4))
+            inner = data.decode("utf-8", "surrogateescape")
+            plain = _readable(inner)
+            if inner and (plain or _worth(inner, data)):
+                yield inner, *_placed(data, inner, lambda i: at[k + i * 4 // 3], lambda i: at[min(k - (-(i + 1) * 4 // 3), len(at)) - 1] + 1)
+            if plain:
+                break
+
+
+def _as_bytes(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+    """The text with its escapes read as bytes, if something compressed is among them."""
+    data, starts, ends, at = bytearray(), [], [], 0
+    for m in (*_BYTES.finditer(text), None):
+        for i in range(at, m.start() if m else len(text)):
+            c = _raw(text[i])
+            data += c
+            starts += [i] * len(c)
+            ends += [i + 1] * len(c)
+        if m:
+            data.append(int(m[1], 16) if m[1] else _PLAIN[m[2]])
+            starts.append(m.start())
+            ends.append(m.end())
+            at = m.end()
+    if _MAGIC.search(data):
+        inner = bytes(data).decode("utf-8", "surrogateescape")
+        yield inner, *_placed(data, inner, starts.__getitem__, ends.__getitem__)
 
 
 def scan(text: str | None, most: int = INFLATED) -> tuple[list[Span], list[Span], int, int]:
     """(base spans, all spans, layers unwrapped, layers too large) of a text.
 
     A worklist holds layers to scan. Each layer is scanned with the base patterns; every run in
-    it that URL, Unicode or base64 decoding, with decompression where the bytes call for it,
-    turns into other readable text is a further layer, until none is new. A layer counts as seen
-    by its text and its place in the document, so a run that decodes into itself, or round in a
-    cycle, ends there. Spans found in a layer are those of the characters of the document that
-    it came from.
+    it that URL, Unicode or base64 decoding turns into another text, and everything compressed in
+    a decoded layer, is a further layer, until none is new. Layers keep bytes that are no text, so
+    that what is beside them is scanned and what is compressed in them is unwrapped; those without
+    anything readable aren't counted. A layer counts as seen by its bytes and its place in the
+    document, so a run that decodes into itself, or round in a cycle, ends there. Spans found in
+    a layer are those of the characters of the document that it came from.
     """
     text = text or ""
     base = sorted(base_spans(text), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     found, large, n = set(base), [0], 0
-    wrapped = deque(Layer(t, s, e) for _, t, s, e in _decoded(text, most, large))
-    seen: set[tuple[int, int, bytes]] = {(0, len(text), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())} if wrapped else set()
-    while wrapped:
-        layer = wrapped.popleft()
+    seen: set[tuple[int, int, bytes]] = set()
+    work = [map(lambda x: Layer(*x), _decoded(text))]
+    while work:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if not layer.text:
             continue
-        mark = (*layer.place(0, len(layer.text)), hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        seen = seen or {(0, len(text), hashlib.blake2b(_raw(text), digest_size=16).digest())}
+        mark = (*layer.place(0, len(layer.text)), hashlib.blake2b(_raw(layer.text), digest_size=16).digest())
         if mark in seen:
             continue
         seen.add(mark)
-        n += 1
-        for a, b, kind in base_spans(layer.text):
-            found.add((*layer.place(a, b), kind))
-        for _, t, s, e in _decoded(layer.text, most, large):
-            wrapped.append(Layer(t, [layer.starts[i] for i in s], [layer.ends[i - 1] for i in e]))
+        spans = {(*layer.place(a, b), kind) for a, b, kind in base_spans(layer.text)}
+        found |= spans
+        n += bool(spans) or _readable(layer.text)
+        work.append(_within(layer, most, large))
     return base, sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1])), n, large[0]
 
 
+def _within(layer: Layer, most: int, large: list[int]) -> Iterator[Layer]:
+    for t, s, e in _decoded(layer.text):
+        yield Layer(t, [layer.starts[i] for i in s], [layer.ends[i - 1] for i in e])
+    for t, s, e in _unpacked(layer.text, most, large):
+        yield Layer(t, Same(layer.starts[s.value]), Same(layer.ends[e.value]))
+
+
 def told(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 

@@ -2,12 +2,16 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
+import lzma
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 from hypothesis import given, settings, strategies as st
 
 from netloom.llm import pii, secrets_scan as ss
@@ -131,3 +135,43 @@ def test_masking_leaves_nothing_and_touches_nothing_else(spark):
 def test_very_long_text_without_marks_is_quick():
     ss.scan("a" * 300_000 + "%4" + "/" * 300_000)
     pii.find("1" * 100_000 + "." * 100_000 + "a" * 100_000 + "@")
+
+
+def _b64(data):
+    return base64.b64encode(data).decode()
+
+
+def _tar(data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        info = tarfile.TarInfo("a.env")
+        info.size = len(data)
+        t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+HELD = f"x {SECRET} y".encode()
+_zstd = zstandard.ZstdCompressor().compress
+NESTED = {
+    "gzip in zlib": _b64(gzip.compress(zlib.compress(HELD))),
+    "zstd in xz in bz2": _b64(bz2.compress(lzma.compress(_zstd(HELD)))),
+    "percent": urllib.parse.quote(gzip.compress(HELD), safe=""),
+    "percent in a query": "http://h/?q=" + urllib.parse.quote(zlib.compress(HELD)),
+    "x escapes": "".join(f"\\x{c:02x}" for c in gzip.compress(HELD)),
+    "repr": repr(zlib.compress(HELD)),
+    "tar": _b64(_tar(HELD)),
+    "binary beside": _b64(b"\0\x1b\xff" + HELD),
+    "gzip members": _b64(gzip.compress(b"one") + gzip.compress(HELD)),
+    "bz2 members": _b64(bz2.compress(b"one") + bz2.compress(HELD)),
+    "zstd frames": _b64(_zstd(b"one" * 99) + _zstd(HELD * 9)),
+    "split between members": _b64(gzip.compress(HELD[:15]) + gzip.compress(HELD[15:])),
+    "cut short": _b64(gzip.compress(HELD + bytes(range(256)))[:-20]),
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_layers_that_are_no_text_are_unwrapped(name):
+    text = f"é before {NESTED[name]} after"
+    got = [s for s in ss.scan(text)[1] if s[2] == "assign"]
+    assert got and all(9 <= a < b <= len(text) - 6 for a, b, _ in got)
+    assert not ss.scan(text)[0]
