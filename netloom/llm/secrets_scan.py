@@ -28,8 +28,8 @@ INFLATED = 1 << 26
 PIECE = 1 << 16
 #: Characters of the shortest span, ``token=`` and eight more.
 SHORTEST = 14
-#: Offsets from which a base64 run is decoded.
-PHASES = 1
+#: Offsets from which a base64 run is decoded: whatever it is glued to, one of them is in step with it.
+PHASES = 4
 
 _URL = re.compile(r"[A-Za-z0-9._~+/=:&?@!$'*,;()%-]+")
 _URL_CODE = re.compile(r"%[0-9A-Fa-f]{2}")
@@ -39,7 +39,8 @@ _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x
 _HIGH = re.compile(r"\\x[89A-Fa-f]")
 _BYTES = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\([abfnrtv\\'"])""")
 _PLAIN = dict(zip("abfnrtv\\'\"", b"\a\b\f\n\r\t\v\\'\""))
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run, over single line breaks.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 
 Span = tuple[int, int, str]
 

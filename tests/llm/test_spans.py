@@ -175,3 +175,37 @@ def test_layers_that_are_no_text_are_unwrapped(name):
     got = [s for s in ss.scan(text)[1] if s[2] == "assign"]
     assert got and all(9 <= a < b <= len(text) - 6 for a, b, _ in got)
     assert not ss.scan(text)[0]
+
+
+LONG = f"é some words first, {SECRET}, and é more words behind it ".encode() * 3
+RUNS = {
+    "76 columns": base64.encodebytes(LONG).decode(),
+    "64 columns": re.sub("(.{64})", r"\1\r\n  ", _b64(LONG)),
+    "wrapped gzip": base64.encodebytes(gzip.compress(LONG + bytes(range(256)))).decode(),
+    "wrapped behind a line": "a_heading_of_one_long_word\n" + base64.encodebytes(gzip.compress(LONG)).decode(),
+    "path": "/blob/" + _b64(HELD),
+    "path gzip": "/blob/" + _b64(gzip.compress(HELD)) + "/more",
+    "name": "id_" + _b64(HELD),
+    "name gzip": "some-id_" + _b64(gzip.compress(HELD)),
+    "plus": "a+" + _b64(HELD),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_wrapped_and_glued_runs_are_decoded(name):
+    text = f"é before {RUNS[name]} after"
+    got = [s for s in ss.scan(text)[1] if s[2] == "assign"]
+    assert len(got) == (3 if "columns" in name else 1) and all(9 <= a < b <= len(text) - 6 for a, b, _ in got)
+
+
+@pytest.mark.parametrize("glue", ["a/", "ab-", "abc_", "abcd/"])
+def test_a_span_in_a_glued_and_wrapped_run_is_close(glue):
+    run = glue + _b64(LONG)
+    text = "lead " + "\n".join(run[i : i + 76] for i in range(0, len(run), 76)) + " tail"
+    got = [s for s in ss.scan(text)[1] if s[2] == "assign"]
+    assert len(got) == 3
+    for a, b, _ in got:
+        lead, last = text[5:a].replace("\n", ""), text[a:b].replace("\n", "")
+        k = (len(lead) - len(glue)) % 4
+        plain = base64.b64decode((run[len(lead) - k :] + "====")[: (k + len(last) + 3) // 4 * 4])
+        assert SECRET[:-1].encode() in plain and len(plain) <= len(SECRET) + 6
