@@ -103,6 +103,12 @@ def padded(df: DataFrame, horizon: int, columns: list[str], key: str = "realizat
     return joined.select(key, "step", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns))
 
 
+def horizon(df: DataFrame) -> int:
+    """Steps of the longest series, by its last step; 1 if there is none."""
+    top = df.agg(F.max("step").alias("top")).first()["top"]
+    return 1 if top is None else top + 1
+
+
 def check_quantiles(quantiles: list[float]) -> list[float]:
     if len(quantiles) != 5 or any(not 0 <= q <= 1 for q in quantiles) or sorted(quantiles) != list(quantiles):
         raise ValueError("five quantiles between 0 and 1 in ascending order are needed")

@@ -117,6 +117,31 @@ def mc_quantile_loss_paths(spark, d):
     return _six(series.quantile_paths(smooth, "mean"), *(f"q{i}" for i in range(5)))
 
 
+_PAD_WHOLE = _PAD.replace("range(12)", "(select unnest(range(max(step) + 1)) from h)")
+
+
+def _padded(spark, d, columns):
+    """Every run at all steps of the longest."""
+    h = fx.history(spark, d)
+    return series.padded(h, series.horizon(h), columns)
+
+
+@query(f"with {H}, {_PAD_WHOLE} select realization, step, {R('beta')} as beta, {R('loss_d')} as loss_d from pp")
+def history_pad_whole(spark, d):
+    return _six(_padded(spark, d, ["beta", "loss_d"]), "beta", "loss_d")
+
+
+@query(f"with {H}, {_PAD_WHOLE}, t as (select step, beta as v from pp) select step, {_Q} from t group by step")
+def mc_quantile_paths_whole(spark, d):
+    return _six(series.quantile_paths(_padded(spark, d, ["beta"]), "beta"), *(f"q{i}" for i in range(5)))
+
+
+@query(f"with {H}, {_PAD_WHOLE}, t as (select step, avg(loss_d) over {_frame(3)} as v from pp) select step, {_Q} from t group by step")
+def mc_quantile_loss_paths_whole(spark, d):
+    smooth = series.rolling_mean(_padded(spark, d, ["loss_d"]), "loss_d", 3, trailing=True)
+    return _six(series.quantile_paths(smooth, "mean"), *(f"q{i}" for i in range(5)))
+
+
 _ERR = """er as (select 'beta' as param, realization, beta_hat - 0.4::double as error from r where status = 'ok' and isfinite(beta_hat)
 union all select 'gamma', realization, gamma_hat - 1.5::double from r where status = 'ok' and isfinite(gamma_hat))"""
 

@@ -53,3 +53,20 @@ def test_every_node_is_a_root(spark, balls):
 def test_gin_forward_scores_every_node(spark):
     got = run(spark, "gin_forward")
     assert sorted(r.root for r in got) == list(range(estimation.network(spark, SF).n))
+
+
+def test_runs_are_padded_to_the_longest(spark):
+    lengths = dict(duckdb.sql(f"select user_id, count(*) from '{SF}/events.parquet' group by 1").fetchall())
+    top = max(lengths.values())
+    assert min(lengths.values()) < top
+    got = defaultdict(dict)
+    for r in run(spark, "history_pad_whole"):
+        got[r.realization][r.step] = r.beta
+    for k, n in lengths.items():
+        assert sorted(got[k]) == list(range(top)) and {got[k][s] for s in range(n - 1, top)} == {got[k][n - 1]}
+    paths = {r.step: r for r in run(spark, "mc_quantile_paths_whole")}
+    assert sorted(paths) == list(range(top))
+    for s in (0, 12, top - 1):
+        want = np.quantile([b[s] for b in got.values()], [0.05, 0.25, 0.5, 0.75, 0.95])
+        assert list(paths[s])[1:] == pytest.approx(want.tolist(), abs=2e-6)
+    assert sorted(r.step for r in run(spark, "mc_quantile_loss_paths_whole")) == list(range(top))
