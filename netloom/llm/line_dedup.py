@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,18 @@ from netloom.operators.components import checkpointed, rekeyed
 #: Words of a line from which on it can be dropped as a copy, and as one edit away.
 LEAST, LEAST_NEAR = 5, 8
 
+#: Scripts that put no blanks between words: each of their characters is one.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_PARTS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
+
 #: Bits of a bitmap (2 MB).
 BITS = 1 << 24
 
 
 def words(line: str) -> list[str]:
-    """A line's words: lower case, parted by white space."""
-    return line.lower().split()
+    """A line's words: lower case, parted by white space; of scripts without blanks the characters."""
+    found = line.lower().split()
+    return found if line.isascii() else [p for w in found for p in _PARTS.findall(w)]
 
 
 def key(line: list[str]) -> bytes:
@@ -165,8 +171,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
     """``(doc_id, line, kept_doc_id, kept_line, edits)`` for each line of docs(doc_id, text) that an earlier line repeats.
 
     Lines are parted by line feeds and numbered from 0; an earlier line has a smaller doc_id or,
-    within a document, a smaller number. A line of ``least`` words or more (lower case, parted by
-    white space) repeats an equal one, named by the earliest; the first of equal lines, if of
+    within a document, a smaller number. A line of ``least`` words or more (see
+    ``words``) repeats an equal one, named by the earliest; the first of equal lines, if of
     ``near`` words or more, repeats an earlier first line of ``near`` or more words at an edit
     distance of one word. Whether that earlier line is itself dropped plays no part, so the
     result doesn't depend on any order of work.

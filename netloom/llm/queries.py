@@ -53,7 +53,7 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.told(table(spark, sf_dir, "documents"))
+    return line_dedup.told(table(spark, sf_dir, "documents"), least=1)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,15 @@ def test_variants_are_the_hashes_of_shorter_lines():
     h, p = ld.variants(code)
     for k in range(4):
         assert h[k + 1] == ld.variants(np.delete(code, k))[0][0] and p[k + 1] == k
+
+
+def test_lines_without_blanks_and_short_lines(spark, tmp_path):
+    from netloom.llm import queries
+
+    zh, thai, token = "床前明月光疑是地上霜", "ภาษาไทยไม่มีช่องว่าง", "x" * 80
+    data = [(1, f"{zh}\n{thai}\n{token}\nThe end"), (2, f"{zh}\n{thai}\n{token}\nthe  end\n\n"), (3, zh[:-1] + "雪")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert found(df) == brute(data) == {(2, 0): (1, 0, 0), (2, 1): (1, 1, 0), (3, 0): (1, 0, 1)}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got[2].dropped == "0>1:0/0,1>1:1/0,2>1:2/0,3>1:3/0" and got[2].n_kept == 2 and got[3].dropped == "0>1:0/1"
