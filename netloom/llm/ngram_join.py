@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from netloom.llm.text import by_batch, by_group, fresh, mix, shingles
 from netloom.operators.components import checkpointed, components, rekeyed
+from netloom.operators.graph import relabeled
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Members of a block in verification: the least, and the most for very large groups.
@@ -179,8 +180,23 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those that are near duplicates of a row with a smaller doc_id.
 
     Of each class one row stays, the one with the least doc_id; of repeated rows with that doc_id, one.
-    Rows without shingles or without a doc_id stay.
+    Texts that share a doc_id are told apart, in the order of a digest of theirs. Rows without
+    shingles or without a doc_id stay.
     """
     name = fresh(docs, "_gone")
-    gone = near_duplicates(docs, **options).where("n_links > 0 and doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    if not ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        gone = near_duplicates(docs, **options).where("n_links > 0 and doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest")))
+    labels = checkpointed(relabeled(docs.select(own.alias("id")).where("id is not null")))
+    slim = docs.select(own.alias("id"), "text").join(labels, "id").select(F.col("label").alias("doc_id"), "text")
+    found = checkpointed(near_duplicates(slim, **options).where("n_links > 0").select("doc_id", "class_id", "n_copies").distinct())
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("label"))
+    more = found.where("doc_id = class_id and n_copies > 1").select(F.col("doc_id").alias("label"), F.lit(True).alias("more"))
+    told = labels.join(gone, "label", "left_anti").join(more, "label", "left").select("id", F.struct("label", "more").alias(name))
+    key = fresh(docs, "_key")
+    kept = docs.withColumn(key, own).join(told.withColumnRenamed("id", key), key, "left").where(F.col(key).isNull() | F.col(name).isNotNull())
+    many = F.coalesce(F.col(f"{name}.more"), F.lit(False))
+    return kept.where(~many).unionByName(kept.where(many).dropDuplicates([key])).select(*(F.col(f"`{c}`") for c in docs.columns))

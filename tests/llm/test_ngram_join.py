@@ -97,3 +97,15 @@ def test_banding_reaches_its_recall():
         assert 1 - (1 - threshold**rows) ** bands >= 0.999 > 1 - (1 - threshold**rows) ** (bands - 1)
     with pytest.raises(ValueError):
         banding(1.5)
+
+
+def test_one_of_repeated_rows_stays_and_texts_of_one_id_are_told_apart(spark):
+    long, other, third = (" ".join(f"{c}{k}" for k in range(50)) for c in "wvu")
+    rows = [(1, long), (1, long), (2, long + " more"), (2, other), (3, third), (3, third), (3, third + " more"), (4, "!"), (4, "!"), (None, long), (None, long), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit("x"))
+    got = keep_one(df, recall=0.99999)
+    assert got.columns == df.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    (text,) = {t for d, t in kept if d == 3}
+    assert text in (third, third + " more") and kept.pop((3, text)) == 1
+    assert kept == {(1, long): 1, (2, other): 1, (4, "!"): 2, (None, long): 2, (5, None): 1}
