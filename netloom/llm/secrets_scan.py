@@ -22,7 +22,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: One of these is in any text that has an assignment.
 CUES = ("passw", "secret", "token", "api")
-#: Bytes that one compressed layer may unwrap to; a larger one is counted, not scanned.
+#: Bytes of a compressed layer that are scanned at once; a larger one is counted and scanned in windows.
 INFLATED = 1 << 26
 #: Bytes that go into a decompressor, or come out of it, at once.
 PIECE = 1 << 16
@@ -84,13 +84,13 @@ class Same:
         return self.value
 
 
-def _inflate(raw: bytes, at: int, most: int) -> tuple[bytes, int] | None:
+def _inflate(raw: bytes, at: int, most: int, large: list[int]) -> Iterator[tuple[bytes, int]]:
     """(unwrapped bytes, end) of the gzip, zlib, bzip2, xz or zstandard members that lie one behind the other from ``at``.
 
-    Of a broken or cut one, the bytes before the break, with ``at`` as the end; None if they are too few
-    to hold anything. MemoryError if there are too many.
+    Of a broken or cut one, the bytes before the break, with ``at`` as the end; nothing if they are too
+    few to hold anything. Over ``most`` bytes come in windows of that many, each half in the next one.
     """
-    out, end, magic = bytearray(), at, raw[at : at + 2]
+    out, end, magic, over = bytearray(), at, raw[at : at + 2], False
     while raw[end : end + 2] == magic:
         kind = zlib.decompressobj(47) if magic[:1] in b"\x1fx" else bz2.BZ2Decompressor() if magic == b"BZ" else lzma.LZMADecompressor() if magic == b"\xfd7" else zstandard.ZstdDecompressor().decompressobj()
         step = 256 if magic == b"\x28\xb5" else PIECE  # zstandard can't be told how much to give
@@ -102,8 +102,11 @@ def _inflate(raw: bytes, at: int, most: int) -> tuple[bytes, int] | None:
                 while True:
                     got = kind.decompress(piece) if step != PIECE else kind.decompress(piece, PIECE)
                     out += got
-                    if len(out) > most:
-                        raise MemoryError
+                    while len(out) > most:
+                        large[0] += not over
+                        over = True
+                        yield bytes(out[:most]), at
+                        del out[: (most + 1) // 2]
                     piece = getattr(kind, "unconsumed_tail", b"")
                     if kind.eof or step != PIECE or not piece and len(got) < PIECE and getattr(kind, "needs_input", True):
                         break
@@ -114,7 +117,8 @@ def _inflate(raw: bytes, at: int, most: int) -> tuple[bytes, int] | None:
         end = fed - len(kind.unused_data)
         if end <= start:
             break
-    return (bytes(out), end) if end > at or len(out) >= SHORTEST else None
+    if end > at or over or len(out) >= SHORTEST:
+        yield bytes(out), end
 
 
 def _raw(text: str) -> bytes:
@@ -151,18 +155,11 @@ def _unpacked(text: str, most: int, large: list[int]) -> Iterator[tuple[str, Sam
     raw, at = _raw(text), 0
     while m := _MAGIC.search(raw, at):
         at = m.start() + 1
-        try:
-            got = _inflate(raw, m.start(), most)
-        except MemoryError:
-            large[0] += 1
-            continue
-        if got is None:
-            continue
-        plain, end = got
         first = len(raw[: m.start()].decode("utf-8", "surrogateescape"))
-        last = len(raw[:end].decode("utf-8", "surrogateescape")) if end > m.start() else len(text)
-        at = max(at, end)
-        yield plain.decode("utf-8", "surrogateescape"), Same(first), Same(min(last, len(text)) - 1)
+        for plain, end in _inflate(raw, m.start(), most, large):
+            last = len(raw[:end].decode("utf-8", "surrogateescape")) if end > m.start() else len(text)
+            at = max(at, end)
+            yield plain.decode("utf-8", "surrogateescape"), Same(first), Same(min(last, len(text)) - 1)
 
 
 def _decoded(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
@@ -290,8 +287,9 @@ def scan_secrets(docs: DataFrame, most: int = INFLATED) -> DataFrame:
     """One row per row of docs(doc_id, text); see ``scan``. A null text is empty, other columns are ignored.
 
     n_assign, n_access, n_hex and base_sha256 tell of the base spans, ``spans`` of all. A
-    compressed layer of over ``most`` bytes isn't unwrapped, so that a bomb can't take a worker's
-    memory; ``n_too_large`` counts those.
+    compressed layer of over ``most`` bytes is scanned in windows, so that a bomb can't take a worker's
+    memory; ``n_too_large`` counts those. What is wrapped in one and longer than half a window may
+    be seen in parts.
     """
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
