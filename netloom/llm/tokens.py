@@ -13,63 +13,79 @@ from netloom.llm.text import forgettable
 
 #: The tokenizer file's own splitting pattern (a fixed value of word_bpe_49k.json).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Stretches that a worker keeps.
-KEPT = 450_000
+#: Stretches that a worker keeps, in two generations.
+KEPT = 800_000
 #: Characters for which Python and the library agree on case, form and class; other texts go to the library whole.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ž‐-‧‰-⁞€]*")
 SPECIAL = "<|"
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte of a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return dict(zip(plain, plain)) | {b: 256 + k for k, b in enumerate(rest)}
+
+
 @cache
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class _Words(dict):
+    """The ids of each stretch without white space, found when asked; of the older half those in use come back."""
+
+    def __init__(self, library: Tokenizer):
+        super().__init__()
+        self.model = library.model
+        self.split = regex.compile(SPLIT).findall
+        self.raw = [k.to_bytes(4, "little") for k in range(library.get_vocab_size())]
+        self.letters = byte_letters()
+        self.older: dict[str, bytes] = {}
+        forgettable(self.forget)
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            parts = (word,) if word.isalpha() else self.split(word)
+            ids = self._part(word) if len(parts) == 1 else b"".join([self[p] for p in parts])
+        if len(self) >= KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(spelt)])
+
+
 class WordIds:
-    """``ids(text)`` as little-endian unsigned 32-bit bytes, equal to the library's ids without special tokens.
+    """``batch(texts)`` as little-endian unsigned 32-bit bytes, equal to the library's ids without special tokens.
 
-    White space is dropped and always parts what the library encodes on its own, so its answer
-    for each distinct stretch without white space is kept. Texts with a character outside ``PLAIN``
-    or with a special token's brackets are encoded by the library as a whole.
+    White space is dropped and always parts what the library encodes on its own, so the answer of
+    the library's model for each distinct stretch without white space is kept. Texts with a character
+    outside ``PLAIN`` or with a special token's brackets are encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.words: dict[str, bytes] = {}
-        forgettable(self.words.clear)
-        self.split = regex.compile(SPLIT).findall
-        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
-        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
+        self.words = _Words(self.library)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words in one text: blanks part them, and the last token of each of their parts bears the end mark."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        parts = np.cumsum([1 if w.isalpha() else len(self.split(w)) for w in words])
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == parts[-1] and cuts[-1] == len(ids):
-            raw, ends = ids.tobytes(), (4 * cuts[parts - 1]).tolist()
-            self.words.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        else:
-            for w in words:
-                self.words[w] = self._whole(w)
+    def _text(self, text: str) -> bytes:
+        if SPECIAL in text or not PLAIN.fullmatch(text):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, unicodedata.normalize("NFC", text).lower().split()))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        pieces = [unicodedata.normalize("NFC", t).lower().split() if SPECIAL not in t and PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.words) > KEPT:
-            self.words.clear()
-        known = self.words
-        new = set().union(*(p for p in pieces if p is not None)).difference(known)
-        marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]  # a word of letters and one mark are parted by the library
-        bare = list(new.difference(marked).union([w[:-1] for w in marked], ".,").difference(known))
-        for at in range(0, len(bare), 2000):
-            self._learn(bare[at : at + 2000])
-        mark = {m: known[m] for m in ".,"}
-        for w in marked:
-            known[w] = known[w[:-1]] + mark[w[-1]]
-        return [self._whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces)]
+        return [self._text(t) for t in texts]
 
 
 @cache
