@@ -26,6 +26,18 @@ def test_ids_equal_the_library(parts):
     assert WordIds(PATH).batch([text]) == [plain(text)]
 
 
+def test_a_small_memo_changes_generations(monkeypatch):
+    from netloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    draw = random.Random(2)
+    ids = WordIds(PATH)
+    for _ in range(300):
+        text = " ".join("".join(draw.choices("abcé1'.,", k=draw.randrange(1, 4))) for _ in range(12))
+        assert ids.batch([text]) == [plain(text)]
+    assert len(ids.words) <= 10 and ids.words.older
+
+
 def checked(counts, most):
     recipe = pack(counts, most)
     got = Counter()

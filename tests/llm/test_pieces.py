@@ -59,3 +59,24 @@ def test_whole_table_and_odd_rows(spark, library):
     assert [r.n_tokens for r in got[:2]] == [0, 0] and got[0].decoded_sha256 == hashlib.sha256(b"").hexdigest() and not got[2].same
     assert [r.n_tokens for r in got[3:]] == [len(library.encode(t)) for _, t, _ in odd[3:]]
     assert encoded(docs.limit(0), PATH).count() == 0
+
+
+def test_long_stretches_and_a_small_memo(library, monkeypatch):
+    from netloom.llm import piece_lattice
+
+    monkeypatch.setattr(piece_lattice, "KEPT", 40)
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("etaoinshrdlu", k=9000)), "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(4000)), "日本語の漢字" * 900]
+    texts += [" ".join("".join(draw.choices("etaoin.,", k=draw.randrange(1, 9))) for _ in range(60)) for _ in range(80)]
+    model = Pieces(PATH)
+    for at in range(0, len(texts), 7):  # the memo changes generations all the time
+        part = texts[at : at + 7]
+        assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(part)] == library.encode(part)
+
+
+def test_one_pair_and_many_pairs_are_told_alike(model):
+    draw = np.random.default_rng(4)
+    left, right = draw.choice(model.piece_ids, (2, 20_000))
+    got = model.apart(left, right)
+    assert got.any() and not got.all()
+    assert got.tolist() == [model.apart.one(a, b) for a, b in zip(left.tolist(), right.tolist())] == model.apart(left, right).tolist()
