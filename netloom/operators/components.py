@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Narrow rows of a file at most, about.
+SLIM_ROWS = 8_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
@@ -22,23 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def checkpointed(df: DataFrame, slim: bool = False) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, for tables that are read again; removed when Python exits."""
+    folder = f"{shared_folder(spark)}/netloom-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def checkpointed(df: DataFrame, slim: bool | int = False) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table of their own in the shared folder.
 
-    ``slim`` says that rows are few or narrow: they are written in no more files than twice the
-    cluster has cores, as a file costs more than its rows then.
+    ``slim`` says that rows are few or narrow, and best how many there may be: they are written in no
+    more files than twice the cluster has cores, or one for every SLIM_ROWS if that is more, as a file
+    costs more than its rows then.
 
     A table takes a fraction of the room of an RDD checkpoint, is read by columns and tells its
-    size to the planner. The application's tables lie in one folder, removed when Python exits.
+    size to the planner.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/netloom-{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_remove, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     if slim:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-int(slim) // SLIM_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,18 +83,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), slim=True)
     loops = pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    now, mark = pairs.where("src <> dst"), None
+    now, mark, rows = pairs.where("src <> dst"), None, True
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
         large = both.where("dst > src").join(rekeyed(least, "src"), "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(rekeyed(least, "src"), "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        now = checkpointed(small.union(least.select("src", F.col("m").alias("dst"))).distinct(), slim=True)
+        now = checkpointed(small.union(least.select("src", F.col("m").alias("dst"))).distinct(), slim=rows)
         seen = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(src, dst))").alias("x")).first()
         if mark == (seen["n"], seen["x"]):
             break
-        mark = (seen["n"], seen["x"])
+        mark, rows = (seen["n"], seen["x"]), max(1, seen["n"])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netloom.operators.components import checkpointed
+from netloom.operators.components import checkpointed, rekeyed
 
 
 class NotConverged(RuntimeError):
@@ -43,11 +43,12 @@ def aggregated(weights: DataFrame, nodes: DataFrame, values: dict[str, Column])
 
     ``values`` maps names to Columns over the neighbour's columns and the edge's weight ``w``. A
     node's own columns come along an edge to itself, so that nodes are read once and a chain of
-    steps is a plan of linear size; ``weights`` made by ``with_self`` has these edges already.
+    steps is a plan of linear size; ``weights`` made by ``with_self`` has these edges already. The
+    join deals both sides anew, so that the edges into a hub can be split.
     """
     edges = weights if "own" in weights.columns else with_self(weights, nodes)
     kept = [c for c in nodes.columns if c != "id" and c not in values]
-    joined = edges.join(nodes.withColumnRenamed("id", "dst"), "dst")
+    joined = edges.join(rekeyed(nodes.withColumnRenamed("id", "dst"), "dst"), "dst")
     own = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept]
     sums = [F.coalesce(F.sum(F.when(~F.col("own"), v)), F.lit(0.0)).alias(k) for k, v in values.items()]
     return joined.groupBy(F.col("src").alias("id")).agg(*own, *sums)

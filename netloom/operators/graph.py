@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from netloom.operators.components import checkpointed, components
+from netloom.operators.components import checkpointed, components, rekeyed
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -66,10 +66,15 @@ def invalid_values(nodes: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def row_stochastic(edges: DataFrame) -> DataFrame:
-    """``(src, dst, w)``: one over the degree of src; an edge that occurs k times weighs k over the degree."""
+    """``(src, dst, w)``: one over the degree of src; an edge that occurs k times weighs k over the degree.
+
+    Degrees are partial sums that are joined back, so a hub's edges are never one task's sort. Edges
+    with a null end count and stay.
+    """
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
-    total = F.sum("k").over(Window.partitionBy("src"))
-    return pairs.select("src", "dst", (F.col("k") / total).alias("w"))
+    total = edges.groupBy(F.col("src").alias("of")).agg(F.count("*").alias("total"))
+    total = rekeyed(total, "of")
+    return pairs.join(total, pairs["src"].eqNullSafe(total["of"])).select("src", "dst", (F.col("k") / F.col("total")).alias("w"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -217,7 +222,11 @@ def batch_pointers(batch: DataFrame) -> DataFrame:
 
 
 def ego_overlaps(found: DataFrame) -> DataFrame:
-    """``(a, b, shared)``: pairs of balls that share nodes, for the balls of a sample of roots."""
+    """``(a, b, shared)``: pairs of balls that share nodes.
+
+    The rows are the result itself: a node in k balls gives k (k - 1) / 2 of them, so this is for the
+    balls of roots drawn apart. ``sampling.packing_violations`` tells roots that are too close without such pairs.
+    """
     a, b = found.select(F.col("root").alias("a"), "node"), found.select(F.col("root").alias("b"), "node")
     return a.join(b, "node").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 

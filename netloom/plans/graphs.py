@@ -36,18 +36,6 @@ def xy(spark, d, edges):
 XY = sql.X + ", xy as (select id, x, sin(3 * x) + id % 5 as y from x)"
 
 
-def sample_roots(edges, every=17):
-    return edges.where(F.col("src") % every == 0).select(F.col("src").alias("root")).distinct()
-
-
-ROOTS = "select distinct src from e where src % 17 = 0"
-NODES = "select distinct src from e"
-
-
-def all_roots(edges):
-    return graph.node_ids(edges).withColumnRenamed("id", "root")
-
-
 @query(f"with {Q45} select src, dst from e")
 def edges_symmetric(spark, d):
     return graph.symmetrize(graph.undirected(g45(spark, d)))
@@ -217,28 +205,17 @@ def peer_mean_two_hop(spark, d):
 for _r in (1, 2, 3):
 
     def _balls(spark, d, r=_r):
-        return graph.balls(g40(spark, d), r) if r < 3 else graph.balls(g45(spark, d), r)
+        return graph.balls(g40(spark, d), r)
 
-    query(f"with {Q40 if _r < 3 else Q45}, {sql.balls(_r)} select root, node, dist from b", name=f"balls_k{_r}")(_balls)
-
-
-@query(f"with {Q45}, {sql.balls(3)} select root, count(*) filter (dist <= 0) as d0, count(*) filter (dist <= 1) as d1, count(*) filter (dist <= 2) as d2, count(*) as d3 from b group by root")
-def ball_sizes(spark, d):
-    return graph.ball_sizes(graph.balls(g45(spark, d), 3), 3)
-
-
-@query(f"with {Q40}, {sql.balls(3)} select root, node, dist from b")
-def balls_k3_dense(spark, d):
-    return graph.balls(g40(spark, d), 3)
+    query(f"with {Q40}, {sql.balls(_r)} select root, node, dist from b", name=f"balls_k{_r}")(_balls)
 
 
 @query(f"with {Q40}, {sql.balls(3)} select root, count(*) filter (dist <= 0) as d0, count(*) filter (dist <= 1) as d1, count(*) filter (dist <= 2) as d2, count(*) as d3 from b group by root")
-def ball_sizes_dense(spark, d):
+def ball_sizes(spark, d):
     return graph.ball_sizes(graph.balls(g40(spark, d), 3), 3)
 
 
 _EGO = f"{sql.balls(2)}, ego as (select root, node, (row_number() over (partition by root order by node) - 1)::int as pos from b)"
-_EGO_SOME = _EGO.replace(sql.balls(2), sql.balls(2, ROOTS))
 
 
 @query(f"with {Q45}, {_EGO} select * from ego")
@@ -278,16 +255,17 @@ def xy_corr(spark, d):
     return xy(spark, d, g40(spark, d)).agg(SIX(F.corr("x", "y")).alias("r"))
 
 
-def _features(spark, d, noise=None, sample=sample_roots):
+def _features(spark, d, noise=None):
+    """Every node is a root, in a slot of its own."""
     e = g45(spark, d)
-    roots = sample(e)
     n = xy(spark, d, e)
-    b = graph.ego_batch(roots.withColumn("slot", F.col("root")), graph.ego_nodes(graph.balls(e, 2, roots)), n, graph.norm_stats(n), noise)
+    slots = graph.node_ids(e).select(F.col("id").alias("root"), F.col("id").alias("slot"))
+    b = graph.ego_batch(slots, graph.ego_nodes(graph.balls(e, 2)), n, graph.norm_stats(n), noise)
     return b.select("root", "node", SIX(F.col("xt")).alias("xt"), SIX(F.col("yt")).alias("yt"), "is_root")
 
 
-def _features_sql(y: str, ego: str = _EGO_SOME) -> str:
-    return f"with {Q45}, {XY}, {_STATS}, {ego} select root, node, {sql.rnd('(x - mu_x) / sigma_x')} as xt, {sql.rnd(f'({y} - mu_y) / sigma_y')} as yt, (root = node)::int::double as is_root from ego join xy on id = node, st"
+def _features_sql(y: str) -> str:
+    return f"with {Q45}, {XY}, {_STATS}, {_EGO} select root, node, {sql.rnd('(x - mu_x) / sigma_x')} as xt, {sql.rnd(f'({y} - mu_y) / sigma_y')} as yt, (root = node)::int::double as is_root from ego join xy on id = node, st"
 
 
 @query(_features_sql("y"))
@@ -303,16 +281,6 @@ def ego_features_blurred(spark, d):
     return _features(spark, d, 0.5 * gaussian_hash(3, "real", F.col("slot"), F.col("node")))
 
 
-@query(_features_sql("y", _EGO))
-def ego_features_all(spark, d):
-    return _features(spark, d, sample=all_roots)
-
-
-@query(_features_sql(_BLURRED, _EGO))
-def ego_features_blurred_all(spark, d):
-    return _features(spark, d, 0.5 * gaussian_hash(3, "real", F.col("slot"), F.col("node")), all_roots)
-
-
 _NUMBERED = "nid as (select src as id, (row_number() over (order by src) - 1)::bigint as label from (select distinct src from e))"
 _UNIFORM = f"nn as (select count(*) as n from nid), ru as (select s::int as slot, floor({sql.uniform('0', chr(39) + 'root' + chr(39), '0', 's')} * n)::bigint as label from range(40) r(s), nn), rr as (select slot, id as root from ru join nid using (label))"
 
@@ -360,36 +328,16 @@ def paired_real_fake(spark, d):
     return real.join(fake, ["slot", "node"]).select("slot", "node", SIX(F.col("real_y")).alias("real_y"), SIX(F.col("fake_y")).alias("fake_y"))
 
 
-def _overlaps_sql(roots: str) -> str:
-    return f"with {Q45}, {sql.balls(2, roots)} select x.root as a, y.root as b, count(*) as shared from b x join b y on x.node = y.node and x.root < y.root group by all"
-
-
-@query(_overlaps_sql(ROOTS))
+@query(f"with {Q45}, {sql.balls(2)} select x.root as a, y.root as b, count(*) as shared from b x join b y on x.node = y.node and x.root < y.root group by all")
 def ego_overlap_pairs(spark, d):
-    e = g45(spark, d)
-    return graph.ego_overlaps(graph.balls(e, 2, sample_roots(e)))
-
-
-@query(_overlaps_sql(NODES))
-def ego_overlap_pairs_all(spark, d):
     return graph.ego_overlaps(graph.balls(g45(spark, d), 2))
 
 
-def _branching_sql(roots: str) -> str:
-    return f"""with {Q45}, {sql.balls(3, roots)}, z as (select root, count(*) filter (dist <= 1) as d1, count(*) filter (dist <= 2) as d2, count(*) as d3 from b group by root),
-q as (select ln(d2 / d1) as r from z where d2 > d1 union all select ln(d3 / d2) from z where d3 > d2) select {sql.rnd('exp(avg(r))')} as branching from q"""
-
-
-@query(_branching_sql(ROOTS))
+@query(f"""with {Q45}, {sql.balls(3)}, z as (select root, count(*) filter (dist <= 1) as d1, count(*) filter (dist <= 2) as d2, count(*) as d3 from b group by root),
+q as (select ln(d2 / d1) as r from z where d2 > d1 union all select ln(d3 / d2) from z where d3 > d2) select {sql.rnd('exp(avg(r))')} as branching from q""")
 def estimate_branching(spark, d):
     e = g45(spark, d)
-    return graph.branching(e, sample_roots(e), 3).select(SIX(F.col("branching")).alias("branching"))
-
-
-@query(_branching_sql(NODES))
-def estimate_branching_all(spark, d):
-    e = g45(spark, d)
-    return graph.branching(e, all_roots(e), 3).select(SIX(F.col("branching")).alias("branching"))
+    return graph.branching(e, graph.node_ids(e).withColumnRenamed("id", "root"), 3).select(SIX(F.col("branching")).alias("branching"))
 
 
 @query(f"""with {Q45}, k as (select src as id, count(*) as degree from e group by src), t as (select id, 0 as kind, -degree::double as k from k order by degree desc, id limit 21),

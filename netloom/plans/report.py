@@ -94,13 +94,19 @@ def recovery_table(spark, d):
     return _six(series.recovery(series.estimates(fx.history(spark, d), ["beta", "gamma"], 6), truth), "coef", "final", "path_sd", "abs_err")
 
 
-_PAD = """pd as (select u.realization, g.s::int as step, (select max(step) from h z where z.realization = u.realization) as top from (select distinct realization from h) u, range(12) g(s)),
+_PAD = """pd as (select u.realization, g.s::int as step, (select max(step) from h z where z.realization = u.realization) as top from (select distinct realization from h) u, (select unnest(range(max(step) + 1)) from h) g(s)),
 pp as (select pd.realization, pd.step, h.beta, h.loss_d from pd join h on h.realization = pd.realization and h.step = least(pd.step, pd.top))"""
 
 
+def _padded(spark, d, columns):
+    """Every run at all steps of the longest."""
+    h = fx.history(spark, d)
+    return series.padded(h, series.horizon(h), columns)
+
+
 @query(f"with {H}, {_PAD} select realization, step, {R('beta')} as beta, {R('loss_d')} as loss_d from pp")
 def history_pad(spark, d):
-    return _six(series.padded(fx.history(spark, d), 12, ["beta", "loss_d"]), "beta", "loss_d")
+    return _six(_padded(spark, d, ["beta", "loss_d"]), "beta", "loss_d")
 
 
 _Q = ", ".join(f"{R(f'quantile_cont(v, {q}::double)')} as q{i}" for i, q in enumerate((0.05, 0.25, 0.5, 0.75, 0.95)))
@@ -108,36 +114,11 @@ _Q = ", ".join(f"{R(f'quantile_cont(v, {q}::double)')} as q{i}" for i, q in enum
 
 @query(f"with {H}, {_PAD}, t as (select step, beta as v from pp) select step, {_Q} from t group by step")
 def mc_quantile_paths(spark, d):
-    return _six(series.quantile_paths(series.padded(fx.history(spark, d), 12, ["beta"]), "beta"), *(f"q{i}" for i in range(5)))
+    return _six(series.quantile_paths(_padded(spark, d, ["beta"]), "beta"), *(f"q{i}" for i in range(5)))
 
 
 @query(f"with {H}, {_PAD}, t as (select step, avg(loss_d) over {_frame(3)} as v from pp) select step, {_Q} from t group by step")
 def mc_quantile_loss_paths(spark, d):
-    smooth = series.rolling_mean(series.padded(fx.history(spark, d), 12, ["loss_d"]), "loss_d", 3, trailing=True)
-    return _six(series.quantile_paths(smooth, "mean"), *(f"q{i}" for i in range(5)))
-
-
-_PAD_WHOLE = _PAD.replace("range(12)", "(select unnest(range(max(step) + 1)) from h)")
-
-
-def _padded(spark, d, columns):
-    """Every run at all steps of the longest."""
-    h = fx.history(spark, d)
-    return series.padded(h, series.horizon(h), columns)
-
-
-@query(f"with {H}, {_PAD_WHOLE} select realization, step, {R('beta')} as beta, {R('loss_d')} as loss_d from pp")
-def history_pad_whole(spark, d):
-    return _six(_padded(spark, d, ["beta", "loss_d"]), "beta", "loss_d")
-
-
-@query(f"with {H}, {_PAD_WHOLE}, t as (select step, beta as v from pp) select step, {_Q} from t group by step")
-def mc_quantile_paths_whole(spark, d):
-    return _six(series.quantile_paths(_padded(spark, d, ["beta"]), "beta"), *(f"q{i}" for i in range(5)))
-
-
-@query(f"with {H}, {_PAD_WHOLE}, t as (select step, avg(loss_d) over {_frame(3)} as v from pp) select step, {_Q} from t group by step")
-def mc_quantile_loss_paths_whole(spark, d):
     smooth = series.rolling_mean(_padded(spark, d, ["loss_d"]), "loss_d", 3, trailing=True)
     return _six(series.quantile_paths(smooth, "mean"), *(f"q{i}" for i in range(5)))
 
@@ -196,7 +177,7 @@ def row_sha256(spark, d):
     return e.select("realization", "steps", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("digest"))
 
 
-@query()
+@query()  # the rows of a table say nothing about the bytes of its file
 def file_sha256(spark, d):
     return files.file_hashes(spark, f"{d}/nation.parquet").select("length", "sha256")
 

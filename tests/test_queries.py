@@ -1,4 +1,8 @@
 import math
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -37,3 +41,20 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 100
+
+
+def test_entry_stands_without_the_text_operators(tmp_path):
+    here = Path(__spark_entry__.__file__).parent
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    shutil.copytree(here / "netloom", tmp_path / "netloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    told = subprocess.run([sys.executable, "-W", "error", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert told.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))], told.stderr
+
+
+def test_entry_says_why_the_text_operators_are_left_out(tmp_path):
+    here = Path(__spark_entry__.__file__).parent
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    shutil.copytree(here / "netloom", tmp_path / "netloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert told.stdout.split() == [str(len(registry.queries()))] and "a_library_that_is_not_there" in told.stderr
