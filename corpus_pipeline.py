@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import netloom
 from netloom.llm import line_dedup, ngram_join, packing, pii, quality
-from netloom.operators.components import shared_folder
+from netloom.operators.components import scratch
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what each returns is written to the shared folder as Parquet and read again."""
+    """All stages over the documents of a folder.
+
+    What each stage returns is written to the application's own part of the shared folder as Parquet
+    and read again; these tables go when the application's Python ends.
+    """
     netloom.reachable(spark)
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
