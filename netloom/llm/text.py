@@ -122,7 +122,8 @@ def by_group(keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None]) -
 
 
 def fresh(df, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    while name in df.columns:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    taken = {c.casefold() for c in df.columns}
+    while name.casefold() in taken:
         name += "_"
     return name

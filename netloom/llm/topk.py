@@ -16,40 +16,53 @@ SHARD, BLOCK, CHUNK = 16384, 256, 2048
 _EXACT = 2**53
 
 
-def quantized(vector: list | None) -> list[int] | None:
-    """floor(256 x) of each component as a double; None for a vector that is null, empty or not finite throughout."""
-    if not vector or any(x is None or not math.isfinite(x) for x in vector):
-        return None
-    return [math.floor(256.0 * x) for x in vector]
+#: Beyond these a score isn't told as it is, and 32-bit components don't do.
+_MOST, _NARROW = 2**63 - 1, 2**31
+
+
+def floored(x: float) -> int:
+    """floor(256 x) of a finite double, exactly; beyond a double's range as well."""
+    y = 256.0 * x
+    return math.floor(y) if math.isfinite(y) else 256 * int(x)
 
 
 def _quantize(batches):
-    """One matrix at a time where it can be; 32-bit components unless one doesn't fit."""
+    """The usable vectors of a batch as one matrix: 32-bit whole numbers, or the doubles themselves where one doesn't fit."""
     for batch in batches:
-        ids, keep, dims, wide, data = batch.column("vec_id").to_pylist(), [], [], [], []
-        for n, v in enumerate(batch.column("embedding").to_pylist()):
-            if ids[n] is None or (q := quantized(v)) is None:
-                continue
-            big = max(map(abs, q)) >= 2**31
-            if big and max(map(abs, q)) >= 2**62:
-                raise OverflowError(f"a component of vector {ids[n]} is too large to score in 64 bits")
-            keep.append(ids[n])
-            dims.append(len(q))
-            wide.append(big)
-            data.append(np.array(q, np.int64).tobytes() if big else np.array(q, np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(dims, pa.int32()), pa.array(wide, pa.bool_()), pa.array(data, pa.binary())], ["vec_id", "dim", "wide", "data"])
+        found = batch.column("embedding")
+        sizes = np.nan_to_num(found.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        x = found.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null is NaN
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        bad = np.bincount(owner[~np.isfinite(x)], minlength=len(sizes)) > 0
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = np.floor(256.0 * x)
+            wide = np.bincount(owner[~(np.abs(y) < _NARROW)], minlength=len(sizes)) > 0
+        keep = np.flatnonzero((sizes > 0) & ~bad & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False))
+        narrow = np.where(np.repeat(wide | bad, sizes), 0, y).astype(np.int32)
+        data = [(x if wide[i] else narrow)[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array(sizes[keep], pa.int32()), pa.array(wide[keep], pa.bool_()), pa.array(data, pa.binary())], ["vec_id", "dim", "wide", "data"])
 
 
 def _matrix(data: list[bytes], wide: list[bool], dim: int) -> np.ndarray:
-    """Whole numbers as doubles: exact below 2**53."""
+    """Whole numbers as doubles, exact below 2**53; as Python's own where a vector is wide."""
     if not any(wide):
         return np.frombuffer(b"".join(data), np.int32).reshape(len(data), dim).astype(np.float64)
     out = np.zeros((len(data), dim), object)
     for k, (d, w) in enumerate(zip(data, wide)):
-        out[k] = [int(x) for x in np.frombuffer(d, np.int64 if w else np.int32)]
+        out[k] = [floored(x) for x in np.frombuffer(d).tolist()] if w else np.frombuffer(d, np.int32).tolist()
     return out
 
 
+def told(score: int) -> tuple[int, bytes | None]:
+    """(score as a 64-bit number, order): the nearest one beyond the range, with bytes that sort like the scores themselves."""
+    if -_MOST - 1 < score < _MOST:
+        return score, None
+    size = (abs(score).bit_length() + 8) // 8
+    sign = 1 if score > 0 else -1
+    return max(-_MOST - 1, min(_MOST, score)), (2**31 + sign * size).to_bytes(4, "big") + (score if score > 0 else score + 256**size).to_bytes(size, "big")
+
+
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK) -> tuple[list[tuple[int, int, int]], int]:
     """(query, candidate, score) of each query's k best candidates other than itself, and the scores computed.
 
@@ -111,8 +124,9 @@ def _score(k: int, block: int):
             whole = lambda m: m if m.dtype == object else m.astype(np.int64).astype(object)
             q, x = whole(q), whole(x)
         rows, _ = search(xi, x, qi, q, k, block)
-        cols = zip(*rows) if rows else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+        cols = zip(*((a, b, *told(c)) for a, b, c in rows)) if rows else [[]] * 4
+        kinds = [pa.int64()] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_id", "vec_id", "score", "order"])
 
     return by_group(["dim", "shard", "chunk"], fn)
 
@@ -125,6 +139,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     with fewer candidates gets all. Vectors that are null, empty or hold null or non-finite
     components take no part, nor rows without an id; vectors meet only those of their own length.
     Repeated rows count each as a candidate; a repeated query id is answered once, for the least of its vectors.
+    Scores are exact whatever the size of the components; one that no 64-bit number can tell is ranked by its
+    exact value and told as the nearest 64-bit number. An empty table, or one without queries, gives no rows; further columns are ignored.
 
     Candidates are cut into shards of about ``shard`` rows and queries into chunks of about
     ``chunk``; each shard meets each chunk in a task of bounded size that prunes by blocks, and a
@@ -143,6 +159,6 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     queries = queries.withColumn("chunk", F.expr(f"cast(pmod(xxhash64(vec_id), {chunks}) as int)")).withColumn("shard", F.explode(F.expr(f"sequence(0, {shards - 1})"))).withColumn("is_query", F.lit(True))
     cols = ["dim", "shard", "chunk", "is_query", "vec_id", "wide", "data"]
     units = candidates.select(cols).union(queries.select(cols)).repartition(F.col("dim"), F.col("shard"), F.col("chunk")).sortWithinPartitions("dim", "shard", "chunk")
-    best = units.mapInArrow(_score(k, block), "query_id long, vec_id long, score long")
-    ranked = best.selectExpr("*", "row_number() over (partition by query_id order by score desc, vec_id) as rank")
+    best = units.mapInArrow(_score(k, block), "query_id long, vec_id long, score long, order binary")
+    ranked = best.selectExpr("*", "row_number() over (partition by query_id order by score desc, order desc nulls last, vec_id) as rank")
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,14 +1,20 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
-import pytest
 
-from netloom.llm.topk import quantized, search, top_k
+from netloom.llm.topk import floored, search, told, top_k
 
 SCHEMA = "vec_id long, embedding array<double>, score long"
 
 
+def quantized(v):
+    if not v or any(x is None or not math.isfinite(x) for x in v):
+        return None
+    return [math.floor(256 * Fraction(x)) for x in v]
+
+
 def brute(rows, k=5, every=50):
     ok = [(i, q) for i, v, *_ in rows if i is not None and (q := quantized(v)) is not None]
     out = []
@@ -19,7 +25,7 @@ def brute(rows, k=5, every=50):
             queries[key] = min(queries.get(key, q), q, key=lambda v: v) if key in queries else q
     for (i, d), q in queries.items():
         scores = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == d))
-        out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+        out += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
@@ -45,8 +51,20 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(df) == brute(rows)
     assert got(df.limit(0)) == []
-    with pytest.raises(Exception, match="too large"):
-        top_k(spark.createDataFrame([(0, [1e30], 0), (1, [1.0], 0)], SCHEMA)).collect()
+
+
+def test_components_of_any_size(spark):
+    """Scores beyond 64 bits are ranked exactly, across shards too, and told as the nearest 64-bit number."""
+    draw = random.Random(5)
+    rows = [(i, [draw.choice([1.0, -1.0]) * 10 ** draw.choice([0, 3, 9, 15, 18, 30, 300]) * draw.random() for _ in range(3)], 0) for i in range(260)]
+    rows += [(300, [1e308, -1e308, 1.7e308], 0), (301, [3e15, 3e15, 3e15], 0), (350, [5e-324, 0.0, -0.0], 0), (400, [2.0**31 / 256, 1.0, -(2.0**31) / 256], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for how in ({}, {"shard": 32, "chunk": 2, "block": 8}):
+        assert got(df, **how) == brute(rows)
+    assert floored(1.7e308) == 256 * int(1.7e308) and floored(-1e-9) == -1
+    edge = [-(2**200), -(2**64), -(2**63) - 1, -(2**63), 2**63 - 1, 2**63, 2**64, 2**200]
+    keys = [told(x) for x in edge]
+    assert keys == sorted(keys) and all(k for _, k in keys) and told(5) == (5, None)
 
 
 def test_blocks_are_skipped():
