@@ -20,8 +20,9 @@ LEAST, LEAST_NEAR = 5, 8
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
 _PARTS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
 
-#: Bits of a bitmap (2 MB).
-BITS = 1 << 24
+#: Bits of a bitmap for each value in it, of the smallest and of the largest one (32 MB). Where the
+#: largest would be too full to tell, joins do what it does.
+PER, BITS_LEAST, BITS_MOST = 64, 1 << 24, 1 << 28
 
 
 def words(line: str) -> list[str]:
@@ -104,30 +105,53 @@ def _possible(shared: np.ndarray):
     return by_batch(fn, 8192)
 
 
+def _spelt(found: dict[bytes, tuple[int, int, list[str]]]) -> pa.RecordBatch:
+    codes = [np.fromiter(map(word_hash.__getitem__, w), np.uint64, len(w)).tobytes() for *_, w in found.values()]
+    docs, lines = ([f[i] for f in found.values()] for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(codes, pa.binary())], ["key", "doc_id", "line", "codes"])
+
+
 def _codes(possible: np.ndarray, near: int):
-    def fn(batch: pa.RecordBatch, bits: list[int]) -> pa.RecordBatch:
+    def fn(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
         """The word hashes of lines that are in the bitmap; of equal lines in a batch the earliest."""
         found: dict[bytes, tuple[int, int, list[str]]] = {}
+        mask = 8 * len(bits) - 1
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             for k, line in enumerate((text or "").split("\n")):
                 w = words(line)
                 if len(w) < near:
                     continue
                 name = key(w)
-                at = int.from_bytes(name[:8], "little") & (BITS - 1)
-                if bits[at >> 6] >> (at & 63) & 1 and (name not in found or (doc, k) < found[name][:2]):
+                at = int.from_bytes(name[:8], "little") & mask
+                if bits[at >> 3] >> (at & 7) & 1 and (name not in found or (doc, k) < found[name][:2]):
                     found[name] = (doc, k, w)
-        codes = [np.fromiter(map(word_hash.__getitem__, w), np.uint64, len(w)).tobytes() for *_, w in found.values()]
-        docs, lines = ([f[i] for f in found.values()] for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(codes, pa.binary())], ["key", "doc_id", "line", "codes"])
+        return _spelt(found)
 
     def run(batches):
-        bits = possible.tolist()
+        bits = possible.tobytes()
         yield from by_batch(lambda batch: fn(batch, bits), 2048)(batches)
 
     return run
 
 
+def _named(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The word hashes of the lines named; rows that share a doc_id may have other lines there, so names are held against keys."""
+    found: dict[bytes, tuple[int, int, list[str]]] = {}
+    for doc, text, named in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "named"))):
+        parts = (text or "").split("\n")
+        for n in named:
+            w = words(parts[n["line"]]) if n["line"] < len(parts) else []
+            if w and key(w) == n["key"]:
+                found[n["key"]] = (doc, n["line"], w)
+    return _spelt(found)
+
+
+def _hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The variants of each line alone."""
+    got = [variants(np.frombuffer(c, np.uint64))[0] for c in batch.column("codes").to_pylist()]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64))], ["variant"])
+
+
 def _variants(shared: np.ndarray | None):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         """All variants of each line, or those in the bitmap."""
@@ -144,21 +168,27 @@ def _variants(shared: np.ndarray | None):
     return by_batch(fn, 2000)
 
 
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITS bits in which each value of a column of hashes sets one.
+def bits_for(n: int) -> int | None:
+    """Bits of a bitmap that n values fill to a 64th at most; None if that is more than BITS_MOST."""
+    bits = max(BITS_LEAST, 1 << (PER * n - 1).bit_length() if n else 0)
+    return bits if bits <= BITS_MOST else None
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap in which each value of a column of hashes sets one bit.
 
-    The bits are gathered by an aggregate, so at most BITS / 64 rows reach the driver. A value
-    that sets no bit is surely not in the column; when the bitmap fills up it only tells less.
+    The bits are gathered by an aggregate, so at most ``bits / 64`` rows reach the driver, whatever
+    the number of values. A value that sets no bit is surely not in the column.
     """
-    bit = F.expr(f"pmod({column}, {BITS})")
+    bit = F.expr(f"pmod({column}, {bits})")
     rows = df.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("x")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[rows.column("w").to_numpy()] = rows.column("x").to_numpy()
     return out.view(np.uint64)
 
 
 def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.view(np.uint64) & np.uint64(BITS - 1)
+    at = values.view(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -167,6 +197,23 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["doc_id", "line", "kept_doc_id", "kept_line"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _partnered(slim: DataFrame, firsts: DataFrame, near: int) -> DataFrame:
+    """``(key, doc_id, line, codes)`` of the first lines that share a start or end of half the length with another one."""
+    shared = checkpointed(firsts.select(F.explode("halves").alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
+    bits = bits_for(shared.count())
+    if bits:
+        marks = checkpointed(firsts.select("key", "halves").mapInArrow(_possible(bitmap(shared, "half", bits)), "mark long"), slim=True)
+        bits = bits_for(marks.count())
+    if bits:
+        found = slim.mapInArrow(_codes(bitmap(marks, "mark", bits), near), "key binary, doc_id long, line int, codes binary")
+    else:
+        some = firsts.select("key", "first", F.explode("halves").alias("half")).join(rekeyed(shared, "half"), "half", "left_semi")
+        named = some.select(F.col("first.doc_id").alias("of"), F.struct(F.col("first.line").alias("line"), "key").alias("name")).distinct()
+        named = named.groupBy("of").agg(F.collect_list("name").alias("named"))
+        found = slim.join(named, slim["doc_id"] == named["of"]).select("doc_id", "text", "named").mapInArrow(by_batch(_named), "key binary, doc_id long, line int, codes binary")
+    return found.groupBy("key").agg(F.min(F.struct("doc_id", "line", "codes")).alias("f")).select("key", "f.doc_id", "f.line", "f.codes")
+
+
 def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR) -> DataFrame:
     """``(doc_id, line, kept_doc_id, kept_line, edits)`` for each line of docs(doc_id, text) that an earlier line repeats.
 
@@ -181,9 +228,10 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
     in an aggregate that keeps the earliest line of each place of deletion, so a bucket costs no
     pairs and a hot one is aggregated where it arises. What a line then points to is verified on
     the words. A possible partner is one that shares a start or end of half the length, which two
-    lines of one edit always do; bitmaps of a fixed size tell which lines and which variants may
-    have a partner, and where a bitmap is too full to tell, more of them go on to the exact steps. Null texts have no lines; rows with a null doc_id take no part;
-    rows that share a doc_id and a line count as one.
+    lines of one edit always do. Which lines and which variants have one is told by bitmaps as large
+    as the number of shared ones asks for, or by joins if that is more than BITS_MOST; either way the exact steps
+    see all that can have a partner. Null texts have no lines; rows with a null doc_id take no part;
+    rows that share a doc_id and a line count as one, for edits that with the least word hashes. A text or line may be of any length.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     lines = checkpointed(slim.mapInArrow(_lines(least, near), "doc_id long, line int, key binary, halves array<long>"))
@@ -195,13 +243,14 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
         .where("doc_id <> first.doc_id or line <> first.line")
         .select("doc_id", "line", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(0).alias("edits"))
     )
-    halved = firsts.select(F.explode("halves").alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    possible = bitmap(firsts.select("key", "halves").mapInArrow(_possible(bitmap(halved, "half")), "mark long"), "mark")
-    codes = slim.mapInArrow(_codes(possible, near), "key binary, doc_id long, line int, codes binary").groupBy("key").agg(F.min(F.struct("doc_id", "line", "codes")).alias("f"))
-    codes = checkpointed(codes.select("f.doc_id", "f.line", "f.codes").dropDuplicates(["doc_id", "line"]))
+    codes = checkpointed(_partnered(slim, firsts, near).groupBy("doc_id", "line").agg(F.min("codes").alias("codes")))
     spelt = "doc_id long, line int, variant long, place int"
-    twice = codes.mapInArrow(_variants(None), spelt).groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
-    rows = checkpointed(codes.mapInArrow(_variants(bitmap(twice, "variant")), spelt))
+    twice = checkpointed(codes.mapInArrow(by_batch(_hashes, 2000), "variant long").groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant"))
+    bits = bits_for(twice.count())
+    if bits:
+        rows = checkpointed(codes.mapInArrow(_variants(bitmap(twice, "variant", bits)), spelt))
+    else:
+        rows = checkpointed(codes.mapInArrow(_variants(None), spelt).join(rekeyed(twice, "variant"), "variant", "left_semi").select("doc_id", "line", "variant", "place"))
     least_at = rows.groupBy("variant", "place").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     least_of = least_at.groupBy("variant").agg(
         F.sum("n").alias("all"), F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("part")

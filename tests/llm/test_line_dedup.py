@@ -63,10 +63,25 @@ def test_against_all_pairs(spark):
 def test_full_bitmaps_change_nothing(spark, monkeypatch):
     data = rows(3)
     df = spark.createDataFrame(data, "doc_id long, text string")
-    monkeypatch.setattr(ld, "bitmap", lambda df, column: np.full(ld.BITS // 64, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(ld, "bitmap", lambda df, column, bits: np.full(bits // 64, 2**64 - 1, np.uint64))
     assert found(df) == brute(data)
 
 
+def test_joins_where_bitmaps_would_be_too_large(spark, monkeypatch):
+    monkeypatch.setattr(ld, "BITS_LEAST", 64)
+    for most in (64, 4096, 16384):  # no bitmap at all, and some of the three
+        monkeypatch.setattr(ld, "BITS_MOST", most)
+        data = rows(4)
+        assert found(spark.createDataFrame(data, "doc_id long, text string")) == brute(data)
+
+
+def test_bitmaps_grow_with_what_they_hold():
+    assert ld.bits_for(0) == ld.bits_for(1) == ld.BITS_LEAST
+    for n in (3 * 10**5, 10**6, 2**22):
+        assert 64 * n <= ld.bits_for(n) <= min(128 * n, ld.BITS_MOST)
+    assert ld.bits_for(2**22 + 1) is None
+
+
 def test_repeated_rows_and_empty_table(spark):
     line = "one two three four five six seven eight"
     df = spark.createDataFrame([(1, line), (1, line), (2, line), (3, line + " nine")], "doc_id long, text string")
@@ -80,6 +95,8 @@ def test_documents_keep_their_columns(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, n_chars long, _dropped string").withColumn("_of", F.lit(1)).withColumn("line", F.lit("x"))
     got = {r.doc_id: r for r in ld.drop_lines(df).collect()}
     assert set(got) == {1, 2, 4, 5} and got[2].text == "second own words" and got[2].n_chars == 16 and got[1].n_chars == 9 and got[5].text is None
+    clash = df.withColumnRenamed("_of", "_OF").withColumnRenamed("_dropped", "_Dropped").withColumn("Named", F.lit(1)).withColumn("KEY", F.lit(2))
+    assert {r.doc_id: r.text for r in ld.drop_lines(clash).collect()} == {k: r.text for k, r in got.items()} and ld.drop_lines(clash).columns == clash.columns
     told = {r.doc_id: r for r in ld.told(df).collect()}
     assert told[3].n_kept == 0 and told[2].dropped == "0>1:1/0" and told[1].dropped == ""
 
