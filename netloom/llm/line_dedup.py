@@ -76,9 +76,18 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     return np.array_equal(a[k + (len(a) == len(b)) :], b[k + 1 :])
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _mark(line: str) -> int:
+    """A hash of a line as it stands, by which it is found again without a look at its words."""
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+
+
 def _lines(least: int, near: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, lines, keys, marks = [], [], [], []
+        docs, lines, keys, marks, parts = [], [], [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             for k, line in enumerate((text or "").split("\n")):
                 w = words(line)
@@ -87,8 +96,11 @@ def _lines(least: int, near: int):
                 docs.append(doc)
                 lines.append(k)
                 keys.append(key(w))
-                marks.append([h - (1 << 64) if h >> 63 else h for h in sorted(halves(w))] if len(w) >= near else [])
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "line", "key", "halves"])
+                long = len(w) >= near
+                marks.append(_signed(_mark(line)) if long else None)
+                parts.append([_signed(h) for h in sorted(halves(w))] if long else [])
+        cols = [pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(marks, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "key", "mark", "halves"])
 
     return by_batch(fn)
 
@@ -96,11 +108,10 @@ def _lines(least: int, near: int):
 def _possible(shared: np.ndarray):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The marks of lines that have a half in the bitmap."""
-        halves_, keys = batch.column("halves"), batch.column("key").to_pylist()
-        sizes = np.diff(halves_.offsets.to_numpy())
-        hit = np.repeat(np.arange(len(keys)), sizes)[has(shared, halves_.flatten().to_numpy())]
-        marks = [int.from_bytes(keys[i][:8], "little", signed=True) for i in np.unique(hit)]
-        return pa.RecordBatch.from_arrays([pa.array(marks, pa.int64())], ["mark"])
+        found = batch.column("halves")
+        sizes = np.diff(found.offsets.to_numpy())
+        hit = np.repeat(np.arange(len(sizes)), sizes)[has(shared, found.flatten().to_numpy())]
+        return pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(np.unique(hit)))], ["mark"])
 
     return by_batch(fn, 8192)
 
@@ -113,17 +124,16 @@ def _spelt(found: dict[bytes, tuple[int, int, list[str]]]) -> pa.RecordBatch:
 
 def _codes(possible: np.ndarray, near: int):
     def fn(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
-        """The word hashes of lines that are in the bitmap; of equal lines in a batch the earliest."""
+        """The word hashes of lines whose mark is in the bitmap; of equal lines in a batch the earliest."""
         found: dict[bytes, tuple[int, int, list[str]]] = {}
         mask = 8 * len(bits) - 1
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             for k, line in enumerate((text or "").split("\n")):
-                w = words(line)
-                if len(w) < near:
+                at = _mark(line) & mask
+                if not bits[at >> 3] >> (at & 7) & 1:
                     continue
-                name = key(w)
-                at = int.from_bytes(name[:8], "little") & mask
-                if bits[at >> 3] >> (at & 7) & 1 and (name not in found or (doc, k) < found[name][:2]):
+                w = words(line)
+                if len(w) >= near and ((name := key(w)) not in found or (doc, k) < found[name][:2]):
                     found[name] = (doc, k, w)
         return _spelt(found)
 
@@ -202,14 +212,14 @@ def _partnered(slim: DataFrame, firsts: DataFrame, near: int) -> DataFrame:
     shared = checkpointed(firsts.select(F.explode("halves").alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
     bits = bits_for(shared.count())
     if bits:
-        marks = checkpointed(firsts.select("key", "halves").mapInArrow(_possible(bitmap(shared, "half", bits)), "mark long"), slim=True)
+        marks = checkpointed(firsts.select("mark", "halves").mapInArrow(_possible(bitmap(shared, "half", bits)), "mark long"), slim=True)
         bits = bits_for(marks.count())
     if bits:
         found = slim.mapInArrow(_codes(bitmap(marks, "mark", bits), near), "key binary, doc_id long, line int, codes binary")
     else:
-        some = firsts.select("key", "first", F.explode("halves").alias("half")).join(rekeyed(shared, "half"), "half", "left_semi")
-        named = some.select(F.col("first.doc_id").alias("of"), F.struct(F.col("first.line").alias("line"), "key").alias("name")).distinct()
-        named = named.groupBy("of").agg(F.collect_list("name").alias("named"))
+        some = firsts.select("key", "kept_doc_id", "kept_line", F.explode("halves").alias("half")).join(rekeyed(shared, "half"), "half", "left_semi")
+        some = some.select("key", F.col("kept_doc_id").alias("of"), F.col("kept_line").alias("line")).distinct()
+        named = some.groupBy("of").agg(F.collect_list(F.struct("line", "key")).alias("named"))
         found = slim.join(named, slim["doc_id"] == named["of"]).select("doc_id", "text", "named").mapInArrow(by_batch(_named), "key binary, doc_id long, line int, codes binary")
     return found.groupBy("key").agg(F.min(F.struct("doc_id", "line", "codes")).alias("f")).select("key", "f.doc_id", "f.line", "f.codes")
 
@@ -234,14 +244,15 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
     rows that share a doc_id and a line count as one, for edits that with the least word hashes. A text or line may be of any length.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = checkpointed(slim.mapInArrow(_lines(least, near), "doc_id long, line int, key binary, halves array<long>"))
+    lines = checkpointed(slim.mapInArrow(_lines(least, near), "doc_id long, line int, key binary, mark long, halves array<long>"))
     place = F.struct("doc_id", "line")
-    firsts = checkpointed(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "mark")).alias("f"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    firsts = checkpointed(firsts.select("key", F.col("f.doc_id").alias("kept_doc_id"), F.col("f.line").alias("kept_line"), "f.mark", "n", "halves"))
     copies = (
         lines.select("doc_id", "line", "key")
-        .join(firsts.where("n > 1").select("key", "first"), "key")
-        .where("doc_id <> first.doc_id or line <> first.line")
-        .select("doc_id", "line", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(0).alias("edits"))
+        .join(firsts.where("n > 1").select("key", "kept_doc_id", "kept_line"), "key")
+        .where("doc_id <> kept_doc_id or line <> kept_line")
+        .select("doc_id", "line", "kept_doc_id", "kept_line", F.lit(0).alias("edits"))
     )
     codes = checkpointed(_partnered(slim, firsts, near).groupBy("doc_id", "line").agg(F.min("codes").alias("codes")))
     spelt = "doc_id long, line int, variant long, place int"
