@@ -209,7 +209,7 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _partnered(slim: DataFrame, firsts: DataFrame, near: int) -> DataFrame:
     """``(key, doc_id, line, codes)`` of the first lines that share a start or end of half the length with another one."""
-    shared = checkpointed(firsts.select(F.explode("halves").alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
+    shared = checkpointed(firsts.select(F.explode("halves").alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), slim=True)
     bits = bits_for(shared.count())
     if bits:
         marks = checkpointed(firsts.select("mark", "halves").mapInArrow(_possible(bitmap(shared, "half", bits)), "mark long"), slim=True)
@@ -256,7 +256,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
     )
     codes = checkpointed(_partnered(slim, firsts, near).groupBy("doc_id", "line").agg(F.min("codes").alias("codes")))
     spelt = "doc_id long, line int, variant long, place int"
-    twice = checkpointed(codes.mapInArrow(by_batch(_hashes, 2000), "variant long").groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant"))
+    twice = checkpointed(codes.mapInArrow(by_batch(_hashes, 2000), "variant long").groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant"), slim=True)
     bits = bits_for(twice.count())
     if bits:
         rows = checkpointed(codes.mapInArrow(_variants(bitmap(twice, "variant", bits)), spelt))

@@ -7,15 +7,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.llm.text import by_batch, by_group, fresh, mix, shingles
 from netloom.operators.components import checkpointed, components, rekeyed
 from netloom.operators.graph import relabeled
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Members of a block in verification: the least, and the most for very large groups.
-BLOCK, BLOCK_MOST, BLOCKS = 64, 512, 32
+#: Members of a block in verification: the least, and the most for very large groups; shingles of a block, about.
+BLOCK, BLOCK_MOST, BLOCKS, SHINGLES = 64, 512, 32, 2_000_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
@@ -25,40 +25,48 @@ def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5)
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
 
 
-def _sketch(n: int, bands: int, rows: int):
+def _bands(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """The band hashes of each set, one row a set; sets must not be empty."""
     draw = np.random.Generator(np.random.PCG64(20_240_501))
     xor, mul = (draw.integers(0, 2**64, bands * rows, dtype=np.uint64) for _ in range(2))
     mul |= np.uint64(1)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    keys = np.zeros((len(sets), bands), np.uint64)
+    for part in np.array_split(np.arange(len(sets)), max(1, int(sizes.sum()) // 60_000)):
+        if not len(part):
+            continue
+        x = np.concatenate([sets[i] for i in part])
+        at = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
+        for b in range(bands):
+            key = np.full(len(part), b + 1, np.uint64)
+            for k in range(b * rows, (b + 1) * rows):
+                key = mix(key + np.minimum.reduceat((x ^ xor[k]) * mul[k], at))
+            keys[part, b] = key
+    return keys
+
 
+def _sketch(n: int, bands: int, rows: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        full = np.flatnonzero(sizes)
-        keys = np.zeros((len(sets), bands), np.uint64)
-        if len(full):
-            for part in np.array_split(full, max(1, int(sizes.sum()) // 60_000)):
-                if not len(part):
-                    continue
-                x = np.concatenate([sets[i] for i in part])
-                at = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
-                for b in range(bands):
-                    key = np.full(len(part), b + 1, np.uint64)
-                    for k in range(b * rows, (b + 1) * rows):
-                        key = mix(key + np.minimum.reduceat((x ^ xor[k]) * mul[k], at))
-                    keys[part, b] = key
         prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        flat = pa.array(keys[full].view(np.int64).ravel())
+        flat = pa.array(_bands([s for s in sets if len(s)], bands, rows).view(np.int64).ravel())
         at = np.zeros(len(sets) + 1, np.int32)
         at[1:] = np.cumsum((sizes > 0) * bands)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(at), flat)], ["doc_id", "print", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(at), flat)], ["doc_id", "print", "size", "bands"])
 
     return by_batch(fn)
 
 
-def _sets(n: int):
+def _sets(n: int, bands: int, rows: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, n).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "copies", "blocks")), pa.array(sets, pa.binary())], ["node", "component", "copies", "blocks", "set"])
+        """The shingle sets, and the band hashes of documents that are verified by bucket."""
+        sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
+        mine = [bool(u and u[0]["by"] and len(s)) for u, s in zip(batch.column("units").to_pylist(), sets)]
+        found = iter(_bands([s for s, m in zip(sets, mine) if m], bands, rows))
+        keys = [next(found).tobytes() if m else None for m in mine]
+        cols = [*(batch.column(c) for c in ("node", "copies", "units")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["node", "copies", "units", "set", "bands"])
 
     return by_batch(fn)
 
@@ -83,6 +91,16 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out
 
 
+def _met_before(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether two members of a band's bucket share an earlier band as well, or one of them lacks this one."""
+    own = keys == band
+    at = np.where(own.any(1), own.argmax(1), -1)
+    out = (at[:, None] != at) | (at < 0)[:, None]
+    for k in range(int(at.max(initial=0))):
+        out |= (keys[:, k][:, None] == keys[:, k]) & (at > k)
+    return out
+
+
 def _verify(threshold: float):
     def fn(group: pa.Table) -> pa.RecordBatch:
         node, copies, block = (group.column(c).to_numpy() for c in ("node", "copies", "block"))
@@ -92,6 +110,9 @@ def _verify(threshold: float):
         linked = (common > 0) & (common >= threshold * (size[:, None] + size - common) - 1e-9)
         if group.column("i")[0].as_py() != group.column("j")[0].as_py():
             linked &= block[:, None] != block
+        if group.column("by")[0].as_py():
+            keys = np.array([np.frombuffer(b, np.uint64) for b in group.column("bands").to_pylist()])
+            linked &= ~_met_before(keys, np.array(group.column("key")[0].as_py(), np.int64).view(np.uint64))
         np.fill_diagonal(linked, False)
         linked &= node[:, None] != node
         counts = (linked * copies).sum(1)
@@ -105,7 +126,50 @@ def _verify(threshold: float):
         some = counts > 0
         return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(counts[some].astype(np.int64)), pa.array(node[root[some]])], ["node", "links", "root"])
 
-    return by_group(["component", "i", "j"], fn)
+    return by_group(["by", "key", "i", "j"], fn)
+
+
+def _blocks() -> Column:
+    """Into how many blocks a group of ``n`` members with ``shingles`` in all is dealt."""
+    most = F.greatest(F.ceil(F.col("n") / BLOCK_MOST), F.ceil(F.col("shingles") / SHINGLES))
+    return F.greatest(most, F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK))).cast("int").alias("blocks")
+
+
+def _unit(key: str, by: bool) -> Column:
+    return F.struct(F.col(key).alias("key"), F.lit(by).alias("by"), "blocks").alias("unit")
+
+
+def _units(members: DataFrame, met: DataFrame) -> DataFrame:
+    """``(node, copies, units)``: the units of work that verify each of members(node, component, copies, size).
+
+    A unit is a whole candidate component, or, where a component of more than BLOCK_MOST members
+    would take more comparisons so, as chains of unlike texts do, the buckets of met(node, band) in it.
+    """
+    groups = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    large = checkpointed(groups.where(F.col("n") > BLOCK_MOST).select("component", "n"), slim=True)
+    whole, apart = members, None
+    if large.limit(1).count():
+        inside = members.select("node", "size", "component").join(rekeyed(large.select("component"), "component"), "component", "left_semi")
+        rows = checkpointed(met.join(inside, "node").select("node", "band", "component", "size"), slim=True)
+        buckets = rows.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+        dear = buckets.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+        split = checkpointed(large.join(dear, "component").where(F.col("cost") < F.col("n") * F.col("n")).select("component"), slim=True)
+        split = rekeyed(split, "component")
+        whole = members.join(split, "component", "left_anti")
+        buckets = buckets.join(split, "component", "left_semi").select("band", _blocks())
+        apart = rows.join(rekeyed(buckets, "band"), "band").select("node", _unit("band", True))
+    units = whole.join(rekeyed(groups.select("component", _blocks()), "component"), "component").select("node", _unit("component", False))
+    if apart is not None:
+        units = units.union(apart)
+    units = units.groupBy("node").agg(F.collect_list("unit").alias("units"))  # one component, or a bucket a band
+    return members.select("node", "copies").join(units, "node")
+
+
+def _of_one_document(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(src, dst)``: nodes whose sets one document has, each with the least of them."""
+    nodes = usable.select("doc_id", "print").join(classes.select("print", "node"), "print").select("doc_id", "node").distinct()
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("dst"), F.max("node").alias("top")).where("dst < top").select("doc_id", "dst")
+    return nodes.join(rekeyed(least, "doc_id"), "doc_id").where("node <> dst").select(F.col("node").alias("src"), "dst")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> DataFrame:
@@ -118,49 +182,53 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
     Sets are sketched by MinHash; bands and rows follow from the recall wanted at the threshold.
     Rows with equal sets fold into one class first. Classes that meet under a band hash form
-    candidate components (a star per bucket, never its pairs); each component is verified on the
+    candidate components (a star per bucket, never its pairs). Each component is verified on the
     full sets in blocks of bounded size, every pair of blocks a unit of work of its own, which
     returns link counts and a spanning forest, not pairs. So a hot group is spread over many
-    tasks, and no link between different sets of a component is lost.
+    tasks, and no link between different sets of a component is lost. A large component whose buckets
+    have fewer pairs than it has, as in chains of unlike texts, is verified by bucket, each pair in its first common band.
 
     Null or empty texts have no shingles: they are linked to nothing and are their own class.
     Rows with a null doc_id are returned with null ids and no links. Rows that share a doc_id
-    count as one document. Other columns of ``docs`` are ignored.
+    are one document, counted with all its rows for each of its texts that is linked. Other columns of
+    ``docs`` are ignored; an empty table gives no rows.
     """
     bands, rows = banding(threshold, recall, rows)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = checkpointed(slim.mapInArrow(_sketch(n, bands, rows), "doc_id long, print binary, bands array<long>"))
+    sketched = checkpointed(slim.mapInArrow(_sketch(n, bands, rows), "doc_id long, print binary, size long, bands array<long>"))
     usable = sketched.where("doc_id is not null and print is not null")
-    classes = checkpointed(usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    classes = checkpointed(usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     met = classes.select("node", F.explode("bands").alias("band"))
     stars = met.groupBy("band").agg(F.min("node").alias("dst"), F.max("node").alias("top")).where("dst < top").select("band", "dst")
     edges = met.join(rekeyed(stars, "band"), "band").where("node <> dst").select(F.col("node").alias("src"), "dst")
-    groups = components(edges)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MOST), F.least(F.lit(BLOCKS), F.ceil(F.col("size") / BLOCK))).cast("int").alias("blocks")
-    members = groups.join(rekeyed(sizes.select("component", blocks), "component"), "component").join(classes.groupBy("node").agg(F.sum("copies").alias("copies")), "node")
-    members = checkpointed(members.select("node", "component", "copies", "blocks"), slim=True)
-    texts = slim.join(members, slim.doc_id == members.node).select("node", "component", "copies", "blocks", "text")
-    sets = texts.mapInArrow(_sets(n), "node long, component long, copies long, blocks int, set binary")
-    if usable.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated rows: each set once
+    nodes = classes.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("size").alias("size"))
+    members = checkpointed(components(edges).repartition(F.col("node")).join(rekeyed(nodes, "node"), "node"), slim=True)
+    units = checkpointed(_units(members, met.distinct()), slim=True)
+    texts = slim.join(units, slim["doc_id"] == units["node"]).select("node", "copies", "units", "text")
+    shape = "units array<struct<key: long, by: boolean, blocks: int>>"
+    sets = texts.mapInArrow(_sets(n, bands, rows), f"node long, copies long, {shape}, set binary, bands binary")
+    if repeated := usable.groupBy("doc_id").count().where("count > 1").limit(1).count():  # each set once
         sets = sets.dropDuplicates(["node", "set"])
-    block = F.expr("pmod(xxhash64(node), blocks)").cast("int")
+    sets = sets.withColumn("unit", F.explode("units")).select("node", "copies", "set", "bands", "unit.*")
     units = (
-        sets.withColumn("block", block)
+        sets.withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "set")
-        .repartition(F.col("component"), F.col("i"), F.col("j"))
-        .sortWithinPartitions("component", "i", "j")
+        .select("by", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "set", "bands")
+        .repartition(F.col("by"), F.col("key"), F.col("i"), F.col("j"))
+        .sortWithinPartitions("by", "key", "i", "j")
     )
     links = checkpointed(units.mapInArrow(_verify(threshold), "node long, links long, root long"))
-    joined = components(links.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    bonds = links.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    if repeated:
+        bonds = bonds.union(_of_one_document(usable, classes))
+    joined = components(bonds)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     told = (
         classes.select("print", "node", "copies")
         .join(counts, "node", "left")
         .join(joined, "node", "left")
         .select("print", F.col("node").alias("copy_id"), F.coalesce("component", "node").alias("class_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        .where("n_copies > 1 or n_links > 0")
+        .where("n_copies > 1 or n_links > 0 or class_id <> copy_id")
     )
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     return (

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.llm.ngram_join import banding, keep_one, near_duplicates
+from netloom.llm.ngram_join import _units, banding, keep_one, near_duplicates
 from netloom.llm.text import shingles
 
 
@@ -109,3 +109,62 @@ def test_one_of_repeated_rows_stays_and_texts_of_one_id_are_told_apart(spark):
     (text,) = {t for d, t in kept if d == 3}
     assert text in (third, third + " more") and kept.pop((3, text)) == 1
     assert kept == {(1, long): 1, (2, other): 1, (4, "!"): 2, (None, long): 2, (5, None): 1}
+
+
+def chain(links, words=40, step=12):
+    """Texts of which each shares most words with the next one alone."""
+    stream = [f"w{k}" for k in range(words + step * links)]
+    return [" ".join(stream[step * k : step * k + words]) for k in range(links)]
+
+
+def test_components_of_any_shape_by_bucket(spark, monkeypatch):
+    """Chains of unlike texts, near groups and copies, with components cut at a few members; rows that share an id too."""
+    from netloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_MOST", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    used = []
+    monkeypatch.setattr(ngram_join, "_unit", lambda key, by, f=ngram_join._unit: used.append(by) or f(key, by))
+    rows = list(enumerate(chain(60, 60, 6) + [t for _, t in texts(4)] + chain(20, 80, 4)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999999).collect()
+    assert set(used) == {True, False}
+    links, classes = brute(rows)
+    assert sum(links) > 100
+    assert sorted((r.doc_id, r.n_links, r.class_id) for r in got) == [(d, n, c) for (d, _), n, c in zip(rows, links, classes)]
+    more = [*rows, (rows[5][0], rows[5][1] + " x"), (rows[5][0], rows[5][1] + " x"), (rows[70][0], "other words that are linked to no text at all")]
+    got = near_duplicates(spark.createDataFrame(more, "doc_id long, text string"), recall=0.9999999).collect()
+    assert sorted({(r.doc_id, r.class_id) for r in got}) == [(d, c) for (d, _), c in zip(rows, classes)]
+
+
+def test_a_chain_of_unlike_texts_costs_in_proportion(monkeypatch, spark):
+    """The rows that verification gets grow with the chain, not with its square."""
+    from netloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_MOST", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    cost = {}
+    for links in (150, 600):
+        docs = spark.createDataFrame(list(enumerate(chain(links, step=6))), "doc_id long, text string")
+        seen = []
+        monkeypatch.setattr(ngram_join, "_units", lambda m, met, f=_units: seen.append(f(m, met)) or seen[0])
+        near_duplicates(docs).count()
+        cost[links] = seen[0].select(F.explode("units").alias("u"), "node").agg(F.sum("u.blocks")).first()[0]
+        assert seen[0].count() > 0.9 * links  # most of it is one candidate component, though hardly two texts are near
+    assert cost[600] < 6 * cost[150]
+
+
+def test_recall_at_the_default_setting(spark):
+    """Pairs just above the threshold: as many as the bands promise are found."""
+    draw = random.Random(8)
+    rows, want = [], 0
+    while want < 400:
+        base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+        other = list(base)
+        for _ in range(draw.choice([2, 3])):
+            other[draw.randrange(len(other))] = f"n{draw.randrange(10**6)}"
+        a, b = (set(shingles(" ".join(x), 5).tolist()) for x in (base, other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+            want += 1
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0").count()
+    assert got >= 2 * 0.995 * want
