@@ -8,7 +8,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
@@ -39,6 +39,8 @@ _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x
 _HIGH = re.compile(r"\\x[89A-Fa-f]")
 _BYTES = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\([abfnrtv\\'"])""")
 _PLAIN = dict(zip("abfnrtv\\'\"", b"\a\b\f\n\r\t\v\\'\""))
+#: Text of two or four bytes a character: one byte, and as many nulls between each two.
+_SPREAD = re.compile(rf"[^\0](?:\0[^\0]){{{SHORTEST - 1},}}|[^\0](?:\0{{3}}[^\0]){{{SHORTEST - 1},}}")
 #: A run, over single line breaks.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 
@@ -135,7 +137,7 @@ def _readable(text: str) -> bool:
 
 def _worth(text: str, raw: bytes) -> bool:
     """Whether bytes that aren't all readable hold a span or something wrapped."""
-    return bool(_MAGIC.search(raw) or next(base_spans(text), None) or _BASE64.search(text) or _URL_CODE.search(text) or _ESCAPES.search(text))
+    return bool(_MAGIC.search(raw) or next(base_spans(text), None) or _BASE64.search(text) or _URL_CODE.search(text) or _ESCAPES.search(text) or _SPREAD.search(text))
 
 
 def _placed(data: bytes, text: str, start, end) -> tuple[list[int], list[int]]:
@@ -162,7 +164,7 @@ def _unpacked(text: str, most: int, large: list[int]) -> Iterator[tuple[str, Sam
             yield plain.decode("utf-8", "surrogateescape"), Same(first), Same(min(last, len(text)) - 1)
 
 
-def _decoded(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+def _decoded(text: str) -> Iterator[tuple[str, Sequence[int], Sequence[int]]]:
     """(decoded text, start of each character, end of each character) of every wrapped run in a text."""
     if "%" in text:
         for m in _URL.finditer(text):
@@ -199,20 +201,19 @@ def _decoded(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
             yield "".join(out) + text[at:], [*starts, *range(at, len(text))], [*ends, *range(at + 1, len(text) + 1)]
         if _HIGH.search(text):
             yield from _as_bytes(text)
+    if "\0" in text:
+        for m in _SPREAD.finditer(text):
+            step = 2 if m[0][2] != "\0" else 4
+            yield m[0][::step], range(m.start(), m.end(), step), range(m.start() + 1, m.end() + 1, step)
     for m in _BASE64.finditer(text):
         at = [i for i in range(m.start(), m.end()) if text[i] not in "=\t\r\n "] if "\n" in m[0] else range(m.start(), m.start() + len(m[0].rstrip("=")))
         run = (m[0] if isinstance(at, range) else "".join(text[i] for i in at)).rstrip("=").replace("-", "+").replace("_", "/")
-        if run.isalpha() and (run.islower() or run[0].isupper() and run[1:].islower()):
-            continue
         for k in range(PHASES):
             some = run[k : len(run) - ((len(run) - k) % 4 == 1)]
             data = binascii.a2b_base64(some + "=" * (-len(some) % 4))
             inner = data.decode("utf-8", "surrogateescape")
-            plain = _readable(inner)
-            if inner and (plain or _worth(inner, data)):
+            if inner and (_readable(inner) or _worth(inner, data)):
                 yield inner, *_placed(data, inner, lambda i: at[k + i * 4 // 3], lambda i: at[min(k - (-(i + 1) * 4 // 3), len(at)) - 1] + 1)
-            if plain:
-                break
 
 
 def _as_bytes(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
@@ -238,7 +239,7 @@ def scan(text: str | None, most: int = INFLATED) -> tuple[list[Span], list[Span]
     """(base spans, all spans, layers unwrapped, layers too large) of a text.
 
     A worklist holds layers to scan. Each layer is scanned with the base patterns; every run in
-    it that URL, Unicode or base64 decoding turns into another text, and everything compressed in
+    it that URL, Unicode or base64 decoding turns into another text, every run of wide characters, and everything compressed in
     a decoded layer, is a further layer, until none is new. Layers keep bytes that are no text, so
     that what is beside them is scanned and what is compressed in them is unwrapped; those without
     anything readable aren't counted. A layer counts as seen by its bytes and its place in the
@@ -286,6 +287,8 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan_secrets(docs: DataFrame, most: int = INFLATED) -> DataFrame:
     """One row per row of docs(doc_id, text); see ``scan``. A null text is empty, other columns are ignored.
 
+    Texts of any length are scanned whole, repeated rows each by itself; an empty table gives no rows.
+
     n_assign, n_access, n_hex and base_sha256 tell of the base spans, ``spans`` of all. A
     compressed layer of over ``most`` bytes is scanned in windows, so that a bomb can't take a worker's
     memory; ``n_too_large`` counts those. What is wrapped in one and longer than half a window may
