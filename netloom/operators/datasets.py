@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,6 +78,46 @@ class NetworkData:
         solved = game.simulate(substrate.weights, substrate.covariates, seed)
         return cls(substrate, solved.nodes.select("id", "y"))
 
+    @classmethod
+    def from_graph(cls, edges: DataFrame, nodes: DataFrame, *, k: int = 2) -> "NetworkData":
+        """From a messy graph and nodes(id, covariates ..., y), which are reindexed onto the nodes that are kept."""
+        clean = graph.sanitize(edges, nodes.select("id"))
+        kept = checkpointed(graph.reindexed(nodes, clean.ids))
+        base = Substrate.from_edges(clean.edges, kept.drop("y"), k=k, symmetric=False)
+        return cls(replace(base, report=clean.report), kept.select("id", "y"))
+
+    @classmethod
+    def from_edges(cls, edges: DataFrame, nodes: DataFrame, *, k: int = 2, symmetric: bool = True) -> "NetworkData":
+        """From clean edges over 0..n-1 and nodes(id, covariates ..., y)."""
+        return cls(Substrate.from_edges(edges, nodes.drop("y"), k=k, symmetric=symmetric), nodes.select("id", "y"))
+
+    # what a data set consists of
+
+    @property
+    def num_nodes(self) -> int:
+        return self.substrate.n
+
+    @property
+    def k(self) -> int:
+        return self.substrate.k
+
+    @property
+    def topology(self) -> Substrate:
+        return self.substrate
+
+    @property
+    def weights(self) -> DataFrame:
+        return self.substrate.weights
+
+    @property
+    def covariates(self) -> DataFrame:
+        return self.substrate.covariates
+
+    @property
+    def report(self) -> DataFrame | None:
+        """Counts of what cleaning took out, or None for a graph that came clean."""
+        return self.substrate.report
+
     @property
     def nodes(self) -> DataFrame:
         return self.substrate.covariates.join(self.outcome, "id")
@@ -110,6 +150,10 @@ def linear_in_means(spark: SparkSession, n: int = 10_000, kind: str = "ba", k: i
     return _made(spark, LinearInMeans(truth or LINEAR_TRUTH, beta_cap=beta_cap), kind, n, k, seed, how)
 
 
-def effort_game(spark: SparkSession, n: int = 10_000, kind: str = "ba", k: int = 2, truth: dict | None = None, lambda_max: float = 4.0, seed: int = 0, **how) -> NetworkData:
-    """The same for the effort game."""
-    return _made(spark, EffortGame(truth or EFFORT_TRUTH, lambda_max=lambda_max), kind, n, k, seed, how)
+def effort_game(
+    spark: SparkSession, n: int = 10_000, kind: str = "ba", k: int = 2, truth: dict | None = None, lambda_max: float = 4.0, fix_r: float | None = 1.0, fix_sigma_sq: float | None = 1.0, seed: int = 0, **how
+) -> NetworkData:
+    """The same for the effort game; fixed values take the place of true ones."""
+    fixed = {"r": fix_r, "sigma_sq": fix_sigma_sq}
+    values = {k: v for k, v in (truth or EFFORT_TRUTH).items() if fixed.get(k) is None}
+    return _made(spark, EffortGame(values, lambda_max=lambda_max, fix_r=fix_r, fix_sigma_sq=fix_sigma_sq), kind, n, k, seed, how)

@@ -1,23 +1,26 @@
 """Adversarial estimation: a rooted message-passing test function, the minimax loop and Monte Carlo.
 
 Two tiers share the games' expressions. DataFrames simulate, check and score graphs of any size;
-the loop itself, which makes over a thousand small steps, runs in one task on NumPy arrays of the
-graph (``LocalNetwork``), and Monte Carlo gives each realisation a task of its own.
+the loop itself, which makes over a thousand small steps, runs on NumPy arrays of the graph
+(``LocalNetwork``), in one task of an executor by ``fit_in_task``, and Monte Carlo gives each realisation a task of its own.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from netloom.functions.constants import OPTIMUM_D, OPTIMUM_G, OPTIMUM_G_SATURATING
 from netloom.functions.expr import Var
+from netloom.operators.contracts import BlurLike, check_logits, check_map_output
 from netloom.operators.games import Game
+from netloom.operators.sampling import Roots
 from netloom.operators.series import override_tol
 
 
@@ -36,12 +39,30 @@ class NotStationary(UserWarning):
     """A run that used up its steps."""
 
 
+class SolverCapped(RuntimeWarning):
+    """A solver inside a run that used up its steps."""
+
+
+class RootsShort(RuntimeWarning):
+    """Roots that are fewer, or closer together, than was asked for."""
+
+
+def scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values summed into n rows by index."""
+    width = values.shape[1]
+    at = (index[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(at, values.ravel(), n * width).reshape(n, width)
+
+
 # ---------------------------------------------------------------- the graph as arrays
 
 
 class LocalNetwork:
     """A graph as arrays: edges sorted by source, weights, covariates; ego objects on demand."""
 
+    #: Ego objects that are kept.
+    EGOS = 100_000
+
     def __init__(self, src: np.ndarray, dst: np.ndarray, x: np.ndarray, k: int = 2):
         self.n, self.k, self.x = len(x), k, np.asarray(x, float).reshape(len(x), -1)
         order = np.lexsort((dst, src))
@@ -58,28 +79,39 @@ class LocalNetwork:
 
     @classmethod
     def collect(cls, edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = ("x",), k: int = 2, most: int = 20_000_000) -> "LocalNetwork":
-        """The arrays of a graph labelled 0..n-1; only for graphs of at most ``most`` edges, which is checked first."""
+        """The arrays of a graph labelled 0..n-1; only for graphs of at most ``most`` edges, which is checked first.
+
+        A limit of this tier alone: larger graphs are simulated, checked and cut into ego objects as DataFrames, and raise ``most`` where
+        a worker has the memory (24 bytes an edge).
+        """
         if (m := edges.count()) > most:
-            raise ValueError(f"{m} edges are too many for the local tier")
-        e = edges.select("src", "dst").toPandas()
-        v = nodes.select("id", *columns).orderBy("id").toPandas()
-        return cls(e["src"].to_numpy(), e["dst"].to_numpy(), v[list(columns)].to_numpy(), k)
+            raise ValueError(f"{m} edges are more than the {most} that the local tier is told to hold")
+        e = edges.select("src", "dst").toArrow()
+        v = nodes.select("id", *columns).toArrow().sort_by("id")
+        return cls(e.column("src").to_numpy(), e.column("dst").to_numpy(), np.column_stack([v.column(c).to_numpy() for c in columns]), k)
 
     def mean(self, y: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
         """Sums over neighbours of weight times y; of ``values`` per edge, if given."""
         per = self.w * y[self.dst] if values is None else values
         return np.add.reduceat(per, self.ptr[:-1])
 
+    def ball(self, root: int, radius: int) -> np.ndarray:
+        """The nodes within a radius of a root, in ascending order."""
+        ball = ring = np.array([root])
+        for _ in range(radius):
+            near = np.concatenate([self.dst[self.ptr[v] : self.ptr[v + 1]] for v in ring])
+            ring = np.setdiff1d(near, ball)
+            ball = np.union1d(ball, ring)
+            if not len(ring):
+                break
+        return ball
+
     def ego(self, root: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(members in ascending order, source and target positions of the inner edges)."""
         if root not in self._egos:
-            ball = ring = np.array([root])
-            for _ in range(self.k):
-                near = np.concatenate([self.dst[self.ptr[v] : self.ptr[v + 1]] for v in ring])
-                new = np.setdiff1d(near, ball)
-                ball, ring = np.union1d(ball, new), new
-                if not len(ring):
-                    break
+            if len(self._egos) >= self.EGOS:
+                self._egos.clear()
+            ball = self.ball(root, self.k)
             counts = self.ptr[ball + 1] - self.ptr[ball]
             a = np.repeat(np.arange(len(ball)), counts)
             b = np.concatenate([self.dst[self.ptr[v] : self.ptr[v + 1]] for v in ball])
@@ -128,6 +160,10 @@ class LocalGame:
         self.start = game.newton_start()
         self.slopes = {k: game.partial(k) for k in game.params}
         self.along, self.by_eps = game.partial("peer"), game.partial("eps")
+        self.newton_residual, self.newton_steps, self.checked = 0.0, 0, False
+
+    def env(self, params: dict[str, float], **more) -> dict:
+        return self.cov | self.game.constants | params | more
 
     def peer(self, y: np.ndarray, coef: np.ndarray | None = None) -> np.ndarray:
         env = {"y": y[self.net.dst], "w": self.net.w}
@@ -135,23 +171,68 @@ class LocalGame:
         return np.add.reduceat(np.broadcast_to(per, self.net.dst.shape), self.net.ptr[:-1])
 
     def step(self, y, eps, params) -> np.ndarray:
-        env = self.cov | params | {"peer": self.peer(y), "eps": eps, "y": y}
+        env = self.env(params, peer=self.peer(y), eps=eps, y=y)
         if not self.game.implicit:
-            return np.asarray(self.expr.value(env))
+            new = np.asarray(self.expr.value(env))
+        else:
+            new = self._newton(env)
+        if not self.checked:
+            check_map_output(new, self.net.n, "foc" if self.game.implicit else "best_response")
+            self.checked = True
+        return new
+
+    def _newton(self, env: dict) -> np.ndarray:
+        """The root of the condition of each node; the worst last change and the steps are kept for the run's guards."""
         z = np.asarray(self.start.value(env), float) + np.zeros(self.net.n)
-        if (bound := 50.0 / params["r"] if "r" in params and self.game.newton_bound() is not None else None) is not None:
+        if self.game.newton_bound() is not None:
+            bound = 50.0 / env["r"]
             z = np.clip(z, -bound, bound)
-        for _ in range(self.game.newton_steps):
+        change = math.inf
+        for k in range(1, self.game.newton_steps + 1):
             d = np.asarray(self.dexpr.value(env | {"y": z}))
             if not np.isfinite(d).all() or (d == 0).any():
                 raise FloatingPointError("non-finite or zero derivative in Newton; see check_model")
-            z = z - self.expr.value(env | {"y": z}) / d
+            move = self.expr.value(env | {"y": z}) / d
+            z, change = z - move, float(np.abs(move).max(initial=0.0))
+            if change < self.game.newton_tol:
+                break
+        self.newton_residual, self.newton_steps = max(self.newton_residual, change), max(self.newton_steps, k)
         return z
 
+    def scatter(self, y: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The transpose of ``peer`` in y: sums over the edges into a node of what it contributes, times u at their sources."""
+        env = {"y": y[self.net.dst], "w": self.net.w}
+        return np.bincount(self.net.dst, np.broadcast_to(self.dvalue.value(env), self.net.dst.shape) * u[self.net.src], self.net.n)
+
+    def _direct(self, env: dict, eps: np.ndarray, params: dict[str, float]) -> dict[str, np.ndarray]:
+        """What each parameter changes in the response itself."""
+        out = {}
+        for name, slope in self.slopes.items():
+            v = np.asarray(self.by_eps.value(env)) * eps / (2 * params["sigma_sq"]) if name == "sigma_sq" else np.asarray(slope.value(env))
+            out[name] = np.broadcast_to(v, (self.net.n,))
+        return out
+
+    def pulled_back(self, y: np.ndarray, noise: np.ndarray, params: dict[str, float], cotangent: np.ndarray) -> dict[str, float]:
+        """The gradient of a scalar by the parameters, for its gradient by y: one adjoint iteration ``u = c + J' u``, whatever their number."""
+        eps = self.sigma(params) * noise
+        env = self.env(params, peer=self.peer(y), eps=eps, y=y)
+        along, u = np.broadcast_to(np.asarray(self.along.value(env)), (self.net.n,)), cotangent
+        for _ in range(max(self.game.picard_max, 200)):
+            new = cotangent + self.scatter(y, along * u)
+            done = np.abs(new - u).max() < self.game.picard_tol * max(1e-12, np.abs(new).max())
+            u = new
+            if done:
+                break
+        return {k: float(u @ v) for k, v in self._direct(env, eps, params).items()}
+
+    def sigma(self, params: dict[str, float]) -> float:
+        return math.sqrt((self.game.constants | params).get("sigma_sq", 1.0))
+
     def solve(self, noise: np.ndarray, params: dict[str, float], tangents: bool = False):
         """(y, {parameter: dy/dparameter}, steps, residual) at shocks sqrt(sigma_sq) * noise."""
-        eps = math.sqrt(params.get("sigma_sq", 1.0)) * noise
+        eps = self.sigma(params) * noise
         y, residual, k = np.zeros(self.net.n), math.inf, 0
+        self.newton_residual, self.newton_steps = 0.0, 0
         for k in range(1, self.game.picard_max + 1):
             new = self.step(y, eps, params)
             residual, y = float(np.abs(new - y).max()), new
@@ -159,11 +240,9 @@ class LocalGame:
                 break
         if not tangents:
             return y, {}, k, residual
-        env = self.cov | params | {"peer": self.peer(y), "eps": eps, "y": y}
-        along, by_eps, out = np.asarray(self.along.value(env)), np.asarray(self.by_eps.value(env)), {}
-        for name, slope in self.slopes.items():
-            direct = by_eps * eps / (2 * params["sigma_sq"]) if name == "sigma_sq" else np.asarray(slope.value(env))
-            direct = np.broadcast_to(direct, (self.net.n,))
+        env = self.env(params, peer=self.peer(y), eps=eps, y=y)
+        along, out = np.asarray(self.along.value(env)), {}
+        for name, direct in self._direct(env, eps, params).items():
             t = direct.copy()
             for _ in range(max(self.game.picard_max, 200)):
                 new = direct + along * self.peer(y, t)
@@ -235,9 +314,7 @@ class RootedGin:
         """(logits, what ``backward`` needs)."""
         h, kept = b.features, []
         for k in range(self.layers):
-            agg = np.zeros_like(h)
-            np.add.at(agg, b.src, h[b.dst])
-            z = (1 + self.p[f"{k}.eps"]) * h + agg
+            z = (1 + self.p[f"{k}.eps"]) * h + scatter(b.src, h[b.dst], len(h))
             wa, _ = self._weight(f"{k}.a.w", train)
             wc, _ = self._weight(f"{k}.c.w", train)
             a = z @ wa + self.p[f"{k}.a.b"]
@@ -273,8 +350,7 @@ class RootedGin:
         g["h.c.w"], g["h.c.b"] = self._gw("h.c.w", r.T @ d), d.sum(0)
         da = (d @ wc.T) * (a > 0)
         g["h.a.w"], g["h.a.b"] = self._gw("h.a.w", root.T @ da), da.sum(0)
-        dh = np.zeros_like(h)
-        np.add.at(dh, b.root_rows, da @ wa.T)
+        dh = scatter(b.root_rows, da @ wa.T, len(h))
         for k in reversed(range(self.layers)):
             h0, z, a, r, nrm, sd, o, wa, wc = layers[k]
             do = dh * (o > 0)
@@ -286,8 +362,7 @@ class RootedGin:
             g[f"{k}.a.w"], g[f"{k}.a.b"] = self._gw(f"{k}.a.w", z.T @ da), da.sum(0)
             dz = da @ wa.T
             g[f"{k}.eps"] = np.array([(dz * h0).sum()])
-            dh = (1 + self.p[f"{k}.eps"]) * dz
-            np.add.at(dh, b.dst, dz[b.src])
+            dh = (1 + self.p[f"{k}.eps"]) * dz + scatter(b.dst, dz[b.src], len(dz))
         return g, dh
 
 
@@ -305,6 +380,77 @@ class Adam:
             params[k] = params[k] - self.lr * (self.m[k] / (1 - self.b1**self.t)) / (np.sqrt(self.v[k] / (1 - self.b2**self.t)) + self.eps)
 
 
+# ---------------------------------------------------------------- roots
+
+
+def pack(net: LocalNetwork, order: np.ndarray, radius: int, target: int) -> np.ndarray:
+    """The roots that a pass in the order given takes: each node that no root before it has within ``radius``, ``target`` at most."""
+    free, out = np.ones(net.n, bool), []
+    for v in order:
+        if free[v]:
+            out.append(int(v))
+            if len(out) >= target:
+                break
+            free[net.ball(int(v), radius)] = False
+    return np.array(out, np.int64)
+
+
+def best_pack(net: LocalNetwork, orders: Iterable[np.ndarray], radius: int, target: int) -> tuple[np.ndarray, int]:
+    """(the largest packing over some orders, the first of equals; orders tried). Ends with the first that meets the target."""
+    best, k = np.zeros(0, np.int64), 0
+    for k, order in enumerate(orders, 1):
+        now = pack(net, order, radius, target)
+        best = now if len(now) > len(best) else best
+        if len(best) >= target:
+            break
+    if not k:
+        raise ValueError("there must be an order")
+    return best, k
+
+
+@dataclass(frozen=True)
+class LocalSampler:
+    """``RootSampler``'s four modes on arrays: a call gives ``Roots`` with an array of roots."""
+
+    mode: str = "uniform"
+    exclusion_r: int = 3
+    restarts: int = 3
+    relax: tuple[int, ...] = (3, 2)
+    min_batch: int | None = None
+    fallback: str = "uniform"
+
+    def __post_init__(self):
+        from netloom.operators.sampling import RootSampler
+
+        RootSampler(self.mode, exclusion_r=self.exclusion_r, restarts=self.restarts, relax=self.relax, min_batch=self.min_batch, fallback=self.fallback)  # its checks
+
+    @property
+    def effective_r(self) -> int | None:
+        return None if self.mode == "uniform" else max(self.relax) if self.mode == "disjoint_relax" else self.exclusion_r
+
+    def __call__(self, net: LocalNetwork, draw: np.random.Generator, size: int) -> Roots:
+        uniform = lambda **how: Roots(draw.integers(0, net.n, size), size, size, "uniform", **how)
+        if self.mode == "uniform":
+            return uniform()
+        orders = lambda n: (draw.permutation(net.n) for _ in range(n))
+        if self.mode != "disjoint_relax":
+            got, tries = best_pack(net, orders(1 if self.mode == "disjoint_once" else self.restarts), self.exclusion_r, size)
+            return Roots(got, size, len(got), self.mode, self.exclusion_r, tries, len(got) >= size, None if len(got) >= size else "target_not_met")
+        least, best, radius, tries = min(self.min_batch or size, size), np.zeros(0, np.int64), None, 0
+        for r in self.relax:
+            got, k = best_pack(net, orders(self.restarts), r, size)
+            tries += k
+            if len(got) > len(best):
+                best, radius = got, r
+            if len(got) >= least:
+                return Roots(got, size, len(got), self.mode, r, tries, len(got) >= size)
+        if self.fallback == "raise":
+            raise RuntimeError(f"no radius of {self.relax} gave {least} roots; the best gave {len(best)}")
+        if self.fallback == "uniform":
+            return uniform(attempts_used=tries, fallback_reason=f"uniform_fallback_below_min_batch:{len(best)}<{least}")
+        return Roots(best, size, len(best), self.mode, radius, tries, len(best) >= size, f"best_below_min_batch:{len(best)}<{least}")
+
+
 # ---------------------------------------------------------------- the loop
 
 
@@ -344,21 +490,51 @@ class EstimatorConfig:
     window: int = 100
     delta_d: float = 0.01
     delta_g: float = 0.01
-    std_max: float = 0.1
+    std_d_max: float = 0.1
+    std_g_max: float = 0.1
     stability_window: int = 30
     stability_tol: float = 0.01
     stability_overrides: tuple[tuple[str, float], ...] = ()
     loss: str = "nonsaturating"
+    #: How gradients pass the equilibrium: "unroll" carries a tangent per parameter, "implicit" solves one adjoint; None leaves it to the game.
+    differentiation: str | None = None
     seed: int = 0
 
     def __post_init__(self):
         if self.loss not in ("nonsaturating", "saturating"):
             raise ValueError("loss must be nonsaturating or saturating")
-        for f in ("max_steps", "batch", "n_disc", "window", "stability_window"):
-            if getattr(self, f) < 1:
+        if self.differentiation not in (None, "unroll", "implicit"):
+            raise ValueError("differentiation must be None, unroll or implicit")
+        for f in ("max_steps", "batch", "n_disc", "window", "stability_window", "lr_d", "lr_g", "grad_clip", "delta_d", "delta_g", "std_d_max", "std_g_max", "stability_tol"):
+            if not getattr(self, f) > 0:
                 raise ValueError(f"{f} must be positive")
-        if min(self.lr_d, self.lr_g, self.grad_clip, self.std_max) <= 0:
-            raise ValueError("rates, clip and bounds must be positive")
+        if not 0 <= self.min_steps <= self.max_steps:
+            raise ValueError("min_steps must lie between 0 and max_steps")
+        if any(m <= 0 for m in self.lr_g_decay_milestones) or list(self.lr_g_decay_milestones) != sorted(self.lr_g_decay_milestones):
+            raise ValueError("milestones must be positive and ascend")
+        if not 0 < self.lr_g_decay_factor <= 1:
+            raise ValueError("lr_g_decay_factor must lie in (0, 1]")
+        if any(not tol > 0 for _, tol in self.stability_overrides):
+            raise ValueError("overrides of the tolerance must be positive")
+
+    def override_tol_for(self, param: str) -> float:
+        return override_tol(param, self.stability_tol, dict(reversed(self.stability_overrides)))
+
+    @classmethod
+    def from_configs(cls, experiment, monte_carlo=None, *, seed: int | None = None) -> "EstimatorConfig":
+        """The settings of a run from an experiment's training and Monte Carlo parts; the blur must end before the averaged tail of this run begins."""
+        from netloom.functions.config import assert_blur_ends
+
+        t, mc = experiment.training, monte_carlo or experiment.monte_carlo
+        if mc is None:
+            raise ValueError("the experiment has no Monte Carlo part")
+        horizon = mc.horizon(t)
+        assert_blur_ends(t.blur, horizon, max(mc.window, mc.stability_window))
+        return cls(
+            max_steps=horizon, min_steps=min(mc.min_steps or 0, horizon), batch=t.batch, n_disc=t.n_disc, lr_d=t.lr_d, lr_g=t.lr_g, grad_clip=mc.grad_clip,
+            lr_g_decay_factor=mc.lr_g_decay_factor, lr_g_decay_milestones=mc.lr_g_decay_milestones, window=mc.window, delta_d=mc.delta_d, delta_g=mc.delta_g,
+            std_d_max=mc.std_d_max, std_g_max=mc.std_g_max, stability_window=mc.stability_window, stability_overrides=mc.stability_tols, seed=mc.seed if seed is None else seed,
+        )
 
     @classmethod
     def recovery_default(cls, **over) -> "EstimatorConfig":
@@ -387,6 +563,8 @@ class Result:
     loss_d_rolling: float
     loss_g_rolling: float
     history: list[dict] = field(default_factory=list)
+    picard_cap_hits: int = 0
+    newton_cap_hits: int = 0
 
     def row(self, realization: int, **more) -> dict:
         out = {"realization": realization, "converged": self.converged, "final_step": self.final_step, "status": self.status}
@@ -395,10 +573,16 @@ class Result:
 
 
 def run_minimax(
-    net: LocalNetwork, y: np.ndarray, game: Game, disc: RootedGin, config: EstimatorConfig, blur: Blur = Blur(enabled=False),
-    *, gradient_transform: Callable[[StepContext], dict[str, float]] | None = None, observers: tuple = (), sample: Callable[[np.random.Generator, int], np.ndarray] | None = None,
+    net: LocalNetwork, y: np.ndarray, game: Game, disc: RootedGin, config: EstimatorConfig, blur: BlurLike | None = None,
+    *, gradient_transform: Callable[[StepContext], dict[str, float]] | None = None, observers: tuple = (), sample: LocalSampler | Callable[[np.random.Generator, int], np.ndarray] | None = None,
 ) -> Result:
-    """Alternate steps of the test function and of the structural parameters until losses settle and parameters stand still."""
+    """Alternate steps of the test function and of the structural parameters until losses settle and parameters stand still.
+
+    ``sample`` draws the roots: a ``LocalSampler``, or a function of a generator and a number; uniformly without one.
+    Warnings say, once a run, that a solver used up its steps, that roots were short in a phase, or that they
+    lay closer than twice the ego radius.
+    """
+    blur = blur if isinstance(blur, Blur) else Blur(enabled=False) if blur is None else Blur(blur.enabled, blur.tau_y0, blur.schedule, blur.anneal_steps, blur.min_tau)
     if disc.layers < net.k:
         raise ValueError("the test function must have as many layers as the ego radius")
     if disc.in_dim != net.x.shape[1] + 2:
@@ -415,9 +599,14 @@ def run_minimax(
     if blur.tau(max(tail_start, 1)) > 0:
         warnings.warn("the blur has not ended when the tail that is averaged begins", UserWarning, stacklevel=2)
     draw = np.random.default_rng(config.seed)
-    pick = sample or (lambda rng, m: rng.integers(0, net.n, m))
+    sampler = sample or LocalSampler()
+    if isinstance(sampler, LocalSampler) and (radius := sampler.effective_r) is not None and radius < 2 * net.k:
+        warnings.warn(f"roots are {radius} apart at most, less than twice the ego radius {net.k}: ego objects may share nodes", RootsShort, stacklevel=2)
+    implicit = (config.differentiation or game.differentiation) == "implicit"
+    told, capped = set(), {"picard": 0, "newton": 0}
     local, raw = LocalGame(game, net), {k: np.float64(v) for k, v in game.raw().items()}
     dforward = {k: t.forward(_RAW).diff("raw") for k, t in game.transforms.items()}
+    rule = StoppingRule(config)
     opt_d, opt_g, history, tell = Adam(config.lr_d), Adam(config.lr_g), [], list(observers)
     losses_d, losses_g, path, lr, status, converged = [], [], [], config.lr_g, "ok", False
 
@@ -428,6 +617,30 @@ def run_minimax(
             except Exception as e:  # an observer's trouble isn't the run's
                 warnings.warn(f"observer {type(o).__name__}.{name} failed: {e}", RuntimeWarning, stacklevel=2)
 
+    def once(key: str, kind: type, text: str) -> None:
+        if key not in told:
+            told.add(key)
+            warnings.warn(f"{text} (step {step})", kind, stacklevel=3)
+
+    def pick(phase: str) -> np.ndarray:
+        if not isinstance(sampler, LocalSampler):
+            return sampler(draw, config.batch)
+        got = sampler(net, draw, config.batch)
+        if not got.met_target or got.fallback_reason:
+            once(f"short:{phase}", RootsShort, f"the {phase} phase got {got.achieved} of {got.requested} roots by {got.mode}: {got.fallback_reason or 'too few lie apart'}")
+        if got.radius_used is not None and got.radius_used < 2 * net.k:
+            once("near", RootsShort, f"roots of the {phase} phase lie {got.radius_used} apart, less than twice the ego radius {net.k}: ego objects may share nodes")
+        return got.roots
+
+    def guard(residual: float) -> None:
+        """Count and tell what the equilibrium that goes into the gradients lacks."""
+        if not residual < game.picard_tol:
+            capped["picard"] += 1
+            once("picard", SolverCapped, f"the equilibrium is off by {residual:.3g} after {game.picard_max} steps, the tolerance is {game.picard_tol:.3g}")
+        if local.newton_steps and not local.newton_residual < game.newton_tol:
+            capped["newton"] += 1
+            once("newton", SolverCapped, f"Newton's last change is {local.newton_residual:.3g} after {game.newton_steps} steps, the tolerance is {game.newton_tol:.3g}")
+
     emit("run_start", config)
     params = game.with_raw(raw)
     for step in range(1, config.max_steps + 1):
@@ -436,23 +649,28 @@ def run_minimax(
         tau = blur.tau(step)
         fake_y, _, iters, residual = local.solve(draw.standard_normal(net.n), params)
         if not np.isfinite(fake_y).all():
-            status = "failed:non_finite_y"
+            status = "failed:non_finite_y_discriminator"
             break
         loss_d = math.nan
         for _ in range(config.n_disc):
-            roots = pick(draw, config.batch)
+            roots = pick("discriminator")
             real, fake = net.batch(roots, y, mu_y, sigma_y, tau, draw), net.batch(roots, fake_y, mu_y, sigma_y, tau, draw)
             lr_, kr = disc.forward(real, True)
             gr, _ = disc.backward(real, kr, -expit(-lr_) / len(roots))
             lf, kf = disc.forward(fake, True)
+            if step == 1:
+                check_logits("real scores", lr_)
+                check_logits("simulated scores", lf)
             gf, _ = disc.backward(fake, kf, expit(lf) / len(roots))
             loss_d = float(softplus(-lr_).mean() + softplus(lf).mean())
             opt_d.step(disc.p, {k: gr[k] + gf[k] for k in gr})
-        y_fake, tangents, iters, residual = local.solve(draw.standard_normal(net.n), params, True)
+        noise = draw.standard_normal(net.n)
+        y_fake, tangents, iters, residual = local.solve(noise, params, not implicit)
         if not np.isfinite(y_fake).all():
-            status = "failed:non_finite_y"
+            status = "failed:non_finite_y_structural"
             break
-        roots = pick(draw, config.batch)
+        guard(residual)
+        roots = pick("structural")
         fake = net.batch(roots, y_fake, mu_y, sigma_y, tau, draw)
         lf, kf = disc.forward(fake)
         if config.loss == "nonsaturating":
@@ -464,8 +682,8 @@ def run_minimax(
             break
         _, dfeat = disc.backward(fake, kf, dl)
         by_node = np.bincount(fake.nodes, dfeat[:, net.x.shape[1]] / sigma_y, net.n)
-        hit = np.flatnonzero(by_node)
-        grads = {k: float((by_node[hit] * t[hit]).sum()) * float(dforward[k].value({"raw": raw[k]})) for k, t in tangents.items()}
+        slopes = local.pulled_back(y_fake, noise, params, by_node) if implicit else {k: float(by_node @ t) for k, t in tangents.items()}
+        grads = {k: v * float(dforward[k].value({"raw": raw[k]})) for k, v in slopes.items()}
         if gradient_transform is not None:
             new = gradient_transform(StepContext(step, dict(params), dict(grads), net))
             if set(new) != set(grads) or not all(math.isfinite(v) for v in new.values()):
@@ -479,48 +697,75 @@ def run_minimax(
         losses_d.append(loss_d)
         losses_g.append(loss_g)
         path.append(params)
-        settled = _settled(losses_d, losses_g, config)
-        stable = _stable(path, config)
-        record = {"step": step, "loss_d": loss_d, "loss_g": loss_g, "grad_norm_g": norm, "tau_y": tau, "lr_g": lr, "picard_iterations": iters, "picard_residual": residual, "picard_converged": residual < game.picard_tol, "in_equilibrium": settled, **params}
+        decision = rule.evaluate(losses_d, losses_g, path)
+        record = {"step": step, "loss_d": loss_d, "loss_g": loss_g, "grad_norm_g": norm, "tau_y": tau, "lr_g": lr, "picard_iterations": iters, "picard_residual": residual, "picard_converged": residual < game.picard_tol, "newton_residual": local.newton_residual, "in_equilibrium": decision.in_equilibrium, **params}
         history.append(record)
         emit("step", record)
-        if settled and stable and step >= config.min_steps:
+        if decision.converged:
             converged = True
             break
     nan = dict.fromkeys(game.params, math.nan)
     if not path or status != "ok":
         warnings.warn(f"the estimation failed: {status}", EstimationFailed, stacklevel=2)
-        result = Result(status, False, len(path), nan, nan, nan, math.nan, math.nan, history)
+        result = Result(status, False, len(path), nan, nan, nan, math.nan, math.nan, history, capped["picard"], capped["newton"])
     else:
         if not converged:
             warnings.warn("the run used up its steps", NotStationary, stacklevel=2)
         last = path[-max(config.window, config.stability_window) :]
         mean = {k: float(np.mean([p[k] for p in last])) for k in params}
         sd = {k: float(np.std([p[k] for p in last])) if len(last) > 1 else 0.0 for k in params}
-        result = Result(status, converged, len(path), mean, path[-1], sd, float(np.mean(losses_d[-config.window :])), float(np.mean(losses_g[-config.window :])), history)
+        result = Result(status, converged, len(path), mean, path[-1], sd, float(np.mean(losses_d[-config.window :])), float(np.mean(losses_g[-config.window :])), history, capped["picard"], capped["newton"])
     emit("run_end", result)
     return result
 
 
-def _settled(ld: list[float], lg: list[float], c: EstimatorConfig) -> bool:
-    if len(ld) < max(c.window, c.min_steps):
-        return False
-    d, g = np.array(ld[-c.window :]), np.array(lg[-c.window :])
-    target = math.log(2) if c.loss == "nonsaturating" else -math.log(2)
-    return bool(abs(d.mean() - 2 * math.log(2)) < c.delta_d and abs(g.mean() - target) < c.delta_g and d.std() <= c.std_max and g.std() <= c.std_max)
+@dataclass(frozen=True)
+class StoppingDecision:
+    """Whether a run may stop, and by what."""
+
+    converged: bool
+    in_equilibrium: bool
+    loss_d_rolling: float
+    loss_g_rolling: float
+    params_stable: bool
+
+
+class StoppingRule:
+    """Losses in their band and parameters that stand still, of any model's histories.
+
+    ``series.loss_band`` and ``series.param_stability`` say the same of tables of steps.
+    """
+
+    def __init__(self, config: EstimatorConfig):
+        self.config = config
+
+    def in_equilibrium(self, losses_d: list[float], losses_g: list[float]) -> tuple[bool, float, float]:
+        """(whether both losses are in their band, their means over the window; NaN until it is full)."""
+        c = self.config
+        if len(losses_d) < max(c.window, c.min_steps):
+            return False, math.nan, math.nan
+        d, g = np.array(losses_d[-c.window :]), np.array(losses_g[-c.window :])
+        target = OPTIMUM_G if c.loss == "nonsaturating" else OPTIMUM_G_SATURATING
+        inside = abs(d.mean() - OPTIMUM_D) < c.delta_d and abs(g.mean() - target) < c.delta_g and d.std() <= c.std_d_max and g.std() <= c.std_g_max
+        return bool(inside), float(d.mean()), float(g.mean())
 
+    def stable(self, path: list[dict[str, float]]) -> bool:
+        c = self.config
+        last = path[-c.stability_window :]
+        if len(last) < c.stability_window or not last[-1]:
+            return False
+        return all(max(p[k] for p in last) - min(p[k] for p in last) <= c.override_tol_for(k) for k in last[-1])
 
-def _stable(path: list[dict[str, float]], c: EstimatorConfig) -> bool:
-    if len(path) < c.stability_window:
-        return False
-    last = path[-c.stability_window :]
-    return all(max(p[k] for p in last) - min(p[k] for p in last) <= override_tol(k, c.stability_tol, dict(c.stability_overrides)) for k in path[-1])
+    def evaluate(self, losses_d: list[float], losses_g: list[float], path: list[dict[str, float]]) -> StoppingDecision:
+        inside, d, g = self.in_equilibrium(losses_d, losses_g)
+        stable = self.stable(path)
+        return StoppingDecision(inside and stable and len(path) >= self.config.min_steps, inside, d, g, stable)
 
 
 class AdversarialEstimator:
     """``fit(network, y)`` a game against a test function; what is learnt has a trailing underscore."""
 
-    def __init__(self, game: Game, disc: RootedGin, config: EstimatorConfig = EstimatorConfig(), blur: Blur = Blur(enabled=False), **hooks):
+    def __init__(self, game: Game, disc: RootedGin, config: EstimatorConfig = EstimatorConfig(), blur: BlurLike | None = None, **hooks):
         self.game, self.disc, self.config, self.blur, self.hooks = game, disc, config, blur, hooks
 
     def get_params(self) -> dict:
@@ -533,6 +778,8 @@ class AdversarialEstimator:
                 self.config = replace(self.config, **{k: v})
             elif k in ("game", "disc", "config", "blur"):
                 setattr(self, k, v)
+            elif k in ("gradient_transform", "observers", "sample"):
+                self.hooks = self.hooks | {k: v}
             else:
                 raise ValueError(f"no parameter {k!r}")
         return self
@@ -588,18 +835,49 @@ class Realization:
     seeds: dict[str, int]
 
 
+def _sent(spark: SparkSession, network: LocalNetwork):
+    """A broadcast of the arrays of a network; ``LocalNetwork.collect`` has checked their size."""
+    return spark.sparkContext.broadcast(network)
+
+
+def fit_in_task(
+    spark: SparkSession, network: LocalNetwork, observed: Callable[[LocalNetwork, int], np.ndarray], estimator: Callable[["Realization"], AdversarialEstimator],
+    read: Callable[[AdversarialEstimator], pd.DataFrame], schema: str, *, master: int = 0, index: int = 0,
+) -> DataFrame:
+    """One fit in a task of an executor; ``read`` turns the fitted estimator into the rows that come back."""
+    shared = _sent(spark, network)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _ in batch["id"]:
+                seeds = seed_streams(master, index)
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    yield read(estimator(Realization(index, seeds)).fit(shared.value, observed(shared.value, seeds["gt"])))
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, schema)
+
+
+#: The columns of a step that a Monte Carlo history keeps, besides the parameters.
+STEP_COLUMNS = ("loss_d", "loss_g", "grad_norm_g", "tau_y", "lr_g", "picard_residual")
+
+
 def monte_carlo(
     spark: SparkSession, n: int, network: LocalNetwork, observed: Callable[[LocalNetwork, int], np.ndarray], estimator: Callable[[Realization], AdversarialEstimator],
-    *, master: int = 0, done: DataFrame | None = None, params: tuple[str, ...] = (),
+    *, master: int = 0, done: DataFrame | None = None, params: tuple[str, ...] = (), histories: bool = False,
 ) -> DataFrame:
     """One row per realisation 0..n-1 that ``done`` doesn't have, each a task of its own.
 
     The arrays of the network travel once, as a broadcast; ``LocalNetwork.collect`` has checked their size.
+    ``histories`` adds the column ``history``, an array of all steps, which ``histories_of`` turns into rows.
     """
-    shared = spark.sparkContext.broadcast(network)
-    cols = ["converged boolean", "final_step int", "status string", *(f"{p}_{s} double" for p in params for s in ("hat", "final", "init")), "loss_d_rolling_final double", "loss_g_rolling_final double", *(f"{s}_seed long" for s in ("gt", "train", "sampler", "init"))]
+    shared = _sent(spark, network)
+    cols = ["converged boolean", "final_step int", "status string", *(f"`{p}_{s}` double" for p in params for s in ("hat", "final", "init")), "loss_d_rolling_final double", "loss_g_rolling_final double", *(f"{s}_seed long" for s in ("gt", "train", "sampler", "init"))]
+    kept = (*STEP_COLUMNS, *params)
+    if histories:
+        cols.append("history array<struct<step: int, " + ", ".join(f"`{c}`: double" for c in kept) + ">>")
     schema = "realization long, " + ", ".join(cols)
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = ["realization", *(c.split()[0].strip("`") for c in cols)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -611,9 +889,16 @@ def monte_carlo(
                     warnings.simplefilter("ignore")
                     est.set_params(seed=seeds["train"]).fit(shared.value, observed(shared.value, seeds["gt"]))
                 row = est.result_.row(int(k), **{f"{p}_init": v for p, v in init.items()}, **{f"{s}_seed": v for s, v in seeds.items()})
+                if histories:
+                    row["history"] = [{"step": r["step"], **{c: float(r[c]) for c in kept}} for r in est.result_.history]
                 yield pd.DataFrame([row]).reindex(columns=names)
 
-    todo = spark.range(n).select(F.col("id").alias("realization"))
+    todo = spark.range(0, n, 1, max(1, n)).select(F.col("id").alias("realization"))  # a partition each, which a broadcast join leaves so
     if done is not None:
-        todo = todo.join(done.select("realization").distinct(), "realization", "left_anti")
-    return todo.repartition(max(1, n), "realization").mapInPandas(run, schema)
+        todo = todo.join(F.broadcast(done.where(F.col("realization").between(0, n - 1)).select("realization").distinct()), "realization", "left_anti")  # n ids at most
+    return todo.mapInPandas(run, schema)
+
+
+def histories_of(rows: DataFrame) -> DataFrame:
+    """``(realization, step, loss_d, loss_g, ..., parameters)`` of Monte Carlo rows with histories: what the operators on series take."""
+    return rows.select("realization", F.explode("history").alias("h")).select("realization", "h.*")

@@ -11,7 +11,7 @@ from typing import Any, Protocol, runtime_checkable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netloom.functions.config import config_hash, provenance
+from netloom.functions.config import config_hash, jsonable, provenance
 from netloom.operators import estimator as est
 from netloom.operators import series
 from netloom.sources import files
@@ -69,9 +69,9 @@ class JsonLines:
     def _put(self, event: str, **fields) -> None:
         os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
         with open(self.path, "a") as f:
-            f.write(json.dumps({"event": event, "realization": self.realization, **fields}, default=str) + "\n")
+            f.write(json.dumps(jsonable({"event": event, "realization": self.realization, **fields})) + "\n")
 
-    def run_start(self, config): self._put("run_start", config=str(config))
+    def run_start(self, config): self._put("run_start", config=config)
     def step(self, record): self._put("step", **record)
     def run_end(self, result): self._put("run_end", status=result.status, final_step=result.final_step)
 
@@ -86,17 +86,21 @@ class Composite:
 
 
 class MonteCarloRunner:
-    """Realisations kept as rows under ``out``: resumed by number whatever their status, purged if the configuration changed."""
+    """Realisations kept under ``out``: resumed by number whatever their status, purged if the configuration changed.
 
-    def __init__(self, spark: SparkSession, out: str, config: Any, truth: dict[str, float], *, master: int = 0):
-        self.spark, self.out, self.config, self.truth, self.master = spark, out, config, truth, master
+    A row has its run's whole history; ``done`` leaves it unread, ``histories`` gives its steps.
+    ``visualize`` is called with the rows and the steps of all runs so far, on the driver, after each run.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, config: Any, truth: dict[str, float], *, master: int = 0, visualize: Callable[[DataFrame, DataFrame], Any] | None = None):
+        self.spark, self.out, self.config, self.truth, self.master, self.visualize = spark, out, config, truth, master, visualize
 
     @property
     def path(self) -> str:
         """The rows of this configuration: another one has another folder."""
         return f"{self.out}/rows/config={config_hash(self.config)[:16]}"
 
-    def done(self) -> DataFrame | None:
+    def _rows(self) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self.path)
         except Exception as e:
@@ -104,13 +108,25 @@ class MonteCarloRunner:
                 return None
             raise
 
+    def done(self) -> DataFrame | None:
+        rows = self._rows()
+        return None if rows is None else rows.drop("history")
+
+    def histories(self) -> DataFrame | None:
+        """``(realization, step, losses, parameters ...)`` of all runs that are kept."""
+        rows = self._rows()
+        return None if rows is None else est.histories_of(rows)
+
     def run(self, n: int, network: est.LocalNetwork, observed, estimator) -> dict[str, Any]:
         """Run what is missing of 0..n-1, append its rows, and return the manifest of this run alone."""
         began, before = time.time(), self.done()  # the files listed now; those appended below aren't among them
-        files.append_rows(est.monte_carlo(self.spark, n, network, observed, estimator, master=self.master, done=before, params=tuple(self.truth)), self.path)
+        fresh = est.monte_carlo(self.spark, n, network, observed, estimator, master=self.master, done=before, params=tuple(self.truth), histories=True)
+        files.append_rows(fresh, self.path, history=True)
         now = self.done()
         new = now if before is None else now.join(before.select("realization"), "realization", "left_anti")
         counts = new.agg(F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") != "ok").alias("failed")).first()
         status = counts.asDict()
         summary = [r.asDict() for r in series.summary(new, self.truth).collect()]  # a row per parameter
+        if self.visualize is not None:
+            self.visualize(now, self.histories())
         return provenance(self.config, seconds=time.time() - began, **status, summary=summary)

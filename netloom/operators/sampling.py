@@ -43,8 +43,16 @@ def packed(found: DataFrame, radius: int, target: int | None = None, seed: int =
     that comes first among the live ones of its ball is taken, and the balls of those taken die.
     ``found(root, node, dist)`` holds the balls of all nodes.
     """
-    near = checkpointed(found.where(F.col("dist") <= radius).select("root", "node", priority(seed, F.col("node")).alias("p")))
-    taken = None
+    return _packed(found, radius, None, target, seed, max_rounds)
+
+
+def _packed(found: DataFrame, radius: int, order: DataFrame | None, target: int | None, seed: int = 0, max_rounds: int = 200) -> DataFrame:
+    inside = found.where(F.col("dist") <= radius)
+    if order is None:
+        near = inside.select("root", "node", priority(seed, F.col("node")).alias("p"))
+    else:
+        near = inside.join(order.withColumnRenamed("id", "node"), "node").select("root", "node", F.struct(F.col("u"), F.col("node").alias("id")).alias("p"))
+    near, taken = checkpointed(near), None
     for _ in range(max_rounds):
         first = near.groupBy("root").agg(F.min("p").alias("p"))
         won = checkpointed(first.where(F.col("p.id") == F.col("root")).select("root", F.col("p.u").alias("u")))
@@ -58,6 +66,26 @@ def packed(found: DataFrame, radius: int, target: int | None = None, seed: int =
     return taken if target is None else taken.orderBy("u", "root").limit(target)
 
 
+def packed_in_order(found: DataFrame, radius: int, order: DataFrame, target: int | None = None) -> DataFrame:
+    """``packed`` for a given order(id, place) of the nodes, places being distinct, in place of a seed's random one."""
+    return _packed(found, radius, order.select("id", F.col("place").cast("double").alias("u")), target)
+
+
+def best_packed_in_orders(found: DataFrame, radius: int, orders: list[DataFrame], target: int | None = None) -> tuple[DataFrame, int]:
+    """(roots of the largest packing over some orders, the first one among equals; orders tried). Stops at the first that meets the target."""
+    if not orders:
+        raise ValueError("there must be an order")
+    best, size, k = None, -1, 0
+    for k, order in enumerate(orders, 1):
+        now = packed_in_order(found, radius, order, target)
+        n = now.count()
+        if n > size:
+            best, size = now, n
+        if target is not None and n >= target:
+            break
+    return best, k
+
+
 def best_packed(found: DataFrame, radius: int, target: int | None, restarts: int, seed: int = 0) -> tuple[DataFrame, int]:
     """(roots of the largest of several packings, the first one among equals; packings made). Stops at the first that meets the target."""
     best, size, k = None, -1, 0

@@ -56,11 +56,8 @@ def param_stability(df: DataFrame, params: list[str], window: int, tol: float, o
 
 
 def override_tol(param: str, tol: float, overrides: dict[str, float] | None) -> float:
-    """A parameter's own tolerance: that of the first override it bears as its name or, for ``name[i]``, before the bracket."""
-    for name, value in (overrides or {}).items():
-        if param == name or param.startswith(name + "["):
-            return value
-    return tol
+    """A parameter's own tolerance, by its exact name, or the common one."""
+    return (overrides or {}).get(param, tol)
 
 
 def stopping(df: DataFrame, params: list[str], *, window: int, stability_window: int, tol: float, min_steps: int = 0, overrides: dict[str, float] | None = None, key: str = "realization", **band) -> DataFrame:

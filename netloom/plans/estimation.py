@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from netloom.operators import datasets, graph
@@ -31,7 +30,7 @@ def observed(net: est.LocalNetwork, seed: int) -> np.ndarray:
 
 def estimator(spec: est.Realization, steps: int = 280) -> est.AdversarialEstimator:
     start = dict(zip(("beta", "gamma"), np.random.default_rng(spec.seeds["init"]).uniform((-0.2, 0.5), (0.2, 1.0)).tolist()))
-    config = est.EstimatorConfig(max_steps=steps, batch=16, window=35, stability_window=18, lr_g=8e-3, lr_d=4e-4, lr_g_decay_factor=0.5, lr_g_decay_milestones=(160, 220), seed=spec.seeds["train"])
+    config = est.EstimatorConfig(max_steps=steps, batch=16, differentiation="implicit", window=35, stability_window=18, lr_g=8e-3, lr_d=4e-4, lr_g_decay_factor=0.5, lr_g_decay_milestones=(160, 220), seed=spec.seeds["train"])
     return est.AdversarialEstimator(LinearInMeans(start | {"sigma_sq": 1.0}, beta_cap=0.85), est.RootedGin(3, 12, 2, 4.0, seed=spec.seeds["train"]), config, est.Blur(tau_y0=1.0, anneal_steps=170))
 
 
@@ -62,25 +61,55 @@ def gin_forward(spark, d):
     return spark.createDataFrame(rows, "root long, logit double")
 
 
-def _fitted(spark, d):
-    net = network(spark, d)
-    fit = estimator(est.Realization(0, est.seed_streams(7, 0)))
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return fit.fit(net, observed(net, 7))
+def _observed_seven(net: est.LocalNetwork, _: int) -> np.ndarray:
+    return observed(net, 7)
+
+
+def _estimates(fit: est.AdversarialEstimator) -> pd.DataFrame:
+    return fit.estimates()
+
+
+def _scores(fit: est.AdversarialEstimator) -> pd.DataFrame:
+    real, fake = fit.scores(128)
+    return pd.DataFrame({"slot": np.arange(len(real)), "real": real, "fake": fake})
+
+
+def packed_estimator(spec: est.Realization) -> est.AdversarialEstimator:
+    """Roots packed four steps apart, so that no two ego objects of a batch share a node."""
+    return estimator(spec).set_params(sample=est.LocalSampler("disjoint_relax", relax=(4, 3), restarts=2, min_batch=12, fallback="best"))
+
+
+_ESTIMATES = "param string, coef double, final double, path_sd double"
 
 
 @query()
 def fit_lim(spark, d):
-    return spark.createDataFrame(_fitted(spark, d).estimates())
+    return est.fit_in_task(spark, network(spark, d), _observed_seven, estimator, _estimates, _ESTIMATES, master=7)
+
+
+@query()
+def fit_lim_packed(spark, d):
+    return est.fit_in_task(spark, network(spark, d), _observed_seven, packed_estimator, _estimates, _ESTIMATES, master=7)
 
 
 @query()
 def discriminator_scores(spark, d):
-    real, fake = _fitted(spark, d).scores(128)
-    return spark.createDataFrame([(int(k), float(a), float(b)) for k, (a, b) in enumerate(zip(real, fake))], "slot long, real double, fake double")
+    return est.fit_in_task(spark, network(spark, d), _observed_seven, estimator, _scores, "slot long, real double, fake double", master=7)
+
+
+PARAMS = ("beta", "gamma", "sigma_sq")
 
 
 @query()
 def mc_run(spark, d):
-    return est.monte_carlo(spark, 8, network(spark, d), observed, estimator, master=11, params=("beta", "gamma", "sigma_sq"))
+    return est.monte_carlo(spark, 8, network(spark, d), observed, estimator, master=11, params=PARAMS)
+
+
+def short_estimator(spec: est.Realization) -> est.AdversarialEstimator:
+    return estimator(spec, steps=60)
+
+
+@query()
+def mc_histories(spark, d):
+    """All steps of four short runs."""
+    return est.histories_of(est.monte_carlo(spark, 4, network(spark, d), observed, short_estimator, master=11, params=PARAMS, histories=True))

@@ -27,9 +27,9 @@ def check_rows(header: Sequence[str], rows: Sequence[Sequence[Any]]) -> None:
             raise ValueError(f"row {k} has {len(row)} values; the header has {len(header)}")
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append to a Parquet table in the columns it has: others are left out, missing ones are null; ``history`` is never written."""
-    df = df.drop("history")
+def append_rows(df: DataFrame, path: str, history: bool = False) -> None:
+    """Append to a Parquet table in the columns it has: others are left out, missing ones are null; ``history`` is written only if asked for."""
+    df = df if history else df.drop("history")
     spark = df.sparkSession
     try:
         known = spark.read.parquet(path).schema
