@@ -24,7 +24,8 @@ def preference_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
     Only the point of divergence is aggregated per conversation, as a minimum, so a conversation
     of any length is spread over tasks. Rows without conv_id or turn are left out; where a
-    turn of a conversation is repeated, the least (role, text) stands for it.
+    turn of a conversation is repeated, the least (role, text) stands for it. Empty tables give
+    no rows, and other columns are ignored.
     """
 
     def turns(df: DataFrame, side: str) -> DataFrame:

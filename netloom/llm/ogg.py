@@ -176,7 +176,8 @@ def stored(text: str | None) -> bytes:
 def as_media(docs: DataFrame, keep: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): what is read back from its container; ``keep`` adds the ``media`` itself.
 
-    All values but doc_id depend on the text alone. Other columns are ignored.
+    All values but doc_id depend on the text alone, which may be of any length. Repeated rows are told each
+    by itself, an empty table gives no rows, and other columns are ignored.
     """
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

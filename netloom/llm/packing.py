@@ -180,6 +180,7 @@ def pieces(docs: DataFrame, path: str, most: int = MOST) -> DataFrame:
 
     A document is its ids by the tokenizer file at ``path``, without special tokens, and then id 0;
     only one longer than ``most`` is cut, into pieces of ``most``. A null text is empty: one piece, id 0.
+    Repeated rows are pieces each of its own; other columns are ignored.
     """
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

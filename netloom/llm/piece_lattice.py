@@ -459,6 +459,7 @@ def encoded(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     ids_crc32 is of the ids as little-endian unsigned 32-bit numbers, n_byte_tokens counts ids that
     stand for bytes, ``same`` says whether decoding gives the text back (it can't where a text has
     the mark itself). A null text is empty: no ids. ``keep`` adds the ``ids``. Other columns are ignored.
+    Texts may be of any length, repeated rows are told each by itself, and an empty table gives no rows.
     """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -209,7 +209,10 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text); see ``find``. A null text is empty, other columns are ignored."""
+    """One row per row of docs(doc_id, text); see ``find``. A null text is empty, other columns are ignored.
+
+    Texts of any length are read whole, repeated rows each by itself; an empty table gives no rows.
+    """
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [find(t) for t in batch.column("text").to_pylist()]
@@ -245,7 +248,10 @@ def masked(text: str | None) -> str | None:
 
 
 def mask_personal(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with personal data in ``text`` masked, ``n_chars`` set to the new length where it is there."""
+    """The rows of ``docs`` with personal data in ``text`` masked, ``n_chars`` set to the new length where it is there.
+
+    Texts may be of any length; null ones, repeated rows and all other columns stay as they are.
+    """
     names = docs.columns
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

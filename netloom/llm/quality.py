@@ -30,7 +30,9 @@ def _shape(token: str) -> str:
     return f"{case}{min(4, len(token) // 4)}"
 
 
-_codes = Memo(lambda t: (xxhash.xxh64_intdigest(t.lower()), xxhash.xxh64_intdigest(_shape(t), 1)))
+_shapes = Memo(lambda s: xxhash.xxh64_intdigest(s, 1).to_bytes(8, "little"))
+#: The hashes of a token and of its shape, one behind the other.
+_codes = Memo(lambda t: xxhash.xxh64_intdigest(t.lower()).to_bytes(8, "little") + _shapes[_shape(t)])
 
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -46,13 +48,13 @@ def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     mask = np.uint64((1 << bits) - 1)
     if not tokens:
         return np.zeros(1, np.int32), np.ones(1, np.float32)
-    codes = np.array([_codes[t] for t in tokens], np.uint64)
-    w, s = codes[:, 0], codes[:, 1]
+    codes = np.frombuffer(b"".join(map(_codes.__getitem__, tokens)), "<u8").reshape(-1, 2)
+    w, s = codes[:, 0].copy(), codes[:, 1].copy()
     two = mix(w[:-1] * np.uint64(3) + w[1:])
     two[w[:-1] == w[1:]] = np.uint64(7)
     s2 = mix(s[:-1] * np.uint64(5) + s[1:])
     grams = [w, two, s, s2, mix(s2[:-1] * np.uint64(7) + s[2:])]
-    index, times = np.unique(np.concatenate([(g & mask) for g in grams]), return_counts=True)
+    index, times = np.unique(np.concatenate([(g & mask).astype(np.uint32) for g in grams]), return_counts=True)
     keep = index > 0
     index, times = index[keep].astype(np.int64), times[keep]
     return np.concatenate([[0], index]).astype(np.int32), np.concatenate([[1], np.sqrt(times / (len(tokens) + SMOOTH))]).astype(np.float32)
@@ -135,7 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, model: Ftrl = Ftrl(), sample: int
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """``(doc_id, score)`` for each row of docs(doc_id, text), from the whole text alone; null text is empty."""
+    """``(doc_id, score)`` for each row of docs(doc_id, text), from the whole text alone, however long; null text is empty.
+
+    Equal texts have equal scores, repeated rows one each; an empty table gives no rows, and other columns are ignored.
+    """
     at = np.flatnonzero(weights)
     small = weights[at]
 

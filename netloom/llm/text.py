@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Entries of a per-process memo before it is emptied.
-MEMO = 200_000
+#: Entries of a per-process memo at most.
+MEMO = 400_000
 WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -33,17 +33,27 @@ def forgettable(forget: Callable[[], None]) -> None:
 
 
 class Memo(dict):
-    """A bounded memo of ``make(key)``; it only saves work, never changes a value."""
+    """A bounded memo of ``make(key)``; it only saves work, never changes a value.
+
+    It has two generations: when the younger is full it becomes the older, from which what is
+    asked for again comes back, and the rest is forgotten with the next change.
+    """
 
     def __init__(self, make: Callable, most: int = MEMO):
         super().__init__()
-        self.make, self.most = make, most
-        forgettable(self.clear)
+        self.make, self.most, self.older = make, most, {}
+        forgettable(self.forget)
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.older[key] if key in self.older else self.make(key)
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 

@@ -7,6 +7,7 @@ import __spark_entry__
 import corpus_pipeline
 from netloom.llm import pii
 from tests.llm.test_line_dedup import brute as repeated
+from tests.llm.test_ngram_join import brute as near
 from tests.llm.test_packing import hold
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +30,9 @@ def test_stages(spark):
     for r in good.join(lines.select("doc_id", F.col("text").alias("new")), "doc_id", "left").collect():
         want = "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, k) not in gone)
         assert r.new == want or r.new is None and not want.strip()
-    assert alone.count() <= lines.count()
+    rows = [(r.doc_id, r.text) for r in lines.collect()]
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(set(near(rows)[1]))  # one of each class of links, the first
+    assert alone.join(lines, ["doc_id", "text"], "left_anti").count() == 0
     assert all(not pii.find(r.text)[1] for r in masked.collect())
     hold(packed.collect(), [(r.doc_id, r.text) for r in masked.collect()], 2048)
     whole = corpus_pipeline.run(spark, SF)
