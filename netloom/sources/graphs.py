@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -42,7 +43,7 @@ def from_pairs(spark: SparkSession, pairs: np.ndarray) -> DataFrame:
     """Both directions of the rows of an (m, 2) array, distinct and without self-loops."""
     both = np.concatenate([pairs, pairs[:, ::-1]]).astype(np.int64)
     both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
-    return spark.createDataFrame([tuple(map(int, r)) for r in both], "src long, dst long")
+    return spark.createDataFrame(pa.table({"src": both[:, 0], "dst": both[:, 1]}), "src long, dst long")
 
 
 def barabasi_albert_pairs(n: int, m: int, seed: int) -> np.ndarray:

@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -205,3 +206,30 @@ def test_lfr(spark):
     assert 3.5 < sum(degree) / 400 < 8 and max(degree) <= 40
     with pytest.raises(ValueError):
         gen.lfr_pairs(100, 1)
+
+
+def test_lfr_has_the_degrees_asked_for():
+    """The maximum-likelihood exponent of the degrees of the tail, and their bound."""
+    for tau in (2.3, 2.8):
+        p = gen.lfr_pairs(6000, 3, tau1=tau, min_degree=8, max_degree=200, min_community=60, max_community=400)
+        degree = np.bincount(p.ravel(), minlength=6000)
+        tail = degree[degree >= 12]
+        exponent = 1 + len(tail) / np.log(tail / 11.5).sum()
+        assert abs(exponent - tau) < 0.35, (tau, exponent)
+        assert degree.max() <= 200
+
+
+def test_scores_stay_within_their_band():
+    """A clipped test function's scores lie in [eta, 1 - eta], whatever its features."""
+    from netloom.operators import estimator as est
+
+    draw = np.random.default_rng(0)
+    for clip in (2.0, 5.0):
+        d = est.RootedGin(3, 8, 2, clip, seed=1)
+        for k in d.p:
+            d.p[k] = d.p[k] * 50
+        rows = np.arange(30)
+        b = est.Batch(1e4 * draw.standard_normal((30, 3)), rows, np.roll(rows, 1), rows, rows)
+        eta = est.expit(np.array(-clip))
+        s = est.expit(d.forward(b)[0])
+        assert (s >= eta - 1e-12).all() and (s <= 1 - eta + 1e-12).all()
