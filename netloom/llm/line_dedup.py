@@ -20,10 +20,6 @@ LEAST, LEAST_NEAR = 5, 8
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
 _PARTS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
 
-#: Bits of a bitmap for each value in it, of the smallest and of the largest one (32 MB). Where the
-#: largest would be too full to tell, joins do what it does.
-PER, BITS_LEAST, BITS_MOST = 64, 1 << 24, 1 << 28
-
 
 def words(line: str) -> list[str]:
     """A line's words: lower case, parted by white space; of scripts without blanks the characters."""
@@ -80,14 +76,9 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _mark(line: str) -> int:
-    """A hash of a line as it stands, by which it is found again without a look at its words."""
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-
-
 def _lines(least: int, near: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, lines, keys, marks, parts = [], [], [], [], []
+        docs, lines, keys, parts = [], [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             for k, line in enumerate((text or "").split("\n")):
                 w = words(line)
@@ -96,64 +87,24 @@ def _lines(least: int, near: int):
                 docs.append(doc)
                 lines.append(k)
                 keys.append(key(w))
-                long = len(w) >= near
-                marks.append(_signed(_mark(line)) if long else None)
-                parts.append([_signed(h) for h in sorted(halves(w))] if long else [])
-        cols = [pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(marks, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "key", "mark", "halves"])
+                parts.append([_signed(h) for h in sorted(halves(w))] if len(w) >= near else [])
+        cols = [pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "key", "halves"])
 
     return by_batch(fn)
 
 
-def _possible(shared: np.ndarray):
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """The marks of lines that have a half in the bitmap."""
-        found = batch.column("halves")
-        sizes = np.diff(found.offsets.to_numpy())
-        hit = np.repeat(np.arange(len(sizes)), sizes)[has(shared, found.flatten().to_numpy())]
-        return pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(np.unique(hit)))], ["mark"])
-
-    return by_batch(fn, 8192)
-
-
-def _spelt(found: dict[bytes, tuple[int, int, list[str]]]) -> pa.RecordBatch:
-    codes = [np.fromiter(map(word_hash.__getitem__, w), np.uint64, len(w)).tobytes() for *_, w in found.values()]
-    docs, lines = ([f[i] for f in found.values()] for i in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(codes, pa.binary())], ["key", "doc_id", "line", "codes"])
-
-
-def _codes(possible: np.ndarray, near: int):
-    def fn(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
-        """The word hashes of lines whose mark is in the bitmap; of equal lines in a batch the earliest."""
-        found: dict[bytes, tuple[int, int, list[str]]] = {}
-        mask = 8 * len(bits) - 1
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            for k, line in enumerate((text or "").split("\n")):
-                at = _mark(line) & mask
-                if not bits[at >> 3] >> (at & 7) & 1:
-                    continue
-                w = words(line)
-                if len(w) >= near and ((name := key(w)) not in found or (doc, k) < found[name][:2]):
-                    found[name] = (doc, k, w)
-        return _spelt(found)
-
-    def run(batches):
-        bits = possible.tobytes()
-        yield from by_batch(lambda batch: fn(batch, bits), 2048)(batches)
-
-    return run
-
-
 def _named(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The word hashes of the lines named; rows that share a doc_id may have other lines there, so names are held against keys."""
-    found: dict[bytes, tuple[int, int, list[str]]] = {}
+    found: dict[bytes, tuple[int, int, bytes]] = {}
     for doc, text, named in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "named"))):
         parts = (text or "").split("\n")
         for n in named:
             w = words(parts[n["line"]]) if n["line"] < len(parts) else []
             if w and key(w) == n["key"]:
-                found[n["key"]] = (doc, n["line"], w)
-    return _spelt(found)
+                found[n["key"]] = doc, n["line"], np.fromiter(map(word_hash.__getitem__, w), np.uint64, len(w)).tobytes()
+    cols = [pa.array([f[i] for f in found.values()], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *cols], ["key", "doc_id", "line", "codes"])
 
 
 def _hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -162,44 +113,13 @@ def _hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64))], ["variant"])
 
 
-def _variants(shared: np.ndarray | None):
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """All variants of each line, or those in the bitmap."""
-        codes = [np.frombuffer(c, np.uint64) for c in batch.column("codes").to_pylist()]
-        got = [variants(c) for c in codes]
-        at = np.repeat(np.arange(len(codes)), [len(c) + 1 for c in codes])
-        h, place = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-        h = h.view(np.int64)
-        if shared is not None:
-            keep = has(shared, h)
-            at, h, place = at[keep], h[keep], place[keep]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), batch.column("line").take(pa.array(at)), pa.array(h), pa.array(place)], ["doc_id", "line", "variant", "place"])
-
-    return by_batch(fn, 2000)
-
-
-def bits_for(n: int) -> int | None:
-    """Bits of a bitmap that n values fill to a 64th at most; None if that is more than BITS_MOST."""
-    bits = max(BITS_LEAST, 1 << (PER * n - 1).bit_length() if n else 0)
-    return bits if bits <= BITS_MOST else None
-
-
-def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap in which each value of a column of hashes sets one bit.
-
-    The bits are gathered by an aggregate, so at most ``bits / 64`` rows reach the driver, whatever
-    the number of values. A value that sets no bit is surely not in the column.
-    """
-    bit = F.expr(f"pmod({column}, {bits})")
-    rows = df.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("x")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows.column("w").to_numpy()] = rows.column("x").to_numpy()
-    return out.view(np.uint64)
-
-
-def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.view(np.uint64) & np.uint64(64 * len(bits) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+def _variants(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """All variants of each line."""
+    codes = [np.frombuffer(c, np.uint64) for c in batch.column("codes").to_pylist()]
+    got = [variants(c) for c in codes]
+    at = pa.array(np.repeat(np.arange(len(codes)), [len(c) + 1 for c in codes]))
+    h, place = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("line").take(at), pa.array(h.view(np.int64)), pa.array(place)], ["doc_id", "line", "variant", "place"])
 
 
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,20 +127,13 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["doc_id", "line", "kept_doc_id", "kept_line"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _partnered(slim: DataFrame, firsts: DataFrame, near: int) -> DataFrame:
+def _partnered(slim: DataFrame, firsts: DataFrame) -> DataFrame:
     """``(key, doc_id, line, codes)`` of the first lines that share a start or end of half the length with another one."""
-    shared = checkpointed(firsts.select(F.explode("halves").alias("half")).groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), slim=True)
-    bits = bits_for(shared.count())
-    if bits:
-        marks = checkpointed(firsts.select("mark", "halves").mapInArrow(_possible(bitmap(shared, "half", bits)), "mark long"), slim=True)
-        bits = bits_for(marks.count())
-    if bits:
-        found = slim.mapInArrow(_codes(bitmap(marks, "mark", bits), near), "key binary, doc_id long, line int, codes binary")
-    else:
-        some = firsts.select("key", "kept_doc_id", "kept_line", F.explode("halves").alias("half")).join(rekeyed(shared, "half"), "half", "left_semi")
-        some = some.select("key", F.col("kept_doc_id").alias("of"), F.col("kept_line").alias("line")).distinct()
-        named = some.groupBy("of").agg(F.collect_list(F.struct("line", "key")).alias("named"))
-        found = slim.join(named, slim["doc_id"] == named["of"]).select("doc_id", "text", "named").mapInArrow(by_batch(_named), "key binary, doc_id long, line int, codes binary")
+    parts = firsts.select("key", "kept_doc_id", "kept_line", F.explode("halves").alias("half"))
+    shared = checkpointed(parts.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), slim=True)
+    some = parts.join(rekeyed(shared, "half"), "half", "left_semi").select("key", F.col("kept_doc_id").alias("of"), F.col("kept_line").alias("line")).distinct()
+    named = some.groupBy("of").agg(F.collect_list(F.struct("line", "key")).alias("named"))
+    found = slim.join(named, slim["doc_id"] == named["of"]).select("doc_id", "text", "named").mapInArrow(by_batch(_named), "key binary, doc_id long, line int, codes binary")
     return found.groupBy("key").agg(F.min(F.struct("doc_id", "line", "codes")).alias("f")).select("key", "f.doc_id", "f.line", "f.codes")
 
 
@@ -238,30 +151,25 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
     in an aggregate that keeps the earliest line of each place of deletion, so a bucket costs no
     pairs and a hot one is aggregated where it arises. What a line then points to is verified on
     the words. A possible partner is one that shares a start or end of half the length, which two
-    lines of one edit always do. Which lines and which variants have one is told by bitmaps as large
-    as the number of shared ones asks for, or by joins if that is more than BITS_MOST; either way the exact steps
-    see all that can have a partner. Null texts have no lines; rows with a null doc_id take no part;
+    lines of one edit always do; semi-joins with the halves and the variants that occur twice leave
+    only lines and variants that can have one, so the cost follows the text and what is shared in it. Null texts have no lines; rows with a null doc_id take no part;
     rows that share a doc_id and a line count as one, for edits that with the least word hashes. A text or line may be of any length.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = checkpointed(slim.mapInArrow(_lines(least, near), "doc_id long, line int, key binary, mark long, halves array<long>"))
+    lines = checkpointed(slim.mapInArrow(_lines(least, near), "doc_id long, line int, key binary, halves array<long>"))
     place = F.struct("doc_id", "line")
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "mark")).alias("f"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    firsts = checkpointed(firsts.select("key", F.col("f.doc_id").alias("kept_doc_id"), F.col("f.line").alias("kept_line"), "f.mark", "n", "halves"))
+    firsts = lines.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    firsts = checkpointed(firsts.select("key", F.col("f.doc_id").alias("kept_doc_id"), F.col("f.line").alias("kept_line"), "n", "halves"))
     copies = (
         lines.select("doc_id", "line", "key")
         .join(firsts.where("n > 1").select("key", "kept_doc_id", "kept_line"), "key")
         .where("doc_id <> kept_doc_id or line <> kept_line")
         .select("doc_id", "line", "kept_doc_id", "kept_line", F.lit(0).alias("edits"))
     )
-    codes = checkpointed(_partnered(slim, firsts, near).groupBy("doc_id", "line").agg(F.min("codes").alias("codes")))
+    codes = checkpointed(_partnered(slim, firsts).groupBy("doc_id", "line").agg(F.min("codes").alias("codes")))
     spelt = "doc_id long, line int, variant long, place int"
     twice = checkpointed(codes.mapInArrow(by_batch(_hashes, 2000), "variant long").groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant"), slim=True)
-    bits = bits_for(twice.count())
-    if bits:
-        rows = checkpointed(codes.mapInArrow(_variants(bitmap(twice, "variant", bits)), spelt))
-    else:
-        rows = checkpointed(codes.mapInArrow(_variants(None), spelt).join(rekeyed(twice, "variant"), "variant", "left_semi").select("doc_id", "line", "variant", "place"))
+    rows = checkpointed(codes.mapInArrow(by_batch(_variants, 2000), spelt).join(rekeyed(twice, "variant"), "variant", "left_semi").select("doc_id", "line", "variant", "place"))
     least_at = rows.groupBy("variant", "place").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     least_of = least_at.groupBy("variant").agg(
         F.sum("n").alias("all"), F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("part")

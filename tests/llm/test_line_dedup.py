@@ -60,26 +60,14 @@ def test_against_all_pairs(spark):
         assert got == want and sum(v[2] for v in want.values()) > 20
 
 
-def test_full_bitmaps_change_nothing(spark, monkeypatch):
-    data = rows(3)
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    monkeypatch.setattr(ld, "bitmap", lambda df, column, bits: np.full(bits // 64, 2**64 - 1, np.uint64))
-    assert found(df) == brute(data)
-
-
-def test_joins_where_bitmaps_would_be_too_large(spark, monkeypatch):
-    monkeypatch.setattr(ld, "BITS_LEAST", 64)
-    for most in (64, 4096, 16384):  # no bitmap at all, and some of the three
-        monkeypatch.setattr(ld, "BITS_MOST", most)
-        data = rows(4)
-        assert found(spark.createDataFrame(data, "doc_id long, text string")) == brute(data)
-
-
-def test_bitmaps_grow_with_what_they_hold():
-    assert ld.bits_for(0) == ld.bits_for(1) == ld.BITS_LEAST
-    for n in (3 * 10**5, 10**6, 2**22):
-        assert 64 * n <= ld.bits_for(n) <= min(128 * n, ld.BITS_MOST)
-    assert ld.bits_for(2**22 + 1) is None
+def test_a_hot_half_and_lines_of_one_id(spark):
+    """One start that many unlike lines share, and rows of one doc_id with unlike texts."""
+    start = "one two three four five six"
+    data = [(d, f"{start} w{d} x{d} y{d} z{d}") for d in range(300)] + [(400 + d, f"{start} w{d} x{d} y{d} other") for d in range(0, 300, 7)]
+    assert found(spark.createDataFrame(data, "doc_id long, text string")) == brute(data)
+    more = [*data, (5, "another text of the same number here one two three"), (900, "another text of the same number here one two four")]
+    got = found(spark.createDataFrame(more, "doc_id long, text string"))
+    assert {k: v for k, v in got.items() if k[0] not in (5, 900, 405)} == {k: v for k, v in brute(data).items() if k[0] not in (5, 900, 405)}
 
 
 def test_repeated_rows_and_empty_table(spark):
