@@ -130,7 +130,7 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _partnered(slim: DataFrame, firsts: DataFrame) -> DataFrame:
     """``(key, doc_id, line, codes)`` of the first lines that share a start or end of half the length with another one."""
     parts = firsts.select("key", "kept_doc_id", "kept_line", F.explode("halves").alias("half"))
-    shared = checkpointed(parts.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), slim=True)
+    shared = parts.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     some = parts.join(rekeyed(shared, "half"), "half", "left_semi").select("key", F.col("kept_doc_id").alias("of"), F.col("kept_line").alias("line")).distinct()
     named = some.groupBy("of").agg(F.collect_list(F.struct("line", "key")).alias("named"))
     found = slim.join(named, slim["doc_id"] == named["of"]).select("doc_id", "text", "named").mapInArrow(by_batch(_named), "key binary, doc_id long, line int, codes binary")
@@ -168,7 +168,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = LEAST_NEAR)
     )
     codes = checkpointed(_partnered(slim, firsts).groupBy("doc_id", "line").agg(F.min("codes").alias("codes")))
     spelt = "doc_id long, line int, variant long, place int"
-    twice = checkpointed(codes.mapInArrow(by_batch(_hashes, 2000), "variant long").groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant"), slim=True)
+    twice = codes.mapInArrow(by_batch(_hashes, 2000), "variant long").groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant")
     rows = checkpointed(codes.mapInArrow(by_batch(_variants, 2000), spelt).join(rekeyed(twice, "variant"), "variant", "left_semi").select("doc_id", "line", "variant", "place"))
     least_at = rows.groupBy("variant", "place").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     least_of = least_at.groupBy("variant").agg(

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.text import Memo, by_batch, mix
+from netloom.llm.text import Lasting, Memo, by_batch, mix
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Labelled documents that training uses at most, the ones with the least hash of their id.
@@ -32,7 +32,7 @@ def _shape(token: str) -> str:
 
 _shapes = Memo(lambda s: xxhash.xxh64_intdigest(s, 1).to_bytes(8, "little"))
 #: The hashes of a token and of its shape, one behind the other.
-_codes = Memo(lambda t: xxhash.xxh64_intdigest(t.lower()).to_bytes(8, "little") + _shapes[_shape(t)])
+_codes = Lasting(lambda t: xxhash.xxh64_intdigest(t.lower()).to_bytes(8, "little") + _shapes[_shape(t)])
 
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Entries of a per-process memo at most.
-MEMO = 400_000
+#: Entries of a per-process memo before it is emptied.
+MEMO = 200_000
 WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -33,17 +33,30 @@ def forgettable(forget: Callable[[], None]) -> None:
 
 
 class Memo(dict):
-    """A bounded memo of ``make(key)``; it only saves work, never changes a value.
-
-    It has two generations: when the younger is full it becomes the older, from which what is
-    asked for again comes back, and the rest is forgotten with the next change.
-    """
+    """A bounded memo of ``make(key)``; it only saves work, never changes a value."""
 
     def __init__(self, make: Callable, most: int = MEMO):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most = make, most
         forgettable(self.forget)
 
+    def forget(self) -> None:
+        self.clear()
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
+class Lasting(Memo):
+    """A memo for what is dear to make: when it is full it becomes the older half, from which what is asked for again comes back."""
+
+    def __init__(self, make: Callable, most: int = 2 * MEMO):
+        super().__init__(make, most)
+        self.older: dict = {}
+
     def forget(self) -> None:
         self.clear()
         self.older = {}
