@@ -1,4 +1,5 @@
 import math
+import os
 import shutil
 import subprocess
 import sys
@@ -43,18 +44,38 @@ def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 100
 
 
-def test_entry_stands_without_the_text_operators(tmp_path):
-    here = Path(__spark_entry__.__file__).parent
-    shutil.copy(here / "__spark_entry__.py", tmp_path)
-    shutil.copytree(here / "netloom", tmp_path / "netloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    told = subprocess.run([sys.executable, "-W", "error", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert told.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))], told.stderr
+def imported(folder, *options):
+    """How many queries and SQL statements the entry of a folder has, in a process that finds nothing but that folder."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    told = subprocess.run([sys.executable, *options, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=folder, env=env, capture_output=True, text=True, timeout=120)
+    return told.stdout.split(), told.stderr
 
 
-def test_entry_says_why_the_text_operators_are_left_out(tmp_path):
+@pytest.fixture
+def without(tmp_path):
+    """A copy of the repository without the text operators."""
     here = Path(__spark_entry__.__file__).parent
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     shutil.copytree(here / "netloom", tmp_path / "netloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
-    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert told.stdout.split() == [str(len(registry.queries()))] and "a_library_that_is_not_there" in told.stderr
+    if (here / "jobs").exists():
+        shutil.copytree(here / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
+    return tmp_path
+
+
+@pytest.mark.parametrize("left", ["nothing", "pipeline", "caches"])
+def test_entry_stands_without_the_text_operators(without, left):
+    """Silent, whether or not the pipeline's file or a folder of caches was left behind."""
+    if left == "pipeline":
+        (without / "corpus_pipeline.py").write_text("from netloom.llm import pii\n")
+    if left == "caches":
+        (without / "netloom" / "llm" / "__pycache__").mkdir(parents=True)
+    told, said = imported(without, "-W", "error")
+    assert told == [str(len(registry.queries())), str(len(registry.oracle_sql()))], said
+
+
+def test_entry_says_why_the_text_operators_are_left_out(without):
+    (without / "netloom" / "llm").mkdir()
+    (without / "netloom" / "llm" / "__init__.py").touch()
+    (without / "corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
+    told, said = imported(without)
+    assert told == [str(len(registry.queries())), str(len(registry.oracle_sql()))] and "a_library_that_is_not_there" in said
