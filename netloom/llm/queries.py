@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netloom.llm import chat, line_dedup, ngram_join, ogg, packing, piece_lattice, pii, quality, secrets_scan, topk
+from netloom.llm import chat, filter_audit, line_dedup, ngram_join, ogg, packing, piece_lattice, pii, quality, secrets_scan, simhash, topk
 
 WORD_FILE, PIECE_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -60,10 +60,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_ngram_jaccard, op2_quality, op3_secrets, op4_packing, op5_preferences, op6_personal_data, op7_pieces, op8_ogg_media, op9_line_dedup, op10_topk]
+    found = [op1_ngram_jaccard, op2_quality, op3_secrets, op4_packing, op5_preferences, op6_personal_data, op7_pieces, op8_ogg_media, op9_line_dedup, op10_topk, op11_simhash, op12_filter_audit]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -79,4 +87,4 @@ select query_id, rank, vec_id, score from (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preferences": chat.ORACLE, "op10_topk": _TOP}
+    return {"op5_preferences": chat.ORACLE, "op10_topk": _TOP, "op12_filter_audit": filter_audit.ORACLE}
