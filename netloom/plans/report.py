@@ -34,31 +34,31 @@ def _frame(n):
     return f"(partition by realization order by step rows between {n - 1} preceding and current row)"
 
 
-_BAND = f"""bd as (select realization, step, beta, gamma, row_number() over (partition by realization order by step) >= 6 as ready,
+BAND_SQL = f"""bd as (select realization, step, beta, gamma, row_number() over (partition by realization order by step) >= 6 as ready,
  avg(loss_d) over {_frame(5)} as md, stddev_pop(loss_d) over {_frame(5)} as sd, avg(loss_g) over {_frame(5)} as mg, stddev_pop(loss_g) over {_frame(5)} as sg from h),
 bq as (select *, ready and abs(md - 2 * ln(2)) < 0.03::double and abs(mg - ln(2)) < 0.03::double and sd <= 0.1::double and sg <= 0.1::double as eq from bd)"""
 BAND = {"min_steps": 6, "delta_d": 0.03, "delta_g": 0.03, "std_max": 0.1}
 
 
-@query(f"with {H}, {_BAND} select realization, step, " + ", ".join(f"case when ready then {R(a)} else 'nan'::double end as {b}" for a, b in (("md", "loss_d_mean"), ("sd", "loss_d_std"), ("mg", "loss_g_mean"), ("sg", "loss_g_std"))) + ", eq as in_equilibrium from bq")
+@query(f"with {H}, {BAND_SQL} select realization, step, " + ", ".join(f"case when ready then {R(a)} else 'nan'::double end as {b}" for a, b in (("md", "loss_d_mean"), ("sd", "loss_d_std"), ("mg", "loss_g_mean"), ("sg", "loss_g_std"))) + ", eq as in_equilibrium from bq")
 def loss_band(spark, d):
     cols = ["loss_d_mean", "loss_d_std", "loss_g_mean", "loss_g_std"]
     return _six(series.loss_band(fx.history(spark, d), 5, **BAND).select("realization", "step", *cols, "in_equilibrium"), *cols)
 
 
-_STABLE = f"""sb as (select realization, step, row_number() over (partition by realization order by step) >= 4 as full4,
+STABLE_SQL = f"""sb as (select realization, step, row_number() over (partition by realization order by step) >= 4 as full4,
  max(beta) over {_frame(4)} - min(beta) over {_frame(4)} as rb, max(gamma) over {_frame(4)} - min(gamma) over {_frame(4)} as rg from h),
 sq as (select *, full4 and rb <= 0.15::double and rg <= 0.3::double as stable from sb)"""
 STABLE = {"stability_window": 4, "tol": 0.15, "overrides": {"gamma": 0.3}}
 
 
-@query(f"with {H}, {_STABLE} select realization, step, case when full4 then {R('rb')} else 'nan'::double end as range_beta, case when full4 then {R('rg')} else 'nan'::double end as range_gamma, stable from sq")
+@query(f"with {H}, {STABLE_SQL} select realization, step, case when full4 then {R('rb')} else 'nan'::double end as range_beta, case when full4 then {R('rg')} else 'nan'::double end as range_gamma, stable from sq")
 def param_stability(spark, d):
     out = series.param_stability(fx.history(spark, d), ["beta", "gamma"], 4, 0.15, {"gamma": 0.3})
     return _six(out.select("realization", "step", "range_beta", "range_gamma", "stable"), "range_beta", "range_gamma")
 
 
-@query(f"with {H}, {_BAND}, {_STABLE} select realization, coalesce(min(case when eq and stable then step end), -1)::int as first_step from bq join sq using (realization, step) group by realization")
+@query(f"with {H}, {BAND_SQL}, {STABLE_SQL} select realization, coalesce(min(case when eq and stable then step end), -1)::int as first_step from bq join sq using (realization, step) group by realization")
 def stopping_first_step(spark, d):
     return series.stopping(fx.history(spark, d), ["beta", "gamma"], window=5, **STABLE, **BAND).withColumn("first_step", F.coalesce("first_step", F.lit(-1)))
 

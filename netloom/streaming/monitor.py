@@ -1,9 +1,18 @@
-"""Monitoring a run's step records as a stream: an extension, the reference's records are a plain file."""
+"""Following runs by their step records as a stream."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netloom.functions.scalar import OPTIMA
+from netloom.operators.series import override_tol
 from netloom.sources.files import STEP
 
 
@@ -19,3 +28,110 @@ def progress(stream: DataFrame) -> DataFrame:
 
 def start(table: DataFrame, name: str):
     return table.writeStream.outputMode("complete").format("memory").queryName(name).start()
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When a run's losses are in equilibrium and its parameters stable, as ``series.loss_band`` and ``series.param_stability`` say."""
+
+    params: tuple[str, ...]
+    window: int
+    stability_window: int
+    tol: float
+    overrides: dict[str, float] = field(default_factory=dict)
+    min_steps: int = 0
+    delta_d: float = 0.01
+    delta_g: float = 0.01
+    std_max: float = 0.1
+    target_d: float = OPTIMA["loss_d"]
+    target_g: float = OPTIMA["loss_g_nonsaturating"]
+
+    @property
+    def kept(self) -> int:
+        """Steps before a step that can matter for it."""
+        return max(self.window, self.stability_window) - 1
+
+    def judged(self, values: np.ndarray, seen: int) -> dict[str, np.ndarray]:
+        """The statistics of all but the first rows of values(loss_d, loss_g, params...); ``seen`` rows were before the later ones, the last of them are the first here."""
+        before = min(seen, self.kept)
+        n = len(values) - before
+        number = seen + np.arange(n) + 1
+        out, nan = {}, np.full((n, values.shape[1]), math.nan)
+
+        def rolling(width: int, of) -> np.ndarray:
+            full = nan.copy()
+            first = max(0, width - before - 1)  # the first new row with a full window
+            if first < n:
+                windows = np.lib.stride_tricks.sliding_window_view(values[before + first - width + 1 :], width, axis=0)
+                full[first:] = of(windows)
+            return full
+
+        ready = number >= max(self.window, self.min_steps)
+        mean, std = rolling(self.window, lambda w: w.mean(-1)), rolling(self.window, lambda w: w.std(-1))
+        for k, c in enumerate(("loss_d", "loss_g")):
+            out[f"{c}_mean"], out[f"{c}_std"] = np.where(ready, mean[:, k], math.nan), np.where(ready, std[:, k], math.nan)
+        spread = rolling(self.stability_window, lambda w: w.max(-1) - w.min(-1))
+        stable = number >= self.stability_window
+        for k, p in enumerate(self.params, 2):
+            out[f"range_{p}"] = spread[:, k]
+            stable = stable & (spread[:, k] <= override_tol(p, self.tol, self.overrides))
+        inside = (np.abs(out["loss_d_mean"] - self.target_d) < self.delta_d) & (np.abs(out["loss_g_mean"] - self.target_g) < self.delta_g)
+        out["in_equilibrium"] = ready & inside & (out["loss_d_std"] <= self.std_max) & (out["loss_g_std"] <= self.std_max)
+        return out | {"stable": stable}
+
+
+_STATE = "seen long, stopped boolean, tail binary, waiting binary"
+
+
+def follow(records: DataFrame, rule: Rule, lateness: str, key: str = "realization") -> DataFrame:
+    """Each step of each run once it is closed: key, step, at, the rolling statistics of ``rule``, and stop.
+
+    ``records`` is a stream with the run's ``key`` (long), the event time ``ts``, an ``id`` (long)
+    that orders records of equal time, loss_d, loss_g and the rule's parameters. A record is closed
+    when the watermark, the latest event time less ``lateness``, has passed it; the closed records of a
+    run are numbered 0, 1, ... by (ts, id). So the order in which files arrive plays no part, as long as nothing
+    comes later than ``lateness``; what does is left out and counted in the query's progress
+    (``numRowsDroppedByWatermark``). ``stop`` marks the first step at which losses are in equilibrium and parameters stable.
+    ``at`` is the event time in microseconds.
+
+    The state of a run is its last few steps and the records that aren't closed; it goes into the
+    query's checkpoint, so a restart carries on where the last batch ended. Records without a key or time take no part.
+    """
+    names = ["loss_d", "loss_g", *rule.params]
+    wide = len(names)
+    clean = records.where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+    clean = clean.select(F.col(key).cast("long").alias(key), F.col("ts"), F.unix_micros("ts").alias("at"), F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in names))
+    ranges = "".join(f", range_{p} double" for p in rule.params)
+    shape = f"{key} long, step int, at long, loss_d_mean double, loss_d_std double, loss_g_mean double, loss_g_std double, in_equilibrium boolean{ranges}, stable boolean, stop boolean"
+
+    def closed(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, stopped, tail, waiting = state.get if state.exists else (0, False, b"", b"")
+        rows = np.frombuffer(waiting, np.float64).reshape(-1, wide + 2)  # whole numbers are carried bit by bit
+        marks = [rows[:, :2].view(np.int64)]
+        values = [rows[:, 2:]]
+        for part in parts:
+            marks.append(part[["at", "id"]].fillna(0).to_numpy(np.int64))
+            values.append(part[names].to_numpy(np.float64))
+        mark, value = np.concatenate(marks), np.concatenate(values)
+        order = np.lexsort((mark[:, 1], mark[:, 0]))
+        mark, value = mark[order], value[order]
+        passed = state.getCurrentWatermarkMs()
+        n = int(np.searchsorted(mark[:, 0] // 1000, passed))
+        if n:
+            before = np.frombuffer(tail, np.float64).reshape(-1, wide)
+            all_values = np.concatenate([before, value[:n]])
+            told = rule.judged(all_values, seen)
+            both = told["in_equilibrium"] & told["stable"]
+            stop = np.zeros(n, bool)
+            if not stopped and both.any():
+                stop[both.argmax()] = stopped = True
+            yield pd.DataFrame({key: of[0], "step": (seen + np.arange(n)).astype(np.int32), "at": mark[:n, 0], **told, "stop": stop})
+            seen, tail = seen + n, all_values[len(all_values) - min(seen + n, rule.kept) :].tobytes() if rule.kept else b""
+        left = np.concatenate([np.ascontiguousarray(mark[n:]).view(np.float64), value[n:]], axis=1)
+        state.update((int(seen), bool(stopped), tail, left.tobytes()))
+        if len(left):
+            state.setTimeoutTimestamp(max(int(mark[n, 0] // 1000), passed + 1))
+
+    found = clean.withWatermark("ts", lateness).groupBy(key).applyInPandasWithState(closed, shape, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    numbers = [f"{c}_{k}" for c in ("loss_d", "loss_g") for k in ("mean", "std")] + [f"range_{p}" for p in rule.params]
+    return found.withColumns({c: F.coalesce(c, F.lit(math.nan)) for c in numbers})  # pandas makes null of what is not a number

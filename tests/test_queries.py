@@ -9,10 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from jobs import queries as jobs
 from netloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+QUERIES, SQL = registry.queries() | jobs.queries(), registry.oracle_sql() | jobs.oracle_sql()
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 SLOW = {"check_model_lim", "check_model_effort", "pack_best_of_k", "pack_relax", "picard_lim", "fit_lim", "discriminator_scores", "mc_run", "make_linear_in_means", "make_effort_game", "sanitize_reindex_y", "relabel_nodes", "dropped_nodes", "packing_violations", "pack_result"}
 
 
@@ -28,9 +30,9 @@ def told(rows):
     return sorted(tuple("nan" if isinstance(v, float) and math.isnan(v) else repr(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", [k for k in registry.queries() if k in registry.oracle_sql() and k not in SLOW])
+@pytest.mark.parametrize("name", [k for k in QUERIES if k in SQL and k not in SLOW])
 def test_against_sql(spark, con, name):
-    got, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
+    got, want = QUERIES[name](spark, SF), con.sql(SQL[name])
     cols = sorted(got.columns)
     assert sorted(want.columns) == cols
     assert told(want.project(", ".join(f'"{c}"' for c in cols)).fetchall()) == told(got.select(cols).collect())
@@ -70,7 +72,7 @@ def test_entry_stands_without_the_text_operators(without, left):
     if left == "caches":
         (without / "netloom" / "llm" / "__pycache__").mkdir(parents=True)
     told, said = imported(without, "-W", "error")
-    assert told == [str(len(registry.queries())), str(len(registry.oracle_sql()))], said
+    assert told == [str(len(QUERIES)), str(len(SQL))], said
 
 
 def test_entry_says_why_the_text_operators_are_left_out(without):
@@ -78,4 +80,4 @@ def test_entry_says_why_the_text_operators_are_left_out(without):
     (without / "netloom" / "llm" / "__init__.py").touch()
     (without / "corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
     told, said = imported(without)
-    assert told == [str(len(registry.queries())), str(len(registry.oracle_sql()))] and "a_library_that_is_not_there" in said
+    assert told == [str(len(QUERIES)), str(len(SQL))] and "a_library_that_is_not_there" in said
