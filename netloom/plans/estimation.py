@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from netloom.operators import datasets, graph
+from netloom.functions.scalar import rounded
+from netloom.operators import datasets, gin, graph
 from netloom.operators import estimator as est
 from netloom.operators.games import LinearInMeans
-from netloom.plans.graphs import g45
+from netloom.plans import sqltext as sql
+from netloom.plans.graphs import XY, g45, xy
 from netloom.plans.registry import query
 from netloom.sources import fixtures as fx
 
@@ -50,15 +52,62 @@ def seed_streams(spark, d):
     return spark.createDataFrame(rows, "realization long, gt long, train long, sampler long, init long")
 
 
-@query()
+GIN = est.RootedGin(3, 16, 2, seed=3)
+
+
+def _standardised(spark, d, edges):
+    """(id, f): x and y of the nodes, standardised, as the features that a root's marker is added to."""
+    n = graph.standardized(xy(spark, d, edges), graph.norm_stats(xy(spark, d, edges)))
+    return n.select("id", F.array("xt", "yt").alias("f"))
+
+
+def _dense(z: str, w: np.ndarray, b: np.ndarray) -> str:
+    columns = ", ".join(f"{{'w': {w[:, j].tolist()}::double[], 'b': {float(b[j])!r}::double}}" for j in range(w.shape[1]))
+    return f"list_transform([{columns}], lambda c: list_dot_product({z}, c.w) + c.b)"
+
+
+def _relu(h: str) -> str:
+    return f"list_transform({h}, lambda v: greatest(v, 0::double))"
+
+
+def _gin_sql(weights: gin.Weights) -> str:
+    """The plain form: every layer on every node of every ego of radius 2."""
+    p, parts, width = weights.p, [], 3
+    for k in range(weights.layers):
+        own, sums = 1 + weights.eps(k), ", ".join(f"sum(m[{i + 1}])" for i in range(width))
+        parts += [
+            f"z{k} as (select root, node, [{sums}] as z from (select root, node, list_transform(h, lambda v: v * {own!r}::double) as m from h{k} union all select t.root, t.src, u.h from t join h{k} u on u.root = t.root and u.node = t.dst) group by root, node)",
+            f"c{k} as (select root, node, {_dense(_relu(_dense('z', p[f'{k}.a.w'], p[f'{k}.a.b'])), p[f'{k}.c.w'], p[f'{k}.c.b'])} as c from z{k})",
+            f"n{k} as (select root, node, list_transform(c, lambda v: (v - list_avg(c)) / sqrt(list_var_pop(c) + 1e-5::double)) as n from c{k})",
+            f"h{k + 1} as (select root, node, list_transform(list_zip(n, {p[f'{k}.g'].tolist()}::double[], {p[f'{k}.o'].tolist()}::double[]), lambda v: greatest(v[1] * v[2] + v[3], 0::double)) as h from n{k})",
+        ]
+        width = len(p[f"{k}.g"])
+    raw = _dense(_relu(_dense("h", p["h.a.w"], p["h.a.b"])), p["h.c.w"], p["h.c.b"]) + "[1]"
+    c = f"{weights.clip!r}::double"
+    return f"""with {sql.edges(45)}, {XY}, st as (select avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, stddev_pop(y) as sy from xy), {sql.balls(2)},
+t as (select a.root, e.src, e.dst from b a join e on e.src = a.node join b c on c.root = a.root and c.node = e.dst),
+h0 as (select root, node, [(x - mx) / sx, (y - my) / sy, (root = node)::int::double] as h from b join xy on id = node, st),
+{(chr(10) + ', ').join(parts).replace(chr(10) + ', ', ',' + chr(10))}
+select root, {sql.rnd(f'{c} * tanh({raw} / {c})')} as logit from h{weights.layers} where root = node"""
+
+
+@query(_gin_sql(gin.Weights.of(GIN)))
 def gin_forward(spark, d):
-    net = network(spark, d)
-    y = observed(net, 1)
-    gin, rows = est.RootedGin(3, 16, 2, seed=3), []
-    for roots in np.split(np.arange(net.n), range(256, net.n, 256)):  # a score depends on its object alone
-        logits, _ = gin.forward(net.batch(roots, y, y.mean(), y.std()))
-        rows += [(int(r), round(float(v), 6)) for r, v in zip(roots, logits)]
-    return spark.createDataFrame(rows, "root long, logit double")
+    """A logit for the ego of every node, by joins."""
+    e = g45(spark, d)
+    return gin.scores(gin.Weights.of(GIN), e, _standardised(spark, d, e), 2).select("root", rounded(F.col("logit")).alias("logit"))
+
+
+def real_slope(logit: np.ndarray) -> np.ndarray:
+    """The derivative of softplus(-logit), a real object's loss."""
+    return -1 / (1 + np.exp(logit))
+
+
+@query()
+def gin_gradients(spark, d):
+    """The gradient of the summed loss of all egos, taken as real, by every parameter."""
+    e = g45(spark, d)
+    return gin.gradients(gin.Weights.of(GIN), e, _standardised(spark, d, e), 2, real_slope).withColumn("value", rounded(F.col("value")))
 
 
 def _observed_seven(net: est.LocalNetwork, _: int) -> np.ndarray:
