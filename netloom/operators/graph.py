@@ -225,7 +225,7 @@ def ego_overlaps(found: DataFrame) -> DataFrame:
     """``(a, b, shared)``: pairs of balls that share nodes.
 
     The rows are the result itself: a node in k balls gives k (k - 1) / 2 of them, so this is for the
-    balls of roots drawn apart. ``sampling.packing_violations`` tells roots that are too close without such pairs.
+    balls of roots drawn apart. ``sampling.violations`` tells roots that are too close without such pairs.
     """
     a, b = found.select(F.col("root").alias("a"), "node"), found.select(F.col("root").alias("b"), "node")
     return a.join(b, "node").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netloom.functions.scalar import uniform_hash
-from netloom.operators.components import checkpointed
+from netloom.operators.components import checkpointed, rekeyed
+from netloom.operators.graph import node_ids
 
 
 @dataclass
@@ -36,48 +37,57 @@ def uniform(nodes: DataFrame, size: int, seed: int = 0, call: int = 0) -> DataFr
     return slots.select("slot", F.floor(uniform_hash(seed, "root", call, F.col("slot")) * n).cast("long").alias("root"))
 
 
-def packed(found: DataFrame, radius: int, target: int | None = None, seed: int = 0, max_rounds: int = 200) -> DataFrame:
+def packed(edges: DataFrame, radius: int, target: int | None = None, seed: int = 0, max_rounds: int = 200) -> DataFrame:
     """``(root, u)``: a maximal set of roots with pairwise distance above ``radius``, the first ``target`` by priority.
 
     It is the set that a greedy pass in order of priority would take: in each round every node
-    that comes first among the live ones of its ball is taken, and the balls of those taken die.
-    ``found(root, node, dist)`` holds the balls of all nodes.
+    that comes first among the live ones within ``radius`` is taken, and what lies within
+    ``radius`` of those taken dies. Both are found by ``radius`` steps along ``edges(src, dst)`` (both
+    directions): a minimum of priorities that is passed on, and a mark. So no ball is ever written out: a step costs the
+    edges that its rows touch, a hub no more than its own, whatever the radius.
     """
-    return _packed(found, radius, None, target, seed, max_rounds)
+    return _packed(edges, radius, None, target, seed, max_rounds)
 
 
-def _packed(found: DataFrame, radius: int, order: DataFrame | None, target: int | None, seed: int = 0, max_rounds: int = 200) -> DataFrame:
-    inside = found.where(F.col("dist") <= radius)
-    if order is None:
-        near = inside.select("root", "node", priority(seed, F.col("node")).alias("p"))
-    else:
-        near = inside.join(order.withColumnRenamed("id", "node"), "node").select("root", "node", F.struct(F.col("u"), F.col("node").alias("id")).alias("p"))
-    near, taken = checkpointed(near), None
+def _packed(edges: DataFrame, radius: int, order: DataFrame | None, target: int | None, seed: int = 0, max_rounds: int = 200) -> DataFrame:
+    ids = node_ids(edges)
+    near = edges.select("src", "dst").where("src <> dst").union(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"))).distinct()
+    near = checkpointed(near)  # a node is its own neighbour: it passes on what it has
+    live = ids.select("id", priority(seed, F.col("id")).alias("p")) if order is None else order.join(ids, "id").select("id", F.struct("u", "id").alias("p"))
+    live, taken = checkpointed(live), None
+
+    def step(df: DataFrame, *carried) -> DataFrame:
+        return near.join(rekeyed(df.withColumnRenamed("id", "dst"), "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*carried)
+
     for _ in range(max_rounds):
-        first = near.groupBy("root").agg(F.min("p").alias("p"))
-        won = checkpointed(first.where(F.col("p.id") == F.col("root")).select("root", F.col("p.u").alias("u")))
+        first = live
+        for _ in range(radius):
+            first = step(first, F.min("p").alias("p"))
+        won = checkpointed(first.where(F.col("p.id") == F.col("id")).select(F.col("id").alias("root"), F.col("p.u").alias("u")))
         taken = won if taken is None else taken.union(won)
-        dead = near.join(won.select("root"), "root", "left_semi").select(F.col("node").alias("id")).distinct()
-        near = checkpointed(near.join(dead, near.root == dead.id, "left_anti").join(dead.withColumnRenamed("id", "other"), near.node == F.col("other"), "left_anti"))
-        if near.isEmpty():
+        dead = won.select(F.col("root").alias("id"), F.lit(True).alias("hit"))
+        for _ in range(radius):
+            dead = step(dead, F.first("hit").alias("hit"))
+        live = checkpointed(live.join(dead, "id", "left_anti"))
+        if live.isEmpty():
             break
     else:
         raise RuntimeError("packing did not end")
     return taken if target is None else taken.orderBy("u", "root").limit(target)
 
 
-def packed_in_order(found: DataFrame, radius: int, order: DataFrame, target: int | None = None) -> DataFrame:
+def packed_in_order(edges: DataFrame, radius: int, order: DataFrame, target: int | None = None) -> DataFrame:
     """``packed`` for a given order(id, place) of the nodes, places being distinct, in place of a seed's random one."""
-    return _packed(found, radius, order.select("id", F.col("place").cast("double").alias("u")), target)
+    return _packed(edges, radius, order.select("id", F.col("place").cast("double").alias("u")), target)
 
 
-def best_packed_in_orders(found: DataFrame, radius: int, orders: list[DataFrame], target: int | None = None) -> tuple[DataFrame, int]:
+def best_packed_in_orders(edges: DataFrame, radius: int, orders: list[DataFrame], target: int | None = None) -> tuple[DataFrame, int]:
     """(roots of the largest packing over some orders, the first one among equals; orders tried). Stops at the first that meets the target."""
     if not orders:
         raise ValueError("there must be an order")
     best, size, k = None, -1, 0
     for k, order in enumerate(orders, 1):
-        now = packed_in_order(found, radius, order, target)
+        now = packed_in_order(edges, radius, order, target)
         n = now.count()
         if n > size:
             best, size = now, n
@@ -86,11 +96,11 @@ def best_packed_in_orders(found: DataFrame, radius: int, orders: list[DataFrame]
     return best, k
 
 
-def best_packed(found: DataFrame, radius: int, target: int | None, restarts: int, seed: int = 0) -> tuple[DataFrame, int]:
+def best_packed(edges: DataFrame, radius: int, target: int | None, restarts: int, seed: int = 0) -> tuple[DataFrame, int]:
     """(roots of the largest of several packings, the first one among equals; packings made). Stops at the first that meets the target."""
     best, size, k = None, -1, 0
     for k in range(restarts):
-        now = packed(found, radius, target, seed + k)
+        now = packed(edges, radius, target, seed + k)
         n = now.count()
         if n > size:
             best, size = now, n
@@ -118,8 +128,8 @@ class RootSampler:
     def effective_r(self) -> int | None:
         return None if self.mode == "uniform" else max(self.relax) if self.mode == "disjoint_relax" else self.exclusion_r
 
-    def sample(self, nodes: DataFrame, found: DataFrame | None, size: int) -> Roots:
-        """``size`` roots of nodes(id); the disjoint modes need the balls ``found``."""
+    def sample(self, nodes: DataFrame, edges: DataFrame | None, size: int) -> Roots:
+        """``size`` roots of nodes(id); the disjoint modes need the edges."""
         if size < 1:
             raise ValueError("size must be positive")
         self.calls += 1
@@ -129,19 +139,19 @@ class RootSampler:
         if self.mode == "uniform":
             return plain()
         if self.mode == "disjoint_once":
-            got, tries = packed(found, self.exclusion_r, size, seed), 1
+            got, tries = packed(edges, self.exclusion_r, size, seed), 1
         elif self.mode == "disjoint_best_of_k":
-            got, tries = best_packed(found, self.exclusion_r, size, self.restarts, seed)
+            got, tries = best_packed(edges, self.exclusion_r, size, self.restarts, seed)
         else:
-            return self._relaxed(found, size, seed, slotted, plain)
+            return self._relaxed(edges, size, seed, slotted, plain)
         n = got.count()
         return Roots(slotted(got), size, n, self.mode, self.exclusion_r, tries, n >= size, None if n >= size else "target_not_met")
 
-    def _relaxed(self, found, size, seed, slotted, plain) -> Roots:
+    def _relaxed(self, edges, size, seed, slotted, plain) -> Roots:
         least = min(self.min_batch or size, size)
         best, best_n, best_r, tries = None, -1, None, 0
         for r in self.relax:
-            got, k = best_packed(found, r, size, self.restarts, seed)
+            got, k = best_packed(edges, r, size, self.restarts, seed)
             tries, n = tries + k, got.count()
             if n > best_n:
                 best, best_n, best_r = got, n, r

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalar import gaussian_hash, rounded
 from netloom.operators import equilibrium as eq
 from netloom.operators import graph, sampling
+from netloom.operators.components import checkpointed
 from netloom.plans import sqltext as sql
 from netloom.plans.registry import query
 from netloom.sources import fixtures as fx
@@ -360,34 +361,35 @@ def pack_sql(radius: int, rounds: int, seed: int = 0) -> str:
 
 @query(f"with {Q45}, {sql.balls(2)}, {pack_sql(2, 12)} select root, {sql.rnd('u', 9)} as u from pk")
 def pack_once(spark, d):
-    return sampling.packed(graph.balls(g45(spark, d), 2), 2).select("root", F.round("u", 9).alias("u"))
+    return sampling.packed(g45(spark, d), 2).select("root", F.round("u", 9).alias("u"))
 
 
 @query(f"""with {Q45}, {sql.balls(2)}, a as (with {pack_sql(2, 12, 0)} select 0 as k, * from pk), b1_ as (with {pack_sql(2, 12, 1)} select 1 as k, * from pk), c as (with {pack_sql(2, 12, 2)} select 2 as k, * from pk),
 t as (select * from a union all select * from b1_ union all select * from c), top as (select k from t group by k order by count(*) desc, k limit 1) select root, {sql.rnd('u', 9)} as u from t join top using (k)""")
 def pack_best_of_k(spark, d):
-    best, _ = sampling.best_packed(graph.balls(g45(spark, d), 2), 2, None, 3)
+    best, _ = sampling.best_packed(g45(spark, d), 2, None, 3)
     return best.select("root", F.round("u", 9).alias("u"))
 
 
 @query(f"with {Q45}, {sql.balls(2)}, {pack_sql(2, 12, 1)}, t as (select root, u from pk order by u, root limit 20) select (row_number() over (order by u, root) - 1)::int as slot, root, 2 as radius_used, true as met_target from t")
 def pack_result(spark, d):
     e = g45(spark, d)
-    got = sampling.RootSampler("disjoint_once", exclusion_r=2, seed=0).sample(graph.node_ids(e), graph.balls(e, 2), 20)
+    got = sampling.RootSampler("disjoint_once", exclusion_r=2, seed=0).sample(graph.node_ids(e), e, 20)
     return got.roots.withColumn("radius_used", F.lit(got.radius_used)).withColumn("met_target", F.lit(got.met_target))
 
 
 @query(f"with {Q45}, {sql.balls(3)}, {pack_sql(3, 14, 1)}, t as (select root, u from pk order by u, root limit 30) select (row_number() over (order by u, root) - 1)::int as slot, root, 3 as radius_used from t")
 def pack_relax(spark, d):
     e = g45(spark, d)
-    got = sampling.RootSampler("disjoint_relax", relax=(3, 2), restarts=1, seed=0).sample(graph.node_ids(e), graph.balls(e, 3), 30)
+    got = sampling.RootSampler("disjoint_relax", relax=(3, 2), restarts=1, seed=0).sample(graph.node_ids(e), e, 30)
     return got.roots.withColumn("radius_used", F.lit(got.radius_used))
 
 
 @query(f"with {Q45}, {sql.balls(2)}, {pack_sql(2, 12)} select x.root as a, x.node as b, x.dist from b x join pk p on p.root = x.root join pk q on q.root = x.node where x.root < x.node")
 def packing_violations(spark, d):
-    found = graph.balls(g45(spark, d), 2)
-    return sampling.violations(sampling.packed(found, 2), found, 2)
+    e = g45(spark, d)
+    roots = checkpointed(sampling.packed(e, 2))
+    return sampling.violations(roots, graph.balls(e, 2, roots), 2)
 
 
 @query(f"""with {Q45}, s as (select id from (select distinct src as id from e) order by {sql.uniform('5', chr(39) + 'plot' + chr(39), 'id')}, id limit 100)

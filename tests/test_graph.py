@@ -126,23 +126,33 @@ def test_packing_equals_the_greedy_pass(spark, radius):
         adj[b].add(a)
     order = [r.id for r in graph.node_ids(edges).orderBy(sampling.priority(4, F.col("id"))).collect()]
     found = graph.balls(edges, radius)
-    got = sampling.packed(found, radius, seed=4)
+    got = sampling.packed(edges, radius, seed=4)
     assert sorted(r.root for r in got.collect()) == sorted(greedy(adj, order, radius))
-    assert sorted(r.root for r in sampling.packed(found, radius, 3, 4).collect()) == sorted(greedy(adj, order, radius, 3))
+    assert sorted(r.root for r in sampling.packed(edges, radius, 3, 4).collect()) == sorted(greedy(adj, order, radius, 3))
     assert sampling.violations(got, found, radius).count() == 0
 
 
+def test_packing_a_star_of_a_million_leaves(spark):
+    """Its balls of two steps would have 10^12 rows; one root is all it takes, the first of them."""
+    n = 1_000_000
+    leaves = spark.range(1, n + 1)
+    edges = leaves.selectExpr("0L as src", "id as dst").union(leaves.selectExpr("id as src", "0L as dst"))
+    got = sampling.packed(edges, 2, seed=3).collect()
+    first = spark.range(n + 1).orderBy(sampling.priority(3, F.col("id"))).first().id
+    assert [r.root for r in got] == [first]
+
+
 def test_sampler_modes(spark):
     edges = gen.path(spark, 36)
-    nodes, found = graph.node_ids(edges), graph.balls(edges, 4)
-    got = sampling.RootSampler("disjoint_relax", relax=(4, 2), min_batch=8, restarts=2).sample(nodes, found, 12)
+    nodes = graph.node_ids(edges)
+    got = sampling.RootSampler("disjoint_relax", relax=(4, 2), min_batch=8, restarts=2).sample(nodes, edges, 12)
     assert got.radius_used == 2 and got.achieved >= 8
-    far = sampling.RootSampler("disjoint_relax", relax=(4,), min_batch=30, fallback="uniform").sample(nodes, found, 30)
+    far = sampling.RootSampler("disjoint_relax", relax=(4,), min_batch=30, fallback="uniform").sample(nodes, edges, 30)
     assert far.fallback_reason.startswith("uniform_fallback_below_min_batch") and far.met_target and far.radius_used is None
-    best = sampling.RootSampler("disjoint_relax", relax=(4,), min_batch=30, fallback="best").sample(nodes, found, 30)
+    best = sampling.RootSampler("disjoint_relax", relax=(4,), min_batch=30, fallback="best").sample(nodes, edges, 30)
     assert best.achieved < 30 and not best.met_target
     with pytest.raises(RuntimeError):
-        sampling.RootSampler("disjoint_relax", relax=(4,), min_batch=30, fallback="raise").sample(nodes, found, 30)
+        sampling.RootSampler("disjoint_relax", relax=(4,), min_batch=30, fallback="raise").sample(nodes, edges, 30)
     s = sampling.RootSampler("uniform", seed=1)
     a, b = (s.sample(nodes, None, 50).roots.collect() for _ in range(2))
     assert len(a) == 50 and a != b and all(0 <= r.root < 36 for r in a)
@@ -152,8 +162,7 @@ def test_sampler_modes(spark):
 
 
 def test_star_best_of_k_stops_early(spark):
-    found = graph.balls(gen.star(spark, 5), 2)
-    got, tries = sampling.best_packed(found, 1, 5, 10)
+    got, tries = sampling.best_packed(gen.star(spark, 5), 1, 5, 10)
     assert got.count() in (1, 5) and (tries < 10 or got.count() < 5)
 
 
@@ -184,7 +193,7 @@ def test_substrate_checks_and_overlap(spark):
     with pytest.warns(UserWarning, match="2\\*k"):
         sub.warn_if_overlapping(3)
     grid = gen.grid(spark, 6, 6)
-    far, near = (sampling.packed(graph.balls(grid, 4), r) for r in (4, 1))
+    far, near = (sampling.packed(grid, r) for r in (4, 1))
     share = lambda got: graph.ego_overlaps(graph.balls(grid, 2, got.select("root"))).count()
     assert share(far) == 0 < share(near)
 

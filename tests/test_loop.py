@@ -43,16 +43,15 @@ def test_packings_follow_the_order_given(spark):
     draw = np.random.default_rng(1)
     orders = [draw.permutation(net.n) for _ in range(3)]
     edges = spark.createDataFrame(list(zip(net.src.tolist(), net.dst.tolist())), "src long, dst long")
-    found = graph.balls(edges, 2)
     tables = [spark.createDataFrame([(int(v), k) for k, v in enumerate(o)], "id long, place long") for o in orders]
     for o, t in zip(orders, tables):
         want = est.pack(net, o, 2, net.n)
-        assert {r.root for r in sampling.packed_in_order(found, 2, t).collect()} == set(want.tolist())
-        assert {r.root for r in sampling.packed_in_order(found, 2, t, 5).collect()} == set(est.pack(net, o, 2, 5).tolist())
+        assert {r.root for r in sampling.packed_in_order(edges, 2, t).collect()} == set(want.tolist())
+        assert {r.root for r in sampling.packed_in_order(edges, 2, t, 5).collect()} == set(est.pack(net, o, 2, 5).tolist())
     best, tries = est.best_pack(net, orders, 2, net.n)
-    table, again = sampling.best_packed_in_orders(found, 2, tables)
+    table, again = sampling.best_packed_in_orders(edges, 2, tables)
     assert (tries, {r.root for r in table.collect()}) == (again, set(best.tolist())) and again == 3
-    for f in (lambda: est.best_pack(net, [], 2, 5), lambda: sampling.best_packed_in_orders(found, 2, [])):
+    for f in (lambda: est.best_pack(net, [], 2, 5), lambda: sampling.best_packed_in_orders(edges, 2, [])):
         with pytest.raises(ValueError):
             f()
 
