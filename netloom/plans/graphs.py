@@ -216,6 +216,11 @@ def ball_sizes(spark, d):
     return graph.ball_sizes(graph.balls(g40(spark, d), 3), 3)
 
 
+@query()
+def ball_sizes_sketched(spark, d):
+    return graph.sketched_ball_sizes(g40(spark, d), 3)
+
+
 _EGO = f"{sql.balls(2)}, ego as (select root, node, (row_number() over (partition by root order by node) - 1)::int as pos from b)"
 
 

@@ -161,6 +161,25 @@ def test_sampler_modes(spark):
             sampling.RootSampler(**bad)
 
 
+def test_sketched_ball_sizes_keep_their_error(spark):
+    """Against the exact sizes: small balls exactly, all within four standard errors, the mean within one."""
+    rows = [(int(a), int(b)) for a, b in gen.barabasi_albert_pairs(3000, 3, 5)]
+    edges = graph.symmetrize(edges_of(spark, rows)).persist()
+    exact = {r.root: tuple(r)[1:] for r in graph.ball_sizes(graph.balls(edges, 3), 3).collect()}
+    for precision in (12, 9):
+        error = 1.04 / 2 ** (precision / 2)
+        got = {r.root: (r.d0, r.d1, r.d2, r.d3) for r in graph.sketched_ball_sizes(edges, 3, precision=precision).collect()}
+        assert set(got) == set(exact)
+        off = [abs(g / e - 1) for k in got for g, e in zip(got[k], exact[k])]
+        assert max(off) < 5 * error and sum(off) / len(off) < error
+        assert all(got[k][:1] == exact[k][:1] for k in got) and all(g == e for k in got for g, e in zip(got[k], exact[k]) if e <= 7)
+    roots = spark.createDataFrame([(3,), (8,)], "root long")
+    assert {r.root for r in graph.sketched_ball_sizes(edges, 2, roots).collect()} == {3, 8}
+    a, b = (graph.branching(edges, graph.node_ids(edges).withColumnRenamed("id", "root"), 3, p).first().branching for p in (None, 12))
+    assert abs(b / a - 1) < 0.02
+    edges.unpersist()
+
+
 def test_star_best_of_k_stops_early(spark):
     got, tries = sampling.best_packed(gen.star(spark, 5), 1, 5, 10)
     assert got.count() in (1, 5) and (tries < 10 or got.count() < 5)
