@@ -8,6 +8,7 @@ the loop itself, which makes over a thousand small steps, runs on NumPy arrays o
 from __future__ import annotations
 
 import math
+import time
 import warnings
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, fields, replace
@@ -569,6 +570,7 @@ class Result:
     def row(self, realization: int, **more) -> dict:
         out = {"realization": realization, "converged": self.converged, "final_step": self.final_step, "status": self.status}
         out |= {f"{k}_hat": v for k, v in self.params.items()} | {f"{k}_final": v for k, v in self.params_final.items()}
+        out |= {"picard_cap_hits": self.picard_cap_hits, "newton_cap_hits": self.newton_cap_hits}
         return out | {"loss_d_rolling_final": self.loss_d_rolling, "loss_g_rolling_final": self.loss_g_rolling} | more
 
 
@@ -862,17 +864,38 @@ def fit_in_task(
 STEP_COLUMNS = ("loss_d", "loss_g", "grad_norm_g", "tau_y", "lr_g", "picard_residual")
 
 
+def _realization(spec: Realization, network: LocalNetwork, observed: Callable, estimator: Callable) -> tuple[dict, list[dict]]:
+    """(row, history) of a run; one that raises an error is a failed run with its name, and what it warned of is told."""
+    began, init = time.monotonic(), {}
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        try:
+            est = estimator(spec)
+            init = dict(est.game.params)
+            est.set_params(seed=spec.seeds["train"]).fit(network, observed(network, spec.seeds["gt"]))
+            result, error = est.result_, []
+        except Exception as e:  # noqa: BLE001  one run's trouble isn't the others'
+            nan = dict.fromkeys(init, math.nan)
+            result, error = Result(f"failed:{type(e).__name__}", False, 0, nan, nan, nan, math.nan, math.nan), [f"{type(e).__name__}: {e}"]
+    text = "; ".join(dict.fromkeys([*error, *(str(w.message) for w in said if not issubclass(w.category, DeprecationWarning))]))
+    more = {f"{p}_init": v for p, v in init.items()} | {f"{s}_seed": v for s, v in spec.seeds.items()}
+    return result.row(spec.index, elapsed_seconds=time.monotonic() - began, warnings=text, **more), result.history
+
+
 def monte_carlo(
     spark: SparkSession, n: int, network: LocalNetwork, observed: Callable[[LocalNetwork, int], np.ndarray], estimator: Callable[[Realization], AdversarialEstimator],
-    *, master: int = 0, done: DataFrame | None = None, params: tuple[str, ...] = (), histories: bool = False,
+    *, master: int = 0, done: DataFrame | None = None, params: tuple[str, ...] = (), histories: bool = False, ids: list[int] | None = None,
 ) -> DataFrame:
-    """One row per realisation 0..n-1 that ``done`` doesn't have, each a task of its own.
+    """One row per realisation 0..n-1 (or of ``ids``) that ``done`` doesn't have, each a task of its own.
 
     The arrays of the network travel once, as a broadcast; ``LocalNetwork.collect`` has checked their size.
+    A run that raises an error is a row whose status is ``failed:`` and the error's name. A row tells how often solvers used up
+    their steps, how long the run took, and its warnings.
     ``histories`` adds the column ``history``, an array of all steps, which ``histories_of`` turns into rows.
     """
     shared = _sent(spark, network)
     cols = ["converged boolean", "final_step int", "status string", *(f"`{p}_{s}` double" for p in params for s in ("hat", "final", "init")), "loss_d_rolling_final double", "loss_g_rolling_final double", *(f"{s}_seed long" for s in ("gt", "train", "sampler", "init"))]
+    cols += ["picard_cap_hits int", "newton_cap_hits int", "elapsed_seconds double", "warnings string"]
     kept = (*STEP_COLUMNS, *params)
     if histories:
         cols.append("history array<struct<step: int, " + ", ".join(f"`{c}`: double" for c in kept) + ">>")
@@ -882,18 +905,15 @@ def monte_carlo(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in batch["realization"]:
-                seeds = seed_streams(master, int(k))
-                est = estimator(Realization(int(k), seeds))
-                init = dict(est.game.params)
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    est.set_params(seed=seeds["train"]).fit(shared.value, observed(shared.value, seeds["gt"]))
-                row = est.result_.row(int(k), **{f"{p}_init": v for p, v in init.items()}, **{f"{s}_seed": v for s, v in seeds.items()})
+                row, steps = _realization(Realization(int(k), seed_streams(master, int(k))), shared.value, observed, estimator)
                 if histories:
-                    row["history"] = [{"step": r["step"], **{c: float(r[c]) for c in kept}} for r in est.result_.history]
+                    row["history"] = [{"step": r["step"], **{c: float(r[c]) for c in kept}} for r in steps]
                 yield pd.DataFrame([row]).reindex(columns=names)
 
-    todo = spark.range(0, n, 1, max(1, n)).select(F.col("id").alias("realization"))  # a partition each, which a broadcast join leaves so
+    if ids is None:
+        todo = spark.range(0, n, 1, max(1, n)).select(F.col("id").alias("realization"))  # a partition each, which a broadcast join leaves so
+    else:
+        todo = spark.range(0, len(ids), 1, max(1, len(ids))).select(F.lit([int(k) for k in ids] or [0])[F.col("id").cast("int")].cast("long").alias("realization"))
     if done is not None:
         todo = todo.join(F.broadcast(done.where(F.col("realization").between(0, n - 1)).select("realization").distinct()), "realization", "left_anti")  # n ids at most
     return todo.mapInPandas(run, schema)

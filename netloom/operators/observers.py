@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import time
+import warnings
 from collections.abc import Callable, Sequence
 from typing import Any, Protocol, runtime_checkable
 
@@ -14,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from netloom.functions.config import config_hash, jsonable, provenance
 from netloom.operators import estimator as est
 from netloom.operators import series
+from netloom.operators.components import checkpointed
 from netloom.sources import files
 
+log = logging.getLogger(__name__)
+
 
 @runtime_checkable
 class Observer(Protocol):
@@ -61,7 +66,10 @@ class Console:
 
 
 class JsonLines:
-    """A record per line for the start, each step and the end: what ``files.read_steps`` and the stream monitor read."""
+    """A record per line for the start, each step and the end: what ``files.read_steps`` and the stream monitor read.
+
+    The file is one of the machine that the run is on; what a Monte Carlo run keeps is written by ``MonteCarloRunner``.
+    """
 
     def __init__(self, path: str, realization: int = 0):
         self.path, self.realization = path, realization
@@ -88,45 +96,90 @@ class Composite:
 class MonteCarloRunner:
     """Realisations kept under ``out``: resumed by number whatever their status, purged if the configuration changed.
 
-    A row has its run's whole history; ``done`` leaves it unread, ``histories`` gives its steps.
-    ``visualize`` is called with the rows and the steps of all runs so far, on the driver, after each run.
+    Runs are made in batches, a task each. A batch is committed before the next begins: first its histories,
+    ``histories/config=/realization=``, where a run's own partition is overwritten, then its rows, ``rows/config=``,
+    which say that a run is done. So a crash loses one batch at most, and nothing is kept twice.
+    ``visualize`` is called on the driver with the rows and the steps of all runs so far, each time ``plot_every`` more are
+    done and at the end; ``progress_every`` does the same for a line in the log.
     """
 
-    def __init__(self, spark: SparkSession, out: str, config: Any, truth: dict[str, float], *, master: int = 0, visualize: Callable[[DataFrame, DataFrame], Any] | None = None):
+    def __init__(
+        self, spark: SparkSession, out: str, config: Any, truth: dict[str, float], *, master: int = 0, visualize: Callable[[DataFrame, DataFrame], Any] | None = None,
+        plot_every: int | None = None, progress_every: int | None = None, batch: int | None = None,
+    ):
         self.spark, self.out, self.config, self.truth, self.master, self.visualize = spark, out, config, truth, master, visualize
+        self.plot_every, self.progress_every, self.batch = plot_every, progress_every, batch
+
+    @property
+    def _own(self) -> str:
+        return f"config={config_hash(self.config)[:16]}"
 
     @property
     def path(self) -> str:
         """The rows of this configuration: another one has another folder."""
-        return f"{self.out}/rows/config={config_hash(self.config)[:16]}"
+        return f"{self.out}/rows/{self._own}"
 
-    def _rows(self) -> DataFrame | None:
+    def _read(self, path: str, base: str | None = None) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.option("basePath", base or path).parquet(path)
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
 
     def done(self) -> DataFrame | None:
-        rows = self._rows()
-        return None if rows is None else rows.drop("history")
-
-    def histories(self) -> DataFrame | None:
-        """``(realization, step, losses, parameters ...)`` of all runs that are kept."""
-        rows = self._rows()
-        return None if rows is None else est.histories_of(rows)
+        return self._read(self.path)
+
+    def histories(self, realization: int | None = None) -> DataFrame | None:
+        """``(realization, step, losses, parameters ...)`` of all runs that are kept, or of one, of which only its own partition is listed."""
+        base = f"{self.out}/histories/{self._own}"
+        steps = self._read(base if realization is None else f"{base}/realization={realization}", base)
+        return None if steps is None else steps.select(F.col("realization").cast("long").alias("realization"), *(c for c in steps.columns if c != "realization"))
+
+    def purge(self) -> list[str]:
+        """Delete what other configurations left under ``out``, with a warning; their folders are returned."""
+        stale = []
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for kind in ("rows", "histories"):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.out}/{kind}")
+            fs = folder.getFileSystem(conf)
+            for found in fs.listStatus(folder) if fs.exists(folder) else ():
+                name = found.getPath().getName()
+                if name.startswith("config=") and name != self._own:
+                    fs.delete(found.getPath(), True)
+                    stale.append(f"{kind}/{name}")
+        if stale:
+            warnings.warn(f"the configuration has changed: {', '.join(stale)} of {self.out} are deleted", RuntimeWarning, stacklevel=3)
+        return stale
+
+    def _commit(self, fresh: DataFrame) -> None:
+        steps = est.histories_of(fresh)
+        steps.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("realization").parquet(f"{self.out}/histories/{self._own}")
+        files.append_rows(fresh.coalesce(1), self.path)
 
     def run(self, n: int, network: est.LocalNetwork, observed, estimator) -> dict[str, Any]:
-        """Run what is missing of 0..n-1, append its rows, and return the manifest of this run alone."""
-        began, before = time.time(), self.done()  # the files listed now; those appended below aren't among them
-        fresh = est.monte_carlo(self.spark, n, network, observed, estimator, master=self.master, done=before, params=tuple(self.truth), histories=True)
-        files.append_rows(fresh, self.path, history=True)
+        """Run what is missing of 0..n-1 batch by batch, and return the manifest of this run alone."""
+        self.purge()
+        began, before = time.time(), self.done()
+        had = set() if before is None else {r.realization for r in before.where(F.col("realization").between(0, n - 1)).select("realization").collect()}  # n ids at most
+        todo = [k for k in range(n) if k not in had]
+        size = self.batch or max(1, self.spark.sparkContext.defaultParallelism)
+        shown = 0
+        for at in range(0, len(todo), size):
+            ids = todo[at : at + size]
+            self._commit(checkpointed(est.monte_carlo(self.spark, n, network, observed, estimator, master=self.master, params=tuple(self.truth), histories=True, ids=ids)))
+            was, now = len(had) + at, len(had) + at + len(ids)
+            if self.progress_every and was // self.progress_every < now // self.progress_every:
+                log.info("%d of %d realisations are done", now, n)
+            if self.visualize is not None and self.plot_every and was // self.plot_every < now // self.plot_every:
+                self.visualize(self.done(), self.histories())
+                shown = now
+        if self.visualize is not None and todo and shown < len(had) + len(todo):
+            self.visualize(self.done(), self.histories())
         now = self.done()
-        new = now if before is None else now.join(before.select("realization"), "realization", "left_anti")
-        counts = new.agg(F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") != "ok").alias("failed")).first()
-        status = counts.asDict()
-        summary = [r.asDict() for r in series.summary(new, self.truth).collect()]  # a row per parameter
-        if self.visualize is not None:
-            self.visualize(now, self.histories())
+        status, summary = {"completed": 0, "failed": 0}, []
+        if todo:
+            new = now.join(F.broadcast(self.spark.createDataFrame([(k,) for k in todo], "realization long")), "realization", "left_semi")  # n ids at most
+            status = new.agg(F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") != "ok").alias("failed")).first().asDict()
+            summary = [r.asDict() for r in series.summary(new, self.truth).collect()]  # a row per parameter
         return provenance(self.config, seconds=time.time() - began, **status, summary=summary)

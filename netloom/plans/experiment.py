@@ -73,7 +73,7 @@ def run(spark: SparkSession, config: ExperimentConfig | EffortExperimentConfig,
     sub = substrate(spark, config)
     sub.warn_if_overlapping(config.training.sampler().effective_r)
     net = est.LocalNetwork.collect(sub.edges, sub.covariates, k=config.model.k)
-    runner = MonteCarloRunner(spark, out, config, truth(config), master=config.monte_carlo.seed, visualize=visualize)
+    runner = MonteCarloRunner(spark, out, config, truth(config), master=config.monte_carlo.seed, visualize=visualize, plot_every=config.monte_carlo.plot_every, progress_every=config.monte_carlo.progress_every)
     manifest = runner.run(realizations or config.monte_carlo.realizations, net, partial(observed, config), partial(estimator, config))
     if "://" not in out:
         files.save_manifest(f"{out}/{MANIFEST}", manifest)

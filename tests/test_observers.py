@@ -1,5 +1,7 @@
 import json
+import logging
 import math
+import os
 
 import numpy as np
 import pytest
@@ -49,3 +51,67 @@ def test_runner_resumes_and_keeps_configurations_apart(spark, tmp_path):
     assert again["completed"] == 1 and sorted(x.realization for x in r.done().collect()) == [0, 1, 2]
     assert r.run(3, net, observed, make)["completed"] == 0
     assert ob.MonteCarloRunner(spark, str(tmp_path), {"a": 2}, TRUE).done() is None
+
+
+def test_a_killed_run_keeps_what_was_done(spark, tmp_path):
+    """The process of a run of the second batch dies; the first batch stays, and a new runner makes the rest, nothing twice."""
+    net = network(60)
+
+    def deadly(net, seed):
+        if seed == est.seed_streams(0, 4)["gt"]:
+            os._exit(1)
+        return observed(net, seed)
+
+    r = ob.MonteCarloRunner(spark, str(tmp_path), {"a": 1}, TRUE, batch=3)
+    with pytest.raises(Exception, match="(?i)python worker|abort|crash"):
+        r.run(7, net, deadly, make)
+    kept = sorted(x.realization for x in r.done().collect())
+    assert kept == [0, 1, 2] and {x.realization for x in r.histories().select("realization").distinct().collect()} == {0, 1, 2}
+    times = {x.realization: x.elapsed_seconds for x in r.done().collect()}
+    told = ob.MonteCarloRunner(spark, str(tmp_path), {"a": 1}, TRUE, batch=3).run(7, net, observed, make)
+    rows = r.done().collect()
+    assert told["completed"] == 4 and sorted(x.realization for x in rows) == list(range(7))
+    assert all(x.elapsed_seconds > 0 for x in rows) and all(times[x.realization] == x.elapsed_seconds for x in rows if x.realization < 3)
+    assert r.histories().groupBy("realization").count().where("count <> 3").count() == 0
+
+
+def test_a_run_that_raises_is_a_row(spark, tmp_path):
+    net = network(60)
+
+    def picky(spec):
+        if spec.index == 1:
+            raise FloatingPointError("a zero derivative")
+        return make(spec)
+
+    r = ob.MonteCarloRunner(spark, str(tmp_path), {"a": 1}, TRUE)
+    told = r.run(3, net, observed, picky)
+    rows = {x.realization: x for x in r.done().collect()}
+    assert (told["completed"], told["failed"]) == (2, 1) and rows[1].status == "failed:FloatingPointError" and "zero derivative" in rows[1].warnings
+    assert "used up its steps" in rows[0].warnings and rows[0].picard_cap_hits >= 0 and rows[1].final_step == 0
+    assert {x.realization for x in r.histories().select("realization").distinct().collect()} == {0, 2}
+
+
+def test_a_history_is_read_alone(spark, tmp_path):
+    net = network(60)
+    r = ob.MonteCarloRunner(spark, str(tmp_path), {"a": 1}, TRUE)
+    r.run(3, net, observed, make)
+    assert len(r.histories(1).inputFiles()) == 1 and "realization=1/" in r.histories(1).inputFiles()[0]
+    assert [x.step for x in r.histories(1).orderBy("step").collect()] == [1, 2, 3] and r.histories(7) is None and "history" not in r.done().columns
+
+
+def test_another_configuration_leaves_nothing_behind(spark, tmp_path):
+    net = network(60)
+    ob.MonteCarloRunner(spark, str(tmp_path), {"a": 1}, TRUE).run(2, net, observed, make)
+    new = ob.MonteCarloRunner(spark, str(tmp_path), {"a": 2}, TRUE)
+    with pytest.warns(RuntimeWarning, match="configuration has changed"):
+        new.run(1, net, observed, make)
+    left = {p.name for kind in ("rows", "histories") for p in (tmp_path / kind).iterdir() if p.is_dir()}
+    assert left == {os.path.basename(new.path)} and new.run(1, net, observed, make)["completed"] == 0
+
+
+def test_pictures_come_as_runs_are_done(spark, tmp_path, caplog):
+    net, seen = network(60), []
+    r = ob.MonteCarloRunner(spark, str(tmp_path), {"a": 1}, TRUE, visualize=lambda rows, steps: seen.append(rows.count()), plot_every=2, progress_every=3, batch=1)
+    with caplog.at_level(logging.INFO, "netloom.operators.observers"):
+        r.run(5, net, observed, make)
+    assert seen == [2, 4, 5] and [x for x in caplog.text.splitlines() if "realisations are done" in x][0].endswith("3 of 5 realisations are done")
