@@ -34,8 +34,10 @@ PHASES = 4
 _URL = re.compile(r"[A-Za-z0-9._~+/=:&?@!$'*,;()%-]+")
 _URL_CODE = re.compile(r"%[0-9A-Fa-f]{2}")
 _URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[\s\S]")
-_ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|%u([0-9A-Fa-f]{4})|&#([0-9]{1,7});")
+#: The two bytes that a zlib stream begins with, by window size: method 8, a multiple of 31, no preset dictionary.
+_ZLIB = {bytes([window << 4 | 8, flags]) for window in range(8) for flags in range(256) if ((window << 4 | 8) * 256 + flags) % 31 == 0 and not flags & 0x20}
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|" + b"|".join(re.escape(m) for m in sorted(_ZLIB)))
 _HIGH = re.compile(r"\\x[89A-Fa-f]")
 _BYTES = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\([abfnrtv\\'"])""")
 _PLAIN = dict(zip("abfnrtv\\'\"", b"\a\b\f\n\r\t\v\\'\""))
@@ -94,7 +96,7 @@ def _inflate(raw: bytes, at: int, most: int, large: list[int]) -> Iterator[tuple
     """
     out, end, magic, over = bytearray(), at, raw[at : at + 2], False
     while raw[end : end + 2] == magic:
-        kind = zlib.decompressobj(47) if magic[:1] in b"\x1fx" else bz2.BZ2Decompressor() if magic == b"BZ" else lzma.LZMADecompressor() if magic == b"\xfd7" else zstandard.ZstdDecompressor().decompressobj()
+        kind = zlib.decompressobj(47) if magic == b"\x1f\x8b" or magic in _ZLIB else bz2.BZ2Decompressor() if magic == b"BZ" else lzma.LZMADecompressor() if magic == b"\xfd7" else zstandard.ZstdDecompressor().decompressobj()
         step = 256 if magic == b"\x28\xb5" else PIECE  # zstandard can't be told how much to give
         start, fed = end, end
         try:
@@ -184,10 +186,13 @@ def _decoded(text: str) -> Iterator[tuple[str, Sequence[int], Sequence[int]]]:
                 starts += s
                 ends += e
             yield "".join(out), starts, ends
-    if "\\" in text or "&#" in text:
+            if "+" in m[0]:  # in a form a blank
+                blank = [" " if text[i] == "+" and e == i + 1 else c for c, i, e in zip("".join(out), starts, ends)]
+                yield "".join(blank), starts, ends
+    if "\\" in text or "&#" in text or "%u" in text:
         out, starts, ends, at = [], [], [], 0
         for m in _ESCAPES.finditer(text):
-            code = int(next(g for g in m.groups()[:5] if g), 16) if not m[6] else int(m[6])
+            code = int(next(g for g in m.groups()[:6] if g), 16) if not m[7] else int(m[7])
             if code > 0x10FFFF or 0xD800 <= code < 0xE000:
                 continue
             out += text[at : m.start()]

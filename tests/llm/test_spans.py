@@ -153,6 +153,11 @@ def _tar(data):
     return out.getvalue()
 
 
+def _zlib(data, window, level):
+    c = zlib.compressobj(level, zlib.DEFLATED, window)
+    return c.compress(data) + c.flush()
+
+
 HELD = f"x {SECRET} y".encode()
 _zstd = zstandard.ZstdCompressor().compress
 NESTED = {
@@ -175,6 +180,16 @@ NESTED = {
     "utf-16 in percents": urllib.parse.quote(HELD.decode().encode("utf-16-le"), safe=""),
     "latin-1": _b64("é ".encode("latin-1") + HELD + "ü".encode("latin-1")),
     "no-break spaces": _b64("\xa0\u200b\ufeff".encode() + HELD),
+    **{f"zlib window of {w} bits, level {level}": _b64(_zlib(HELD, w, level)) for w in range(9, 16) for level in (0, 1, 6, 9)},
+    "zlib window of 8 bits by its header": _b64(b"\x08\x1d" + _zlib(HELD, 9, 6)[2:]),
+    "small window in percents": urllib.parse.quote(_zlib(HELD, 10, 6), safe=""),
+    "small window in gzip": _b64(gzip.compress(_zlib(HELD, 12, 6))),
+    "form": "q=" + urllib.parse.quote_plus(HELD.decode().replace("=", " = ")),
+    "form, written out": "token+%3D+abcdefgh12345678",
+    "form in base64": _b64(urllib.parse.quote_plus(HELD.decode().replace("=", " : ")).encode()),
+    "percent u": "".join(f"%u{ord(c):04X}" for c in HELD.decode()),
+    "percent u and percents": "".join(f"%u{ord(c):04x}" if k % 3 else f"%{ord(c):02X}" for k, c in enumerate(HELD.decode())),
+    "percent u in percents": urllib.parse.quote("".join(f"%u{ord(c):04x}" for c in HELD.decode())),
     "cut short": _b64(gzip.compress(HELD + bytes(range(256)))[:-20]),
 }
 
