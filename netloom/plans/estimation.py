@@ -11,7 +11,7 @@ from netloom.operators import datasets, gin, graph
 from netloom.operators import estimator as est
 from netloom.operators.games import LinearInMeans
 from netloom.plans import sqltext as sql
-from netloom.plans.graphs import XY, g45, xy
+from netloom.plans.graphs import XY, g45, parts, xy
 from netloom.plans.registry import query
 from netloom.sources import fixtures as fx
 
@@ -38,18 +38,25 @@ def estimator(spec: est.Realization, steps: int = 280) -> est.AdversarialEstimat
 
 @query()
 def make_linear_in_means(spark, d):
-    return datasets.linear_in_means(spark, n=400, seed=0).outcome
+    return datasets.linear_in_means(spark, n=parts(spark, d), seed=0).outcome
 
 
 @query()
 def make_effort_game(spark, d):
-    return datasets.effort_game(spark, n=400, seed=0).outcome
+    return datasets.effort_game(spark, n=parts(spark, d), seed=0).outcome
+
+
+def _seeded(batches):
+    for batch in batches:
+        rows = [est.seed_streams(42, int(k)) for k in batch["realization"]]
+        yield batch.assign(**{s: [r[s] for r in rows] for s in ("gt", "train", "sampler", "init")})
 
 
 @query()
 def seed_streams(spark, d):
-    rows = [(k, *(est.seed_streams(42, k)[s] for s in ("gt", "train", "sampler", "init"))) for k in range(100)]
-    return spark.createDataFrame(rows, "realization long, gt long, train long, sampler long, init long")
+    """The seeds of each run that has events."""
+    runs = fx.table(spark, d, "events").select(F.col("user_id").alias("realization")).distinct()
+    return runs.mapInPandas(_seeded, "realization long, gt long, train long, sampler long, init long")
 
 
 GIN = est.RootedGin(3, 16, 2, seed=3)

@@ -99,9 +99,14 @@ def largest_component(spark, d):
     return graph.kept_component(graph.drop_self_loops(g45l(spark, d)))
 
 
-@query("select i as src, (i + k + 200) % 200 as dst from range(200) r(i), (values (-2), (-1), (1), (2)) o(k)")
+def parts(spark, d) -> int:
+    """The size of a generated graph: as many nodes as there are parts."""
+    return fx.table(spark, d, "part").count()
+
+
+@query("with n as (select count(*) as n from part) select i as src, (i + k + n) % n as dst from n, lateral (select unnest(range(n)) as i), (values (-2), (-1), (1), (2)) o(k)")
 def gen_ring_lattice(spark, d):
-    return gen.ring_lattice(spark, 200, 2)
+    return gen.ring_lattice(spark, parts(spark, d), 2)
 
 
 @query(f"""with {sql.looped()} select id, string_agg(dst, ',' order by dst) as neighbors from (select distinct src as id from el) left join (select distinct src, dst from el where src <> dst) on src = id group by id""")
@@ -408,11 +413,17 @@ def plot_subgraph(spark, d):
     return kept.join(some.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-@query()
+_BA = f"""with recursive n as (select count(*) as n from part), k(e, s) as (select e, e from n, lateral (select unnest(range(2 * (n - 2))) as e)
+  union all select e, case when s < 2 then -1 - s when r % 2 = 0 then -1 - (2 + (r // 2) // 2) else r // 2 end
+  from (select e, s, floor({sql.uniform('1', chr(39) + 'ba' + chr(39), 's')} * (4 * (s // 2)))::bigint as r from k where s >= 0)),
+p as (select 2 + e // 2 as src, -1 - s as dst from k where s < 0) select src, dst from p union select dst, src from p"""
+
+
+@query(_BA)
 def gen_ba(spark, d):
-    return gen.barabasi_albert(spark, 500, 2, seed=1)
+    return gen.barabasi_albert(spark, parts(spark, d), 2, seed=1)
 
 
 @query()
 def gen_lfr(spark, d):
-    return gen.lfr(spark, 400, seed=1, average_degree=6, max_degree=40)
+    return gen.lfr(spark, parts(spark, d), seed=1, average_degree=6, max_degree=40)

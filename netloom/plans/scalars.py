@@ -58,43 +58,44 @@ def soft_clip(spark, d):
     return values(spark, d).select("id", SIX(sc.soft_clip(F.col("v"), 5.0)).alias("y"))
 
 
-@query(f"""select s::int as step, 1.2::double as constant, {R('greatest(0.02::double, 0.2::double * (1 - s / 100))')} as linear,
-{R("case when s >= 100 then 0.01::double else greatest(0.01::double, 0.15::double * exp(-s / 20)) end")} as exp from range(0, 200, 5) r(s)""")
+STEPS = "h as (select user_id as realization, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as step from events)"
+
+
+@query(f"""with {STEPS} select realization, step, 1.2::double as constant, {R('greatest(0.02::double, 0.2::double * (1 - step / 60))')} as linear,
+{R("case when step >= 60 then 0.01::double else greatest(0.01::double, 0.15::double * exp(-step / 12)) end")} as exp from h""")
 def instance_noise_taus(spark, d):
     s = F.col("step")
-    df = spark.range(0, 200, 5).select(F.col("id").cast("int").alias("step"))
-    return df.select("step", sc.noise_tau(s, 1.2, "constant", 100).alias("constant"), SIX(sc.noise_tau(s, 0.2, "linear", 100, 0.02)).alias("linear"), SIX(sc.noise_tau(s, 0.15, "exp", 100, 0.01)).alias("exp"))
+    df = fx.history(spark, d).select("realization", "step")
+    return df.select("realization", "step", sc.noise_tau(s, 1.2, "constant", 60).alias("constant"), SIX(sc.noise_tau(s, 0.2, "linear", 60, 0.02)).alias("linear"), SIX(sc.noise_tau(s, 0.15, "exp", 60, 0.01)).alias("exp"))
 
 
-@query(f"select s::int as step, {R('0.003::double * pow(0.5, (s >= 220)::int + (s >= 420)::int + (s >= 620)::int + (s >= 780)::int)', 9)} as lr from range(0, 1000, 20) r(s)")
+@query(f"with {STEPS} select realization, step, {R('0.003::double * pow(0.5, (step >= 22)::int + (step >= 42)::int + (step >= 62)::int + (step >= 78)::int)', 9)} as lr from h")
 def lr_schedule(spark, d):
-    df = spark.range(0, 1000, 20).select(F.col("id").cast("int").alias("step"))
-    return df.select("step", SIX(sc.effective_lr(0.003, 0.5, [220, 420, 620, 780], F.col("step")), 9).alias("lr"))
+    return fx.history(spark, d).select("realization", "step", SIX(sc.effective_lr(0.003, 0.5, [22, 42, 62, 78], F.col("step")), 9).alias("lr"))
 
 
-@query(f"""with g as (select r::double / 10 as rho, b::double / 2 as branching from range(1, 10) x(r), range(1, 9) y(b)),
+@query(f"""with g as (select event_id as id, 0.05::double + (event_id % 19) / 20::double as rho, 0.5::double + (user_id % 16) / 4::double as branching from events),
 m as (select *, rho * rho * branching as value, abs(ln(rho * sqrt(branching))) as le from g)
-select {R('rho')} as rho, {R('branching')} as branching, {R('value')} as value, value < 1 as holds,
+select id, {R('rho')} as rho, {R('branching')} as branching, {R('value')} as value, value < 1 as holds,
 case when value < 1 and branching > 1 then {R('le / (2 * ln(branching) + le)')} else 'nan'::double end as gamma from m""")
 def moment_condition(spark, d):
-    df = spark.range(1, 10).select((F.col("id") / 10).alias("rho")).withColumn("branching", F.explode(F.array(*(F.lit(b / 2) for b in range(1, 9)))))
+    df = fx.table(spark, d, "events").select(F.col("event_id").alias("id"), (0.05 + (F.col("event_id") % 19) / 20).alias("rho"), (0.5 + (F.col("user_id") % 16) / 4).alias("branching"))
     value, holds, rate = sc.moment_eta(F.col("rho"), F.col("branching"), 2)
-    return df.select(SIX(F.col("rho")).alias("rho"), SIX(F.col("branching")).alias("branching"), SIX(value).alias("value"), holds.alias("holds"), SIX(rate).alias("gamma"))
+    return df.select("id", SIX(F.col("rho")).alias("rho"), SIX(F.col("branching")).alias("branching"), SIX(value).alias("value"), holds.alias("holds"), SIX(rate).alias("gamma"))
 
 
-@query(f"select i as id, {R(sql.uniform('7', chr(39) + 'a' + chr(39), 'i'), 9)} as u, {R(sql.gaussian('7', chr(39) + 'a' + chr(39), 'i'))} as g from range(5000) r(i)")
+@query(f"select event_id as id, {R(sql.uniform('7', chr(39) + 'a' + chr(39), 'event_id'), 9)} as u, {R(sql.gaussian('7', chr(39) + 'a' + chr(39), 'event_id'))} as g from events")
 def gaussian_hash(spark, d):
     i = F.col("id")
-    return spark.range(5000).select("id", SIX(sc.uniform_hash(7, "a", i), 9).alias("u"), SIX(sc.gaussian_hash(7, "a", i)).alias("g"))
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("id")).select("id", SIX(sc.uniform_hash(7, "a", i), 9).alias("u"), SIX(sc.gaussian_hash(7, "a", i)).alias("g"))
 
 
-@query("""select t::double / 10 as tau1, n, case when c = 0 then -1 else c end as cap, t > 20 and t < 30 as heavy_exponent,
-case when c = 0 then n >= 1000 else c > 3 * sqrt(n) end as heavy_cap
-from range(20, 36) a(t), (values (200::bigint), (10000::bigint), (250000::bigint)) b(n), (values (0::bigint), (100::bigint), (102::bigint), (1000::bigint), (2000::bigint)) e(c)""")
+@query("""with g as (select event_id as id, (20 + event_id % 16) / 10::double as tau1, 200 + 37 * user_id as n, case when event_id % 5 = 0 then null else event_id % 2003 end as cap from events)
+select id, tau1, n, coalesce(cap, -1) as cap, tau1 > 2 and tau1 < 3 as heavy_exponent, case when cap is null then n >= 1000 else cap > 3 * sqrt(n) end as heavy_cap from g""")
 def heavy_tail_grid(spark, d):
-    many = lambda xs: F.explode(F.array(*(F.lit(x).cast("long") for x in xs)))
-    df = spark.range(20, 36).select((F.col("id") / 10).alias("tau1"), many([200, 10_000, 250_000]).alias("n")).withColumn("cap", many([None, 100, 102, 1000, 2000]))
-    return df.select("tau1", "n", F.coalesce("cap", F.lit(-1).cast("long")).alias("cap"), sc.heavy_tail_exponent(F.col("tau1")).alias("heavy_exponent"), sc.degree_cap_is_heavy(F.col("cap"), F.col("n")).alias("heavy_cap"))
+    e, u = F.col("event_id"), F.col("user_id")
+    df = fx.table(spark, d, "events").select(e.alias("id"), ((20 + e % 16) / 10).alias("tau1"), (200 + 37 * u).alias("n"), F.when(e % 5 != 0, e % 2003).alias("cap"))
+    return df.select("id", "tau1", "n", F.coalesce("cap", F.lit(-1).cast("long")).alias("cap"), sc.heavy_tail_exponent(F.col("tau1")).alias("heavy_exponent"), sc.degree_cap_is_heavy(F.col("cap"), F.col("n")).alias("heavy_cap"))
 
 
 @query("select distinct user_id as realization, 'R' || lpad(user_id::varchar, 4, '0') as label, 'gamma[' || (user_id % 3) || ']' as param, printf('%.4f', user_id / 7) as shown from events")
@@ -105,9 +106,16 @@ def param_labels(spark, d):
     ).distinct()
 
 
-@query(f"select 'loss_d' as loss, {R('2 * ln(2)')} as optimum union all select 'loss_g_nonsaturating', {R('ln(2)')} union all select 'loss_g_saturating', {R('-ln(2)')}")
+_OPTIMA = "(values ('loss_d', 2 * ln(2), 1), ('loss_g_nonsaturating', ln(2), 2), ('loss_g_saturating', -ln(2), 3)) o(loss, optimum, k)"
+
+
+@query(f"with {sql.HISTORY}, m as (select realization, avg(loss_d) as d, avg(loss_g) as g from h group by 1) select realization, loss, {R('optimum')} as optimum, {R('case k when 1 then d when 2 then g else -g end - optimum')} as gap from m, {_OPTIMA}")
 def loss_optima(spark, d):
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in sc.OPTIMA.items()], "loss string, optimum double")
+    """How far each run's mean losses are from where the test function can tell nothing apart."""
+    mean = fx.history(spark, d).groupBy("realization").agg(F.avg("loss_d").alias("d"), F.avg("loss_g").alias("g"))
+    at = {"loss_d": F.col("d"), "loss_g_nonsaturating": F.col("g"), "loss_g_saturating": -F.col("g")}
+    rows = F.array(*(F.struct(F.lit(k).alias("loss"), F.lit(v).alias("optimum"), (at[k] - v).alias("gap")) for k, v in sc.OPTIMA.items()))
+    return mean.select("realization", F.explode(rows).alias("r")).select("realization", "r.loss", SIX(F.col("r.optimum")).alias("optimum"), SIX(F.col("r.gap")).alias("gap"))
 
 
 L = sql.LOGITS

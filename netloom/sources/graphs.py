@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from netloom.functions.scalar import uniform_hash
 
 
 def ring_lattice(spark: SparkSession, n: int, k: int = 1) -> DataFrame:
@@ -64,8 +66,33 @@ def barabasi_albert_pairs(n: int, m: int, seed: int) -> np.ndarray:
     return np.array(pairs)
 
 
+#: Steps after which a draw is given up; each ends with a chance of a half at least.
+_STEPS = 128
+
+
 def barabasi_albert(spark: SparkSession, n: int, m: int = 2, seed: int = 0) -> DataFrame:
-    return from_pairs(spark, barabasi_albert_pairs(n, m, seed))
+    """Preferential attachment without a list of ends: every edge finds its target by itself; both directions, distinct.
+
+    Edge e of node v = m + e // m joins it to the end at a place drawn by a hash of (seed, e) among all
+    ends of the edges of earlier nodes. An even place is the start of an edge, which is known; an odd one is the target of an
+    earlier edge, which is found in the same way. So a draw costs two steps on average, no edge
+    waits for another, and any number of tasks makes the same graph. The first m edges join node m to nodes 0..m-1.
+    Of equal draws of a node one edge stays, so a few nodes have less than m; the graph is connected.
+    """
+    if not 1 <= m < n:
+        raise ValueError("m must be at least 1 and below n")
+
+    def one(s: Column, _: Column) -> Column:
+        node = F.floor(s / m)  # the node's number behind the first m
+        place = F.floor(uniform_hash(seed, "ba", s) * (2 * m * node)).cast("long")
+        end = -1 - (m + F.floor(F.floor(place / 2) / m))
+        return F.when(s < 0, s).when(s < m, -1 - s).when(place % 2 == 0, end).otherwise(F.floor(place / 2)).cast("long")
+
+    edges = spark.range(m * (n - m))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), F.col("id"), one)
+    target = F.when(found < 0, -1 - found).otherwise(F.raise_error(F.lit("a draw did not end")).cast("long"))
+    pairs = edges.select((m + F.floor(F.col("id") / m)).cast("long").alias("src"), target.alias("dst"))
+    return pairs.union(pairs.select("dst", "src")).distinct()
 
 
 def _power_law(draw, tau: float, low: float, high: float, size: int) -> np.ndarray:

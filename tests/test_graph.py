@@ -224,6 +224,30 @@ def test_generated_graphs(n, seed):
     assert len(p) == 2 * (n - 2) and p.max() == n - 1 and (p[:, 0] != p[:, 1]).all()
 
 
+def test_preferential_attachment_by_tasks(spark):
+    """Every edge's target follows the draws one by one; connected, the same for any partitioning, degrees of a power law near 3."""
+    from netloom.functions.scalar import uniform_hash
+
+    n, m, seed = 3000, 3, 4
+    got = {tuple(r) for r in gen.barabasi_albert(spark, n, m, seed).collect()}
+    draws = [r.u for r in spark.range(m * (n - m)).select("id", uniform_hash(seed, "ba", F.col("id")).alias("u")).orderBy("id").collect()]
+    ends, want = [], set()
+    for e, u in enumerate(draws):
+        v = m + e // m
+        before = 2 * m * (e // m)
+        target = e if e < m else ends[math.floor(u * before)]
+        ends += [v, target]
+        want |= {(v, target), (target, v)}
+    assert got == want and all(a != b for a, b in got)
+    degree = np.bincount([a for a, _ in got], minlength=n)
+    tail = degree[degree >= 8]
+    assert len(degree) == n and degree.min() >= 1 and 2 * m * n * 0.95 < len(got) <= 2 * m * n
+    assert 2.4 < 1 + len(tail) / np.log(tail / 7.5).sum() < 3.6
+    assert {r.component for r in components(gen.barabasi_albert(spark, 200, 1, 1)).collect()} == {0}
+    with pytest.raises(ValueError):
+        gen.barabasi_albert(spark, 3, 3)
+
+
 def test_lfr(spark):
     p = gen.lfr_pairs(400, 1, average_degree=6, max_degree=40)
     degree = [0] * 400
