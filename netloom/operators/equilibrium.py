@@ -20,12 +20,14 @@ class NotConverged(RuntimeError):
 
 @dataclass
 class Solved:
-    """A solution, the steps it took, its last change and whether that is below the tolerance."""
+    """A solution, the steps it took, its last change and whether that is below the tolerance; of traced Newton iterations the worst last change and most steps."""
 
     nodes: DataFrame
     iters: int
     residual: float
     converged: bool
+    newton_residual: float | None = None
+    newton_iters: int | None = None
 
     def __iter__(self):
         return iter((self.nodes, self.iters))
@@ -117,6 +119,20 @@ def newton_column(z0: Column, residual: Callable[[Column], Column], derivative:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), z0, one)
 
 
+def newton_traced(z0: Column, residual: Callable[[Column], Column], derivative: Callable[[Column], Column], steps: int = 8, tol: float = 1e-10) -> Column:
+    """``newton_column`` as a struct (z, change, iters): a row stops once its change is below ``tol``; change is its last, iters its steps."""
+    start = F.struct(z0.cast("double").alias("z"), F.lit(float("inf")).alias("change"), F.lit(0).alias("iters"))
+
+    def one(s: Column, _: Column) -> Column:
+        d = derivative(s["z"])
+        bad = (d == 0) | F.isnan(d) | (F.abs(d) == float("inf"))
+        move = F.when(bad, F.raise_error(F.lit("non-finite or zero derivative in Newton; see check_model")).cast("double")).otherwise(residual(s["z"]) / d)
+        moved = F.struct((s["z"] - move).alias("z"), F.abs(move).alias("change"), (s["iters"] + 1).alias("iters"))
+        return F.when(s["change"] < tol, s).otherwise(moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, one)
+
+
 def neumann(jacobian: DataFrame, cotangent: DataFrame, tol: float = 1e-10, max_iter: int = 200, fixed: bool = False, block: int = 10) -> Solved:
     """The adjoint ``u = c + J' u`` of a fixed point, for jacobian(i, j, v) and cotangent(id, c); ``u`` is column y."""
     weights = jacobian.select(F.col("j").alias("src"), F.col("i").alias("dst"), F.col("v").alias("w"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalar import rounded
 from netloom.operators import equilibrium as eq
 from netloom.operators import games, graph
+from netloom.operators.components import checkpointed
 from netloom.plans import sqltext as sql
 from netloom.plans.graphs import Q40, Q45, g40, g45
 from netloom.plans.registry import query
@@ -95,16 +96,21 @@ def simulate_lim(spark, d):
     return games.LinearInMeans(TRUE).simulate(w, n.drop("eps"), seed=7, fixed=6).nodes.select("id", SIX(F.col("y")).alias("y"))
 
 
-_NEWTON_SQL = "z0 as (select id, b, greatest(least(b / (1 + 2/3::double), 50), -50) as z from load), " + ", ".join(
-    f"z{k} as (select id, b, z - ((1 + 2/3::double) * z - 0.5::double * exp(-z) - b) / ((1 + 2/3::double) + 0.5::double * exp(-z)) as z from z{k - 1})" for k in range(1, 9)
+_NEWTON_SQL = "z0 as (select id, b, greatest(least(b / (1 + 2/3::double), 50), -50) as z, 'inf'::double as c, 0 as n from load), " + ", ".join(
+    f"""z{k} as (select id, b, case when c < 1e-10 then z else z - d end as z, case when c < 1e-10 then c else abs(d) end as c, n + (c >= 1e-10)::int as n
+  from (select *, ((1 + 2/3::double) * z - 0.5::double * exp(-z) - b) / ((1 + 2/3::double) + 0.5::double * exp(-z)) as d from z{k - 1}))""" for k in range(1, 9)
 )
 
 
-@query(f"with {BASE}, xy as (select *, sin(3 * x) as y from eps), load as (select id, 2/3::double * coalesce(p, 0) + 1.5::double * x + eps as b from xy left join (select src, sum(w * y) as p from w join xy on id = dst group by src) on src = id), {_NEWTON_SQL} select id, {R('z')} as y from z8")
+@query(f"""with {BASE}, xy as (select *, sin(3 * x) as y from eps), load as (select id, 2/3::double * coalesce(p, 0) + 1.5::double * x + eps as b from xy left join (select src, sum(w * y) as p from w join xy on id = dst group by src) on src = id), {_NEWTON_SQL}
+select id, {R('z')} as y, n as steps, {R('c', 9)} as change, max(n) over () as most_steps, max(c) over () < 1e-10 as settled from z8""")
 def newton_effort(spark, d):
+    """A best response by Newton of each node, its steps and last change, and the worst of all nodes."""
     w, n = network(spark, d)
-    got = games.EffortGame(EFFORT).step(w)(n.withColumn("y", F.sin(3 * F.col("x"))))
-    return got.select("id", SIX(F.col("y")).alias("y"))
+    begun = n.withColumns({"y": F.sin(3 * F.col("x")), "newton_change": F.lit(0.0), "newton_iters": F.lit(0)})
+    got = checkpointed(games.EffortGame(EFFORT).step(w)(begun))
+    worst = got.agg(F.max("newton_iters").alias("most_steps"), (F.max("newton_change") < 1e-10).alias("settled"))
+    return got.crossJoin(F.broadcast(worst)).select("id", SIX(F.col("y")).alias("y"), F.col("newton_iters").alias("steps"), SIX(F.col("newton_change"), 9).alias("change"), "most_steps", "settled")  # one row
 
 
 _TAN = "select n.* replace (0.4::double * coalesce(p, 0) + 1.5::double * x + eps as y, coalesce(p, 0) + 0.4::double * coalesce(pb, 0) as b, x + 0.4::double * coalesce(pg, 0) as g, eps / 2 + 0.4::double * coalesce(ps, 0) as s) from {prev} n left join (select src, sum(w * y) as p, sum(w * b) as pb, sum(w * g) as pg, sum(w * s) as ps from w join {prev} on id = dst group by src) on src = id"

@@ -182,6 +182,6 @@ def file_sha256(spark, d):
     return files.file_hashes(spark, f"{d}/nation.parquet").select("length", "sha256")
 
 
-@query()
+@query(f"""with {H} select to_json({{'event': 'step', 'realization': realization, 'step': step, 'loss_d': {R('loss_d')}, 'loss_g': {R('loss_g')}, 'beta': {R('beta')}, 'gamma': {R('gamma')}}})::varchar as value from h""")
 def step_metrics_json(spark, d):
-    return fx.history(spark, d).select(files.as_json_line("step").alias("value"))
+    return _six(fx.history(spark, d), "loss_d", "loss_g", "beta", "gamma").select(files.as_json_line("step").alias("value"))

@@ -85,6 +85,25 @@ def test_stopping_of_the_iteration(spark):
     assert e.value.cap == 10 and e.value.residual > e.value.tol
 
 
+def test_newton_is_traced_over_a_sweep(spark):
+    """The worst last change and most steps of any node in any Picard step, as a local run counts them; too few steps are told."""
+    edges = gen.from_pairs(spark, gen.barabasi_albert_pairs(40, 2, 1))
+    w = graph.row_stochastic(edges)
+    nodes = spark.range(40).select("id", (F.col("id") % 7 / 3.0).alias("x"), (F.col("id") % 5 / 4.0 - 0.4).alias("eps"))
+    values = {"gamma": 1.5, "lambda_": 2 / 3, "mu": 0.5, "r": 1.0, "sigma_sq": 1.0}
+    whole = games.EffortGame(values).solve(w, nodes, fixed=6, traced=True)
+    plain = games.EffortGame(values).solve(w, nodes, fixed=6)
+    same = whole.nodes.alias("a").join(plain.nodes.alias("b"), "id").agg(F.max(F.abs(F.col("a.y") - F.col("b.y"))).alias("off")).first().off
+    assert same < 1e-9 and whole.newton_residual < 1e-10 and 3 <= whole.newton_iters <= 8 and plain.newton_iters is None
+    assert whole.nodes.columns == plain.nodes.columns
+    hasty = games.EffortGame(values, newton_steps=1).solve(w, nodes, fixed=6, traced=True)
+    assert hasty.newton_iters == 1 and hasty.newton_residual > 1e-3
+    cube = lambda tol: spark.createDataFrame([(1.0,), (2.0,)], "z double").select(eq.newton_traced(F.col("z"), lambda z: z * z * z - 2, lambda z: 3 * z * z, 20, tol).alias("n")).select("n.*").collect()
+    for r in cube(1e-10):
+        assert abs(r.z**3 - 2) < 1e-12 and r.change < 1e-10 and 4 <= r.iters < 20
+    assert all(a.iters < b.iters for a, b in zip(cube(1e-2), cube(1e-10)))
+
+
 def test_newton_column(spark):
     df = spark.createDataFrame([(50.0,), (1.0,)], "z double")
     cube = lambda steps: eq.newton_column(F.col("z"), lambda z: z * z * z - 2, lambda z: 3 * z * z, steps)
