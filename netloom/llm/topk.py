@@ -1,4 +1,9 @@
-"""Exact top-k inner-product search with block-at-a-time pruning (operator 10)."""
+"""Exact top-k inner-product search with block-at-a-time pruning (operator 10).
+
+Rows are dealt into shards by their largest component, then cut into blocks by the next largest, so
+that what lies near each other shares a bound. A query meets its own kind's shard first; the k-th score there is a floor
+below which no other shard, and no block of one, is looked at.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.llm.text import by_group
+from netloom.operators.components import checkpointed
 
 K, EVERY = 5, 50
 #: Candidates of a shard, of a block within it, and queries of a chunk, about.
 SHARD, BLOCK, CHUNK = 16384, 256, 2048
+#: Shards whose bounds are compared with a chunk of queries at once.
+BOUNDS = 1024
 _EXACT = 2**53
 
 
@@ -26,6 +34,21 @@ def floored(x: float) -> int:
     return math.floor(y) if math.isfinite(y) else 256 * int(x)
 
 
+def leads(x: np.ndarray, n: int = 1) -> np.ndarray:
+    """The places of the n largest components of each row by size, as 2 place, or 2 place + 1 where the component is negative."""
+    x = x.astype(np.float64)
+    size, out, rows = np.abs(x), np.zeros((n, len(x)), np.int64), np.arange(len(x))
+    for k in range(min(n, x.shape[1])):
+        at = size.argmax(1)
+        out[k] = 2 * at + (x[rows, at] < 0)
+        size[rows, at] = -1
+    return out
+
+
+def _lead(data: bytes, wide: bool) -> int:
+    return int(leads(np.frombuffer(data, np.float64 if wide else np.int32)[None])[0, 0])
+
+
 def _quantize(batches):
     """The usable vectors of a batch as one matrix: 32-bit whole numbers, or the doubles themselves where one doesn't fit."""
     for batch in batches:
@@ -41,7 +64,8 @@ def _quantize(batches):
         keep = np.flatnonzero((sizes > 0) & ~bad & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False))
         narrow = np.where(np.repeat(wide | bad, sizes), 0, y).astype(np.int32)
         data = [(x if wide[i] else narrow)[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array(sizes[keep], pa.int32()), pa.array(wide[keep], pa.bool_()), pa.array(data, pa.binary())], ["vec_id", "dim", "wide", "data"])
+        first = [_lead(d, w) for d, w in zip(data, wide[keep])] if len(np.unique(sizes[keep])) > 1 or wide[keep].any() else leads(np.frombuffer(b"".join(data), np.int32).reshape(len(keep), -1))[0] if len(keep) else []
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array(sizes[keep], pa.int32()), pa.array(wide[keep], pa.bool_()), pa.array(first, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "dim", "wide", "lead", "data"])
 
 
 def _matrix(data: list[bytes], wide: list[bool], dim: int) -> np.ndarray:
@@ -63,15 +87,16 @@ def told(score: int) -> tuple[int, bytes | None]:
     return max(-_MOST - 1, min(_MOST, score)), (2**31 + sign * size).to_bytes(4, "big") + (score if score > 0 else score + 256**size).to_bytes(size, "big")
 
 
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK) -> tuple[list[tuple[int, int, int]], int]:
+def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK, floor: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], int]:
     """(query, candidate, score) of each query's k best candidates other than itself, and the scores computed.
 
-    Candidates in ascending id are cut into ranges. A range's maxima and minima per component
+    Candidates in the order of their largest components, then of their ids, are cut into ranges. A range's maxima and minima per component
     bound the score of all its members for a query: the sum of the larger products. Ranges are
     gone through by descending bound, per query as far as the bound is at least the k-th score so
-    far (a tie may still win by its id); a range's rows are scored for all queries that need it at once.
+    far (a tie may still win by its id) and the query's ``floor``; a range's rows are scored for all queries that need it at once.
     """
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((ids, *leads(x, 3)[::-1])) if x.dtype != object else np.argsort(ids, kind="stable")
+    floor = np.full(len(query_ids), -math.inf) if floor is None else floor
     ids, x = ids[order], x[order]
     at = list(range(0, len(ids), block))
     top = np.array([x[a : a + block].max(0) for a in at])
@@ -85,7 +110,7 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     done = 0
     for step in range(len(at)):
         mine = rank[:, step]
-        needed = bound[np.arange(n), mine] >= best[:, -1]
+        needed = (bound[np.arange(n), mine] >= best[:, -1]) & (bound[np.arange(n), mine] >= floor)
         if q.dtype != object and not needed.any():
             break
         for b in np.unique(mine[needed]) if needed.any() else ():
@@ -119,16 +144,68 @@ def _score(k: int, block: int):
         ids, data, wide = group.column("vec_id").to_numpy(), group.column("data").to_pylist(), group.column("wide").to_pylist()
         pick = lambda mask: (ids[mask], _matrix([d for d, m in zip(data, mask) if m], [w for w, m in zip(wide, mask) if m], dim))
         (qi, q), (xi, x) = pick(kind), pick(~kind)
+        floor = np.array([-math.inf if f is None else f for f, m in zip(group.column("floor").to_pylist(), kind) if m], object)
         most = lambda m: max(int(abs(m.min())), int(abs(m.max())))
         if q.dtype == object or x.dtype == object or most(q) * most(x) * dim >= _EXACT:
             whole = lambda m: m if m.dtype == object else m.astype(np.int64).astype(object)
             q, x = whole(q), whole(x)
-        rows, _ = search(xi, x, qi, q, k, block)
-        cols = zip(*((a, b, *told(c)) for a, b, c in rows)) if rows else [[]] * 4
-        kinds = [pa.int64()] * 3 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_id", "vec_id", "score", "order"])
+        else:
+            floor = floor.astype(np.float64)  # such scores are exact as doubles
+        rows, done = search(xi, x, qi, q, k, block, floor)
+        cols = [*zip(*((a, b, *told(c), done * (i == 0)) for i, (a, b, c) in enumerate(rows)))] if rows else [[]] * 5
+        kinds = [pa.int64()] * 3 + [pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_id", "vec_id", "score", "order", "scored"])
+
+    return by_group(["dim", "q_lead", "chunk", "lead", "salt"], fn)
+
+
+def _boxed(group: pa.Table) -> pa.RecordBatch:
+    """Maxima and minima per component of some vectors of a shard, as doubles; none where a component is wide."""
+    dim, data, wide = group.column("dim")[0].as_py(), group.column("data").to_pylist(), any(group.column("wide").to_pylist())
+    if not wide:
+        x = np.frombuffer(b"".join(data), np.int32).reshape(len(data), dim)
+    box = (None, None) if wide else (x.max(0).astype(np.float64).tobytes(), x.min(0).astype(np.float64).tobytes())
+    return pa.RecordBatch.from_arrays([*(group.column(c)[:1].combine_chunks() for c in ("dim", "lead", "salt")), *(pa.array([b], pa.binary()) for b in box)], ["dim", "lead", "salt", "top", "low"])
+
+
+def _boxes(batches):
+    """``_boxed`` of each shard's rows in each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch]).sort_by([("dim", "ascending"), ("lead", "ascending"), ("salt", "ascending")]).combine_chunks()
+            yield from by_group(["dim", "lead", "salt"], _boxed)(iter(t.to_batches()))
 
-    return by_group(["dim", "shard", "chunk"], fn)
+
+def _merged(group: pa.Table) -> pa.RecordBatch:
+    """One box for all of a shard's."""
+    top, low = (group.column(c).to_pylist() for c in ("top", "low"))
+    whole = None not in top
+    fold = lambda f, xs: f.reduce([np.frombuffer(x) for x in xs]).tobytes() if whole else None
+    return pa.RecordBatch.from_arrays([*(group.column(c)[:1].combine_chunks() for c in ("dim", "lead", "salt")), pa.array([fold(np.maximum, top)], pa.binary()), pa.array([fold(np.minimum, low)], pa.binary())], ["dim", "lead", "salt", "top", "low"])
+
+
+def _needed(group: pa.Table) -> pa.RecordBatch | None:
+    """The shards of a unit that can have one of the k best of any query of a chunk."""
+    kind = np.array(group.column("is_query").to_pylist(), bool)
+    if not kind.any() or kind.all():
+        return None
+    dim, q_lead, chunk = (group.column(c)[0].as_py() for c in ("dim", "q_lead", "chunk"))
+    queries, shards = group.filter(pa.array(kind)), group.filter(pa.array(~kind))
+    lead, salt, top, low = (shards.column(c).to_pylist() for c in ("lead", "salt", "top", "low"))
+    floors, wide = queries.column("floor").to_pylist(), queries.column("wide").to_pylist()
+    keep = np.ones(len(lead), bool)
+    if not any(wide) and None not in floors:
+        known = [i for i, t in enumerate(top) if t is not None]
+        if known:
+            q = _matrix(queries.column("data").to_pylist(), wide, dim)
+            t, b = (np.array([np.frombuffer(x[i]) for i in known]) for x in (top, low))
+            bound = np.maximum(q, 0) @ t.T + np.minimum(q, 0) @ b.T
+            slack = 1 + 1e-9 * (np.abs(q) @ np.maximum(np.abs(t), np.abs(b)).T)  # for rounding in the sums
+            keep[known] = (bound + slack >= np.array(floors, np.float64)[:, None]).any(0)
+    keep &= ~np.array([a == q_lead and s == 0 for a, s in zip(lead, salt)], bool)  # met before
+    at = np.flatnonzero(keep)
+    cols = [np.full(len(at), v) for v in (dim, q_lead, chunk)] + [np.array(lead)[at], np.array(salt)[at]]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cols], ["dim", "q_lead", "chunk", "lead", "salt"])
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
@@ -142,23 +219,53 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     Scores are exact whatever the size of the components; one that no 64-bit number can tell is ranked by its
     exact value and told as the nearest 64-bit number. An empty table, or one without queries, gives no rows; further columns are ignored.
 
-    Candidates are cut into shards of about ``shard`` rows and queries into chunks of about
-    ``chunk``; each shard meets each chunk in a task of bounded size that prunes by blocks, and a
-    query's best of each shard are merged. Every score that can be among the k best is computed exactly.
+    See ``scored`` for how; every score that can be among the k best is computed exactly.
     """
-    spark = vectors.sparkSession
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    usable = slim.mapInArrow(_quantize, "vec_id long, dim int, wide boolean, data binary")
-    sizes = slim.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    shards, chunks = max(1, -(-sizes["n"] // shard)), max(1, -(-sizes["q"] // chunk))
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    shards = max(shards, min(tasks, -(-sizes["n"] // 1024)))
-    # ids are dealt round by a hash of the id's range, so that a shard is made of whole ranges
-    candidates = usable.withColumn("shard", F.expr(f"cast(pmod(xxhash64(floor(vec_id / {block})), {shards}) as int)")).withColumn("chunk", F.explode(F.expr(f"sequence(0, {chunks - 1})"))).withColumn("is_query", F.lit(False))
-    queries = usable.where(F.col("vec_id") % every == 0).groupBy("dim", "vec_id").agg(F.min(F.struct("data", "wide")).alias("v")).select("vec_id", "dim", "v.wide", "v.data")
-    queries = queries.withColumn("chunk", F.expr(f"cast(pmod(xxhash64(vec_id), {chunks}) as int)")).withColumn("shard", F.explode(F.expr(f"sequence(0, {shards - 1})"))).withColumn("is_query", F.lit(True))
-    cols = ["dim", "shard", "chunk", "is_query", "vec_id", "wide", "data"]
-    units = candidates.select(cols).union(queries.select(cols)).repartition(F.col("dim"), F.col("shard"), F.col("chunk")).sortWithinPartitions("dim", "shard", "chunk")
-    best = units.mapInArrow(_score(k, block), "query_id long, vec_id long, score long, order binary")
+    best = scored(vectors, k, every, shard, chunk, block)
     ranked = best.selectExpr("*", "row_number() over (partition by query_id order by score desc, order desc nulls last, vec_id) as rank")
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def scored(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """``(query_id, vec_id, score, order, scored)``: the k best of each shard that a query meets; ``scored`` sums up to the scores computed.
+
+    Candidates with the same largest component (and sign) make shards of about ``shard`` rows, queries chunks of
+    about ``chunk``, so that a hot vector only makes more shards. A chunk first meets one shard of its own kind, and the k-th score
+    of each query there is its floor. Then the bounds of all shards, a box of maxima and minima each, are compared with the floors
+    of each chunk, and only for the pairs left are candidates and queries sent on; a pair is a task's
+    unit of bounded size, which prunes by blocks.
+    """
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    usable = slim.mapInArrow(_quantize, "vec_id long, dim int, wide boolean, lead int, data binary")
+    sizes = usable.groupBy("dim", "lead").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"))
+    parts = lambda c, most: F.greatest(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
+    sizes = checkpointed(sizes.select("dim", "lead", parts("n", shard).alias("salts"), parts("q", chunk).alias("chunks")), slim=True)
+    dealt = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
+    placed = checkpointed(usable.join(sizes, ["dim", "lead"]).select("dim", "lead", dealt("salts").alias("salt"), "vec_id", "wide", "data"))
+    queries = placed.where(F.col("vec_id") % every == 0).groupBy("dim", "vec_id").agg(F.min(F.struct("data", "wide", "lead")).alias("v"))
+    queries = queries.select("dim", "vec_id", "v.*").join(sizes, ["dim", "lead"])
+    queries = checkpointed(queries.select("dim", F.col("lead").alias("q_lead"), dealt("chunks").alias("chunk"), "vec_id", "wide", "data"))
+    chunks = checkpointed(queries.select("dim", "q_lead", "chunk").distinct(), slim=True)
+    cols, none = ["dim", "q_lead", "chunk", "lead", "salt", "is_query", "floor", "vec_id", "wide", "data"], F.lit(None).cast("long").alias("floor")
+    unit, found = ["dim", "q_lead", "chunk", "lead", "salt"], "query_id long, vec_id long, score long, order binary, scored long"
+
+    def met(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """The best of each pair(dim, q_lead, chunk, lead, salt) of a chunk and a shard."""
+        rows = placed.join(pairs, ["dim", "lead", "salt"]).withColumns({"is_query": F.lit(False), "floor": none}).select(cols)
+        rows = rows.union(asked.join(pairs, ["dim", "q_lead", "chunk"]).withColumn("is_query", F.lit(True)).select(cols))
+        return rows.repartition(*map(F.col, unit)).sortWithinPartitions(*unit).mapInArrow(_score(k, block), found)
+
+    own = chunks.select("dim", "q_lead", "chunk", F.col("q_lead").alias("lead"), F.lit(0).alias("salt"))
+    first = checkpointed(met(own, queries.withColumn("floor", none)))
+    full = (F.count("*") == k) & (F.count("order") == 0)
+    floors = first.groupBy(F.col("query_id").alias("of")).agg(F.when(full, F.min("score")).alias("floor"))
+    asked = checkpointed(queries.join(floors, queries["vec_id"] == F.col("of"), "left").drop("of"))
+    boxes = placed.mapInArrow(_boxes, "dim int, lead int, salt int, top binary, low binary").repartition("dim", "lead", "salt").sortWithinPartitions("dim", "lead", "salt")
+    boxes = checkpointed(boxes.mapInArrow(by_group(["dim", "lead", "salt"], _merged), "dim int, lead int, salt int, top binary, low binary"))
+    groups = -(-boxes.count() // BOUNDS) or 1
+    empty = F.lit(None).cast("binary")
+    grid = boxes.join(chunks, "dim").select("dim", "q_lead", "chunk", F.pmod(F.xxhash64("lead", "salt"), F.lit(groups)).cast("int").alias("part"), F.lit(False).alias("is_query"), none, F.lit(False).alias("wide"), empty.alias("data"), "lead", "salt", "top", "low")
+    spread = asked.select("dim", "q_lead", "chunk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(True).alias("is_query"), "floor", "wide", "data", F.lit(-1).alias("lead"), F.lit(-1).alias("salt"), empty.alias("top"), empty.alias("low"))
+    grid = grid.union(spread).repartition(*map(F.col, ("dim", "q_lead", "chunk", "part"))).sortWithinPartitions("dim", "q_lead", "chunk", "part")
+    pairs = checkpointed(grid.mapInArrow(by_group(["dim", "q_lead", "chunk", "part"], _needed), ", ".join(f"{c} int" for c in unit)))
+    return first.union(met(pairs, asked))

@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from netloom.llm.topk import floored, search, told, top_k
+from netloom.llm.topk import floored, leads, scored, search, told, top_k
 
 SCHEMA = "vec_id long, embedding array<double>, score long"
 
@@ -78,3 +78,36 @@ def test_blocks_are_skipped():
         want = np.lexsort((ids, -full[n]))[:5].tolist()
         assert [j for q, j, _ in rows if q == i] == want
     assert done < 0.6 * full.size
+
+
+def clustered(n, dim, kinds, seed):
+    """Vectors close to some centres of different largest components, ids in no order."""
+    draw = np.random.default_rng(seed)
+    centres = 0.05 * draw.standard_normal((kinds, dim))
+    centres[np.arange(kinds), draw.permutation(dim)[:kinds]] = 1.0
+    x = centres[draw.integers(0, kinds, n)] + 0.02 * draw.standard_normal((n, dim))
+    return [(int(i), [round(float(v), 4) for v in row], 0) for i, row in zip(draw.permutation(n), x)]
+
+
+def test_shards_and_blocks_are_skipped_where_vectors_lie_in_groups(spark):
+    """Pairs of a chunk and a shard that can't matter are never sent; results are those of all pairs."""
+    rows = clustered(3000, 16, 12, 3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute(rows)
+    how = {"shard": 200, "chunk": 4, "block": 32}
+    assert got(df, **how) == want
+    done = scored(df, **how).agg({"scored": "sum"}).first()[0]
+    assert 0 < done < 0.2 * 3000 * 60
+    plain = vectors(3000, 16, 4)
+    assert got(spark.createDataFrame(plain, SCHEMA), **how) == brute(plain)
+
+
+def test_a_vector_that_a_third_of_all_rows_have(spark):
+    rows = clustered(900, 8, 5, 7) + [(10_000 + i, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.25], 0) for i in range(450)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(df, shard=64, chunk=3, block=16) == brute(rows)
+
+
+def test_leads():
+    x = np.array([[1, -5, 3], [0, 0, 0], [-2, 2, 2]])
+    assert leads(x, 2).tolist() == [[3, 0, 1], [4, 2, 2]] and leads(x[:, :1], 3)[0].tolist() == [0, 0, 1]
