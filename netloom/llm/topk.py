@@ -156,7 +156,7 @@ def _score(k: int, block: int):
         kinds = [pa.int64()] * 3 + [pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_id", "vec_id", "score", "order", "scored"])
 
-    return by_group(["dim", "q_lead", "chunk", "lead", "salt"], fn)
+    return by_group(["dim", "kind", "chunk", "lead", "salt"], fn)
 
 
 def _boxed(group: pa.Table) -> pa.RecordBatch:
@@ -185,27 +185,27 @@ def _merged(group: pa.Table) -> pa.RecordBatch:
 
 
 def _needed(group: pa.Table) -> pa.RecordBatch | None:
-    """The shards of a unit that can have one of the k best of any query of a chunk."""
-    kind = np.array(group.column("is_query").to_pylist(), bool)
-    if not kind.any() or kind.all():
+    """The shards of a unit that can have one of the k best of any query of a chunk that hasn't met them."""
+    asks = np.array(group.column("is_query").to_pylist(), bool)
+    if not asks.any() or asks.all():
         return None
-    dim, q_lead, chunk = (group.column(c)[0].as_py() for c in ("dim", "q_lead", "chunk"))
-    queries, shards = group.filter(pa.array(kind)), group.filter(pa.array(~kind))
-    lead, salt, top, low = (shards.column(c).to_pylist() for c in ("lead", "salt", "top", "low"))
-    floors, wide = queries.column("floor").to_pylist(), queries.column("wide").to_pylist()
-    keep = np.ones(len(lead), bool)
-    if not any(wide) and None not in floors:
-        known = [i for i, t in enumerate(top) if t is not None]
-        if known:
-            q = _matrix(queries.column("data").to_pylist(), wide, dim)
-            t, b = (np.array([np.frombuffer(x[i]) for i in known]) for x in (top, low))
-            bound = np.maximum(q, 0) @ t.T + np.minimum(q, 0) @ b.T
-            slack = 1 + 1e-9 * (np.abs(q) @ np.maximum(np.abs(t), np.abs(b)).T)  # for rounding in the sums
-            keep[known] = (bound + slack >= np.array(floors, np.float64)[:, None]).any(0)
-    keep &= ~np.array([a == q_lead and s == 0 for a, s in zip(lead, salt)], bool)  # met before
-    at = np.flatnonzero(keep)
-    cols = [np.full(len(at), v) for v in (dim, q_lead, chunk)] + [np.array(lead)[at], np.array(salt)[at]]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cols], ["dim", "q_lead", "chunk", "lead", "salt"])
+    dim, kind, chunk = (group.column(c)[0].as_py() for c in ("dim", "kind", "chunk"))
+    queries, shards = group.filter(pa.array(asks)), group.filter(pa.array(~asks))
+    lead, salt = (shards.column(c).to_numpy() for c in ("lead", "salt"))
+    top, low = (shards.column(c).to_pylist() for c in ("top", "low"))
+    wide = np.array(queries.column("wide").to_pylist(), bool)
+    floors = np.array([-math.inf if f is None or w else f for f, w in zip(queries.column("floor").to_pylist(), wide)])
+    need = ~((queries.column("lead").to_numpy()[:, None] == lead) & (salt == 0))
+    known, told_ = np.array([i for i, t in enumerate(top) if t is not None], int), np.flatnonzero(floors > -math.inf)
+    if len(known) and len(told_):
+        q = _matrix([queries.column("data")[int(i)].as_py() for i in told_], [False] * len(told_), dim)
+        t, b = (np.array([np.frombuffer(x[i]) for i in known]) for x in (top, low))
+        bound = np.maximum(q, 0) @ t.T + np.minimum(q, 0) @ b.T
+        slack = 1 + 1e-9 * (np.abs(q) @ np.maximum(np.abs(t), np.abs(b)).T)  # for rounding in the sums
+        need[np.ix_(told_, known)] &= bound + slack >= floors[told_, None]
+    at = np.flatnonzero(need.any(0))
+    cols = [np.full(len(at), v) for v in (dim, kind, chunk)] + [lead[at], salt[at]]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cols], ["dim", "kind", "chunk", "lead", "salt"])
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
@@ -230,8 +230,8 @@ def scored(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHAR
     """``(query_id, vec_id, score, order, scored)``: the k best of each shard that a query meets; ``scored`` sums up to the scores computed.
 
     Candidates with the same largest component (and sign) make shards of about ``shard`` rows, queries chunks of
-    about ``chunk``, so that a hot vector only makes more shards. A chunk first meets one shard of its own kind, and the k-th score
-    of each query there is its floor. Then the bounds of all shards, a box of maxima and minima each, are compared with the floors
+    about ``chunk`` (of several kinds where there are few), so that a hot vector only makes more shards. A query first meets one shard of its own kind, and the k-th score
+    there is its floor. Then the bounds of all shards, a box of maxima and minima each, are compared with the floors
     of each chunk, and only for the pairs left are candidates and queries sent on; a pair is a task's
     unit of bounded size, which prunes by blocks.
     """
@@ -239,33 +239,39 @@ def scored(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHAR
     usable = slim.mapInArrow(_quantize, "vec_id long, dim int, wide boolean, lead int, data binary")
     sizes = usable.groupBy("dim", "lead").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"))
     parts = lambda c, most: F.greatest(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
-    sizes = checkpointed(sizes.select("dim", "lead", parts("n", shard).alias("salts"), parts("q", chunk).alias("chunks")), slim=True)
+    whole = sizes.groupBy("dim").agg(F.sum("q").alias("all")).select("dim", parts("all", chunk).alias("kinds"))
+    sizes = sizes.select("dim", "lead", parts("n", shard).alias("salts"), parts("q", chunk).alias("chunks")).join(whole, "dim")
+    # few queries of many kinds make one chunk, of neighbouring kinds
+    sizes = checkpointed(sizes.withColumn("kind", F.floor(F.col("lead") * F.least("kinds", 2 * F.col("dim")) / (2 * F.col("dim"))).cast("int")), slim=True)
     dealt = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
     placed = checkpointed(usable.join(sizes, ["dim", "lead"]).select("dim", "lead", dealt("salts").alias("salt"), "vec_id", "wide", "data"))
     queries = placed.where(F.col("vec_id") % every == 0).groupBy("dim", "vec_id").agg(F.min(F.struct("data", "wide", "lead")).alias("v"))
     queries = queries.select("dim", "vec_id", "v.*").join(sizes, ["dim", "lead"])
-    queries = checkpointed(queries.select("dim", F.col("lead").alias("q_lead"), dealt("chunks").alias("chunk"), "vec_id", "wide", "data"))
-    chunks = checkpointed(queries.select("dim", "q_lead", "chunk").distinct(), slim=True)
-    cols, none = ["dim", "q_lead", "chunk", "lead", "salt", "is_query", "floor", "vec_id", "wide", "data"], F.lit(None).cast("long").alias("floor")
-    unit, found = ["dim", "q_lead", "chunk", "lead", "salt"], "query_id long, vec_id long, score long, order binary, scored long"
+    queries = checkpointed(queries.select("dim", F.col("lead").alias("q_lead"), "kind", dealt("chunks").alias("chunk"), "vec_id", "wide", "data"))
+    cols, none = ["dim", "kind", "chunk", "lead", "salt", "is_query", "floor", "vec_id", "wide", "data"], F.lit(None).cast("long").alias("floor")
+    unit, found = ["dim", "kind", "chunk", "lead", "salt"], "query_id long, vec_id long, score long, order binary, scored long"
 
     def met(pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """The best of each pair(dim, q_lead, chunk, lead, salt) of a chunk and a shard."""
+        """The best of each pair(dim, kind, chunk, lead, salt) of a chunk and a shard, of ``asked`` as far as they haven't met."""
         rows = placed.join(pairs, ["dim", "lead", "salt"]).withColumns({"is_query": F.lit(False), "floor": none}).select(cols)
-        rows = rows.union(asked.join(pairs, ["dim", "q_lead", "chunk"]).withColumn("is_query", F.lit(True)).select(cols))
+        rows = rows.union(asked.join(pairs, ["dim", "kind", "chunk"]).where("not met or q_lead <> lead or salt <> 0").withColumn("is_query", F.lit(True)).select(cols))
         return rows.repartition(*map(F.col, unit)).sortWithinPartitions(*unit).mapInArrow(_score(k, block), found)
 
-    own = chunks.select("dim", "q_lead", "chunk", F.col("q_lead").alias("lead"), F.lit(0).alias("salt"))
-    first = checkpointed(met(own, queries.withColumn("floor", none)))
+    # first a shard of its own kind for each query
+    alone = queries.withColumns({"kind": F.col("q_lead"), "floor": none, "met": F.lit(False)})
+    own = alone.select("dim", "kind", "chunk", F.col("q_lead").alias("lead"), F.lit(0).alias("salt")).distinct()
+    first = checkpointed(met(own, alone))
     full = (F.count("*") == k) & (F.count("order") == 0)
     floors = first.groupBy(F.col("query_id").alias("of")).agg(F.when(full, F.min("score")).alias("floor"))
-    asked = checkpointed(queries.join(floors, queries["vec_id"] == F.col("of"), "left").drop("of"))
+    asked = checkpointed(queries.join(floors, queries["vec_id"] == F.col("of"), "left").drop("of").withColumn("met", F.lit(True)))
+    chunks = checkpointed(asked.select("dim", "kind", "chunk").distinct(), slim=True)
     boxes = placed.mapInArrow(_boxes, "dim int, lead int, salt int, top binary, low binary").repartition("dim", "lead", "salt").sortWithinPartitions("dim", "lead", "salt")
     boxes = checkpointed(boxes.mapInArrow(by_group(["dim", "lead", "salt"], _merged), "dim int, lead int, salt int, top binary, low binary"))
     groups = -(-boxes.count() // BOUNDS) or 1
     empty = F.lit(None).cast("binary")
-    grid = boxes.join(chunks, "dim").select("dim", "q_lead", "chunk", F.pmod(F.xxhash64("lead", "salt"), F.lit(groups)).cast("int").alias("part"), F.lit(False).alias("is_query"), none, F.lit(False).alias("wide"), empty.alias("data"), "lead", "salt", "top", "low")
-    spread = asked.select("dim", "q_lead", "chunk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(True).alias("is_query"), "floor", "wide", "data", F.lit(-1).alias("lead"), F.lit(-1).alias("salt"), empty.alias("top"), empty.alias("low"))
-    grid = grid.union(spread).repartition(*map(F.col, ("dim", "q_lead", "chunk", "part"))).sortWithinPartitions("dim", "q_lead", "chunk", "part")
-    pairs = checkpointed(grid.mapInArrow(by_group(["dim", "q_lead", "chunk", "part"], _needed), ", ".join(f"{c} int" for c in unit)))
+    grid = boxes.join(chunks, "dim").select("dim", "kind", "chunk", F.pmod(F.xxhash64("lead", "salt"), F.lit(groups)).cast("int").alias("part"), F.lit(False).alias("is_query"), none, F.lit(False).alias("wide"), empty.alias("data"), "lead", "salt", "top", "low")
+    spread = asked.select("dim", "kind", "chunk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(True).alias("is_query"), "floor", "wide", "data", F.col("q_lead").alias("lead"), F.lit(-1).alias("salt"), empty.alias("top"), empty.alias("low"))
+    key = ["dim", "kind", "chunk", "part"]
+    grid = grid.union(spread).repartition(*map(F.col, key)).sortWithinPartitions(*key)
+    pairs = checkpointed(grid.mapInArrow(by_group(key, _needed), ", ".join(f"{c} int" for c in unit)))
     return first.union(met(pairs, asked))
