@@ -10,6 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import NumericType
 
 
+#: The fields of a step record in their order, with the types they have in every table, file and stream.
+STEP_FIELDS = {
+    "step": "int", "params": "map<string, double>", "loss_d": "double", "loss_g": "double", "loss_d_rolling": "double", "loss_g_rolling": "double", "grad_norm_g": "double",
+    "picard_iterations": "int", "roots_requested": "int", "roots_achieved": "int", "tau_y": "double", "in_equilibrium": "boolean", "lr_g": "double", "newton_iterations": "int",
+    "sampler_radius": "int", "picard_residual": "double", "picard_converged": "boolean", "sampler_met_target": "boolean", "sampler_fallback_reason": "string",
+    "param_grads": "map<string, double>", "extras": "map<string, double>",
+}
+STEP_SCHEMA = ", ".join(f"{k} {t}" for k, t in STEP_FIELDS.items())
+
+
 @runtime_checkable
 class StructuralModel(Protocol):
     """A game as the estimator uses it: named values, their unconstrained form and a way back."""

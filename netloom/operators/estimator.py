@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netloom.functions.constants import OPTIMUM_D, OPTIMUM_G, OPTIMUM_G_SATURATING
 from netloom.functions.expr import Var
-from netloom.operators.contracts import BlurLike, check_logits, check_map_output
+from netloom.operators.contracts import STEP_FIELDS, BlurLike, check_logits, check_map_output
 from netloom.operators.games import Game
 from netloom.operators.sampling import Roots
 from netloom.operators.series import override_tol
@@ -605,7 +605,7 @@ def run_minimax(
     if isinstance(sampler, LocalSampler) and (radius := sampler.effective_r) is not None and radius < 2 * net.k:
         warnings.warn(f"roots are {radius} apart at most, less than twice the ego radius {net.k}: ego objects may share nodes", RootsShort, stacklevel=2)
     implicit = (config.differentiation or game.differentiation) == "implicit"
-    told, capped = set(), {"picard": 0, "newton": 0}
+    told, capped, drawn = set(), {"picard": 0, "newton": 0}, {}
     local, raw = LocalGame(game, net), {k: np.float64(v) for k, v in game.raw().items()}
     dforward = {k: t.forward(_RAW).diff("raw") for k, t in game.transforms.items()}
     rule = StoppingRule(config)
@@ -626,8 +626,11 @@ def run_minimax(
 
     def pick(phase: str) -> np.ndarray:
         if not isinstance(sampler, LocalSampler):
-            return sampler(draw, config.batch)
+            roots = sampler(draw, config.batch)
+            drawn.update(roots_requested=config.batch, roots_achieved=len(roots), sampler_radius=None, sampler_met_target=len(roots) >= config.batch, sampler_fallback_reason="")
+            return roots
         got = sampler(net, draw, config.batch)
+        drawn.update(roots_requested=got.requested, roots_achieved=got.achieved, sampler_radius=got.radius_used, sampler_met_target=bool(got.met_target), sampler_fallback_reason=got.fallback_reason or "")
         if not got.met_target or got.fallback_reason:
             once(f"short:{phase}", RootsShort, f"the {phase} phase got {got.achieved} of {got.requested} roots by {got.mode}: {got.fallback_reason or 'too few lie apart'}")
         if got.radius_used is not None and got.radius_used < 2 * net.k:
@@ -700,7 +703,12 @@ def run_minimax(
         losses_g.append(loss_g)
         path.append(params)
         decision = rule.evaluate(losses_d, losses_g, path)
-        record = {"step": step, "loss_d": loss_d, "loss_g": loss_g, "grad_norm_g": norm, "tau_y": tau, "lr_g": lr, "picard_iterations": iters, "picard_residual": residual, "picard_converged": residual < game.picard_tol, "newton_residual": local.newton_residual, "in_equilibrium": decision.in_equilibrium, **params}
+        record = {
+            "step": step, "params": dict(params), "loss_d": loss_d, "loss_g": loss_g, "loss_d_rolling": decision.loss_d_rolling, "loss_g_rolling": decision.loss_g_rolling, "grad_norm_g": norm,
+            "picard_iterations": iters, **drawn, "tau_y": tau, "in_equilibrium": decision.in_equilibrium, "lr_g": lr, "newton_iterations": local.newton_steps or None,
+            "picard_residual": float(residual), "picard_converged": bool(residual < game.picard_tol), "param_grads": {k: float(v) for k, v in grads.items()},
+            "extras": {"newton_residual": float(local.newton_residual)} if local.newton_steps else {}, **params,
+        }
         history.append(record)
         emit("step", record)
         if decision.converged:
@@ -860,10 +868,6 @@ def fit_in_task(
     return spark.range(0, 1, 1, 1).mapInPandas(run, schema)
 
 
-#: The columns of a step that a Monte Carlo history keeps, besides the parameters.
-STEP_COLUMNS = ("loss_d", "loss_g", "grad_norm_g", "tau_y", "lr_g", "picard_residual")
-
-
 def _realization(spec: Realization, network: LocalNetwork, observed: Callable, estimator: Callable) -> tuple[dict, list[dict]]:
     """(row, history) of a run; one that raises an error is a failed run with its name, and what it warned of is told."""
     began, init = time.monotonic(), {}
@@ -891,14 +895,14 @@ def monte_carlo(
     The arrays of the network travel once, as a broadcast; ``LocalNetwork.collect`` has checked their size.
     A run that raises an error is a row whose status is ``failed:`` and the error's name. A row tells how often solvers used up
     their steps, how long the run took, and its warnings.
-    ``histories`` adds the column ``history``, an array of all steps, which ``histories_of`` turns into rows.
+    ``histories`` adds the column ``history``, an array of all step records (``contracts.STEP_FIELDS``, then each parameter by its
+    own name), which ``histories_of`` turns into rows.
     """
     shared = _sent(spark, network)
     cols = ["converged boolean", "final_step int", "status string", *(f"`{p}_{s}` double" for p in params for s in ("hat", "final", "init")), "loss_d_rolling_final double", "loss_g_rolling_final double", *(f"{s}_seed long" for s in ("gt", "train", "sampler", "init"))]
     cols += ["picard_cap_hits int", "newton_cap_hits int", "elapsed_seconds double", "warnings string"]
-    kept = (*STEP_COLUMNS, *params)
     if histories:
-        cols.append("history array<struct<step: int, " + ", ".join(f"`{c}`: double" for c in kept) + ">>")
+        cols.append("history array<struct<" + ", ".join([*(f"{c}: {t}" for c, t in STEP_FIELDS.items()), *(f"`{p}`: double" for p in params)]) + ">>")
     schema = "realization long, " + ", ".join(cols)
     names = ["realization", *(c.split()[0].strip("`") for c in cols)]
 
@@ -907,7 +911,7 @@ def monte_carlo(
             for k in batch["realization"]:
                 row, steps = _realization(Realization(int(k), seed_streams(master, int(k))), shared.value, observed, estimator)
                 if histories:
-                    row["history"] = [{"step": r["step"], **{c: float(r[c]) for c in kept}} for r in steps]
+                    row["history"] = [{c: r.get(c) for c in (*STEP_FIELDS, *params)} for r in steps]
                 yield pd.DataFrame([row]).reindex(columns=names)
 
     if ids is None:
@@ -920,5 +924,5 @@ def monte_carlo(
 
 
 def histories_of(rows: DataFrame) -> DataFrame:
-    """``(realization, step, loss_d, loss_g, ..., parameters)`` of Monte Carlo rows with histories: what the operators on series take."""
+    """``(realization, step, params, loss_d, loss_g, ..., parameters)`` of Monte Carlo rows with histories: what the operators on series take."""
     return rows.select("realization", F.explode("history").alias("h")).select("realization", "h.*")

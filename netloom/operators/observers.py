@@ -41,8 +41,9 @@ class History:
     def column(self, name: str) -> np.ndarray: return np.array([r.get(name, np.nan) for r in self.records], float)
 
     def frame(self, spark: SparkSession, realization: int = 0) -> DataFrame:
-        names = sorted({k for r in self.records for k in r} - {"step"})
-        rows = [(realization, int(r["step"]), *(float(r[k]) if k in r else None for k in names)) for r in self.records]
+        number = lambda v: float(v) if isinstance(v, (bool, int, float, np.number)) else None
+        names = sorted({k for r in self.records for k, v in r.items() if number(v) is not None} - {"step"})
+        rows = [(realization, int(r["step"]), *(number(r.get(k)) for k in names)) for r in self.records]
         return spark.createDataFrame(rows, "realization long, step int" + "".join(f", `{k}` double" for k in names))
 
 
@@ -65,6 +66,15 @@ class Console:
             self.write(f"{self.prefix}{result.status} after {result.final_step} steps")
 
 
+def _named(value: Any) -> Any:
+    """Numbers that aren't finite by the names that a reader of JSON takes for them."""
+    if isinstance(value, dict):
+        return {k: _named(v) for k, v in value.items()}
+    if isinstance(value, (float, np.floating)) and not np.isfinite(value):
+        return "NaN" if np.isnan(value) else "Infinity" if value > 0 else "-Infinity"
+    return value
+
+
 class JsonLines:
     """A record per line for the start, each step and the end: what ``files.read_steps`` and the stream monitor read.
 
@@ -77,7 +87,7 @@ class JsonLines:
     def _put(self, event: str, **fields) -> None:
         os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
         with open(self.path, "a") as f:
-            f.write(json.dumps(jsonable({"event": event, "realization": self.realization, **fields})) + "\n")
+            f.write(json.dumps(jsonable(_named({"event": event, "realization": self.realization, **fields}))) + "\n")
 
     def run_start(self, config): self._put("run_start", config=config)
     def step(self, record): self._put("step", **record)

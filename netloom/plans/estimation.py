@@ -168,4 +168,4 @@ def short_estimator(spec: est.Realization) -> est.AdversarialEstimator:
 @query()
 def mc_histories(spark, d):
     """All steps of four short runs."""
-    return est.histories_of(est.monte_carlo(spark, 4, network(spark, d), observed, short_estimator, master=11, params=PARAMS, histories=True))
+    return est.histories_of(est.monte_carlo(spark, 4, network(spark, d), observed, short_estimator, master=11, params=PARAMS, histories=True)).drop("params", "param_grads", "extras")

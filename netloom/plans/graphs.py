@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netloom.functions import tables
 from netloom.functions.scalar import gaussian_hash, rounded
 from netloom.operators import equilibrium as eq
 from netloom.operators import graph, sampling
@@ -240,6 +241,18 @@ def ego_edges_k2(spark, d):
     return graph.ego_edges(graph.ego_nodes(graph.balls(e, 2)), e)
 
 
+@query(f"with {Q45}, {_EGO} select root, node, pos from ego")
+def ego_nodes_table(spark, d):
+    """The ego's nodes by a table function."""
+    return tables.ego(g45(spark, d), 2)[0]
+
+
+@query(f"with {Q45}, {_EGO} select a.root, a.pos as src_pos, b.pos as dst_pos from ego a join e on e.src = a.node join ego b on b.root = a.root and b.node = e.dst")
+def ego_edges_table(spark, d):
+    """The ego's edges by a table function."""
+    return tables.ego(g45(spark, d), 2)[1]
+
+
 _STATS = "st as (select avg(x) as mu_x, stddev_pop(x) as sigma_x, avg(y) as mu_y, stddev_pop(y) as sigma_y from xy)"
 
 

@@ -10,6 +10,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from netloom.operators.contracts import STEP_SCHEMA
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A table as CSV with a header; an empty one is an error."""
@@ -95,13 +97,22 @@ def as_json_line(event: str) -> Column:
     return F.to_json(F.struct(F.lit(event).alias("event"), F.col("*")))
 
 
-#: The columns of a step record.
-STEP = "event string, realization bigint, step int, loss_d double, loss_g double, beta double, gamma double"
+def step_schema(params: Sequence[str] = ("beta", "gamma")) -> str:
+    """The columns of a line of step records: the kind of event, the run, ``contracts.STEP_FIELDS``, and parameters by name.
+
+    A file with fewer of them, as older ones have, is read with nulls in their place; further ones are left out.
+    """
+    return f"event string, realization bigint, {STEP_SCHEMA}" + "".join(f", `{p}` double" for p in params)
+
+
+def steps_of(lines: DataFrame, params: Sequence[str] = ("beta", "gamma")) -> DataFrame:
+    """The step records among lines, batch or stream, each parameter by its own name or out of ``params``."""
+    return lines.where("event = 'step'").drop("event").withColumns({p: F.coalesce(F.col(p), F.col("params")[p]) for p in params})
 
 
 def write_steps(df: DataFrame, path: str) -> None:
     df.select(as_json_line("step").alias("value")).write.mode("append").text(path)
 
 
-def read_steps(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STEP).json(path).where("event = 'step'").drop("event")
+def read_steps(spark: SparkSession, path: str, params: Sequence[str] = ("beta", "gamma")) -> DataFrame:
+    return steps_of(spark.read.schema(step_schema(params)).json(path), params)

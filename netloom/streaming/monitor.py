@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,12 +13,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netloom.functions.scalar import OPTIMA
 from netloom.operators.series import override_tol
-from netloom.sources.files import STEP
+from netloom.sources import files
 
 
-def steps(spark: SparkSession, path: str) -> DataFrame:
+def steps(spark: SparkSession, path: str, params: Sequence[str] = ("beta", "gamma")) -> DataFrame:
     """The step records that arrive as JSON lines in a folder."""
-    return spark.readStream.schema(STEP).json(path).where("event = 'step'").drop("event")
+    return files.steps_of(spark.readStream.schema(files.step_schema(params)).json(path), params)
 
 
 def progress(stream: DataFrame) -> DataFrame:

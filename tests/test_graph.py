@@ -161,6 +161,23 @@ def test_sampler_modes(spark):
             sampling.RootSampler(**bad)
 
 
+def test_egos_as_table_functions(spark):
+    """The same rows as the operators', for some roots too, and by SQL over a view."""
+    from netloom.functions import tables
+
+    edges = graph.symmetrize(edges_of(spark, [(int(a), int(b)) for a, b in gen.barabasi_albert_pairs(60, 2, 3)]))
+    roots = spark.createDataFrame([(3,), (11,), (3,)], "root long")
+    for some in (None, roots):
+        want = graph.ego_nodes(graph.balls(edges, 2, some))
+        nodes, found = tables.ego(edges, 2, some)
+        assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.ego_edges(want, edges).collect()))
+    graph.balls(edges, 1).createOrReplaceTempView("members_of_egos")
+    by_sql = spark.sql("select * from ego_nodes(TABLE(members_of_egos) PARTITION BY root ORDER BY node)")
+    assert sorted(map(tuple, by_sql.collect())) == sorted(map(tuple, graph.ego_nodes(graph.balls(edges, 1)).collect()))
+    spark.catalog.dropTempView("members_of_egos")
+
+
 def test_sketched_ball_sizes_keep_their_error(spark):
     """Against the exact sizes: small balls exactly, all within four standard errors, the mean within one."""
     rows = [(int(a), int(b)) for a, b in gen.barabasi_albert_pairs(3000, 3, 5)]

@@ -32,6 +32,39 @@ def test_observers(spark, tmp_path):
         ob.Console(0)
 
 
+def test_a_step_record_has_all_fields_everywhere(spark, tmp_path):
+    """The 21 fields of every step through an observer's lines, Parquet, JSON and a stream."""
+    from netloom.operators.contracts import STEP_FIELDS
+    from netloom.streaming import monitor
+
+    net = network(60)
+    h, path = ob.History(), str(tmp_path / "lines")
+    with pytest.warns(Warning):
+        est.run_minimax(net, outcome(net), start(), est.RootedGin(3, 6, 2), recipe(max_steps=4, window=3), observers=(h, ob.JsonLines(path + "/a.json", 3)), sample=est.LocalSampler("disjoint_once", exclusion_r=2))
+    assert len(STEP_FIELDS) == 21 and all(set(STEP_FIELDS) <= set(r) for r in h.records)
+    same = lambda a, b: repr(a) == repr(b) or a == b  # noqa: E731  NaN too
+    cols = [c for c in STEP_FIELDS]
+    want = [tuple(r[c] for c in cols) for r in h.records]
+    plain = lambda rows: [tuple(dict(v) if isinstance(v, dict) else v for v in (r[c] for c in cols)) for r in sorted(rows, key=lambda r: r.step)]
+    lines = files.read_steps(spark, path, tuple(TRUE))
+    got = plain(lines.collect())
+    assert all(same(a, b) for x, y in zip(got, want) for a, b in zip(x, y)) and len(got) == 4
+    assert [r.beta for r in lines.orderBy("step").collect()] == [r["beta"] for r in h.records]
+    assert math.isnan(got[0][cols.index("loss_d_rolling")]) and got[3][cols.index("sampler_radius")] == 2 and got[0][cols.index("newton_iterations")] is None
+    lines.write.parquet(str(tmp_path / "p"))
+    again = spark.read.parquet(str(tmp_path / "p"))
+    files.write_steps(again, str(tmp_path / "j"))
+    assert repr(plain(again.collect())) == repr(got) == repr(plain(files.read_steps(spark, str(tmp_path / "j"), tuple(TRUE)).collect()))
+    name = f"steps_{os.getpid()}"
+    q = monitor.steps(spark, path, tuple(TRUE)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert repr(plain(spark.table(name).collect())) == repr(got)
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "x.json").write_text('{"event": "step", "realization": 1, "step": 5, "loss_d": 1.5, "params": {"beta": 0.25}, "later": 1}\n')
+    old = files.read_steps(spark, str(tmp_path / "old")).first()
+    assert (old.step, old.loss_d, old.beta, old.gamma, old.tau_y) == (5, 1.5, 0.25, None, None)
+
+
 def observed(net, seed):
     from netloom.operators.games import LinearInMeans
 
