@@ -78,7 +78,8 @@ def with_rejected(conversations: DataFrame) -> DataFrame:
     """A rejected side for each conversation: itself, but for its last assistant turn, which says what that of the next id says.
 
     The conversation with the next id (conv_id + 1) lends the text of its own last assistant turn; if there is no such
-    turn on either side, the conversation stays as it is.
+    turn on either side, the conversation stays as it is. Rows without conv_id or turn are left out; null texts are lent and kept as nulls, where a
+    turn is repeated all its rows get the lent text, columns other than conv_id, turn, role and text are left out, and an empty table gives no rows.
     """
     rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
     last = rows.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))

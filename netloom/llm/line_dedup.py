@@ -199,7 +199,8 @@ def told(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_lines, n_kept, kept_sha256, dropped.
 
     ``dropped`` lists ``line>kept_doc_id:kept_line/edits`` by line; kept_sha256 is of the text
-    without those lines, of the empty text for a null one.
+    without those lines, of the empty text for a null one. Repeated rows are told each by itself, as one document whose
+    lines count once, so neither drops the other's; rows without a doc_id keep all lines; an empty table gives no rows, other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = slim.join(_by_document(repeated_lines(docs, **options)), slim.doc_id == F.col("_of"), "left").select("doc_id", "text", "_dropped")
@@ -221,7 +222,8 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with the repeated lines taken out of ``text``, and ``n_chars`` set to the new length where there is one.
 
     A document all of whose words stood in repeated lines has nothing of its own: its row goes. A
-    document that had no words before stays as it is.
+    document that had no words before stays as it is, as do null texts and rows without a doc_id. Repeated rows lose the same lines, and stay or go
+    together; further columns are kept, whatever their names; an empty table gives no rows.
     """
     names = docs.columns
     of, name = fresh(docs, "_of"), fresh(docs, "_dropped")

@@ -249,7 +249,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of each class one row stays, the one with the least doc_id; of repeated rows with that doc_id, one.
     Texts that share a doc_id are told apart, in the order of a digest of theirs. Rows without
-    shingles or without a doc_id stay.
+    shingles or without a doc_id stay. All columns are kept as they are, whatever their names; an empty table gives no rows.
     """
     name = fresh(docs, "_gone")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")

@@ -155,7 +155,11 @@ def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``cut`` or more; all columns are kept as they are."""
+    """The rows of ``docs`` whose text scores ``cut`` or more; all columns are kept as they are, whatever their names.
+
+    A null text is scored as an empty one, repeated rows have one score and stay or go together, rows without a doc_id are
+    scored as well, and an empty table gives no rows. Without any usable label every score is a half, so all rows stay at the usual cut.
+    """
     weights = train(docs, labels)
     at = np.flatnonzero(weights)
     small, text = weights[at], docs.columns.index("text")
