@@ -151,8 +151,6 @@ class LocalGame:
     """A game's expressions on arrays: solution and tangents by the same iteration."""
 
     def __init__(self, game: Game, net: LocalNetwork):
-        if game.two_hop:
-            raise ValueError("the local tier has no two-hop games")
         self.game, self.net = game, net
         self.cov = {c: net.x[:, k] for k, c in enumerate(game.covariates)}
         self.value, self.dvalue = game.peer_value(), game.peer_value().diff("y")
@@ -169,7 +167,8 @@ class LocalGame:
     def peer(self, y: np.ndarray, coef: np.ndarray | None = None) -> np.ndarray:
         env = {"y": y[self.net.dst], "w": self.net.w}
         per = np.asarray(self.value.value(env)) if coef is None else np.asarray(self.dvalue.value(env)) * coef[self.net.dst]
-        return np.add.reduceat(np.broadcast_to(per, self.net.dst.shape), self.net.ptr[:-1])
+        once = np.add.reduceat(np.broadcast_to(per, self.net.dst.shape), self.net.ptr[:-1])
+        return self.net.mean(once) if self.game.two_hop else once
 
     def step(self, y, eps, params) -> np.ndarray:
         env = self.env(params, peer=self.peer(y), eps=eps, y=y)
@@ -203,6 +202,8 @@ class LocalGame:
     def scatter(self, y: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The transpose of ``peer`` in y: sums over the edges into a node of what it contributes, times u at their sources."""
         env = {"y": y[self.net.dst], "w": self.net.w}
+        if self.game.two_hop:
+            u = np.bincount(self.net.dst, self.net.w * u[self.net.src], self.net.n)
         return np.bincount(self.net.dst, np.broadcast_to(self.dvalue.value(env), self.net.dst.shape) * u[self.net.src], self.net.n)
 
     def _direct(self, env: dict, eps: np.ndarray, params: dict[str, float]) -> dict[str, np.ndarray]:
