@@ -437,6 +437,28 @@ def gen_ba(spark, d):
     return gen.barabasi_albert(spark, parts(spark, d), 2, seed=1)
 
 
-@query()
+def _lfr_sql(seed: int = 1, average: float = 6, top: int = 40, mu: float = 0.3, low: int = 20, high: int = 100) -> str:
+    q = lambda *k: sql.uniform(str(seed), *(f"'{x}'" if i == 0 else x for i, x in enumerate(k)))
+    law = lambda x, u: f"pow({x.base!r}::double + {u} * {x.width!r}::double, {x.root!r}::double)"
+    degrees, sizes, width = gen.Law.of(2.5, gen.least_degree(2.5, top, average), top), gen.Law.of(1.5, low, high), 100 * high
+    pairs = lambda kind, group: f"""select v, c, lead(v) over o as t, lead(c) over o as tc, row_number() over o as k
+  from (select v, c, i, {group} as g from s, b, lateral (select unnest(range(1, {kind} + 1)) as i)) window o as (partition by g order by {q(kind.strip(chr(34)), "v", "i")}, v, i)"""
+    return f"""with n as (select count(*) as n, greatest(1, count(*) // {width}) as blocks from part),
+d0 as (select b as block, j, case when b = blocks - 1 then n - b * {width} else {width} end as length, floor({law(sizes, q("size", "b", "j"))})::bigint as size
+  from n, lateral (select unnest(range(blocks)) as b), lateral (select unnest(range({2 * width // low} + 1)) as j)),
+d1 as (select *, sum(size) over (partition by block order by j) - size as start from d0),
+d2 as (select *, lead(start) over (partition by block order by j) as next from d1 where start < length),
+d3 as (select block, j, start, case when next is null or length - next < {low} then length else next end as stop from d2 where not (next is null and length - start < {low} and j > 0)),
+v0 as (select (block * {width} + p)::bigint as v, (block * 1048576 + j)::bigint as c, stop - start as size from d3, lateral (select unnest(range(start::bigint, stop::bigint)) as p)),
+v1 as (select *, greatest(round_even({law(degrees, q("degree", "v"))}, 0)::bigint, 1) as degree from v0),
+v2 as (select *, least(round_even({1 - mu!r}::double * degree, 0)::bigint, size - 1)::bigint as inner_ from v1),
+s as materialized (select v, c, inner_ as "inner", (degree - inner_)::bigint as "outer" from v2),
+b as (select greatest(1, sum("outer") // 512) as buckets from s),
+m as ({pairs('"inner"', "c")} union all select * from ({pairs('"outer"', f"floor({q('bucket', 'v', 'i')} * buckets)::bigint")}) where c <> tc),
+p as (select v as src, t as dst from m where k % 2 = 1 and t is not null and v <> t)
+select src, dst from p union select dst, src from p"""
+
+
+@query(_lfr_sql())
 def gen_lfr(spark, d):
     return gen.lfr(spark, parts(spark, d), seed=1, average_degree=6, max_degree=40)

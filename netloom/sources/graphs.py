@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netloom.functions.scalar import uniform_hash
+from netloom.operators.components import checkpointed
 
 
 def ring_lattice(spark: SparkSession, n: int, k: int = 1) -> DataFrame:
@@ -95,64 +98,81 @@ def barabasi_albert(spark: SparkSession, n: int, m: int = 2, seed: int = 0) -> D
     return pairs.union(pairs.select("dst", "src")).distinct()
 
 
-def _power_law(draw, tau: float, low: float, high: float, size: int) -> np.ndarray:
-    u = draw.random(size)
-    a = 1 - tau
-    return (low**a + u * (high**a - low**a)) ** (1 / a)
+#: Nodes of a block in which communities are drawn, by the largest community; stubs of a bucket in which they are matched.
+_BLOCK, _BUCKET = 100, 512
+
+
+def least_degree(tau: float, top: float, average: float) -> float:
+    """The least value of a power law up to ``top`` that gives a mean."""
+    low, high = 1.0, float(average)
+    for _ in range(50):
+        mid = (low + high) / 2
+        mean = (1 - tau) / (2 - tau) * (top ** (2 - tau) - mid ** (2 - tau)) / (top ** (1 - tau) - mid ** (1 - tau))
+        low, high = (mid, high) if mean < average else (low, mid)
+    return low
+
+
+@dataclass(frozen=True)
+class Law:
+    """A power law between two values, by its inverse: ``power(base + u * width, root)`` for a uniform u."""
+
+    base: float
+    width: float
+    root: float
 
+    @classmethod
+    def of(cls, tau: float, low: float, high: float) -> "Law":
+        a = 1 - tau
+        return cls(low**a, high**a - low**a, 1 / a)
 
-def lfr_pairs(n: int, seed: int = 0, *, tau1: float = 2.5, tau2: float = 1.5, mu: float = 0.3, average_degree: float | None = None, min_degree: int | None = None, max_degree: int | None = None, min_community: int = 20, max_community: int = 100, tries: int = 20) -> np.ndarray:
-    """A community graph: power-law degrees and community sizes, a share ``mu`` of each degree between communities."""
+    def column(self, u: Column) -> Column:
+        return F.pow(self.base + u * self.width, F.lit(self.root))
+
+
+def lfr(
+    spark: SparkSession, n: int, seed: int = 0, *, tau1: float = 2.5, tau2: float = 1.5, mu: float = 0.3, average_degree: float | None = None, min_degree: int | None = None,
+    max_degree: int | None = None, min_community: int = 20, max_community: int = 100,
+) -> DataFrame:
+    """A community graph made by any number of tasks: power-law degrees and community sizes, a share ``mu`` of each degree between communities.
+
+    All draws are hashes. Nodes lie in blocks, and each block is filled with communities one behind the other; a rest that is too small
+    joins the one before. A node has as many inner stubs as its community allows, the others are outer ones. The stubs of a community
+    are put in a random order and joined two by two, outer stubs likewise in random buckets. Loops, repeated edges and outer pairs of one
+    community are left out, so degrees fall a little short. Both directions, distinct.
+    """
     if (average_degree is None) == (min_degree is None):
         raise ValueError("give exactly one of average_degree and min_degree")
+    if not 1 < min_community <= max_community or n < min_community:
+        raise ValueError("communities must fit into the graph")
     top = max_degree or n - 1
-    for attempt in range(tries):
-        draw = np.random.default_rng(seed + attempt)
-        if min_degree is None:
-            low, high = 1.0, float(average_degree)
-            for _ in range(50):  # the least degree that gives the mean wanted
-                mid = (low + high) / 2
-                a, b = 1 - tau1, 2 - tau1
-                mean = a / b * (top**b - mid**b) / (top**a - mid**a)
-                low, high = (mid, high) if mean < average_degree else (low, mid)
-            least = low
-        else:
-            least = float(min_degree)
-        degree = np.maximum(np.rint(_power_law(draw, tau1, least, top, n)).astype(int), 1)
-        sizes: list[int] = []
-        while sum(sizes) < n:
-            sizes.append(int(_power_law(draw, tau2, min_community, max_community, 1)[0]))
-        sizes[-1] -= sum(sizes) - n
-        if sizes[-1] < min_community:
-            if len(sizes) < 2:
-                continue
-            last = sizes.pop()
-            sizes[-1] += last
-        inside = np.minimum(np.rint((1 - mu) * degree).astype(int), max(sizes) - 1)
-        room, community = np.array(sizes), np.full(n, -1)
-        fits = True
-        for v in np.argsort(-inside, kind="stable"):  # nodes of many inner edges first
-            open_ = np.flatnonzero((room > 0) & (np.array(sizes) > inside[v]))
-            if not len(open_):
-                fits = False
-                break
-            c = draw.choice(open_, p=room[open_] / room[open_].sum())
-            community[v], room[c] = c, room[c] - 1
-        if not fits:
-            continue
-        pairs = []
-        for c in range(len(sizes)):
-            stubs = np.repeat(np.flatnonzero(community == c), inside[community == c])
-            draw.shuffle(stubs)
-            pairs.append(stubs[: len(stubs) // 2 * 2].reshape(-1, 2))
-        stubs = np.repeat(np.arange(n), np.maximum(degree - inside, 0))
-        draw.shuffle(stubs)
-        outer = stubs[: len(stubs) // 2 * 2].reshape(-1, 2)
-        pairs.append(outer[community[outer[:, 0]] != community[outer[:, 1]]])
-        found = np.concatenate(pairs)
-        return np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
-    raise RuntimeError(f"no community graph was found in {tries} tries")
-
-
-def lfr(spark: SparkSession, n: int, seed: int = 0, **how) -> DataFrame:
-    return from_pairs(spark, lfr_pairs(n, seed, **how))
+    degrees = Law.of(tau1, float(min_degree) if average_degree is None else least_degree(tau1, top, average_degree), top)
+    sizes = Law.of(tau2, min_community, max_community)
+    width = _BLOCK * max_community
+    blocks = max(1, n // width)
+    length = F.when(F.col("block") == blocks - 1, n - F.col("block") * width).otherwise(width)
+    drawn = spark.range(blocks).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(2 * width // min_community))).alias("j")).withColumn("length", length)
+    drawn = drawn.withColumn("size", F.floor(sizes.column(uniform_hash(seed, "size", F.col("block"), F.col("j")))))
+    in_block = Window.partitionBy("block").orderBy("j")
+    drawn = drawn.withColumn("start", F.sum("size").over(in_block) - F.col("size")).where("start < length")
+    drawn = drawn.withColumn("next", F.lead("start").over(in_block))
+    short = F.col("length") - F.col("next") < min_community  # what is left for the last one
+    last = F.col("next").isNull()
+    drawn = drawn.where(~(last & (F.col("length") - F.col("start") < min_community) & (F.col("j") > 0)))
+    drawn = drawn.withColumn("end", F.when(last | short, F.col("length")).otherwise(F.col("next")))
+    node = (F.col("block") * width + F.col("pos")).cast("long")
+    nodes = drawn.select((F.col("block") * 2**20 + F.col("j")).alias("c"), (F.col("end") - F.col("start")).alias("size"), "block", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    nodes = nodes.select(node.alias("v"), "c", "size").withColumn("degree", F.greatest(F.rint(degrees.column(uniform_hash(seed, "degree", F.col("v")))).cast("long"), F.lit(1)))
+    inner = F.least(F.rint((1 - mu) * F.col("degree")).cast("long"), F.col("size") - 1)
+    nodes = checkpointed(nodes.withColumn("inner", inner).select("v", "c", "inner", (F.col("degree") - F.col("inner")).alias("outer")))
+    buckets = max(1, (nodes.agg(F.sum("outer")).first()[0] or 0) // _BUCKET)
+
+    def matched(kind: str, group: Column) -> DataFrame:
+        """Neighbours in a random order of each group's stubs, two by two."""
+        stubs = nodes.where(F.col(kind) > 0).select("v", "c", F.explode(F.sequence(F.lit(1).cast("long"), F.col(kind))).alias("i")).withColumn("g", group)
+        order = Window.partitionBy("g").orderBy(uniform_hash(seed, kind, F.col("v"), F.col("i")), "v", "i")
+        pairs = stubs.select("v", "c", F.lead("v").over(order).alias("to"), F.lead("c").over(order).alias("to_c"), F.row_number().over(order).alias("k"))
+        return pairs.where("k % 2 = 1 and to is not null and v <> to")
+
+    bucket = F.floor(uniform_hash(seed, "bucket", F.col("v"), F.col("i")) * buckets)
+    pairs = matched("inner", F.col("c")).union(matched("outer", bucket).where("c <> to_c")).select(F.col("v").alias("src"), F.col("to").alias("dst"))
+    return pairs.union(pairs.select("dst", "src")).distinct()

@@ -265,29 +265,45 @@ def test_preferential_attachment_by_tasks(spark):
         gen.barabasi_albert(spark, 3, 3)
 
 
+def degrees_of(pairs, n):
+    return np.bincount([a for a, _ in pairs], minlength=n)
+
+
 def test_lfr(spark):
-    p = gen.lfr_pairs(400, 1, average_degree=6, max_degree=40)
-    degree = [0] * 400
-    for a, b in p:
-        assert a != b
-        degree[a] += 1
-        degree[b] += 1
-    assert 3.5 < sum(degree) / 400 < 8 and max(degree) <= 40
-    with pytest.raises(ValueError):
-        gen.lfr_pairs(100, 1)
+    pairs = {tuple(r) for r in gen.lfr(spark, 400, 1, average_degree=6, max_degree=40).collect()}
+    assert all(a != b and (b, a) in pairs and 0 <= a < 400 for a, b in pairs)
+    degree = degrees_of(pairs, 400)
+    assert 3.5 < degree.mean() < 8 and degree.max() <= 40
+    again = gen.lfr(spark, 400, 1, average_degree=6, max_degree=40).repartition(7)
+    assert {tuple(r) for r in again.collect()} == pairs != {tuple(r) for r in gen.lfr(spark, 400, 2, average_degree=6, max_degree=40).collect()}
+    for bad in ({}, {"average_degree": 4, "min_degree": 2}, {"min_degree": 3, "min_community": 500}, {"min_degree": 3, "min_community": 30, "max_community": 20}):
+        with pytest.raises(ValueError):
+            gen.lfr(spark, 100, 1, **bad)
 
 
-def test_lfr_has_the_degrees_asked_for():
+def test_lfr_has_the_degrees_asked_for(spark):
     """The maximum-likelihood exponent of the degrees of the tail, and their bound."""
     for tau in (2.3, 2.8):
-        p = gen.lfr_pairs(6000, 3, tau1=tau, min_degree=8, max_degree=200, min_community=60, max_community=400)
-        degree = np.bincount(p.ravel(), minlength=6000)
+        pairs = gen.lfr(spark, 6000, 3, tau1=tau, min_degree=8, max_degree=200, min_community=60, max_community=400).collect()
+        degree = degrees_of(pairs, 6000)
         tail = degree[degree >= 12]
         exponent = 1 + len(tail) / np.log(tail / 11.5).sum()
         assert abs(exponent - tau) < 0.35, (tau, exponent)
         assert degree.max() <= 200
 
 
+@pytest.mark.parametrize("mu", [0.2, 0.5])
+def test_lfr_has_the_mixing_asked_for(spark, mu):
+    """Over more than one block: the share of edges that leave a community, whose ids are consecutive, and the sizes of communities."""
+    n = 17_000
+    pairs = np.array(gen.lfr(spark, n, 3, mu=mu, min_degree=8, max_degree=60, min_community=70, max_community=80).collect())
+    degree = degrees_of(pairs, n)
+    assert degree.max() <= 60 and (degree >= 5).mean() > 0.98
+    apart = np.abs(pairs[:, 0] - pairs[:, 1])
+    assert abs((apart >= 150).mean() - mu) < 0.06  # a community and a rest that joins it have 149 members at most
+    assert np.percentile(apart[apart < 150], 99) < 80 and len(np.unique(pairs)) > 0.99 * n
+
+
 def test_scores_stay_within_their_band():
     """A clipped test function's scores lie in [eta, 1 - eta], whatever its features."""
     from netloom.operators import estimator as est
