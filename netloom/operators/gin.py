@@ -37,10 +37,15 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once a row, though ``of`` uses it in a lambda, into which the optimiser would copy its expression."""
+    return F.transform(F.array(value), of)[0]
+
+
 def dense(h: Column, w: np.ndarray, b: np.ndarray) -> Column:
     """h w + b for an array column."""
     columns = F.array(*(F.struct(F.lit([float(v) for v in w[:, j]]).alias("w"), F.lit(float(b[j])).alias("b")) for j in range(w.shape[1])))
-    return F.transform(columns, lambda c: F.aggregate(F.zip_with(h, c["w"], lambda x, y: x * y), c["b"], lambda s, v: s + v))
+    return bound(h, lambda x: F.transform(columns, lambda c: F.aggregate(F.zip_with(x, c["w"], lambda p, q: p * q), c["b"], lambda s, v: s + v)))
 
 
 def relu(h: Column) -> Column:
@@ -138,8 +143,11 @@ def _names(weights: Weights, at: int) -> list[str]:
     return [n for n in weights.p if n.startswith(f"{at}.") or at == weights.layers - 1 and n.startswith("h.")]
 
 
-def _pulled_back(weights: Weights, at: int, slope: Callable[[np.ndarray], np.ndarray] | None):
-    """A mapInArrow function over (root, node, z, own, dh): ``dz`` a row, and at a task's end one row with the summed gradients of the layer's parameters."""
+def _pulled_back(weights: Weights, at: int, slope: Callable[[np.ndarray], np.ndarray] | None, value: Callable[[np.ndarray], np.ndarray] | None = None):
+    """A mapInArrow function over (root, node, z, own, dh): ``dz`` a row, and at a task's end one row with the summed gradients of the layer's parameters.
+
+    With a ``slope`` the head comes first, and the sums end with that of ``value``.
+    """
     p, names = weights.p, _names(weights, at)
 
     def batch_of(z, own, dh):
@@ -170,13 +178,14 @@ def _pulled_back(weights: Weights, at: int, slope: Callable[[np.ndarray], np.nda
         g[f"{at}.a.w"], g[f"{at}.a.b"] = z.T @ da, da.sum(0)
         dz = da @ p[f"{at}.a.w"].T
         g[f"{at}.eps"] = np.array([(dz * own).sum()])
-        return dz, np.concatenate([g[k].ravel() for k in names])
+        sums = [g[k].ravel() for k in names]
+        return dz, np.concatenate(sums if slope is None else [*sums, [value(flat).sum() if value else 0.0]])
 
     def matrix(column) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(sum(p[k].size for k in names))
+        total = np.zeros(sum(p[k].size for k in names) + (slope is not None))
         kinds = pa.schema([("root", pa.int64()), ("node", pa.int64()), ("dz", pa.list_(pa.float64())), ("part", pa.list_(pa.float64()))])
         for b in batches:
             if not b.num_rows:
@@ -190,14 +199,10 @@ def _pulled_back(weights: Weights, at: int, slope: Callable[[np.ndarray], np.nda
     return run
 
 
-def gradients(weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, slope: Callable[[np.ndarray], np.ndarray], roots: DataFrame | None = None) -> DataFrame:
-    """``(param, cell, value)``: the gradient of a sum over roots of a function of each logit, for all roots in one pass.
-
-    ``slope`` gives the function's derivative for an array of logits. Each layer's rows give their
-    share in Arrow batches; a task sums what its rows give and returns one row, and those few are
-    summed by parameter and cell. What a layer's messages get back goes along the transposed joins. Gradients are with
-    respect to the effective weights, a cell is the place in the parameter's array, row by row.
-    """
+def _backward(
+    weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, slope: Callable[[np.ndarray], np.ndarray], roots: DataFrame | None, value: Callable[[np.ndarray], np.ndarray] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells(param, cell, value), messages(root, node, dz) of the first layer with their gradients, neighbours)."""
     near = edges.select("src", "dst").where("src <> dst").distinct()
     tables = passed(weights, edges, nodes, k, roots)
     parts, after = [], None
@@ -211,21 +216,58 @@ def gradients(weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, slop
             base = nodes.select("id", "f")
             own = mine.join(base, mine["node"] == base["id"]).select(F.col("root").alias("_root"), F.col("node").alias("_node"), F.concat("f", F.array(mark)).alias("own"))
         rows = mine.join(own, (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_node"))).drop("_root", "_node")
-        if after is None:
+        top = after is None
+        if top:
             rows = rows.select("root", "node", "z", "own", F.col("own").alias("dh"))  # the head's gradient takes its place
         else:
             rows = rows.join(after, ["root", "node"]).select("root", "node", "z", "own", "dh")
-        done = checkpointed(rows.mapInArrow(_pulled_back(weights, at, slope if after is None else None), "root long, node long, dz array<double>, part array<double>"))
-        sizes = [(n, i) for n in _names(weights, at) for i in range(weights.p[n].size)]
+        done = checkpointed(rows.mapInArrow(_pulled_back(weights, at, slope if top else None, value), "root long, node long, dz array<double>, part array<double>"))
+        sizes = [(n, i) for n in _names(weights, at) for i in range(weights.p[n].size)] + [("value", 0)] * top
         cells = done.where("part is not null").select(F.posexplode("part").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
         names = F.array(*(F.struct(F.lit(n).alias("param"), F.lit(i).alias("cell")) for n, i in sizes))
         parts.append(cells.select(names[F.col("at")].alias("c"), "value").select("c.param", "c.cell", "value"))
+        back = done.where("part is null").select("root", "node", "dz")
         if at:
             wide = len(weights.p[f"{at}.a.w"])
-            back = done.where("part is null").select("root", "node", "dz")
             to = back.join(rekeyed(near, "src"), back["node"] == F.col("src")).select("root", F.col("dst").alias("node"), F.col("dz").alias("m"))
             after = _summed(to.union(back.select("root", "node", _scaled(F.col("dz"), 1 + eps))), ["root", "node"], wide).withColumnRenamed("m", "dh")
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
-    return out
+    return out, back, near
+
+
+def gradients(weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, slope: Callable[[np.ndarray], np.ndarray], roots: DataFrame | None = None) -> DataFrame:
+    """``(param, cell, value)``: the gradient of a sum over roots of a function of each logit, for all roots in one pass.
+
+    ``slope`` gives the function's derivative for an array of logits. Each layer's rows give their
+    share in Arrow batches; a task sums what its rows give and returns one row, and those few are
+    summed by parameter and cell. What a layer's messages get back goes along the transposed joins. Gradients are with
+    respect to the effective weights, a cell is the place in the parameter's array, row by row.
+    """
+    return _backward(weights, edges, nodes, k, slope, roots)[0].where("param <> 'value'")
+
+
+def pulled(
+    weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, value: Callable[[np.ndarray], np.ndarray], slope: Callable[[np.ndarray], np.ndarray], roots: DataFrame | None = None
+) -> tuple[float, dict[str, np.ndarray], DataFrame]:
+    """(sum of ``value`` over the roots' logits, its gradient by each parameter, ``(id, g)`` its gradient by the nodes' features).
+
+    The first two are as small as the test function; the third is a table, an array of as many numbers as ``f`` has a node that any ego reaches.
+    """
+    cells, back, near = _backward(weights, edges, nodes, k, slope, roots, value)
+    arrays = {n: np.zeros(v.size) for n, v in weights.p.items()} | {"value": np.zeros(1)}
+    for r in cells.collect():  # a row per number of the test function
+        arrays[r["param"]][r["cell"]] = r["value"]
+    total = float(arrays.pop("value")[0])
+    width, own = len(weights.p["0.a.w"]) - 1, 1 + weights.eps(0)  # without the mark
+    if min(k, weights.layers - 1) < k:  # all neighbours of a message's node are in its ego: roots are summed first
+        at = checkpointed(_summed(back.select(F.col("node").alias("id"), F.col("dz").alias("m")), ["id"], width))
+        to = near.join(rekeyed(at, "id"), F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "m")
+        both = to.union(at.select("id", _scaled(F.col("m"), own)))
+    else:
+        members = back.select(F.col("root").alias("_root"), F.col("node").alias("_node"))
+        to = back.join(rekeyed(near, "src"), back["node"] == F.col("src")).select("root", F.col("dst").alias("to"), F.col("dz").alias("m"))
+        to = to.join(members, (F.col("root") == F.col("_root")) & (F.col("to") == F.col("_node")), "left_semi")
+        both = to.select(F.col("to").alias("id"), "m").union(back.select(F.col("node").alias("id"), _scaled(F.col("dz"), own)))
+    return total, {n: v.reshape(weights.p[n].shape) for n, v in arrays.items()}, _summed(both, ["id"], width).withColumnRenamed("m", "g")

@@ -10,6 +10,7 @@ from netloom.functions.scalar import rounded
 from netloom.operators import datasets, gin, graph
 from netloom.operators import estimator as est
 from netloom.operators.games import LinearInMeans
+from netloom.operators.minimax import TableMinimax
 from netloom.plans import sqltext as sql
 from netloom.plans.graphs import XY, g45, parts, xy
 from netloom.plans.registry import query
@@ -117,6 +118,19 @@ def gin_gradients(spark, d):
     return gin.gradients(gin.Weights.of(GIN), e, _standardised(spark, d, e), 2, real_slope).withColumn("value", rounded(F.col("value")))
 
 
+@query()
+def minimax_step(spark, d):
+    """One outer step of adversarial estimation on tables, every node a root: losses, gradients, and where the parameters go."""
+    e = g45(spark, d)
+    n = fx.shocked(fx.nodes(e, fx.price(spark, d)))
+    seen = LinearInMeans(TRUE, beta_cap=0.85).solve(graph.row_stochastic(e), n, fixed=20).nodes
+    config = est.EstimatorConfig(max_steps=1, n_disc=1, seed=3, window=1, stability_window=1)
+    loop = TableMinimax(e, seen, LinearInMeans({"beta": 0.1, "gamma": 0.8, "sigma_sq": 1.0}, beta_cap=0.85), est.RootedGin(3, 8, 2, seed=3), config, steps=20)
+    r = loop.step(1, config.lr_g)
+    rows = [(k, r[k]) for k in ("loss_d", "loss_g", "grad_norm_g")] + [(f"gradient {k}", v) for k, v in r["param_grads"].items()] + [(k, v) for k, v in r["params"].items()]
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in rows], "name string, value double")
+
+
 def _observed_seven(net: est.LocalNetwork, _: int) -> np.ndarray:
     return observed(net, 7)
 
