@@ -110,14 +110,15 @@ def replicas(codes: tuple[Perfect, ...], threshold: int) -> float:
 
 
 def covering(prints: int, threshold: int = THRESHOLD) -> tuple[Perfect, ...]:
-    """The code for a number of distinct fingerprints: the one with the least estimated work.
+    """The code for a number of distinct fingerprints: the one with the least estimated work, in seconds.
 
-    More anchors mean fewer comparisons for more replicas. The links found are the same with every code.
+    More anchors mean fewer comparisons for more replicas, and smaller rows. The links found are the same with every code.
     """
 
     def work(codes):
         copies, anchors = replicas(codes, threshold), 2 ** sum(c.named for c in codes)
-        return prints * copies * 60e-9 + prints**2 * copies / anchors * 1.5e-9 + min(anchors, prints * copies) * 150e-6
+        rows = prints * copies / max(1, VISITS / anchors)  # a batch makes one of all that it has at an anchor
+        return prints * copies * 60e-9 + rows * 3e-6 + prints**2 * copies / anchors * 1.5e-9 + min(anchors, prints * copies) * 150e-6
 
     return min(CODES, key=work)
 
