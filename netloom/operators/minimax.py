@@ -79,6 +79,12 @@ class TableMinimax:
         """(mean of a loss over roots, its gradient by the test function's effective weights, its gradient by the features)."""
         return gin.pulled(gin.Weights.of(self.disc), self.edges, features, self.k, lambda x: value(x) / n, lambda x: slope(x) / n, roots)
 
+    def scores(self, *key) -> DataFrame:
+        """``(root, real, fake)``: the test function's logits for the ego of every node, of the outcome and of a simulated one."""
+        sides = {"real": self.nodes, "fake": self.simulated(self.params, *(key or (0, "s")))}
+        real, fake = (gin.scores(gin.Weights.of(self.disc), self.edges, self.features(rows, 0.0), self.k).withColumnRenamed("logit", side) for side, rows in sides.items())
+        return real.join(fake, "root")
+
     def learn_test(self, step: int, tau: float) -> float:
         """One update of the test function: its loss before."""
         loss = 0.0

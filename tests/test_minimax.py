@@ -95,6 +95,15 @@ def test_gradients_by_the_features(spark):
         assert all(np.allclose(by_weight[n], want[n], atol=1e-9) for n in want)
 
 
+def test_scores_of_both_sides(spark):
+    table, net, y, disc = problem(spark, n=20)
+    got = {r.root: (r.real, r.fake) for r in table.scores().collect()}
+    fake = est.LocalGame(games.LinearInMeans(START, beta_cap=0.85, picard_tol=1e-13), net).solve(noise(spark, table, 0, "s"), START)[0]
+    for side, values in enumerate((y, fake)):
+        want, _ = disc.forward(net.batch(np.arange(net.n), values, y.mean(), y.std()))
+        assert np.allclose([got[i][side] for i in range(net.n)], want, atol=1e-8)
+
+
 def test_what_tables_must_have(spark):
     table, *_ = problem(spark)
     with pytest.raises(ValueError, match="layers"):
