@@ -73,17 +73,18 @@ def rekeyed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, most: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``; component is the smallest member.
 
     Large-star and small-star steps alternate until the edge set no longer changes, which
     takes a number of rounds logarithmic in the longest path. Each step is a partial-aggregated
     minimum per node and a join back, so that a hub costs no more than its edges. Self-loops
-    stand for nodes without neighbours; edges with a null end are left out.
+    stand for nodes without neighbours; edges with a null end are left out. ``most`` says how many edges
+    there may be, where that is known, so that they are written in as few files as that asks for.
     """
-    pairs = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), slim=True)
+    pairs = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), slim=most or False)
     loops = pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    now, mark, rows = pairs.where("src <> dst"), None, True
+    now, mark, rows = pairs.where("src <> dst"), None, max(1, pairs.count())  # what a step makes is no more than it got
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
