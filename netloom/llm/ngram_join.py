@@ -145,15 +145,16 @@ def _units(members: DataFrame, met: DataFrame) -> DataFrame:
     A unit is a whole candidate component, or, where a component of more than BLOCK_MOST members
     would take more comparisons so, as chains of unlike texts do, the buckets of met(node, band) in it.
     """
+    most = max(1, members.count())  # of a table that is written
     groups = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    large = checkpointed(groups.where(F.col("n") > BLOCK_MOST).select("component", "n"), slim=True)
+    large = checkpointed(groups.where(F.col("n") > BLOCK_MOST).select("component", "n"), slim=most // BLOCK_MOST + 1)
     whole, apart = members, None
     if large.limit(1).count():
         inside = members.select("node", "size", "component").join(rekeyed(large.select("component"), "component"), "component", "left_semi")
-        rows = checkpointed(met.join(inside, "node").select("node", "band", "component", "size"), slim=True)
+        rows = checkpointed(met.join(inside, "node").select("node", "band", "component", "size"), slim=most * BLOCKS)  # about as many bands
         buckets = rows.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
         dear = buckets.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
-        split = checkpointed(large.join(dear, "component").where(F.col("cost") < F.col("n") * F.col("n")).select("component"), slim=True)
+        split = checkpointed(large.join(dear, "component").where(F.col("cost") < F.col("n") * F.col("n")).select("component"), slim=most // BLOCK_MOST + 1)
         split = rekeyed(split, "component")
         whole = members.join(split, "component", "left_anti")
         buckets = buckets.join(split, "component", "left_semi").select("band", _blocks())
@@ -202,8 +203,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     stars = met.groupBy("band").agg(F.min("node").alias("dst"), F.max("node").alias("top")).where("dst < top").select("band", "dst")
     edges = met.join(rekeyed(stars, "band"), "band").where("node <> dst").select(F.col("node").alias("src"), "dst")
     nodes = classes.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("size").alias("size"))
-    members = checkpointed(components(edges).repartition(F.col("node")).join(rekeyed(nodes, "node"), "node"), slim=True)
-    units = checkpointed(_units(members, met.distinct()), slim=True)
+    most = max(1, classes.count())
+    members = checkpointed(components(edges, most=most * bands).repartition(F.col("node")).join(rekeyed(nodes, "node"), "node"), slim=most)
+    units = checkpointed(_units(members, met.distinct()), slim=most)
     texts = slim.join(units, slim["doc_id"] == units["node"]).select("node", "copies", "units", "text")
     shape = "units array<struct<key: long, by: boolean, blocks: int>>"
     sets = texts.mapInArrow(_sets(n, bands, rows), f"node long, copies long, {shape}, set binary, bands binary")
@@ -221,7 +223,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     bonds = links.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
     if repeated:
         bonds = bonds.union(_of_one_document(usable, classes))
-    joined = components(bonds)
+    joined = components(bonds, most=most * bands)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     told = (
         classes.select("print", "node", "copies")

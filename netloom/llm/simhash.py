@@ -254,7 +254,7 @@ def near_groups(docs: DataFrame, n: int = N, seed: int = SEED, threshold: int =
     shared = usable.distinct().groupBy("doc_id").agg(F.min("print").alias("dst"), F.max("print").alias("top")).where("dst < top").select("doc_id", "dst")
     if shared.limit(1).count():
         bonds = bonds.union(usable.join(rekeyed(shared, "doc_id"), "doc_id").where("print <> dst").select(F.col("print").alias("src"), "dst"))
-    linked = nodes.join(components(bonds).select(F.col("node").alias("print"), "component"), "print")
+    linked = nodes.join(components(bonds, most=max(1, nodes.count())).select(F.col("node").alias("print"), "component"), "print")
     first = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     told = nodes.where("copies > 1").join(linked.select("print"), "print", "left_anti").select("print", F.col("least").alias("component_id"))
     told = told.union(linked.join(rekeyed(first, "component"), "component").select("print", "component_id"))
