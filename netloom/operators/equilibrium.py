@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from netloom.operators.components import checkpointed, rekeyed
 
@@ -33,11 +33,25 @@ class Solved:
         return iter((self.nodes, self.iters))
 
 
+#: Edges of a node that go in one row at most, about.
+LIST = 1024
+
+
 def with_self(weights: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(src, dst, w, own)``: the edges, and for each node an edge to itself that only carries its own columns."""
-    own = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))
+    """``(dst, near)``: for each node the list of (src, w) of the edges into it, and once a null that only carries its own columns.
+
+    A list has some LIST edges at most, dealt by a hash, so that a hub is many rows; an edge costs 16 bytes in it
+    where it would cost a row.
+    """
     w = F.col("w") if "w" in weights.columns else F.lit(1.0)
-    return weights.select("src", "dst", w.alias("w"), F.lit(False).alias("own")).union(own)
+    edges = weights.where("dst is not null").select("dst", F.struct(F.col("src").alias("src"), w.cast("double").alias("w")).alias("e"))
+    into = edges.groupBy("dst").agg(F.count("*").alias("_n"))
+    hubs = into.where(F.col("_n") > LIST).select(F.col("dst").alias("_hub"), F.ceil(F.col("_n") / LIST).cast("int").alias("_parts"))
+    dealt = edges.join(F.broadcast(hubs), F.col("dst") == F.col("_hub"), "left")  # one row for every LIST edges at most
+    part = F.pmod(F.xxhash64("e"), F.coalesce("_parts", F.lit(1)))
+    lists = dealt.groupBy("dst", part.alias("part")).agg(F.collect_list("e").alias("near")).select("dst", "near")
+    none = F.lit(None).cast(lists.schema["near"].dataType)
+    return lists.union(nodes.select(F.col("id").alias("dst"), none.alias("near")))
 
 
 def aggregated(weights: DataFrame, nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -48,12 +62,14 @@ def aggregated(weights: DataFrame, nodes: DataFrame, values: dict[str, Column])
     steps is a plan of linear size; ``weights`` made by ``with_self`` has these edges already. The
     join deals both sides anew, so that the edges into a hub can be split.
     """
-    edges = weights if "own" in weights.columns else with_self(weights, nodes)
+    edges = weights if "near" in weights.columns else with_self(weights, nodes)
     kept = [c for c in nodes.columns if c != "id" and c not in values]
     joined = edges.join(rekeyed(nodes.withColumnRenamed("id", "dst"), "dst"), "dst")
-    own = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept]
-    sums = [F.coalesce(F.sum(F.when(~F.col("own"), v)), F.lit(0.0)).alias(k) for k, v in values.items()]
-    return joined.groupBy(F.col("src").alias("id")).agg(*own, *sums)
+    rows = joined.select("*", F.explode_outer("near").alias("_e")).withColumns({"w": F.col("_e.w"), "_own": F.col("near").isNull()})
+    to = F.when(F.col("_own"), F.col("dst")).otherwise(F.col("_e.src"))
+    own = [F.max(F.when(F.col("_own"), F.col(c))).alias(c) for c in kept]
+    sums = [F.coalesce(F.sum(F.when(~F.col("_own"), v)), F.lit(0.0)).alias(k) for k, v in values.items()]
+    return rows.groupBy(to.alias("id")).agg(*own, *sums)
 
 
 def peer_mean(weights: DataFrame, nodes: DataFrame, value: Column | None = None, name: str = "peer") -> DataFrame:
@@ -66,14 +82,26 @@ def peer_sum(weights: DataFrame, nodes: DataFrame, value: Column | None = None,
     return aggregated(weights, nodes, {name: F.col("y") if value is None else value})
 
 
+def _stepped(step: Callable[[DataFrame], DataFrame], nodes: DataFrame, k: int, seen: list[Observation] | None = None) -> DataFrame:
+    """The nodes after k steps, written; the largest change of y in each step goes to its observation ``r``."""
+    for i in range(k):
+        if seen is None:
+            nodes = step(nodes)
+            continue
+        moved = step(nodes.withColumn("_before", F.col("y")))
+        nodes = moved.observe(seen[i], F.max(F.abs(F.col("y") - F.col("_before"))).alias("r")).drop("_before")
+    return checkpointed(nodes)
+
+
 def picard(
     step: Callable[[DataFrame], DataFrame], start: DataFrame, tol: float = 1e-6, max_iter: int = 200, fixed: bool = False, block: int = 10, strict: bool = False
 ) -> Solved:
     """Iterate ``nodes(id, y, ...) -> step(nodes)`` until no y changes by ``tol`` or more, or ``max_iter`` steps are done.
 
     A step must carry columns that it doesn't know along. Steps are planned in blocks of ``block``
-    and written at the end of each, so plans stay small and one job does several steps. The change in each step of a block is reduced with it, and
-    the solution is that of the first step below the tolerance. ``fixed`` makes exactly
+    and written at the end of each, so plans stay small and one job does several steps. The change in each step is observed as the block is
+    made, so that only one earlier y goes with a step; the solution is that of the first step below the tolerance, to which
+    a block that went on is made again. ``fixed`` makes exactly
     ``max_iter`` steps; its residual is 0 and it doesn't count as converged. ``strict`` raises
     ``NotConverged`` where the tolerance isn't met.
     """
@@ -82,22 +110,18 @@ def picard(
     now, done, residual = start, 0, float("inf")
     while done < max_iter:
         k = min(block, max_iter - done)
-        work = now
-        for i in range(k):
-            work = step(work if fixed else work.withColumn(f"_y{i}", F.col("y")))
-        work = checkpointed(work)
         if fixed:
-            now, done = work, done + k
+            now, done = _stepped(step, now, k), done + k
             continue
-        at = lambda i: F.col(f"_y{i}") if i < k else F.col("y")  # noqa: E731  the value after i steps of the block
-        changes = work.agg(*(F.max(F.abs(at(i + 1) - at(i))).alias(f"r{i}") for i in range(k))).first()
+        seen = [Observation() for _ in range(k)]
+        work = _stepped(step, now, k, seen)
+        changes = [o.get["r"] for o in seen]
         found = next((i for i in range(k) if changes[i] is not None and changes[i] < tol), None)
         last = k - 1 if found is None else found
         residual, done = changes[last], done + last + 1
-        rest = [c for c in work.columns if not c.startswith("_y") and c != "y"]
-        now = work.select(*rest, at(last + 1).alias("y"))
-        if found is not None:
-            return Solved(now, done, residual, True)
+        if found is not None:  # the few steps of this block that count are made again where it went on
+            return Solved(work if last == k - 1 else _stepped(step, now, last + 1), done, residual, True)
+        now = work
     if fixed:
         return Solved(now, done, 0.0, False)
     if strict:
