@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import defaultdict, deque
 
 import numpy as np
@@ -318,3 +319,28 @@ def test_scores_stay_within_their_band():
         eta = est.expit(np.array(-clip))
         s = est.expit(d.forward(b)[0])
         assert (s >= eta - 1e-12).all() and (s <= 1 - eta + 1e-12).all()
+
+
+def test_balls_deal_lists_of_neighbours(spark, monkeypatch):
+    """The last step's rows are dealt as lists, four bytes an entry if ids fit; hubs are many rows; large ids, outside roots and loops give the same balls."""
+    monkeypatch.setattr(graph, "LIST", 4)
+    rows = [(0, k) for k in range(1, 30)] + [(k, k + 1) for k in range(1, 40)] + [(50, 50), (3, 3), (7, 8)]
+    for shift, kind in ((0, "array<int>"), (2**40, "array<bigint>")):
+        edges = spark.createDataFrame([(a + shift, b + shift) for a, b in rows], "src long, dst long")
+        lists = graph.neighbor_lists(edges)
+        assert dict(lists.dtypes)["to"] == kind and lists.where(F.size("to") > 4).count() < lists.where(F.col("at") == shift).count() > 4
+        found = graph.balls(edges, 3)
+        assert not re.search(r"hashpartitioning\(root#\d+L, node#", found._jdf.queryExecution().toString())  # no row of its own for each member
+        out = {k: {b for a, b in rows if a == k and b != k} for k in {v for e in rows for v in e}}
+        want = set()
+        for r in out:
+            ring, seen = {r}, {r: 0}
+            for d in (1, 2, 3):
+                ring = {v for u in ring for v in out[u]} - set(seen)
+                seen |= dict.fromkeys(ring, d)
+            want |= {(r + shift, v + shift, d) for v, d in seen.items()}
+        got = [tuple(x) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        outside = spark.createDataFrame([(2**50,), (50 + shift,), (None,)], "root long")
+        assert {tuple(x) for x in graph.balls(edges, 2, outside).collect()} == {(2**50, 2**50, 0), (50 + shift, 50 + shift, 0), (None, None, 0)}
+    assert graph.balls(spark.createDataFrame([], "src long, dst long"), 2).count() == 0
