@@ -51,28 +51,27 @@ class Rule:
         """Steps before a step that can matter for it."""
         return max(self.window, self.stability_window) - 1
 
-    def judged(self, values: np.ndarray, seen: int) -> dict[str, np.ndarray]:
-        """The statistics of all but the first rows of values(loss_d, loss_g, params...); ``seen`` rows were before the later ones, the last of them are the first here."""
-        before = min(seen, self.kept)
-        n = len(values) - before
-        number = seen + np.arange(n) + 1
-        out, nan = {}, np.full((n, values.shape[1]), math.nan)
-
-        def rolling(width: int, of) -> np.ndarray:
-            full = nan.copy()
-            first = max(0, width - before - 1)  # the first new row with a full window
-            if first < n:
-                windows = np.lib.stride_tricks.sliding_window_view(values[before + first - width + 1 :], width, axis=0)
-                full[first:] = of(windows)
+    def judged(self, values: np.ndarray, number: np.ndarray) -> dict[str, np.ndarray]:
+        """The statistics of the rows of values(loss_d, loss_g, params...), the steps of one run after another.
+
+        ``number`` counts a run's steps from 1; a run that goes on begins with its last ``kept`` steps, whose own statistics mean nothing here.
+        """
+        out = {}
+
+        def rolling(columns: np.ndarray, width: int, of) -> np.ndarray:
+            full = np.full(columns.shape, math.nan)
+            if len(columns) >= width:
+                full[width - 1 :] = of(np.lib.stride_tricks.sliding_window_view(columns, width, axis=0))
+            full[number < width] = math.nan  # a window over the end of another run
             return full
 
         ready = number >= max(self.window, self.min_steps)
-        mean, std = rolling(self.window, lambda w: w.mean(-1)), rolling(self.window, lambda w: w.std(-1))
+        mean, std = rolling(values[:, :2], self.window, lambda w: w.mean(-1)), rolling(values[:, :2], self.window, lambda w: w.std(-1))
         for k, c in enumerate(("loss_d", "loss_g")):
             out[f"{c}_mean"], out[f"{c}_std"] = np.where(ready, mean[:, k], math.nan), np.where(ready, std[:, k], math.nan)
-        spread = rolling(self.stability_window, lambda w: w.max(-1) - w.min(-1))
+        spread = rolling(values[:, 2:], self.stability_window, lambda w: w.max(-1) - w.min(-1))
         stable = number >= self.stability_window
-        for k, p in enumerate(self.params, 2):
+        for k, p in enumerate(self.params):
             out[f"range_{p}"] = spread[:, k]
             stable = stable & (spread[:, k] <= override_tol(p, self.tol, self.overrides))
         inside = (np.abs(out["loss_d_mean"] - self.target_d) < self.delta_d) & (np.abs(out["loss_g_mean"] - self.target_g) < self.delta_g)
@@ -80,7 +79,10 @@ class Rule:
         return out | {"stable": stable}
 
 
-_STATE = "seen long, stopped boolean, tail binary, waiting binary"
+#: Groups that runs are dealt into by a hash; a group has one state and is one call of Python, which costs more than a run's steps do.
+#: A checkpoint keeps to the number it began with.
+GROUPS = 4096
+_STATE = "runs binary, seen binary, stopped binary, tail binary, waiting binary"
 
 
 def follow(records: DataFrame, rule: Rule, lateness: str, key: str = "realization") -> DataFrame:
@@ -94,7 +96,7 @@ def follow(records: DataFrame, rule: Rule, lateness: str, key: str = "realizatio
     (``numRowsDroppedByWatermark``). ``stop`` marks the first step at which losses are in equilibrium and parameters stable.
     ``at`` is the event time in microseconds.
 
-    The state of a run is its last few steps and the records that aren't closed; it goes into the
+    The state of a run is its last few steps and the records that aren't closed; runs are dealt into GROUPS states, which go into the
     query's checkpoint, so a restart carries on where the last batch ended. Records without a key or time take no part.
     """
     names = ["loss_d", "loss_g", *rule.params]
@@ -105,33 +107,46 @@ def follow(records: DataFrame, rule: Rule, lateness: str, key: str = "realizatio
     shape = f"{key} long, step int, at long, loss_d_mean double, loss_d_std double, loss_g_mean double, loss_g_std double, in_equilibrium boolean{ranges}, stable boolean, stop boolean"
 
     def closed(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, stopped, tail, waiting = state.get if state.exists else (0, False, b"", b"")
-        rows = np.frombuffer(waiting, np.float64).reshape(-1, wide + 2)  # whole numbers are carried bit by bit
-        marks = [rows[:, :2].view(np.int64)]
-        values = [rows[:, 2:]]
+        stored = state.get if state.exists else (b"",) * 5
+        runs, seen, stopped = (np.frombuffer(b, t) for b, t in zip(stored, (np.int64, np.int64, bool)))
+        tail, rows = np.frombuffer(stored[3], np.float64).reshape(-1, wide), np.frombuffer(stored[4], np.float64).reshape(-1, wide + 3)
+        marks, values = [rows[:, :3].view(np.int64)], [rows[:, 3:]]  # whole numbers are carried bit by bit
         for part in parts:
-            marks.append(part[["at", "id"]].fillna(0).to_numpy(np.int64))
+            marks.append(part[[key, "at", "id"]].fillna(0).to_numpy(np.int64))
             values.append(part[names].to_numpy(np.float64))
         mark, value = np.concatenate(marks), np.concatenate(values)
-        order = np.lexsort((mark[:, 1], mark[:, 0]))
-        mark, value = mark[order], value[order]
         passed = state.getCurrentWatermarkMs()
-        n = int(np.searchsorted(mark[:, 0] // 1000, passed))
-        if n:
-            before = np.frombuffer(tail, np.float64).reshape(-1, wide)
-            all_values = np.concatenate([before, value[:n]])
-            told = rule.judged(all_values, seen)
-            both = told["in_equilibrium"] & told["stable"]
-            stop = np.zeros(n, bool)
-            if not stopped and both.any():
-                stop[both.argmax()] = stopped = True
-            yield pd.DataFrame({key: of[0], "step": (seen + np.arange(n)).astype(np.int32), "at": mark[:n, 0], **told, "stop": stop})
-            seen, tail = seen + n, all_values[len(all_values) - min(seen + n, rule.kept) :].tobytes() if rule.kept else b""
-        left = np.concatenate([np.ascontiguousarray(mark[n:]).view(np.float64), value[n:]], axis=1)
-        state.update((int(seen), bool(stopped), tail, left.tobytes()))
+        over = mark[:, 1] // 1000 < passed
+        if over.any():
+            now, new = mark[over], value[over]
+            order = np.lexsort((now[:, 2], now[:, 1], now[:, 0]))
+            now, new = now[order], new[order]
+            every = np.union1d(runs, now[:, 0])
+            at = np.searchsorted(every, runs)
+            seen, stopped = (np.bincount(at, v, len(every)).astype(v.dtype) for v in (seen, stopped))
+            before = np.minimum(seen, rule.kept)
+            run = np.concatenate([np.repeat(np.arange(len(every)), before), np.searchsorted(every, now[:, 0])])
+            order = np.argsort(run, kind="stable")  # a run's last steps, then its new ones
+            run, steps, ts = run[order], np.concatenate([tail, new])[order], np.concatenate([np.zeros(len(tail), np.int64), now[:, 1]])[order]
+            size = np.bincount(run, minlength=len(every))
+            place = np.arange(len(run)) - (np.cumsum(size) - size)[run]
+            number, fresh = (seen - before)[run] + place + 1, place >= before[run]
+            told = {c: v[fresh] for c, v in rule.judged(steps, number).items()}
+            hits = np.flatnonzero(told["in_equilibrium"] & told["stable"] & ~stopped[run[fresh]])
+            who, first = np.unique(run[fresh][hits], return_index=True)
+            stop = np.zeros(len(now), bool)
+            stop[hits[first]] = True
+            yield pd.DataFrame({key: every[run[fresh]], "step": (number[fresh] - 1).astype(np.int32), "at": ts[fresh], **told, "stop": stop})
+            stopped[who] = True
+            runs, seen = every, seen + size - before
+            tail = steps[place >= (size - np.minimum(seen, rule.kept))[run]]
+        mark, value = mark[~over], value[~over]
+        left = np.concatenate([np.ascontiguousarray(mark).view(np.float64), value], axis=1)
+        state.update(tuple(np.ascontiguousarray(v).tobytes() for v in (runs, seen, stopped, tail, left)))
         if len(left):
-            state.setTimeoutTimestamp(max(int(mark[n, 0] // 1000), passed + 1))
+            state.setTimeoutTimestamp(max(int(mark[:, 1].min() // 1000), passed + 1))
 
-    found = clean.withWatermark("ts", lateness).groupBy(key).applyInPandasWithState(closed, shape, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = clean.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(GROUPS)))
+    found = dealt.withWatermark("ts", lateness).groupBy("_group").applyInPandasWithState(closed, shape, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     numbers = [f"{c}_{k}" for c in ("loss_d", "loss_g") for k in ("mean", "std")] + [f"range_{p}" for p in rule.params]
     return found.withColumns({c: F.coalesce(c, F.lit(math.nan)) for c in numbers})  # pandas makes null of what is not a number

@@ -201,3 +201,23 @@ def test_jobs_import_no_text_operators():
     code = "import sys, jobs.queries; print([m for m in sys.modules if m.startswith(('netloom.llm', 'corpus_pipeline'))])"
     told = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=120)
     assert told.stdout.strip() == "[]", told.stderr
+
+
+def test_run_monitor_deals_runs_into_groups(spark, tmp_path, monkeypatch):
+    """Runs share a state and a call: 3 groups or one for nearly each run give the same steps, over input that grows within the runs."""
+    from netloom.streaming import monitor
+
+    got = {}
+    for groups in (3, 1 << 30):
+        monkeypatch.setattr(monitor, "GROUPS", groups)
+        source, out, checkpoint = (str(tmp_path / f"{n}{groups}") for n in ("in", "out", "check"))
+        for lot in range(3):
+            rows = spark.range(400).select(
+                (F.col("id") + 400 * lot).alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + 86_400 * lot + F.col("id") * 200).alias("ts"),
+                (F.col("id") * 7 % 23 - 2).alias("user_id"), (F.col("id") * 13 % 101).cast("double").alias("value"),
+            )
+            rows.write.mode("append").parquet(source)
+            run_monitor.run(spark, source, out, checkpoint)
+        assert spark.read.format("statestore").load(checkpoint).count() == min(groups, 23)
+        got[groups] = sorted(str(tuple(r)) for r in spark.read.parquet(out).collect())
+    assert got[3] == got[1 << 30] and len(got[3]) > 1100
