@@ -67,6 +67,28 @@ def layer(df: DataFrame, weights: Weights, k: int) -> DataFrame:
     return out.withColumn("h", relu(F.zip_with(F.zip_with(normed, scale, lambda v, g: v * g), shift, lambda v, o: v + o))).drop("_a", "_c", "_m", "_s")
 
 
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def layer_batches(df: DataFrame, weights: Weights, k: int) -> DataFrame:
+    """``layer`` of (root, node, dist, z) in Arrow batches: array expressions cost some ten times as much a row."""
+    p = weights.p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = np.maximum(_matrix(b.column("z")) @ p[f"{k}.a.w"] + p[f"{k}.a.b"], 0) @ p[f"{k}.c.w"] + p[f"{k}.c.b"]
+                n = (c - c.mean(1, keepdims=True)) / np.sqrt(c.var(1, keepdims=True) + 1e-5)
+                yield pa.RecordBatch.from_arrays([*b.columns, _lists(np.maximum(n * p[f"{k}.g"] + p[f"{k}.o"], 0))], [*b.schema.names, "h"])
+
+    return df.select("root", "node", "dist", "z").mapInArrow(run, "root long, node long, dist int, z array<double>, h array<double>")
+
+
 def head(df: DataFrame, weights: Weights) -> DataFrame:
     """``logit`` from ``h``, within the clip where there is one."""
     p = weights.p
@@ -99,14 +121,15 @@ def _messages(state: DataFrame, near: DataFrame, bound: int, width: int, own: fl
     return _summed(rows, ["root", "node", "dist"], width).withColumnRenamed("m", "z")
 
 
-def passed(weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, roots: DataFrame | None = None) -> list[DataFrame]:
+def passed(weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, roots: DataFrame | None = None, keep: bool = False) -> list[DataFrame]:
     """``(root, node, dist, z, h)`` after each layer, for the nodes of each ego that can still reach its root.
 
     ``edges(src, dst)`` has both directions; ``nodes(id, f)`` has the features as an array of
     doubles, to which the root's marker is added. Layer l of L needs nodes up to L - l steps from the
     root. With L <= k all their neighbours lie in the ego of radius k, so the first layer's messages are
     the same for every root but for the marker, and are summed once a node; beyond, messages
-    are kept to the ego by a join with its members.
+    are kept to the ego by a join with its members. ``keep`` writes every layer but the last down, for those who
+    read them again, and works them out in Arrow batches.
     """
     layers = weights.layers
     near = edges.select("src", "dst").where("src <> dst").distinct()
@@ -125,12 +148,13 @@ def passed(weights: Weights, edges: DataFrame, nodes: DataFrame, k: int, roots:
         mark = F.when(F.col("dist") == 0, 1.0).otherwise(0.0)
         start = found.join(features, found["node"] == features["id"]).select("root", "node", "dist", F.concat("f", F.array(mark)).alias("h"))
         z = _messages(checkpointed(start), near, k, width, own)
-    out = [layer(z, weights, 0)]
+    layered = layer_batches if keep else layer
+    out = [layered(z, weights, 0)]
     for at in range(1, layers):
-        state = checkpointed(out[-1]) if min(k, layers - 1 - at) else out[-1]
+        state = checkpointed(out[-1]) if keep or min(k, layers - 1 - at) else out[-1]
         out[-1] = state
         wide = len(weights.p[f"{at}.a.w"])
-        out.append(layer(_messages(state, near, min(k, layers - 1 - at), wide, 1 + weights.eps(at)), weights, at))
+        out.append(layered(_messages(state, near, min(k, layers - 1 - at), wide, 1 + weights.eps(at)), weights, at))
     return out
 
 
@@ -181,19 +205,15 @@ def _pulled_back(weights: Weights, at: int, slope: Callable[[np.ndarray], np.nda
         sums = [g[k].ravel() for k in names]
         return dz, np.concatenate(sums if slope is None else [*sums, [value(flat).sum() if value else 0.0]])
 
-    def matrix(column) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(sum(p[k].size for k in names) + (slope is not None))
         kinds = pa.schema([("root", pa.int64()), ("node", pa.int64()), ("dz", pa.list_(pa.float64())), ("part", pa.list_(pa.float64()))])
         for b in batches:
             if not b.num_rows:
                 continue
-            dz, part = batch_of(matrix(b.column("z")), matrix(b.column("own")), None if slope is not None else matrix(b.column("dh")))
+            dz, part = batch_of(_matrix(b.column("z")), _matrix(b.column("own")), None if slope is not None else _matrix(b.column("dh")))
             total += part
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dz) + 1) * dz.shape[1], pa.int32()), pa.array(dz.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), lists, pa.nulls(len(dz), pa.list_(pa.float64()))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), _lists(dz), pa.nulls(len(dz), pa.list_(pa.float64()))], schema=kinds)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([total.tolist()], pa.list_(pa.float64()))], schema=kinds)
 
     return run
@@ -204,7 +224,7 @@ def _backward(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells(param, cell, value), messages(root, node, dz) of the first layer with their gradients, neighbours)."""
     near = edges.select("src", "dst").where("src <> dst").distinct()
-    tables = passed(weights, edges, nodes, k, roots)
+    tables = passed(weights, edges, nodes, k, roots, keep=True)
     parts, after = [], None
     for at in reversed(range(weights.layers)):
         mine = tables[at].select("root", "node", "dist", "z")

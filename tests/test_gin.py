@@ -103,3 +103,17 @@ def test_a_hub_costs_its_edges(spark):
     w = gin.Weights.of(est.RootedGin(3, 4, 2, seed=1))
     tables = gin.passed(w, e, nodes, 2)
     assert tables[0].count() == 3 * n + 1 and gin.scores(w, e, nodes, 2).count() == n + 1
+
+
+def test_layers_read_again_are_worked_out_once(spark):
+    """In batches a layer gives what its expressions give; what the gradient reads again is a table, not worked out anew."""
+    edges = spark.createDataFrame([(a, b) for k in range(12) for a, b in ((k, (k + 1) % 12), ((k + 1) % 12, k))], "src long, dst long")
+    nodes = spark.range(12).select("id", F.array(F.sin("id"), F.cos(3 * F.col("id"))).alias("f"))
+    weights = gin.Weights.of(est.RootedGin(3, 8, 2, 4.0, seed=5))
+    plain, kept = gin.passed(weights, edges, nodes, 2), gin.passed(weights, edges, nodes, 2, keep=True)
+    assert "Join" not in kept[0]._jdf.queryExecution().toString()
+    for a, b in zip(plain, kept):
+        want, got = ({(r.root, r.node): (r.dist, r.z, r.h) for r in t.collect()} for t in (a, b))
+        assert want.keys() == got.keys() and len(want) in (12, 36)
+        for k, (dist, z, h) in want.items():
+            assert got[k][0] == dist and np.allclose(got[k][1], z) and np.allclose(got[k][2], h)
