@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalar import rounded
 from netloom.operators import datasets, gin, graph
 from netloom.operators import estimator as est
+from netloom.operators.components import checkpointed
 from netloom.operators.games import LinearInMeans
 from netloom.operators.minimax import TableMinimax
 from netloom.plans import sqltext as sql
@@ -21,10 +22,10 @@ TRUE = {"beta": 0.4, "gamma": 1.5, "sigma_sq": 1.0}
 
 def network(spark, d) -> est.LocalNetwork:
     """The largest component of the parts' graph, x standardised."""
-    clean = graph.sanitize(g45(spark, d))
+    clean = graph.sanitize(checkpointed(g45(spark, d), slim=True))
     x = graph.reindexed(fx.price(spark, d), clean.ids)
     s = x.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
-    return est.LocalNetwork.collect(clean.edges, x.select("id", ((F.col("x") - s["m"]) / s["s"]).alias("x")))
+    return est.LocalNetwork.collect(checkpointed(clean.edges, slim=True), x.select("id", ((F.col("x") - s["m"]) / s["s"]).alias("x")))
 
 
 def observed(net: est.LocalNetwork, seed: int) -> np.ndarray:
@@ -154,17 +155,17 @@ _ESTIMATES = "param string, coef double, final double, path_sd double"
 
 @query()
 def fit_lim(spark, d):
-    return est.fit_in_task(spark, network(spark, d), _observed_seven, estimator, _estimates, _ESTIMATES, master=7)
+    return est.fit_in_task(spark, network(spark, d), _observed_seven, estimator, _estimates, _ESTIMATES, master=7, told=False)
 
 
 @query()
 def fit_lim_packed(spark, d):
-    return est.fit_in_task(spark, network(spark, d), _observed_seven, packed_estimator, _estimates, _ESTIMATES, master=7)
+    return est.fit_in_task(spark, network(spark, d), _observed_seven, packed_estimator, _estimates, _ESTIMATES, master=7, told=False)
 
 
 @query()
 def discriminator_scores(spark, d):
-    return est.fit_in_task(spark, network(spark, d), _observed_seven, estimator, _scores, "slot long, real double, fake double", master=7)
+    return est.fit_in_task(spark, network(spark, d), _observed_seven, estimator, _scores, "slot long, real double, fake double", master=7, told=False)
 
 
 PARAMS = ("beta", "gamma", "sigma_sq")

@@ -108,3 +108,62 @@ def test_monte_carlo_rows_are_those_of_runs_one_by_one(spark):
         assert rows.loc[k, "status"] == "ok" and rows.loc[k, "final_step"] == 12
         assert rows.loc[k, "beta_hat"] == pytest.approx(r.params["beta"], abs=1e-6)
         assert rows.loc[k, "picard_cap_hits"] == r.picard_cap_hits
+
+
+@pytest.mark.parametrize("how", [{}, {"mode": "unroll"}, {"n_disc": 2}, {"sample": est.LocalSampler("disjoint_relax", relax=(4, 3), restarts=2, min_batch=2, fallback="best")}, {"beta": 0.75}, {"beta": -0.7}])
+@pytest.mark.parametrize("known", [True, False])
+def test_a_run_of_polynomials_is_that_of_the_whole_graph(how, known):
+    """Wherever beta goes, and whether or not it was predicted, no draw is solved on the whole graph."""
+    net = small()
+    y, around, made = observed(net, 1), ahead.Around(net), []
+    found = ahead.with_polynomials(around, ahead.predicted(around, fitted(**how), y if known else None, False), 1e-6)
+
+    def solver(game, net):
+        made.append(ahead.SeriesGame(game, net, found))
+        return made[-1]
+
+    a, b = fitted(**how).set_params(solver=solver).fit(net, y).result_, fitted(**how).fit(net, y).result_
+    assert len(a.history) == len(b.history) == 12 and a.picard_cap_hits == b.picard_cap_hits == 0
+    for s, t in zip(a.history, b.history):
+        for c in ("beta", "gamma", "sigma_sq", "loss_d", "loss_g"):
+            assert s[c] == pytest.approx(t[c], abs=1e-6)
+        assert s["picard_iterations"] >= t["picard_iterations"] and s["picard_residual"] < 1e-6
+    assert made[0].solved_whole == 0
+    assert made[0].deepened == (0 if known or abs(how.get("beta", 0)) < 0.6 else 24)
+
+
+def test_polynomials_are_worked_out_near_the_roots_alone():
+    """A ring of a million nodes: what six roots look at needs some hundred nodes, not all."""
+    n = 1_000_000
+    at = np.arange(n)
+    net = est.LocalNetwork(np.concatenate([at, at]), np.concatenate([(at + 1) % n, (at - 1) % n]), np.sin(at))
+    around, nodes = ahead.Around(net), np.arange(10, n, 200_000)
+    noise = np.random.default_rng(1).standard_normal(n)
+    cone = around.cone(nodes, around.degrees(1e-6, 0.6)[1])
+    assert around.mutual and len(cone.nodes) < 40 * len(nodes) and (around.number == -1).all()
+    want = est.LocalGame(LinearInMeans(TRUE, picard_tol=1e-12), net).solve(noise, {"beta": 0.6, "gamma": 0.0, "sigma_sq": 1.0})[0][nodes]
+    q = cone.polynomials(noise)
+    assert np.allclose(ahead.coefficients(0.6, len(q))[0] @ q, want, atol=5e-7)
+    slope = (ahead.coefficients(0.6 + 1e-5, len(q))[0] - ahead.coefficients(0.6 - 1e-5, len(q))[0]) / 2e-5
+    assert np.allclose(ahead.coefficients(0.6, len(q))[1], slope, atol=1e-7)
+
+
+def test_edges_that_go_one_way_are_left_to_powers(spark):
+    """Polynomials are for real eigenvalues; the terms of such a graph are powers, with the same result."""
+    n = 60
+    at = np.arange(n)
+    net = est.LocalNetwork(np.concatenate([at, at]), np.concatenate([(at + 1) % n, (at + 7) % n]), np.sin(at))
+    assert not ahead.mutual(net) and ahead.mutual(small())
+    runs = spark.createDataFrame([(0,)], "realization long")
+    rows = ahead.terms(runs, spark.sparkContext.broadcast(net), lambda k: fitted(), lambda k: observed(net, 1), False).toPandas()
+    assert all("p" in r and "most" not in r for r in ahead.records_of(rows))
+
+
+def test_what_is_told_has_the_steps_of_the_whole_graph(spark):
+    net = small()
+    rows = est.monte_carlo(spark, 1, net, observed, fitted, master=11, params=("beta", "gamma", "sigma_sq"), histories=True)
+    seeds = est.seed_streams(11, 0)
+    want = fitted().set_params(seed=seeds["train"]).fit(net, observed(net, seeds["gt"])).result_.history
+    got = est.histories_of(rows).orderBy("step").collect()
+    assert [r["picard_iterations"] for r in got] == [r["picard_iterations"] for r in want]
+    assert all(r["beta"] == pytest.approx(t["beta"], abs=1e-6) and r["picard_residual"] == pytest.approx(t["picard_residual"], abs=1e-6) for r, t in zip(got, want))
